@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-for _module in ("tiles", "mosaics"):
+for _module in ("tiles", "mosaics", "vectors", "evaluation", "training", "catalogs"):
     import_module(f"{__name__}.{_module}")
 
 __all__ = ["ORACLE", "QUERIES"]
