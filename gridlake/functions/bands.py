@@ -57,7 +57,9 @@ def sigmoid(z: Column) -> Column:
 
 def zscore(x: Column | str, mean: Column | str, std: Column | str, eps: float = EPSILON) -> Column:
     """(x - mean) / (std + eps) with the population deviation."""
-    return ieee_divide(_c(x) - _c(mean), _c(std) + F.lit(eps))
+    if eps > 0:  # the divisor is never 0, so the plain division does
+        return (_c(x) - _c(mean)) / (_c(std) + F.lit(eps))
+    return ieee_divide(_c(x) - _c(mean), _c(std))
 
 
 def _join_stats(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -9,6 +11,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -28,8 +35,13 @@ def scale_ring(ring: Column | str, k: float) -> Column:
     """Scales about the centre of the bounding box."""
     ring = _c(ring)
     b = bbox(ring)
-    cx, cy = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
-    return F.transform(ring, lambda p: point(cx + F.lit(k) * (p["x"] - cx), cy + F.lit(k) * (p["y"] - cy)))
+    centre = point((b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2)
+
+    def about(c: Column) -> Column:
+        return F.transform(ring, lambda p: point(
+            c["x"] + F.lit(k) * (p["x"] - c["x"]), c["y"] + F.lit(k) * (p["y"] - c["y"])))
+
+    return let(centre, about)
 
 
 def edges(ring: Column | str) -> Column:
@@ -64,17 +76,19 @@ def area(ring: Column | str) -> Column:
 def centroid(ring: Column | str) -> Column:
     """Area-weighted centroid; a ring without area gives the mean of its vertices."""
     ring = _c(ring)
-    s = _shoelace(ring)
     n = F.size(ring)
 
     def vertex_mean(axis: str) -> Column:
         return F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[axis]) / n
 
-    flat = s["cross"] == 0
-    return point(
-        F.when(flat, vertex_mean("x")).otherwise(ring[0]["x"] + F.try_divide(s["sx"], 3 * s["cross"])),
-        F.when(flat, vertex_mean("y")).otherwise(ring[0]["y"] + F.try_divide(s["sy"], 3 * s["cross"])),
-    )
+    def of(s: Column) -> Column:
+        flat = s["cross"] == 0
+        return point(
+            F.when(flat, vertex_mean("x")).otherwise(ring[0]["x"] + F.try_divide(s["sx"], 3 * s["cross"])),
+            F.when(flat, vertex_mean("y")).otherwise(ring[0]["y"] + F.try_divide(s["sy"], 3 * s["cross"])),
+        )
+
+    return let(_shoelace(ring), of)
 
 
 def exterior(rings: Column | str) -> Column:
@@ -126,7 +140,7 @@ def _segments_meet(e: Column, f: Column) -> Column:
     )
 
 
-def contains_point(ring: Column | str, p: Column) -> Column:
+def _inside(sides: Column, p: Column) -> Column:
     """Crossing number of a ray to the right; points on the edge may go either way."""
     def crossing(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -134,14 +148,24 @@ def contains_point(ring: Column | str, p: Column) -> Column:
         at = a["x"] + F.try_divide((p["y"] - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
         return straddles & (p["x"] < at)
 
-    return F.size(F.filter(edges(ring), crossing)) % 2 == 1
+    return F.size(F.filter(sides, crossing)) % 2 == 1
+
+
+def contains_point(ring: Column | str, p: Column) -> Column:
+    return _inside(edges(ring), p)
+
+
+def sides_intersect(sides_a: Column | str, sides_b: Column | str) -> Column:
+    """Exact polygon–polygon test on ``edges``: one holds a vertex of the other, or two edges meet."""
+    sides_a, sides_b = _c(sides_a), _c(sides_b)
+    crossing = F.exists(sides_a, lambda e: F.exists(sides_b, lambda f: _segments_meet(e, f)))
+    return _inside(sides_b, sides_a[0]["a"]) | _inside(sides_a, sides_b[0]["a"]) | crossing
 
 
 def intersects(ring_a: Column | str, ring_b: Column | str) -> Column:
-    """Exact polygon–polygon test: an edge crossing, or one inside the other."""
-    ring_a, ring_b = _c(ring_a), _c(ring_b)
-    crossing = F.exists(edges(ring_a), lambda e: F.exists(edges(ring_b), lambda f: _segments_meet(e, f)))
-    return crossing | contains_point(ring_b, ring_a[0]) | contains_point(ring_a, ring_b[0])
+    """The same test on rings."""
+    sides = F.struct(edges(ring_a).alias("a"), edges(ring_b).alias("b"))
+    return let(sides, lambda s: sides_intersect(s["a"], s["b"]))
 
 
 def filter_geom_type(df: DataFrame, types: tuple[str, ...] = ("Polygon", "MultiPolygon")) -> DataFrame:

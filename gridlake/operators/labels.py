@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import bbox, edges, scale_ring
 from ..schemas import floor_div
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .resample import convolve_separable, gaussian_weights
 
 # --- clipping ----------------------------------------------------------------------------------
@@ -48,8 +48,23 @@ def clip_raster(pixels: DataFrame, extents: DataFrame, block: int = 64) -> DataF
 # --- polygons to pixels ---------------------------------------------------------------------------
 
 
+def _rows_of(low: Column, high: Column, shape: bool) -> Column:
+    """Pixel rows from low to high, cut to the frame before they are exploded."""
+    low, high = F.floor(low).cast("int"), F.ceil(high).cast("int")
+    if shape:
+        low, high = F.greatest(low, F.lit(0)), F.least(high, F.col("rows") - 1)
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def _cut_columns(runs: DataFrame, shape: bool) -> DataFrame:
+    if shape:
+        runs = runs.withColumns({
+            "c0": F.greatest(F.col("c0"), F.lit(0)), "c1": F.least(F.col("c1"), F.col("cols") - 1)})
+    return runs.where(F.col("c0") <= F.col("c1"))
+
+
 def _scanline_runs(ring: Column, y: Column) -> Column:
-    """Inside stretches of one pixel row as ARRAY<STRUCT<c0, c1>>, from the crossings of the ring's edges."""
+    """Where the ring's edges cross one pixel row, in order; stretches between pairs of them are inside."""
     crossed = F.filter(edges(ring), lambda e: (
         (F.least(e["a"]["y"], e["b"]["y"]) <= y) & (y < F.greatest(e["a"]["y"], e["b"]["y"]))
     ))
@@ -68,19 +83,17 @@ def rasterize(
     table carries ``rows``/``cols`` and pixels outside are dropped. Columns: keys, row, col, value.
     """
     carry = [*keys, seq] + (["rows", "cols"] if shape else [])
+    polygons = spread(polygons.select(*carry, "ring"), *keys, seq)
     box = bbox("ring")
-    lines = polygons.select(
-        *carry, "ring",
-        F.explode(F.sequence(F.floor(box["ymin"]).cast("int"), F.ceil(box["ymax"]).cast("int"))).alias("row"),
-    )
+    lines = polygons.select(*carry, "ring", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
     crossings = lines.select(*carry, "row", _scanline_runs(F.col("ring"), F.col("row")).alias("xs"))
     pairs = crossings.where(F.size("xs") >= 2).select(
         *carry, "row", "xs", F.explode(F.sequence(F.lit(0), floor_div(F.size("xs"), 2) - 1)).alias("i"))
     runs = pairs.select(
         *carry, "row", F.ceil(F.get("xs", F.col("i") * 2)).cast("int").alias("c0"),
         F.floor(F.get("xs", F.col("i") * 2 + 1)).cast("int").alias("c1"),
-    ).where(F.col("c0") <= F.col("c1"))
-    inner = runs.select(
+    )
+    inner = _cut_columns(runs, shape).select(
         *carry, "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.lit(0).alias("_edge"), F.lit(fill).alias("value"))
 
     sides = polygons.select(*carry, F.explode(edges("ring")).alias("e"))
@@ -127,10 +140,9 @@ def boundary_gaps(polygons: DataFrame, keys: list[str], k: float = 1.5, shape: b
 def _covered(polygons: DataFrame, keys: list[str], shape: bool) -> DataFrame:
     """One row per (polygon, pixel) with the pixel's centre inside the ring."""
     carry = list(keys) + (["rows", "cols"] if shape else [])
+    polygons = spread(polygons.select(*carry, "ring"), *keys, "ring")
     box = bbox("ring")
-    lines = polygons.select(
-        *carry, "ring",
-        F.explode(F.sequence(F.floor(box["ymin"]).cast("int"), F.ceil(box["ymax"]).cast("int"))).alias("row"))
+    lines = polygons.select(*carry, "ring", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
     half = F.col("row") + F.lit(0.5)
     crossings = lines.select(*carry, "row", _scanline_runs(F.col("ring"), half).alias("xs")).where(F.size("xs") >= 2)
     pairs = crossings.select(
@@ -138,11 +150,9 @@ def _covered(polygons: DataFrame, keys: list[str], shape: bool) -> DataFrame:
     runs = pairs.select(
         *carry, "row", F.ceil(F.get("xs", F.col("i") * 2) - 0.5).cast("int").alias("c0"),
         (F.ceil(F.get("xs", F.col("i") * 2 + 1) - 0.5) - 1).cast("int").alias("c1"),
-    ).where(F.col("c0") <= F.col("c1"))
-    px = runs.select(*carry, "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.lit(1).cast("long").alias("n"))
-    if shape:
-        px = px.where(F.col("row").between(0, F.col("rows") - 1) & F.col("col").between(0, F.col("cols") - 1))
-    return px.select(*keys, "row", "col", "n")
+    )
+    return _cut_columns(runs, shape).select(
+        *keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.lit(1).cast("long").alias("n"))
 
 
 # --- points to pixels --------------------------------------------------------------------------------
@@ -159,6 +169,9 @@ def kernel_2d(size: int, sigma: float) -> list[list[float]]:
     return [[a * b for b in line] for a in line]
 
 
+DENSITY_BLOCK = 64  # pixels; side of the blocks whose points are spread by one task
+
+
 def density_fixed(points: DataFrame, keys: list[str], size: int = 15, sigma: float = 4.0) -> DataFrame:
     """Adds one unit-mass Gaussian per point; mass beyond the edge is lost.
 
@@ -166,17 +179,24 @@ def density_fixed(points: DataFrame, keys: list[str], size: int = 15, sigma: flo
     are skipped. Points of one pixel are counted first, so a crowded pixel is spread once.
     """
     half = (size - 1) // 2
-    kept = points.where((F.col("row") < F.col("rows")) & (F.col("col") < F.col("cols")))
+    reach = size - half  # farthest a point above or left of the frame still reaches into it
+    kept = points.where(
+        (F.col("row") < F.col("rows")) & (F.col("col") < F.col("cols"))
+        & (F.col("row") + reach >= 0) & (F.col("col") + reach >= 0))
     counted = kept.groupBy(*keys, "row", "col", "rows", "cols").agg(F.count(F.lit(1)).alias("n"))
+    # neighbours together: their kernels overlap, and the sums combine before the next shuffle;
+    # a block holds at most one row per pixel, however many points it has
+    block = {"_br": floor_div(F.col("row"), DENSITY_BLOCK), "_bc": floor_div(F.col("col"), DENSITY_BLOCK)}
+    counted = spread(counted.withColumns(block), *keys, "_br", "_bc").drop("_br", "_bc")
     cells = F.array(*[
         F.struct(F.lit(i + 1 - half).alias("dr"), F.lit(j + 1 - half).alias("dc"), F.lit(w).alias("w"))
         for i, line in enumerate(kernel_2d(size, sigma)) for j, w in enumerate(line)
     ])
-    spread = counted.withColumn("_k", F.explode(cells)).withColumns({
+    stamped = counted.withColumn("_k", F.explode(cells)).withColumns({
         "row": F.col("row") + F.col("_k.dr"), "col": F.col("col") + F.col("_k.dc"),
     })
     inside = F.col("row").between(0, F.col("rows") - 1) & F.col("col").between(0, F.col("cols") - 1)
-    return spread.where(inside).groupBy(*keys, "row", "col").agg(F.sum(F.col("n") * F.col("_k.w")).alias("density"))
+    return stamped.where(inside).groupBy(*keys, "row", "col").agg(F.sum(F.col("n") * F.col("_k.w")).alias("density"))
 
 
 def knn_distances(points: DataFrame, keys: list[str], k: int = 3, cell: int = 16) -> DataFrame:
@@ -233,7 +253,7 @@ def knn_distances(points: DataFrame, keys: list[str], k: int = 3, cell: int = 16
 
 
 def _blur_profile(at: Column, extent: Column, sigma: Column, truncate: float = 4.0) -> Column:
-    """Normalised 1-D response of a blurred unit pulse: ARRAY<STRUCT<p, w>>, nearest edge mode, cut at 4 sigma."""
+    """1-D response of a blurred pulse, not yet normalised: ARRAY<STRUCT<p, w>>, nearest edge mode, cut at 4 sigma."""
     radius = F.floor(sigma * F.lit(truncate) + 0.5).cast("int")
 
     def g(d: Column) -> Column:
@@ -246,9 +266,7 @@ def _blur_profile(at: Column, extent: Column, sigma: Column, truncate: float = 4
         return F.when(at == extent - 1, tail).otherwise(g((p - at).cast("double")))
 
     positions = F.sequence(F.greatest(F.lit(0), at - radius), F.least(extent - 1, at + radius))
-    raw = F.transform(positions, lambda p: F.struct(p.alias("p"), response(p).alias("w")))
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, s: acc + s["w"])
-    return F.transform(raw, lambda s: F.struct(s["p"].alias("p"), (s["w"] / total).alias("w")))
+    return F.transform(positions, lambda p: F.struct(p.alias("p"), response(p).alias("w")))
 
 
 def density_knn(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -261,11 +279,20 @@ def density_knn(points: DataFrame, keys: list[str]) -> DataFrame:
     mean = F.aggregate("dist", F.lit(0.0), lambda acc, d: acc + d) / F.greatest(F.size("dist"), F.lit(1))
     sigma = F.when(F.col("total") == 1, (F.col("rows") + F.col("cols")) / F.lit(8.0)).otherwise(mean * F.lit(0.3))
     shaped = near.where(inside).withColumn("sigma", sigma)
-    down = shaped.select(*keys, "n", "col", "cols", "sigma",
-                         F.explode(_blur_profile(F.col("row"), F.col("rows"), F.col("sigma"))).alias("_r"))
-    full = down.select(*keys, "n", "_r", F.explode(_blur_profile(F.col("col"), F.col("cols"), F.col("sigma"))).alias("_c"))
+    block = {"_br": floor_div(F.col("row"), DENSITY_BLOCK), "_bc": floor_div(F.col("col"), DENSITY_BLOCK)}
+    shaped = spread(shaped.withColumns(block), *keys, "_br", "_bc")
+    profiles = shaped.select(
+        *keys, "n", _blur_profile(F.col("row"), F.col("rows"), F.col("sigma")).alias("_down"),
+        _blur_profile(F.col("col"), F.col("cols"), F.col("sigma")).alias("_across"))
+
+    def mass(profile: str) -> Column:
+        return F.aggregate(profile, F.lit(0.0), lambda acc, s: acc + s["w"])
+
+    lines = profiles.select(
+        *keys, "_across", (F.col("n") / (mass("_down") * mass("_across"))).alias("_unit"), F.explode("_down").alias("_r"))
+    full = lines.select(*keys, "_unit", "_r", F.explode("_across").alias("_c"))
     return full.groupBy(*keys, F.col("_r.p").alias("row"), F.col("_c.p").alias("col")).agg(
-        F.sum(F.col("n") * F.col("_r.w") * F.col("_c.w")).alias("density"))
+        F.sum(F.col("_unit") * F.col("_r.w") * F.col("_c.w")).alias("density"))
 
 
 # --- label masks -------------------------------------------------------------------------------------------

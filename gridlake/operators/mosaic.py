@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bands import NAN
 from ..schemas import PIXEL, field, floor_div
+from .tiling import offsets_covering
 
+CELL = ["image_id", "cell_col", "cell_row"]
 OPERATORS = ("MAX", "MIN", "REPLACE", "MIX")
 
 
@@ -111,8 +113,6 @@ def with_cells(pixels: DataFrame, width: int, height: int, stride: int) -> DataF
 
 def cells_to_windows(cells: DataFrame, width: int, height: int, stride: int) -> DataFrame:
     """Copies each cell row into the windows that contain the cell."""
-    from .tiling import offsets_covering
-
     col0 = _cell_origin(F.col("cell_col"), width, stride)
     row0 = _cell_origin(F.col("cell_row"), height, stride)
     return cells.withColumn("win_col", F.explode(offsets_covering(col0, width, stride))).withColumn(
@@ -125,7 +125,7 @@ def cell_moments(pixels: DataFrame, bands: list[str], width: int, height: int, s
     aggs = [F.count(F.lit(1)).cast("double").alias("n")]
     for b in bands:
         aggs += [F.avg(b).alias(f"m_{b}"), F.var_pop(b).alias(f"v_{b}")]
-    return with_cells(pixels, width, height, stride).groupBy("image_id", "cell_col", "cell_row").agg(*aggs)
+    return with_cells(pixels, width, height, stride).groupBy(*CELL).agg(*aggs)
 
 
 def window_moments(cells: DataFrame, bands: list[str], width: int, height: int, stride: int) -> DataFrame:
@@ -160,9 +160,9 @@ def windows_per_cell(cells: DataFrame, windows: DataFrame, width: int, height: i
     """One row per cell with the ordered list of its windows and their statistics, at most ⌈width/stride⌉² long."""
     keys = ["image_id", "win_col", "win_row"]
     stats = [c for c in windows.columns if c not in keys]
-    spread = cells_to_windows(cells.select("image_id", "cell_col", "cell_row"), width, height, stride)
+    spread = cells_to_windows(cells.select(*CELL), width, height, stride)
     item = F.struct("win_col", "win_row", *stats)
-    return spread.join(windows, keys).groupBy("image_id", "cell_col", "cell_row").agg(
+    return spread.join(windows, keys).groupBy(*CELL).agg(
         F.array_sort(F.collect_list(item)).alias("windows")
     )
 
@@ -175,4 +175,4 @@ def pixels_in_windows(pixels: DataFrame, bands: list[str], width: int, height: i
     cells = cell_moments(pixels, bands, width, height, stride)
     wins = window_moments(cells, bands, width, height, stride)
     per_cell = windows_per_cell(cells, wins, width, height, stride)
-    return with_cells(pixels, width, height, stride).join(per_cell, ["image_id", "cell_col", "cell_row"])
+    return with_cells(pixels, width, height, stride).join(per_cell, CELL)

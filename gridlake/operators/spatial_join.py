@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geometry import bbox, boxes_meet, intersects
+from ..functions.geometry import bbox, boxes_meet, edges, scale_ring, sides_intersect
 from ..functions.numbering import ordered_number
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -78,9 +78,14 @@ def assign_first_area(polygons: DataFrame, areas: DataFrame, cell: float, salt:
     Rows without a ring take no part, see ``null_geometries``.
     """
     keep = keep or []
-    p = with_bbox(polygons.where(F.col("ring").isNotNull()).select("id", "ring", *keep))
-    r = with_bbox(areas.where(F.col("ring").isNotNull()).select("id", "ring", *keep))
-    hits = join_boxes(p, r, cell, on=keep, salt=salt).where(intersects("l_ring", "r_ring"))
+
+    def prepared(df: DataFrame) -> DataFrame:
+        # edges are taken once per geometry and not once per pair
+        boxed = with_bbox(df.where(F.col("ring").isNotNull()).select("id", "ring", *keep))
+        return boxed.withColumn("sides", edges("ring")).drop("ring")
+
+    pairs = join_boxes(prepared(polygons), prepared(areas), cell, on=keep, salt=salt)
+    hits = pairs.where(sides_intersect("l_sides", "r_sides"))
     return hits.groupBy(F.col("l_id").alias("polygon_id"), *[F.col("l_" + k).alias(k) for k in keep]).agg(
         F.min("r_id").alias("area_id")
     )
@@ -100,8 +105,6 @@ def overlapping_pairs(polygons: DataFrame, cell: float, area: str = "area_id", k
 
     Only these pairs can have a common part; pairs that are apart are never formed.
     """
-    from ..functions.geometry import scale_ring
-
     ring = F.col("ring") if k == 1.0 else scale_ring("ring", k)
     p = with_bbox(polygons.select("id", area, ring.alias("ring"))).drop("ring")
     pairs = join_boxes(p, p, cell, on=[area], salt=salt).where(F.col("l_id") != F.col("r_id"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.bands import ndvi, normalize_patch, threshold, zscore
-from ..operators.mosaic import apply_mosaic, mix_fold, pixels_in_windows, start_value
+from ..functions.bands import clip_negative, ndvi, normalize_patch, threshold, zscore
+from ..operators.mosaic import CELL, apply_mosaic, mosaic, pixels_in_windows, suppress_border
+from ..operators.objects import per_hectare
 from ..operators.scoring import LinearModel, Scorer, ensemble_linear, score, unpatch
 from ..operators.tiling import pad_patch, tile_pixels
 from ..schemas import PIXEL, WINDOW
@@ -25,48 +26,26 @@ def score_mosaic(
     pixels: DataFrame, models: list[LinearModel], width: int, height: int, stride: int, op: str = "MAX",
     border: int = 0, init: float = 0.0, images: DataFrame | None = None,
 ) -> DataFrame:
-    """seg and dens per pixel for linear models, without a row per (pixel, window).
+    """seg and dens per pixel for linear models, pixels shuffled once and not once per window.
 
-    Window statistics arrive as a short list on each pixel; the models run once per list
-    item and the merge is an array function. The pixels are shuffled once, on (image, cell).
-    ``border`` needs the image table for the clipped window sizes.
+    Window statistics arrive as a short list on each pixel. Scores are taken per list item in
+    generated code and merged by an aggregation on (cell, pixel), whose partitioning the join
+    on the cell already has. ``border`` needs the image table for the clipped window sizes.
     """
     bands = _bands_of(models)
     source = pixels.select(*PIXEL, *bands)
+    if border:
+        source = source.join(images.select("image_id", "rows", "cols"), "image_id")
     placed = pixels_in_windows(source, bands, width, height, stride)
+    spread = placed.withColumn("_w", F.explode("windows")).drop("windows")
+    seg, dens = ensemble_linear(models, lambda b: zscore(F.col(b), F.col(f"_w.mean_{b}"), F.col(f"_w.std_{b}")))
+    scored = spread.withColumns({
+        "seg": seg, "dens": dens, "win_col": F.col("_w.win_col"), "win_row": F.col("_w.win_row"),
+    })
     if border:
-        placed = placed.join(images.select("image_id", "rows", "cols"), "image_id")
-
-    def scores(w: Column) -> Column:
-        def band(b: str) -> Column:
-            return zscore(F.col(b), w[f"mean_{b}"], w[f"std_{b}"])
-
-        seg, dens = ensemble_linear(models, band)
-        if border:
-            high, wide = F.least(F.lit(height), F.col("rows") - w["win_row"]), F.least(
-                F.lit(width), F.col("cols") - w["win_col"])
-            r, c = F.col("row") - w["win_row"], F.col("col") - w["win_col"]
-            rim = (r < border) | (c < border) | (r >= high - border) | (c >= wide - border)
-            seg, dens = F.when(rim, F.lit(0.0)).otherwise(seg), F.when(rim, F.lit(0.0)).otherwise(dens)
-        return F.struct(seg.alias("seg"), dens.alias("dens"))
-
-    scored = placed.select(*PIXEL, F.transform("windows", scores).alias("s"))
-
-    def merged(head: str) -> Column:
-        values = F.transform("s", lambda x: x[head])
-        first = F.lit(start_value(op, init))
-        if op == "MAX":
-            return F.greatest(first, F.array_max(values))
-        if op == "MIN":
-            return F.when(F.exists(values, F.isnan), F.lit(float("nan"))).otherwise(
-                F.least(first, F.array_min(values)))
-        if op == "REPLACE":
-            return F.element_at(values, -1)
-        if op == "MIX":
-            return mix_fold(values, init)
-        raise ValueError(f"unknown merge operator {op!r}")
-
-    return scored.select(*PIXEL, merged("seg").alias("seg"), merged("dens").alias("dens"))
+        scored = suppress_border(scored, ["seg", "dens"], border, width, height)
+    merged = mosaic(scored, op, ["seg", "dens"], [*CELL, "row", "col"], init)
+    return merged.select(*PIXEL, "seg", "dens")
 
 
 def score_mosaic_tiled(
@@ -101,9 +80,6 @@ def detect(mosaicked: DataFrame, th: float = 0.5) -> DataFrame:
 
 def image_report(detected: DataFrame, px_area: float) -> DataFrame:
     """Per image: object pixels, density count, pixels, objects per hectare."""
-    from ..functions.bands import clip_negative
-    from ..operators.objects import per_hectare
-
     sums = detected.groupBy("image_id").agg(
         F.sum("mask").alias("mask_px"), F.sum(clip_negative("density")).alias("n_objects"),
         F.count(F.lit(1)).alias("n_px"))

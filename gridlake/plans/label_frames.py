@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.geometry import bbox, centroid, ring_to_pixels
 from ..operators.labels import boundary_gaps, clip_extent, clip_raster, density_fixed, rasterize
 from ..operators.spatial_join import area_image_hits, assign_first_area, number_frames
+from ..session import cut_lineage
 from ..sources.io import frame_counts, read_frames
 
 
@@ -38,13 +39,14 @@ def build_label_frames(
     placed = owned.join(
         frames.select("frame_id", "area_id", "rows", "cols", "x0", "y0", "res"), "area_id")
     x0, y0, r = F.col("x0"), F.col("y0"), F.col("res")
-    local = placed.select(
+    # annotation, gaps, density and counts all start here: written once, joined once
+    local = cut_lineage(placed.select(
         "frame_id", "rows", "cols", F.col("polygon_id").alias("id"),
         ring_to_pixels("ring", x0, y0, r).alias("pixels"),
         F.transform("ring", lambda p: F.struct(
             ((p["x"] - x0) / r).alias("x"), ((y0 - p["y"]) / r).alias("y"))).alias("scaled"),
         centroid("ring").alias("c"), x0.alias("x0"), y0.alias("y0"), r.alias("res"),
-    )
+    ))
     on_grid = local.select(
         "frame_id", "rows", "cols", "id",
         F.transform("pixels", lambda p: F.struct(p["col"].cast("double").alias("x"), p["row"].cast("double").alias("y"))).alias("ring"))
