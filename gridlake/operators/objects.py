@@ -146,25 +146,22 @@ def count_holes(pixels: DataFrame, value: str, keys: list[str] | None = None, bl
 def object_area(components: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per component: ``px_area`` (pixels) and ``contour_area``, the polygon through the centres of its border pixels.
 
-    Pick's theorem for solid objects: area = pixels - border/2 - 1. A border pixel has a
-    4-neighbour outside the component. Single-pixel lines, whose polygon is flat, give 0.
+    That polygon covers a unit square of four neighbouring centres wholly where all four pixels
+    are set, half where three are, and not at all otherwise: single pixels and lines give 0.
+    Pixels of a square are 8-neighbours and so of one component, which makes it one count per
+    square, without a self join. Holes are not filled first.
     """
     keys = keys or ["image_id"]
-    on = components.select(*keys, "row", "col")
-    asks = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))
+    corners = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 0), (0, -1), (-1, 0), (-1, -1))
     ]))
-    # every pixel tells its four neighbours it is there; one sum counts the neighbours, no self join
-    told = on.select(*keys, "row", "col", asks.alias("_s")).select(
-        *keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"),
-        F.lit(1).alias("n"), F.lit(None).cast(components.schema["component"].dataType).alias("component"))
-    own = components.select(*keys, "row", "col", F.lit(0).alias("n"), "component")
-    px = own.unionByName(told).groupBy(*keys, "row", "col").agg(
-        F.sum("n").alias("n"), F.max("component").alias("component")).where(F.col("component").isNotNull())
-    sums = px.groupBy(*keys, "component").agg(
-        F.count(F.lit(1)).alias("px_area"), F.sum((F.col("n") < 4).cast("int")).alias("border"))
-    contour = F.greatest(F.lit(0.0), F.col("px_area") - F.col("border") / 2 - 1)
-    return sums.select(*keys, "component", "px_area", "border", contour.alias("contour_area"))
+    votes = components.select(*keys, "row", "col", "component", corners.alias("_s")).select(
+        *keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), "component")
+    squares = votes.groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("component"))
+    inside = F.when(F.col("n") == 4, F.lit(1.0)).when(F.col("n") == 3, F.lit(0.5)).otherwise(F.lit(0.0))
+    # every pixel votes in four squares, so the votes of a component are four times its pixels
+    return squares.groupBy(*keys, "component").agg(
+        F.floor(F.sum("n") / 4).cast("long").alias("px_area"), F.sum(inside).alias("contour_area"))
 
 
 def small_components(areas: DataFrame, thres: float, measure: str = "contour_area") -> DataFrame:

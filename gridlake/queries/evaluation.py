@@ -22,12 +22,11 @@ _COMPONENTS = [
       SELECT o.image_id, o.row, o.col, s.r0, s.c0 FROM reach s JOIN obs o ON o.image_id = s.image_id
         AND abs(o.row - s.row) <= 1 AND abs(o.col - s.col) <= 1"""),
     ("comp", """SELECT image_id, row, col, min(struct_pack(r := r0, c := c0)) AS root FROM reach GROUP BY image_id, row, col"""),
-    # border pixels have a 4-neighbour outside the object
+    ("square", """
+      SELECT image_id, root, row - a.range AS r, col - b.range AS c, count(*) AS n FROM comp, range(2) a, range(2) b GROUP BY ALL"""),
     ("area", """
-      SELECT image_id, root, count(*) AS px_area, CAST(sum(CASE WHEN n < 4 THEN 1 ELSE 0 END) AS BIGINT) AS border,
-        greatest(0, count(*) - sum(CASE WHEN n < 4 THEN 1 ELSE 0 END) / 2 - 1) AS contour_area
-      FROM (SELECT c.image_id, c.row, c.col, c.root, count(o.row) AS n FROM comp c LEFT JOIN obs o ON o.image_id = c.image_id
-              AND abs(o.row - c.row) + abs(o.col - c.col) = 1 GROUP BY 1, 2, 3, 4) GROUP BY image_id, root"""),
+      SELECT image_id, root, CAST(sum(n) // 4 AS BIGINT) AS px_area,
+        sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS contour_area FROM square GROUP BY image_id, root"""),
 ]
 
 
@@ -78,11 +77,11 @@ def contour_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_ctes(["obj"], """
-    SELECT image_id, root.r AS root_row, root.c AS root_col, px_area, border, contour_area FROM area""", True, _COMPONENTS))
+    SELECT image_id, root.r AS root_row, root.c AS root_col, px_area, contour_area FROM area""", True, _COMPONENTS))
 def object_area(spark: SparkSession, sf: str) -> DataFrame:
     a = ob.object_area(ob.label_components(_on(spark, sf), block=BLOCK))
     return a.select("image_id", F.col("component.row").alias("root_row"), F.col("component.col").alias("root_col"),
-                    "px_area", "border", "contour_area")
+                    "px_area", "contour_area")
 
 
 @query(with_ctes(["obj"], """
@@ -316,9 +315,9 @@ _CLEAN = [
       SELECT o.model_id, o.image_id, o.row, o.col, s.r0, s.c0 FROM reach s JOIN obs o ON o.image_id = s.image_id AND o.model_id = s.model_id
         AND abs(o.row - s.row) <= 1 AND abs(o.col - s.col) <= 1"""),
     ("comp", "SELECT model_id, image_id, row, col, min(struct_pack(r := r0, c := c0)) AS root FROM reach GROUP BY ALL"),
-    ("area", """SELECT model_id, image_id, root, greatest(0, count(*) - sum(CASE WHEN n < 4 THEN 1 ELSE 0 END) / 2 - 1) AS contour_area
-      FROM (SELECT c.model_id, c.image_id, c.row, c.col, c.root, count(o.row) AS n FROM comp c LEFT JOIN obs o ON o.image_id = c.image_id
-        AND o.model_id = c.model_id AND abs(o.row - c.row) + abs(o.col - c.col) = 1 GROUP BY 1, 2, 3, 4, 5) GROUP BY ALL"""),
+    ("area", """SELECT model_id, image_id, root, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS contour_area FROM (
+      SELECT model_id, image_id, root, row - a.range AS r, col - b.range AS c, count(*) AS n FROM comp, range(2) a, range(2) b GROUP BY ALL)
+      GROUP BY ALL"""),
     ("keep", "SELECT c.model_id, c.image_id, c.row, c.col FROM comp c JOIN area a USING (model_id, image_id, root) WHERE contour_area >= 2"),
     ("staged", """
       SELECT 'raw' AS stage, * FROM mm

@@ -31,7 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if named:
-        if current is None or not current.startswith(named):
+        if current is None or named.rstrip("/") not in current:
             context.setCheckpointDir(named)
         return named
     if current:
