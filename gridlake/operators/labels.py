@@ -311,12 +311,10 @@ def smooth_labels(
     peak = line[(size - 1) // 2] ** dims
     neighbours = 1 - peak
     total = 1 + neighbours - peak  # kernel sum, before the common factor that cancels
-    blurred = convolve_separable(df.select(*keys, "row", "col", "rows", "cols", value), line, [value], keys)
-    own = df.select(*keys, "row", "col", F.col(value).alias("_own"))
-    joined = blurred.unionByName(own, allowMissingColumns=True).groupBy(*keys, "row", "col").agg(
-        F.sum(value).alias(value), F.sum("_own").alias("_own"))
-    return joined.withColumn(
-        value, (F.col(value) + F.lit(neighbours - peak) * F.col("_own")) / F.lit(total)).drop("_own")
+    both = df.select(*keys, "row", "col", "rows", "cols", value, F.col(value).alias("_own"))
+    out = convolve_separable(both, line, [value], keys, carry=["_own"])
+    return out.select(*keys, "row", "col", (
+        (F.col(value) + F.lit(neighbours - peak) * F.col("_own")) / F.lit(total)).alias(value))
 
 
 def smooth_labels_2d(df: DataFrame, value: str, size: int = 15, sigma: float = 5.0, keys: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import floor_div
+from ..session import spread
+
+BLOCK = 64  # pixels; side of the blocks in which neighbourhoods are summed
 
 
 def gaussian_weights(size: int, sigma: float) -> list[float]:
@@ -28,35 +31,53 @@ def _replicate(axis: str, extent: str, radius: int) -> Column:
     return F.sequence(lo, hi)
 
 
-def convolve_axis(
-    df: DataFrame, axis: str, weights: list[float], values: list[str], keys: list[str], edge: str = "replicate",
-    extent: str | None = None,
-) -> DataFrame:
-    """Correlation along ``row`` or ``col``: out[p] = Σ w[d] · in[p + d], one scatter and one sum.
+def with_halo(df: DataFrame, radius: int, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Pixels by block (``_br``, ``_bc``), each block with a rim of its neighbours' pixels.
 
-    ``df`` carries ``rows``/``cols``. The sums combine before the shuffle. ``edge="zero"``
-    drops what lies outside.
+    One shuffle of little more than the raster; what follows can group by (block, pixel) in the
+    same stage, however many taps a kernel has. A block holds a bounded piece of any image.
     """
-    extent = extent or {"row": "rows", "col": "cols"}[axis]
+    def blocks(axis: str, extent: str) -> Column:
+        first = F.greatest(floor_div(F.col(axis) - F.lit(radius), block), F.lit(0))
+        last = F.least(floor_div(F.col(axis) + F.lit(radius), block), floor_div(F.col(extent) - 1, block))
+        return F.explode(F.sequence(first, last))
+
+    haloed = df.withColumn("_br", blocks("row", "rows")).withColumn("_bc", blocks("col", "cols"))
+    return spread(haloed, *keys, "_br", "_bc")
+
+
+def _in_block(axis: str, factor: int = 1, block: int = BLOCK) -> Column:
+    return floor_div(F.col(axis), block * factor) == F.col({"row": "_br", "col": "_bc"}[axis])
+
+
+def _pass(
+    df: DataFrame, axis: str, weights: list[float], values: list[str], keys: list[str], edge: str, carry: list[str]
+) -> DataFrame:
+    """Correlation along one axis inside the blocks: out[p] = Σ w[d] · in[p + d]."""
+    extent = {"row": "rows", "col": "cols"}[axis]
     radius = (len(weights) - 1) // 2
-    other = "col" if axis == "row" else "row"
-    spread = df
-    if edge == "replicate":
-        spread = df.withColumn(axis, F.explode(_replicate(axis, extent, radius)))
+    padded = df.withColumn(axis, F.explode(_replicate(axis, extent, radius))) if edge == "replicate" else df
     kernel = _literal([(i - radius, w) for i, w in enumerate(weights)])
-    spread = spread.withColumn("_k", F.explode(kernel)).withColumn(axis, F.col(axis) - F.col("_k.d"))
-    spread = spread.where(F.col(axis).between(0, F.col(extent) - 1))
-    group = [*keys, "row", "col", "rows", "cols"]
-    assert other in group
-    return spread.groupBy(*group).agg(*[F.sum(F.col(v) * F.col("_k.w")).alias(v) for v in values])
+    taps = padded.withColumn("_k", F.explode(kernel)).withColumn(axis, F.col(axis) - F.col("_k.d"))
+    taps = taps.where(F.col(axis).between(0, F.col(extent) - 1) & _in_block(axis))
+    return taps.groupBy(*keys, "_br", "_bc", "row", "col", "rows", "cols").agg(
+        *[F.sum(F.col(v) * F.col("_k.w")).alias(v) for v in values],
+        *[F.max(F.when(F.col("_k.d") == 0, F.col(c))).alias(c) for c in carry])
 
 
 def convolve_separable(
-    df: DataFrame, weights: list[float], values: list[str], keys: list[str] | None = None, edge: str = "replicate"
+    df: DataFrame, weights: list[float], values: list[str], keys: list[str] | None = None, edge: str = "replicate",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Outer-product kernel as two 1-D passes: 2k products per pixel and not k²."""
-    keys = keys or ["image_id"]
-    return convolve_axis(convolve_axis(df, "row", weights, values, keys, edge), "col", weights, values, keys, edge)
+    """Outer-product kernel as two 1-D passes in one stage: 2k products per pixel and not k².
+
+    ``df`` carries ``rows``/``cols``. ``edge`` repeats the border (``replicate``) or takes 0
+    beyond it (``zero``). ``carry`` columns come along unchanged.
+    """
+    keys, carry = keys or ["image_id"], carry or []
+    blocks = with_halo(df.select(*keys, "row", "col", "rows", "cols", *values, *carry), (len(weights) - 1) // 2, keys)
+    down = _pass(blocks, "row", weights, values, keys, edge, carry)
+    return _pass(down, "col", weights, values, keys, edge, carry).drop("_br", "_bc")
 
 
 def convolve(
@@ -65,45 +86,45 @@ def convolve(
     """General 2-D correlation with an odd kernel."""
     keys = keys or ["image_id"]
     rr, rc = (len(kernel) - 1) // 2, (len(kernel[0]) - 1) // 2
-    spread = df
+    blocks = with_halo(df.select(*keys, "row", "col", "rows", "cols", *values), max(rr, rc), keys)
     if edge == "replicate":
-        spread = spread.withColumn("row", F.explode(_replicate("row", "rows", rr)))
-        spread = spread.withColumn("col", F.explode(_replicate("col", "cols", rc)))
+        blocks = blocks.withColumn("row", F.explode(_replicate("row", "rows", rr)))
+        blocks = blocks.withColumn("col", F.explode(_replicate("col", "cols", rc)))
     cells = F.array(*[
         F.struct(F.lit(i - rr).alias("dr"), F.lit(j - rc).alias("dc"), F.lit(w).alias("w"))
         for i, line in enumerate(kernel) for j, w in enumerate(line) if w != 0
     ])
-    spread = spread.withColumn("_k", F.explode(cells)).withColumns({
+    taps = blocks.withColumn("_k", F.explode(cells)).withColumns({
         "row": F.col("row") - F.col("_k.dr"), "col": F.col("col") - F.col("_k.dc"),
     })
     inside = F.col("row").between(0, F.col("rows") - 1) & F.col("col").between(0, F.col("cols") - 1)
-    return spread.where(inside).groupBy(*keys, "row", "col", "rows", "cols").agg(
-        *[F.sum(F.col(v) * F.col("_k.w")).alias(v) for v in values]
-    )
+    sums = taps.where(inside & _in_block("row") & _in_block("col")).groupBy(
+        *keys, "_br", "_bc", "row", "col", "rows", "cols"
+    ).agg(*[F.sum(F.col(v) * F.col("_k.w")).alias(v) for v in values])
+    return sums.drop("_br", "_bc")
 
 
 def _upsample_axis(df: DataFrame, axis: str, factor: int, values: list[str], keys: list[str]) -> DataFrame:
     extent = {"row": "rows", "col": "cols"}[axis]
-    spread = df.withColumn("_at", F.explode(_replicate(axis, extent, 1)))
+    taps = df.withColumn("_at", F.explode(_replicate(axis, extent, 1)))
     # output p samples the input at (p + 0.5) / factor - 0.5; an input reaches outputs less than one input away
     first = F.col("_at") * F.lit(factor) - F.lit(factor)
-    spread = spread.withColumn("_out", F.explode(F.sequence(first, first + F.lit(3 * factor - 1))))
+    taps = taps.withColumn("_out", F.explode(F.sequence(first, first + F.lit(3 * factor - 1))))
     source = (F.col("_out") + F.lit(0.5)) / F.lit(float(factor)) - F.lit(0.5)
-    weight = F.lit(1.0) - F.abs(source - F.col("_at"))
-    spread = spread.withColumn("_w", weight).where(
-        (F.col("_w") > 0) & F.col("_out").between(0, F.col(extent) * F.lit(factor) - 1)
-    )
-    spread = spread.withColumn(axis, F.col("_out").cast("int"))
-    sums = spread.groupBy(*keys, "row", "col", "rows", "cols").agg(
-        *[F.sum(F.col(v) * F.col("_w")).alias(v) for v in values]
-    )
-    return sums.withColumn(extent, F.col(extent) * F.lit(factor))
+    taps = taps.withColumn("_w", F.lit(1.0) - F.abs(source - F.col("_at"))).where(
+        (F.col("_w") > 0) & F.col("_out").between(0, F.col(extent) * F.lit(factor) - 1))
+    taps = taps.withColumn(axis, F.col("_out").cast("int")).where(_in_block(axis, factor))
+    return taps.groupBy(*keys, "_br", "_bc", "row", "col", "rows", "cols").agg(
+        *[F.sum(F.col(v) * F.col("_w")).alias(v) for v in values])
 
 
 def resample_bilinear(df: DataFrame, factor: int, values: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Up-samples by an integer factor, pixel centres aligned, edges clamped; no join."""
+    """Up-samples by an integer factor, pixel centres aligned, edges clamped; one shuffle, no join."""
     keys = keys or ["image_id"]
-    return _upsample_axis(_upsample_axis(df, "row", factor, values, keys), "col", factor, values, keys)
+    blocks = with_halo(df.select(*keys, "row", "col", "rows", "cols", *values), 1, keys)
+    fine = _upsample_axis(_upsample_axis(blocks, "row", factor, values, keys), "col", factor, values, keys)
+    return fine.drop("_br", "_bc").withColumns({
+        "rows": F.col("rows") * F.lit(factor), "cols": F.col("cols") * F.lit(factor)})
 
 
 def bilinear_gather(targets: DataFrame, pixels: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -138,12 +159,11 @@ def bilinear_gather(targets: DataFrame, pixels: DataFrame, keys: list[str], valu
 def zoom_mask(df: DataFrame, factor: int, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """Order-1 zoom with aligned corners: output p samples the input at p · (n-1) / (n·factor-1)."""
     keys = keys or ["image_id"]
-    # an input sits in the middle of the outputs it is the floor neighbour of, so targets come from the pixels themselves
-    grid = df.select(*keys, "rows", "cols", *[
-        F.explode(F.sequence(F.col(a) * F.lit(factor), F.col(a) * F.lit(factor) + F.lit(factor - 1))).alias(a)
-        for a in ("row",)
-    ], F.col("col").alias("_c"))
-    grid = grid.withColumn("col", F.explode(F.sequence(F.col("_c") * F.lit(factor), F.col("_c") * F.lit(factor) + F.lit(factor - 1)))).drop("_c")
+    # each input pixel brings forth its factor² outputs
+    def fine(at: str) -> Column:
+        return F.explode(F.sequence(F.col(at) * F.lit(factor), F.col(at) * F.lit(factor) + F.lit(factor - 1)))
+
+    grid = df.select(*keys, "row", "col", "rows", "cols").withColumn("row", fine("row")).withColumn("col", fine("col"))
 
     def source(axis: str, extent: str) -> Column:
         return F.col(axis) * F.try_divide(F.col(extent) - 1, F.col(extent) * F.lit(factor) - 1)

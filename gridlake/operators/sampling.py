@@ -133,9 +133,7 @@ def blur(df: DataFrame, size: int, seed: int, keys: list[str], bands: list[str],
     """Gaussian blur of chosen patches with the given sigma, edges repeated; inputs only."""
     chosen = _chance(p, f"{seed}blur", keys)
     radius = max(1, math.ceil(4 * sigma))
-    rest = [c for c in df.columns if c not in bands]
-    picked = df.where(chosen)
-    shaped = picked.select(*keys, "row", "col", *bands).withColumns({"rows": F.lit(size), "cols": F.lit(size)})
-    soft = convolve_separable(shaped, gaussian_weights(2 * radius + 1, sigma), bands, keys).drop("rows", "cols")
-    blurred = picked.select(*rest).join(soft, [*keys, "row", "col"]).select(*df.columns)
-    return df.where(~chosen).unionByName(blurred)
+    rest = [c for c in df.columns if c not in [*keys, "row", "col", *bands]]
+    shaped = df.where(chosen).withColumns({"rows": F.lit(size), "cols": F.lit(size)})
+    soft = convolve_separable(shaped, gaussian_weights(2 * radius + 1, sigma), bands, keys, carry=rest)
+    return df.where(~chosen).unionByName(soft.select(*df.columns))

@@ -128,22 +128,18 @@ def score_each_model(df: DataFrame, models: list[LinearModel]) -> DataFrame:
     return df.select("*", F.explode(results).alias("_m")).select(*df.columns, "_m.model_id", "_m.seg", "_m.dens")
 
 
-def route_bands(registry: DataFrame, df: DataFrame, bands: list[str]) -> DataFrame:
+def route_bands(models: dict[str, list[str]], df: DataFrame, bands: list[str]) -> DataFrame:
     """Per model the array ``x`` of exactly its bands, in its order.
 
-    ``registry`` is (name, bands ARRAY<STRING>). It is configuration of a few rows, checked to be
-    at most 1000, and becomes part of the plan, so the pixel side is not shuffled for it.
+    ``models`` is configuration (name → bands) and becomes part of the plan, so the pixels are
+    neither joined nor shuffled for it.
     """
-    rows = registry.select("name", "bands").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 models: join the registry instead")
-    wanted = {r["name"]: list(r["bands"]) for r in rows}
-    unknown = {b for bs in wanted.values() for b in bs} - set(bands)
+    unknown = {b for bs in models.values() for b in bs} - set(bands)
     if unknown:
         raise ValueError(f"models ask for missing bands {sorted(unknown)}")
     routed = F.array(*[
         F.struct(F.lit(n).alias("model_id"), F.array(*[F.col(b).cast("double") for b in bs]).alias("x"))
-        for n, bs in sorted(wanted.items())
+        for n, bs in sorted(models.items())
     ])
     others = [c for c in df.columns if c not in bands]
     return df.select(*others, F.explode(routed).alias("_m")).select(*others, "_m.model_id", "_m.x")

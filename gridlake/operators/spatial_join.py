@@ -95,11 +95,6 @@ def null_geometries(polygons: DataFrame) -> DataFrame:
     return polygons.where(F.col("ring").isNull()).select("id")
 
 
-def assignment_nested(assignment: DataFrame) -> DataFrame:
-    """The per-area nested form, for areas small enough to be one row each."""
-    return assignment.groupBy("area_id").agg(F.sort_array(F.collect_list("polygon_id")).alias("polygon_ids"))
-
-
 def overlapping_pairs(polygons: DataFrame, cell: float, area: str = "area_id", k: float = 1.0, salt: int = 1) -> DataFrame:
     """Ordered pairs i ≠ j inside one area whose (scaled) boxes meet.
 

@@ -65,10 +65,18 @@ def score_mosaic_model(
     height: int, stride: int, op: str = "MAX", border: int = 0, normalize: bool = True, batch_rows: int | None = None,
     init: float = 0.0,
 ) -> DataFrame:
-    """seg and dens per pixel for any Python model: padded patches go to it in Arrow batches."""
-    tiles = tile_pixels(pixels.select(*PIXEL, *bands), width, height, stride)
+    """seg and dens per pixel for any Python model: padded patches go to it in Arrow batches.
+
+    Window statistics come from the cells, as in ``score_mosaic``, so the copies of a pixel are
+    made once, on the way into the patches.
+    """
     if normalize:
-        tiles = normalize_patch(tiles, WINDOW, bands)
+        placed = pixels_in_windows(pixels.select(*PIXEL, *bands), bands, width, height, stride)
+        tiles = placed.withColumn("_w", F.explode("windows")).select(
+            "image_id", "row", "col", "_w.win_col", "_w.win_row",
+            *[zscore(F.col(b), F.col(f"_w.mean_{b}"), F.col(f"_w.std_{b}")).alias(b) for b in bands])
+    else:
+        tiles = tile_pixels(pixels.select(*PIXEL, *bands), width, height, stride)
     scored = score(pad_patch(tiles, bands, width, height), load_scorer, bands, width, height, batch_rows=batch_rows)
     return apply_mosaic(unpatch(scored, width, images=images), op, ["seg", "dens"], width, height, border, images, init=init)
 

@@ -65,8 +65,7 @@ def select_models(spark: SparkSession, sf: str) -> DataFrame:
 def check_bands(spark: SparkSession, sf: str) -> DataFrame:
     """Files of an image that a chosen model needs and that are not there."""
     have = fx.catalog(spark, sf).select(F.col("frame_key").alias("image_id"), "band")
-    registry = spark.createDataFrame([("a", ["click", "error"]), ("b", ["error", "view", "ndvi"])], "name string, bands array<string>")
-    return ct.check_bands(have, registry, always=("click",))
+    return ct.check_bands(have, {"a": ["click", "error"], "b": ["error", "view", "ndvi"]}, always=("click",))
 
 
 @query(with_ctes(["cat"], """

@@ -117,8 +117,8 @@ def ensemble_mosaic(spark: SparkSession, sf: str) -> DataFrame:
     SELECT 'a' AS model_id, image_id, row, col, 3 AS n, red + 2 * green + 3 * blue AS x FROM px
     UNION ALL SELECT 'b', image_id, row, col, 2, infrared + 2 * red FROM px"""))
 def route_bands(spark: SparkSession, sf: str) -> DataFrame:
-    registry = spark.createDataFrame([("a", ["red", "green", "blue"]), ("b", ["infrared", "red"])], "name string, bands array<string>")
-    out = sc.route_bands(registry, fx.pixels(spark, sf), ["red", "green", "blue", "infrared"])
+    models = {"a": ["red", "green", "blue"], "b": ["infrared", "red"]}
+    out = sc.route_bands(models, fx.pixels(spark, sf), ["red", "green", "blue", "infrared"])
     weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return out.select("model_id", "image_id", "row", "col", F.size("x").alias("n"), weighted.alias("x"))
 

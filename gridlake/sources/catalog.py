@@ -76,23 +76,20 @@ def unknown_models(registry: DataFrame, in_use: list[str]) -> DataFrame:
 
 
 def needed_bands(
-    registry: DataFrame, always: tuple[str, ...] = ("red", "green", "blue"), derived: tuple[str, ...] = ("ndvi",)
+    models: dict[str, list[str]], always: tuple[str, ...] = ("red", "green", "blue"), derived: tuple[str, ...] = ("ndvi",)
 ) -> list[str]:
-    """Bands the chosen models read from files. The registry is configuration, checked to be small."""
-    rows = registry.select("bands").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 models in use")
-    return sorted(({b for r in rows for b in r["bands"]} | set(always)) - set(derived))
+    """Bands the chosen models (name → bands) read from files."""
+    return sorted(({b for bands in models.values() for b in bands} | set(always)) - set(derived))
 
 
 def check_bands(
-    image_bands: DataFrame, registry: DataFrame, always: tuple[str, ...] = ("red", "green", "blue")
+    image_bands: DataFrame, models: dict[str, list[str]], always: tuple[str, ...] = ("red", "green", "blue")
 ) -> DataFrame:
     """(image_id, band) of every needed band an image lacks. ``image_bands`` is (image_id, band).
 
     One aggregation: each image keeps a set of at most as many bands as are needed.
     """
-    needed = F.array(*[F.lit(b) for b in needed_bands(registry, always)])
+    needed = F.array(*[F.lit(b) for b in needed_bands(models, always)])
     known = F.when(F.array_contains(needed, F.col("band")), F.col("band"))
     have = image_bands.groupBy("image_id").agg(F.collect_set(known).alias("have"))
     return have.select("image_id", F.explode(F.array_except(needed, F.col("have"))).alias("band"))

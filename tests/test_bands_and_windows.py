@@ -101,6 +101,18 @@ def test_whole_inference_against_arrays(spark, raster):
     assert np.allclose(got, want)
 
 
+def test_scores_need_one_shuffle_of_the_pixels(spark, raster):
+    """Join and merge share the partitioning on the cell: no exchange on single pixels."""
+    px = raster([[float(r * c % 7) for c in range(16)] for r in range(16)], "red")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = inf.score_mosaic(px, [LinearModel("m", ("red",), (1.0,))], 8, 8, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("row#" in line.split("hashpartitioning")[1].replace("cell_row#", "").replace("win_row#", "") for line in exchanges)
+
+
 def windows(spark, rows):
     return spark.createDataFrame(
         [(0, c, 0, 0, 0, float(v)) for c, v in rows], "image_id long, win_col int, win_row int, row int, col int, v double")
@@ -178,4 +190,4 @@ def test_literal_window_is_pushed_to_the_scan(spark, raster, tmp_path):
     box = tl.read_box(spark.read.parquet(str(tmp_path / "b")), ["v"], 4, 2, 5, 3, 2)
     assert sorted(r["v"] for r in box.collect()) == [21.0, 22.0, 29.0, 30.0, 37.0, 38.0]
     plan = box._jdf.queryExecution().executedPlan().toString()
-    assert "(block_col,1)" in plan.split("PushedFilters")[1]
+    assert "GreaterThanOrEqual(block_row,0)" in plan.split("PushedFilters")[1]

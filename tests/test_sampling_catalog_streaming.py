@@ -97,7 +97,7 @@ def test_registry_checks(spark):
     assert [r["name"] for r in ct.unknown_models(reg, ["rgb", "other"]).collect()] == ["other"]
     assert ct.select_models(reg, ["rgb", "nir"], "2$").count() == 1
     have = spark.createDataFrame([(1, b) for b in ("red", "green", "blue", "infrared")] + [(2, "red"), (2, "green"), (2, "blue")], "image_id int, band string")
-    assert [tuple(r) for r in ct.check_bands(have, reg).collect()] == [(2, "infrared")]
+    assert [tuple(r) for r in ct.check_bands(have, {"rgb": ["red"], "nir": ["red", "infrared", "ndvi"]}).collect()] == [(2, "infrared")]
     assert {r["image_id"]: r["ndvi"] for r in ct.can_have_ndvi(have).collect()} == {1: True, 2: False}
 
 

@@ -212,3 +212,25 @@ def test_upsampling_by_definition(raster, dense):
 def test_boundary_weight_and_binarize(spark):
     df = spark.createDataFrame([(0.5,), (0.49,)], "v double").select(lb.boundary_weight("v", 3).alias("w"), lb.binarize("v").alias("b"))
     assert [tuple(r) for r in df.collect()] == [(3.0, 1), (1.0, 0)]
+
+
+def test_neighbourhoods_cross_block_borders(raster, dense):
+    img = np.random.default_rng(2).random((150, 90))
+    line = rs.gaussian_weights(7, 1.5)
+    got = np.array(dense(rs.convolve_separable(raster(img.tolist()), line, ["v"]), "v", 150, 90))
+    pad = np.pad(img, 3, mode="edge")
+    down = sum(w * pad[i:i + 150, :] for i, w in enumerate(line))
+    assert np.allclose(got, sum(w * down[:, i:i + 90] for i, w in enumerate(line)))
+    up = np.array(dense(rs.resample_bilinear(raster(img.tolist()), 3, ["v"]), "v", 450, 270))
+    at = lambda n: np.clip((np.arange(3 * n) + 0.5) / 3 - 0.5, 0, n - 1)
+    r, c = at(150), at(90)
+    r0, c0 = np.minimum(r.astype(int), 148), np.minimum(c.astype(int), 88)
+    fr, fc = (r - r0)[:, None], (c - c0)[None, :]
+    want = ((1 - fr) * (1 - fc) * img[np.ix_(r0, c0)] + (1 - fr) * fc * img[np.ix_(r0, c0 + 1)]
+            + fr * (1 - fc) * img[np.ix_(r0 + 1, c0)] + fr * fc * img[np.ix_(r0 + 1, c0 + 1)])
+    assert np.allclose(up, want)
+
+
+def test_a_convolution_is_one_shuffle(raster):
+    plan = rs.convolve_separable(raster([[1.0, 2.0], [3.0, 4.0]]), [0.2, 0.6, 0.2], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
