@@ -207,9 +207,8 @@ def knn_distances(points: DataFrame, keys: list[str], k: int = 3, cell: int = 16
     neighbours lie nearer than the 3×3 cells around it reach; the rest go on with cells twice
     as wide until the cells span the frame. Columns: keys, row, col, n, total, rows, cols, dist.
     """
-    placed = points.groupBy(*keys, "row", "col", "rows", "cols").agg(F.count(F.lit(1)).alias("n"))
-    totals = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    placed = cut_lineage(placed.join(totals, keys))
+    placed = cut_lineage(points.groupBy(*keys, "row", "col", "rows", "cols").agg(F.count(F.lit(1)).alias("n")))
+    placed = placed.join(placed.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
     span = placed.agg(F.max("rows"), F.max("cols")).first()
     if span[0] is None:
         return placed.withColumn("dist", F.array().cast("array<double>"))

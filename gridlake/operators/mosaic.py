@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bands import NAN
-from ..schemas import PIXEL, field, floor_div
+from ..schemas import PIXEL, WINDOW, field, floor_div
 from .tiling import offsets_covering
 
 CELL = ["image_id", "cell_col", "cell_row"]
@@ -135,7 +135,7 @@ def window_moments(cells: DataFrame, bands: list[str], width: int, height: int,
     uses deviations from the window mean, not differences of large sums.
     """
     part = F.struct("n", *[F.col(f"m_{b}") for b in bands], *[F.col(f"v_{b}") for b in bands])
-    wins = cells_to_windows(cells, width, height, stride).groupBy("image_id", "win_col", "win_row").agg(
+    wins = cells_to_windows(cells, width, height, stride).groupBy(*WINDOW).agg(
         F.collect_list(part).alias("parts"), F.sum("n").alias("n")
     )
 
@@ -156,15 +156,19 @@ def window_moments(cells: DataFrame, bands: list[str], width: int, height: int,
     )
 
 
-def windows_per_cell(cells: DataFrame, windows: DataFrame, width: int, height: int, stride: int) -> DataFrame:
-    """One row per cell with the ordered list of its windows and their statistics, at most ⌈width/stride⌉² long."""
-    keys = ["image_id", "win_col", "win_row"]
-    stats = [c for c in windows.columns if c not in keys]
-    spread = cells_to_windows(cells.select(*CELL), width, height, stride)
-    item = F.struct("win_col", "win_row", *stats)
-    return spread.join(windows, keys).groupBy(*CELL).agg(
-        F.array_sort(F.collect_list(item)).alias("windows")
-    )
+def windows_per_cell(windows: DataFrame, width: int, height: int, stride: int) -> DataFrame:
+    """One row per cell with the ordered list of its windows and their statistics, at most ⌈width/stride⌉² long.
+
+    The cells of a window follow from its offset. Some lie beyond the image; no pixel asks for them.
+    """
+    def cells(offset: str, size: int) -> Column:
+        at = F.col(offset)
+        return F.explode(F.sequence(cell_index(at, size, stride), cell_index(at + F.lit(size - 1), size, stride)))
+
+    stats = [c for c in windows.columns if c not in WINDOW]
+    laid = windows.withColumn("cell_col", cells("win_col", width)).withColumn("cell_row", cells("win_row", height))
+    return laid.groupBy(*CELL).agg(
+        F.array_sort(F.collect_list(F.struct("win_col", "win_row", *stats))).alias("windows"))
 
 
 def pixels_in_windows(pixels: DataFrame, bands: list[str], width: int, height: int, stride: int) -> DataFrame:
@@ -174,5 +178,5 @@ def pixels_in_windows(pixels: DataFrame, bands: list[str], width: int, height: i
     """
     cells = cell_moments(pixels, bands, width, height, stride)
     wins = window_moments(cells, bands, width, height, stride)
-    per_cell = windows_per_cell(cells, wins, width, height, stride)
+    per_cell = windows_per_cell(wins, width, height, stride)
     return with_cells(pixels, width, height, stride).join(per_cell, CELL)
