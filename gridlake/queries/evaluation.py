@@ -26,7 +26,7 @@ _COMPONENTS = [
       SELECT image_id, root, row - a.range AS r, col - b.range AS c, count(*) AS n FROM comp, range(2) a, range(2) b GROUP BY ALL"""),
     ("area", """
       SELECT image_id, root, CAST(sum(n) // 4 AS BIGINT) AS px_area,
-        sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS contour_area FROM square GROUP BY image_id, root"""),
+        sum(CASE n WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS contour_area FROM square GROUP BY image_id, root"""),
 ]
 
 
@@ -68,7 +68,7 @@ def count_holes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_ctes(["obj"], """
-    SELECT image_id, sum(n) AS n_contours FROM (
+    SELECT image_id, CAST(sum(n) AS BIGINT) AS n_contours FROM (
       SELECT image_id, count(DISTINCT root) AS n FROM comp GROUP BY image_id
       UNION ALL SELECT image_id, count(DISTINCT root) FROM hroot GROUP BY image_id) GROUP BY image_id""", True, _COMPONENTS + _HOLES))
 def contour_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,8 +127,8 @@ def frame_object_count(spark: SparkSession, sf: str) -> DataFrame:
 # --- segmentation metrics ------------------------------------------------------------------------------------------
 
 _CELLS = """
-    sum(round_even(truth * pred, 0)) AS tp, sum(round_even((1 - truth) * pred, 0)) AS fp,
-    sum(round_even((1 - truth) * (1 - pred), 0)) AS tn, sum(round_even(truth * (1 - pred), 0)) AS fn"""
+    sum(round_even(truth * pred, 0))::DOUBLE AS tp, sum(round_even((1 - truth) * pred, 0))::DOUBLE AS fp,
+    sum(round_even((1 - truth) * (1 - pred), 0))::DOUBLE AS tn, sum(round_even(truth * (1 - pred), 0))::DOUBLE AS fn"""
 
 _METRICS = ("met", f"""
     SELECT image_id, accuracy, loss, dice, CASE WHEN tp + fn = 0 THEN 'NaN'::DOUBLE ELSE tp / (tp + fn) END AS sensitivity,
@@ -315,7 +315,7 @@ _CLEAN = [
       SELECT o.model_id, o.image_id, o.row, o.col, s.r0, s.c0 FROM reach s JOIN obs o ON o.image_id = s.image_id AND o.model_id = s.model_id
         AND abs(o.row - s.row) <= 1 AND abs(o.col - s.col) <= 1"""),
     ("comp", "SELECT model_id, image_id, row, col, min(struct_pack(r := r0, c := c0)) AS root FROM reach GROUP BY ALL"),
-    ("area", """SELECT model_id, image_id, root, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END) AS contour_area FROM (
+    ("area", """SELECT model_id, image_id, root, sum(CASE n WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS contour_area FROM (
       SELECT model_id, image_id, root, row - a.range AS r, col - b.range AS c, count(*) AS n FROM comp, range(2) a, range(2) b GROUP BY ALL)
       GROUP BY ALL"""),
     ("keep", "SELECT c.model_id, c.image_id, c.row, c.col FROM comp c JOIN area a USING (model_id, image_id, root) WHERE contour_area >= 2"),

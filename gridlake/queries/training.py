@@ -45,7 +45,7 @@ def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
     return sp.train_val_split(_orders(spark, sf))
 
 
-@query("""SELECT origin, copy, count(*) AS n, sum(k) AS k FROM (
+@query("""SELECT origin, copy, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM (
     SELECT 'local' AS origin, CAST(t.range AS INTEGER) AS copy, s_suppkey AS k FROM supplier, range(4) t
     UNION ALL SELECT 'base', NULL, c_custkey FROM customer) GROUP BY ALL""")
 def oversample_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +168,7 @@ def draw_training_patches(spark: SparkSession, sf: str) -> DataFrame:
     SELECT step, slot, row, col, CASE WHEN {_hash_sql('21-4-n', 'step', 'slot')} / 4294967296.0::DOUBLE <= 0.4::DOUBLE
         THEN {r6('(red - avg(red) OVER w) / (stddev_pop(red) OVER w + 1e-8)')} ELSE red END AS red, ann, weight, density
     FROM (SELECT step, slot, px.row - patch_row AS row, px.col - patch_col AS col, red, CASE WHEN red >= 144 THEN 1 ELSE 0 END AS ann,
-            CASE WHEN blue >= 150 THEN 5.0 ELSE 1.0 END AS weight, green / 4096 AS density
+            CASE WHEN blue >= 150 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, green / 4096 AS density
           FROM dr JOIN px ON px.image_id = frame_id AND px.row >= patch_row AND px.row < patch_row + {P}
             AND px.col >= patch_col AND px.col < patch_col + {P})
     WINDOW w AS (PARTITION BY step, slot)""", extra=[_DRAWN]))

@@ -310,7 +310,7 @@ def smooth_labels_3d(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_ctes(["px"], """
-    SELECT image_id, row, col, CASE WHEN blue / 255 >= 0.5 THEN 5.0 ELSE 1.0 END AS weight,
+    SELECT image_id, row, col, CASE WHEN blue / 255 >= 0.5 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
       CASE WHEN red / 255 >= 0.5 THEN 1 ELSE 0 END AS ann FROM px"""))
 def boundary_weight(spark: SparkSession, sf: str) -> DataFrame:
     px = fx.pixels(spark, sf)
@@ -360,7 +360,7 @@ def stack_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_ctes(["hits", "assigned", "crown", "px"], f"""
-    SELECT f.frame_id, count(*) AS n_px, sum(p.red) AS red, sum(coalesce(a.value, 0)) AS annotation, {r6('sum(coalesce(d.density, 0))')} AS density
+    SELECT f.frame_id, count(*) AS n_px, sum(p.red) AS red, CAST(sum(coalesce(a.value, 0)) AS BIGINT) AS annotation, {r6('sum(coalesce(d.density, 0))')} AS density
     FROM fr f JOIN px p ON p.image_id = f.image_id AND p.row >= row0 AND p.row < row0 + rows AND p.col >= col0 AND p.col < col0 + cols
     LEFT JOIN ann a ON a.frame_id = f.frame_id AND a.row = p.row - row0 AND a.col = p.col - col0
     LEFT JOIN dens d ON d.frame_id = f.frame_id AND d.row = p.row - row0 AND d.col = p.col - col0
