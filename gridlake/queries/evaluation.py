@@ -12,6 +12,16 @@ from .registry import query, r6
 
 BLOCK = 32
 
+
+def R10(x: str):
+    """Ten decimals: means of per-image shares end within them, so none falls on a rounding tie."""
+    return F.round(x, 10)
+
+
+def r10(expression: str) -> str:
+    return f"(round({expression}, 10) + 0.0::DOUBLE)"
+
+
 # --- objects -------------------------------------------------------------------------------------------------
 
 _COMPONENTS = [
@@ -157,14 +167,14 @@ def confusion_soft(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _show(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.when(F.isnan(c), F.lit(-1.0)).otherwise(R(c)) for c in columns})
+    return df.withColumns({c: F.when(F.isnan(c), F.lit(-1.0)).otherwise(R10(c)) for c in columns})
 
 
 _NAMES = list(m.SEGMENTATION)
 
 
 @query(with_ctes(["tp"], "SELECT image_id, " + ", ".join(
-    f"CASE WHEN isnan({c}) THEN -1 ELSE {r6(c)} END AS {c}" for c in _NAMES) + " FROM met", extra=[_METRICS]))
+    f"CASE WHEN isnan({c}) THEN -1 ELSE {r10(c)} END AS {c}" for c in _NAMES) + " FROM met", extra=[_METRICS]))
 def segmentation_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """All metrics per image; the empty twins have no sensitivity (shown as -1)."""
     return _show(m.segmentation_metrics(fx.truth_pred(spark, sf), ["image_id"]), _NAMES)
@@ -177,11 +187,11 @@ def mean_iou_and_tversky(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_ctes(["tp"], "SELECT " + ", ".join(
-    f"{r6(f'avg({c})')} AS {c}" for c in _NAMES if c != "sensitivity") + " FROM met", extra=[_METRICS]))
+    f"{r10(f'avg({c})')} AS {c}" for c in _NAMES if c != "sensitivity") + " FROM met", extra=[_METRICS]))
 def macro_average(spark: SparkSession, sf: str) -> DataFrame:
     names = tuple(c for c in _NAMES if c != "sensitivity")
     out = m.macro_average(m.segmentation_metrics(fx.truth_pred(spark, sf), ["image_id"]), names)
-    return out.select(*[R(c).alias(c) for c in names])
+    return out.select(*[R10(c).alias(c) for c in names])
 
 
 @query(with_ctes(["tp"], f"""
@@ -329,7 +339,7 @@ _CLEAN = [
 
 
 @query(with_ctes(["px"], "SELECT stage, model_id, " + ", ".join(
-    f"{r6(f'avg({c})')} AS {c}" for c in _NAMES) + " FROM met GROUP BY stage, model_id", True, _CLEAN))
+    f"{r10(f'avg({c})')} AS {c}" for c in _NAMES) + " FROM met GROUP BY stage, model_id", True, _CLEAN))
 def report_by_model(spark: SparkSession, sf: str) -> DataFrame:
     """Macro scores per model before and after removing small objects."""
     px = fx.pixels(spark, sf)
@@ -338,4 +348,4 @@ def report_by_model(spark: SparkSession, sf: str) -> DataFrame:
     both = px.select(F.lit("bright").alias("model_id"), *common, (F.col("red") >= 144).cast("int").alias("pred")).unionByName(
         px.select(F.lit("green").alias("model_id"), *common, (F.col("green") >= 146).cast("int").alias("pred")))
     out = ev.report_by_model(both, 2.0, block=BLOCK)
-    return out.select("stage", "model_id", *[R(c).alias(c) for c in _NAMES])
+    return out.select("stage", "model_id", *[R10(c).alias(c) for c in _NAMES])
