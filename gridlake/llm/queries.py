@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, quality_rules, secret_scan, sharding, token_counts
+from . import decontaminate, html_extract, jaccard_join, line_dedup, lm_score, quality_rules, secret_scan, sentencepiece_codec, sharding, token_counts
 
+PIECE_MODEL = "piece_bpe_32k.model"
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
@@ -16,6 +17,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back (a null text: the empty one)."""
+    import public_tokenizers
+
+    model = sentencepiece_codec.read_model(public_tokenizers.path(PIECE_MODEL))
+    spaced = F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" ")))
+    ids = sentencepiece_codec.encode(docs.select("doc_id", "text", spaced.alias("_was")), model)
+    back = sentencepiece_codec.decode(ids.withColumn("_ids", F.col("ids")), model, "_ids", "text")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("text") == F.col("_was")).alias("round_trip"))
+
+
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return encoded(table(spark, sf, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
     q = lambda c: F.col(f"_quality.{c}").alias(c)
@@ -52,17 +68,31 @@ def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", F.size("_removed").cast("long").alias("n_removed"), F.array_join("_removed", ",").alias("removed_lines"), "text")
+
+
 def op7_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     pages = html_extract.extract(table(spark, sf, "pages").select("page_id", "url", "html")).drop("html")
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf, "documents"), TOKENIZER)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.group_texts(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_quality_rules, op3_sharding, op4_decontamination, op5_secret_scan, op7_html_extraction, op9_token_counts)}
+    op1_sentencepiece, op2_quality_rules, op3_sharding, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_html_extraction, op8_lm_score, op9_token_counts,
+    op10_jaccard_join)}
 #: SQL where DuckDB has the functions it takes; the other queries are tested by brute force in tests/llm.
 ORACLE: dict[str, str] = {}
