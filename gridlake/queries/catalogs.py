@@ -68,6 +68,33 @@ def check_bands(spark: SparkSession, sf: str) -> DataFrame:
     return ct.check_bands(have, {"a": ["click", "error"], "b": ["error", "view", "ndvi"]}, always=("click",))
 
 
+@query("""
+    SELECT unnest(['red widget', 'small ring', 'no such model', 'old net']) AS name EXCEPT SELECT p_name FROM part""")
+def unknown_models(spark: SparkSession, sf: str) -> DataFrame:
+    registry = fx.table(spark, sf, "part").select(F.col("p_name").alias("name"))
+    return ct.unknown_models(registry, ["red widget", "small ring", "no such model", "old net"])
+
+
+@query("""
+    SELECT o_custkey AS image_id, count(DISTINCT o_orderstatus) FILTER (o_orderstatus IN ('O', 'F')) = 2 AS ndvi FROM orders GROUP BY o_custkey""")
+def can_have_ndvi(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as images, order states as bands: red and infrared must both be there."""
+    band = F.when(F.col("o_orderstatus") == "O", "red").when(F.col("o_orderstatus") == "F", "infrared").otherwise("blue")
+    return ct.can_have_ndvi(fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("image_id"), band.alias("band")))
+
+
+@query("""
+    WITH ranked AS (SELECT o_orderkey AS frame_id, row_number() OVER (ORDER BY md5('1117' || '-' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS pos,
+      count(*) OVER () AS n FROM orders)
+    SELECT frame_id, CASE WHEN pos <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS role FROM ranked""")
+def load_or_make_split(spark: SparkSession, sf: str) -> DataFrame:
+    """A split made and saved, then found again by a run that would draw another."""
+    path = f"{ensure_checkpoint_dir(spark)}/split-{uuid.uuid4().hex}"
+    frames = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame_id"))
+    ct.load_or_make_split(frames, path)
+    return ct.load_or_make_split(frames, path, seed=2)
+
+
 @query(with_ctes(["cat"], """
     SELECT event_id, 'out/' || replace(split_part(path, '/', 4), '.tif', '_seg.tif') AS seg, replace(split_part(path, '/', 4), '.tif', '') AS stem,
       substr(split_part(path, '/', 4), 1, 6) AS prefix, strftime(modificationTime, '%Y%m%d-%H%M') AS stamp,
@@ -97,30 +124,29 @@ def write_mask(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
 def running_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Totals by status kept by a stream that reads the event file to its end."""
-    schema = fx.table(spark, sf, "events").schema
-    name = f"counts_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    query = inc.start_running_counts(
-        stream.withColumnRenamed("event_type", "status"), name, f"{ensure_checkpoint_dir(spark)}/{name}")
-    query.awaitTermination()
-    return spark.table(name)
+    base = f"{ensure_checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}"
+    stream = inc.stream_pixels(spark, sf, fx.table(spark, sf, "events").schema, name="events.parquet")
+    inc.start_running_counts(stream.withColumnRenamed("event_type", "status"), f"{base}/out", f"{base}/state").awaitTermination()
+    return inc.latest_counts(spark, f"{base}/out")
 
 
 @query(f"""
     SELECT vec_id // 100 AS image_id, count(*) AS n_vectors, {r6('sum(list_sum(embedding::DOUBLE[]))')} AS total FROM embeddings GROUP BY 1""")
 def process_new_images(spark: SparkSession, sf: str) -> DataFrame:
-    """The incremental job run twice on the same folder: the second run finds nothing new."""
-    schema = fx.table(spark, sf, "embeddings").schema
+    """Images whose vectors lie in three files each, one file a micro-batch; run again, with its checkpoint and without: nothing is new."""
     base = f"{ensure_checkpoint_dir(spark)}/inc-{uuid.uuid4().hex}"
+    vectors = fx.table(spark, sf, "embeddings").withColumn("part", F.pmod("vec_id", F.lit(3)))
+    vectors.repartition(3, "part").write.partitionBy("part").parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
 
     def plan(new: DataFrame) -> DataFrame:
         return new.groupBy("image_id").agg(
             F.count(F.lit(1)).alias("n_vectors"),
             F.sum(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double"))).alias("total"))
 
-    for _ in range(2):
-        stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    for state in ("state", "state", "lost"):
+        stream = inc.stream_pixels(spark, f"{base}/in", schema, files_per_batch=1)
         stream = stream.withColumn("image_id", F.floor(F.col("vec_id") / 100).cast("long"))
-        inc.process_new_images(stream, plan, f"{base}/out", f"{base}/state").awaitTermination()
+        inc.process_new_images(stream, plan, f"{base}/out", f"{base}/{state}").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("image_id").agg(
         F.sum("n_vectors").alias("n_vectors"), R(F.sum("total")).alias("total"))

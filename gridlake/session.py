@@ -31,7 +31,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if named:
-        if current is None or named.rstrip("/") not in current:
+        # the context adds a folder of its own below the one it is given
+        if current is None or _plain(current).rpartition("/")[0] != _plain(named):
             context.setCheckpointDir(named)
         return named
     if current:
@@ -43,6 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def _plain(path: str) -> str:
+    """A path without its file scheme and last slash."""
+    return "/" + path.removeprefix("file:").strip("/") if path.startswith(("file:", "/")) else path.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)

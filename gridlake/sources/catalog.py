@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.names import basename, name_prefix, replace_text, stem
+from ..functions.names import basename, name_prefix, stem
 from ..operators.sampling import kfold, train_val_split
 
 
@@ -49,10 +49,6 @@ def pair_siblings(catalog: DataFrame, bands: list[str], key: str | None = None,
     return catalog.groupBy(key).pivot(band, bands).agg(F.min("path"))
 
 
-def sibling_path(path: str, old: str, new: str) -> Column:
-    return replace_text(path, old, new)
-
-
 def skip_done(catalog: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
     """Inputs without an existing output."""
     return catalog.join(done.select(key), key, "left_anti")
@@ -108,7 +104,9 @@ def load_or_make_split(
     spark = frames.sparkSession
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         split = kfold(frames, n, seed, key) if n else train_val_split(frames, val, seed, key)
         save_split(split, path)
         return spark.read.parquet(path)

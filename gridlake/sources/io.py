@@ -83,16 +83,18 @@ def nodata_to_null(value: Column | str, nodata: int) -> Column:
 
 def write_mask(
     df: DataFrame, path: str, value: str, dtype: str = "uint8", nodata: int = 255, th: float | None = 0.5,
-    scale: str | None = None, mode: str = "append", block: int = 512,
+    scale: str | None = None, block: int = 512,
 ) -> None:
     """One folder per image, so that finished images are pruned and skipped by partition.
 
     Rows are spread over (image, block) and not over the image alone: a large image is
-    written by many tasks.
+    written by many tasks. The folders of the images in ``df`` are replaced, others stay, so a
+    repeated job leaves what one run leaves.
     """
     out = with_nodata(mask_table(df, value, dtype, th, scale), value, nodata)
     spread = F.floor(F.col("row") / F.lit(block)), F.floor(F.col("col") / F.lit(block))
-    out.repartition("image_id", *spread).write.mode(mode).partitionBy("image_id").parquet(path)
+    writer = out.repartition("image_id", *spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("image_id").parquet(path)
 
 
 def annotation_json(polygons: DataFrame, frame: str = "frame_id", ring: str = "pixels") -> DataFrame:

@@ -1,44 +1,56 @@
-"""New images only, each once: a file stream, a batch plan per micro-batch, and a guard for replays."""
+"""New files only, each once: a file stream, a batch plan per micro-batch, and a ledger of finished files."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..sources.catalog import skip_done
 
+FILE = "source_file"
 
-def stream_pixels(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Pixel or block files as they arrive under ``path``."""
+
+def stream_pixels(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None, name: str = "") -> DataFrame:
+    """Pixel or block files as they arrive under ``path``, with the file of each row as ``source_file``; ``name`` is a glob."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    if name:
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(path).withColumn(FILE, F.col("_metadata.file_path"))
 
 
 def process_new_images(
     stream: DataFrame, plan: Callable[[DataFrame], DataFrame], output: str, checkpoint: str,
-    key: str = "image_id", done: str | None = None,
+    key: str = "image_id", done: str | None = None, ledger: str | None = None,
 ) -> StreamingQuery:
-    """Runs ``plan`` on what is new and appends its result under ``output``.
+    """Runs ``plan`` on the rows of files not processed yet and adds its result under ``output``.
 
-    Each micro-batch writes into its own folder with overwrite, so a replay after a failure
-    replaces what the failed attempt left; keys already written by earlier micro-batches
-    are skipped. ``done`` adds keys finished elsewhere.
+    The unit is the file: an image that comes in several files, in one micro-batch or in many, is
+    processed file by file, and sums over its parts are sums over the output. Finished files stand in a small ledger
+    (``output`` + "-ledger" by default), one row each, which also holds when the stream's checkpoint is lost. A micro-batch writes
+    into a folder named after its set of new files, so a replay after a failure replaces what the failed attempt left and
+    no other batch. ``done`` names a table of keys finished elsewhere, whose rows are skipped.
     """
     spark = stream.sparkSession
+    ledger = ledger or f"{output}-ledger"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        new = batch
-        finished = _finished(spark, output, key, batch_id)
-        if finished is not None:
-            new = skip_done(new, finished, key)
+        finished = _read_ledger(spark, ledger)
+        files = batch.select(FILE).distinct().join(finished, FILE, "left_anti")
+        mark = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(FILE).cast("decimal(38,0)")).alias("sum")).first()
+        if not mark["n"]:
+            return
+        part = f"files={mark['n']}-{int(mark['sum']) % (1 << 64):016x}"
+        new = batch.join(finished, FILE, "left_anti")
         if done:
             new = skip_done(new, spark.read.parquet(done), key)
-        plan(new).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        plan(new.drop(FILE)).write.mode("overwrite").parquet(f"{output}/{part}")
+        files.write.mode("overwrite").parquet(f"{ledger}/{part}")
 
     return (
         stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -46,13 +58,13 @@ def process_new_images(
     )
 
 
-def _finished(spark: SparkSession, output: str, key: str, batch_id: int) -> DataFrame | None:
-    """Keys written by earlier micro-batches; the batch number is a partition column, so this one's own are pruned."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(output)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    written = spark.read.option("basePath", output).parquet(f"{output}/*").where(F.col("batch") < batch_id)
-    return written.select(key).distinct()
+def _read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(f"{FILE} string").parquet(path).select(FILE)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{FILE} string")
 
 
 def running_counts(stream: DataFrame, status: str = "status") -> DataFrame:
@@ -60,8 +72,19 @@ def running_counts(stream: DataFrame, status: str = "status") -> DataFrame:
     return stream.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
-def start_running_counts(stream: DataFrame, name: str, checkpoint: str, status: str = "status") -> StreamingQuery:
+def start_running_counts(stream: DataFrame, path: str, checkpoint: str, status: str = "status") -> StreamingQuery:
+    """Writes the totals after each micro-batch, each into its own folder under ``path``."""
+    def write(totals: DataFrame, batch_id: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        running_counts(stream, status).writeStream.outputMode("complete").format("memory").queryName(name)
+        running_counts(stream, status).writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the last micro-batch."""
+    every = spark.read.parquet(path)
+    last = every.agg(F.max("batch").alias("batch"))
+    return every.join(last, "batch").drop("batch")
