@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bands import clip_negative
 from ..schemas import floor_div
@@ -23,6 +23,7 @@ def _label_block(size: int, diagonal: bool):
     shifts = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates(["row", "col"])
         r = block["row"].to_numpy() % size
         c = block["col"].to_numpy() % size
         far = size * size
@@ -45,16 +46,23 @@ def _label_block(size: int, diagonal: bool):
     return run
 
 
+def _packed(row: Column, col: Column) -> Column:
+    """A position as one BIGINT in row-major order."""
+    return F.shiftleft(row.cast("long"), 32).bitwiseOR(col.cast("long"))
+
+
+def _unpacked(position: Column) -> Column:
+    return F.struct(
+        F.shiftright(position, 32).cast("int").alias("row"), position.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("col"))
+
+
 def _local_labels(mask: DataFrame, keys: list[str], size: int, diagonal: bool) -> DataFrame:
-    """Pixels with ``node``: the (row, col) position of the first pixel of their in-block component."""
-    on = mask.select(*keys, "row", "col").distinct()
+    """Pixels with ``node``: the position of the first pixel of their in-block component, row and column in one BIGINT."""
+    on = mask.select(*keys, "row", "col")
     blocked = on.withColumns({"_br": floor_div(F.col("row"), size), "_bc": floor_div(F.col("col"), size)})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocked.schema.fields)
     local = blocked.groupBy(*keys, "_br", "_bc").applyInPandas(_label_block(size, diagonal), f"{fields}, local bigint")
-    node = F.struct(
-        (F.col("_br") * size + floor_div(F.col("local"), size)).cast("int").alias("row"),
-        (F.col("_bc") * size + F.pmod("local", F.lit(size))).cast("int").alias("col"),
-    )
+    node = _packed(F.col("_br") * size + floor_div(F.col("local"), size), F.col("_bc") * size + F.pmod("local", F.lit(size)))
     return local.select(*keys, "row", "col", node.alias("node"))
 
 
@@ -73,15 +81,18 @@ def _border_edges(labelled: DataFrame, keys: list[str], size: int, diagonal: boo
     return left.join(right, [*keys, "row", "col"]).where(F.col("u") != F.col("v")).select(*keys, "u", "v").distinct()
 
 
-def connect(edges: DataFrame, keys: list[str], u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connect(edges: DataFrame, keys: list[str], u: str = "u", v: str = "v") -> DataFrame:
     """Components of an edge table as (keys, node, root), root being the smallest node.
 
-    Alternates the large-star and small-star steps, which end in stars after few rounds
-    whatever the diameter. Each step is a minimum (combined before the shuffle) joined back.
+    Alternates the large-star and small-star steps until nothing changes, which takes few rounds
+    whatever the diameter. Each step is a minimum (combined before the shuffle) joined back; the edges of a hub are one skewed
+    side of that join, which adaptive execution splits. Rounds are compared by the number of edges and the sum of their hashes.
     """
+    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)")).alias("sum")]
     current = cut_lineage(edges.select(*keys, F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
                           .where(F.col("a") != F.col("b")).distinct())
-    for _ in range(max_rounds):
+    before = current.agg(*mark).first()
+    while True:
         both = current.unionByName(current.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, [*keys, "a"]).where(F.col("b") > F.col("a")).select(
@@ -90,19 +101,17 @@ def connect(edges: DataFrame, keys: list[str], u: str = "u", v: str = "v", max_r
         joined = large.join(down, [*keys, "a"])
         small = joined.select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
         small = small.unionByName(down.select(*keys, "a", F.col("m").alias("b"))).distinct()
-        nxt = cut_lineage(small)
-        changed = nxt.join(current, [*keys, "a", "b"], "left_anti").isEmpty() and current.join(
-            nxt, [*keys, "a", "b"], "left_anti").isEmpty()
-        current = nxt
-        if changed:
+        current = cut_lineage(small)
+        after = current.agg(*mark).first()
+        if after == before:
             return current.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError("components did not settle")
+        before = after
 
 
 def label_components(
     mask: DataFrame, keys: list[str] | None = None, connectivity: int = 8, block: int = 64
 ) -> DataFrame:
-    """Every mask pixel with ``component``, the position of its component's first in-block pixel.
+    """Every mask pixel with ``component``, the position (row, col) of its component's first pixel in row-major order.
 
     Blocks are labelled on their own; only components that touch a block border enter the
     iterative part. ``mask`` holds the object pixels.
@@ -113,7 +122,7 @@ def label_components(
     edges = _border_edges(labelled, keys, block, diagonal)
     roots = connect(edges, keys)
     return labelled.join(roots, [*keys, "node"], "left").select(
-        *keys, "row", "col", F.coalesce("root", "node").alias("component"))
+        *keys, "row", "col", _unpacked(F.coalesce("root", "node")).alias("component"))
 
 
 def count_components(components: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -143,43 +152,79 @@ def count_holes(pixels: DataFrame, value: str, keys: list[str] | None = None, bl
     return holes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_holes"))
 
 
-def object_area(components: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def object_area(components: DataFrame, keys: list[str] | None = None, component: str = "component") -> DataFrame:
     """Per component: ``px_area`` (pixels) and ``contour_area``, the polygon through the centres of its border pixels.
 
     That polygon covers a unit square of four neighbouring centres wholly where all four pixels
     are set, half where three are, and not at all otherwise: single pixels and lines give 0.
-    Pixels of a square are 8-neighbours and so of one component, which makes it one count per
-    square, without a self join. Holes are not filled first.
+    It is one count per square, without a self join. The pixels are taken as they are; ``contours`` gives
+    those inside a contour, holes included.
     """
     keys = keys or ["image_id"]
     corners = F.explode(F.array(*[
         F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 0), (0, -1), (-1, 0), (-1, -1))
     ]))
-    votes = components.select(*keys, "row", "col", "component", corners.alias("_s")).select(
-        *keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), "component")
-    squares = votes.groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("component"))
+    votes = components.select(*keys, "row", "col", component, corners.alias("_s")).select(
+        *keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), component)
+    squares = votes.groupBy(*keys, "row", "col", component).agg(F.count(F.lit(1)).alias("n"))
     inside = F.when(F.col("n") == 4, F.lit(1.0)).when(F.col("n") == 3, F.lit(0.5)).otherwise(F.lit(0.0))
     # every pixel votes in four squares, so the votes of a component are four times its pixels
-    return squares.groupBy(*keys, "component").agg(
+    return squares.groupBy(*keys, component).agg(
         F.floor(F.sum("n") / 4).cast("long").alias("px_area"), F.sum(inside).alias("contour_area"))
 
 
-def small_components(areas: DataFrame, thres: float, measure: str = "contour_area") -> DataFrame:
-    return areas.where(F.col(measure) < F.lit(float(thres)))
+def contours(pixels: DataFrame, value: str, keys: list[str] | None = None, block: int = 64) -> DataFrame:
+    """(keys, contour, row, col): the pixels inside each contour of a mask; ``pixels`` has rows/cols.
+
+    Contours are the outlines of objects, and those of holes as they run through the object's pixels around the hole. Inside lies what the
+    outline encloses: a hole in an object, an object in a hole, and so on. ``contour`` packs the first pixel and the kind (1: hole).
+    What encloses a component is what its first pixel in row-major order has above it, so nesting is one look-up
+    for each component and as many rounds as outlines lie in one another.
+    """
+    keys = keys or ["image_id"]
+
+    def of(df: DataFrame, kind: int) -> DataFrame:
+        return df.withColumn("node", (_packed(F.col("component.row"), F.col("component.col") * 2)).bitwiseOR(F.lit(kind).cast("long")))
+
+    objects = cut_lineage(of(label_components(pixels.where(F.col(value) == 1), keys, 8, block), 0))
+    holes = cut_lineage(of(label_holes(pixels, value, keys, block), 1))
+
+    def parents(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        first = inner.where((F.col("row") == F.col("component.row")) & (F.col("col") == F.col("component.col")))
+        above = first.select(*keys, "node", (F.col("row") - 1).alias("row"), "col")
+        return above.join(outer.select(*keys, "row", "col", F.col("node").alias("parent")), [*keys, "row", "col"]).select(*keys, "node", "parent")
+
+    up = cut_lineage(parents(holes, objects).unionByName(parents(objects, holes)))
+    level = up.select(*keys, "node", F.col("parent").alias("contour"))
+    enclosed = level
+    while not level.isEmpty():
+        step = up.select(*keys, F.col("node").alias("contour"), F.col("parent").alias("_next"))
+        level = cut_lineage(level.join(step, [*keys, "contour"]).select(*keys, "node", F.col("_next").alias("contour")))
+        enclosed = enclosed.unionByName(level)
+    own = objects.unionByName(holes).select(*keys, "row", "col", "node")
+    inside = own.select(*keys, F.col("node").alias("contour"), "row", "col").unionByName(
+        own.join(enclosed, [*keys, "node"]).select(*keys, "contour", "row", "col"))
+    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
+    rim = holes.select(*keys, F.col("node").alias("contour"), "row", "col", sides.alias("_s")).select(
+        *keys, "contour", (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"))
+    return inside.unionByName(rim).distinct()
 
 
 def remove_small(
-    mask: DataFrame, thres: float, keys: list[str] | None = None, measure: str = "contour_area", block: int = 64
+    pixels: DataFrame, value: str, thres: float, keys: list[str] | None = None, measure: str = "contour_area", block: int = 64
 ) -> tuple[DataFrame, DataFrame]:
-    """(kept pixels, counts before and after per key): erases objects whose area is below ``thres``."""
+    """(kept object pixels, counts before and after per key): erases what lies inside contours whose area is below ``thres``.
+
+    Contours are those of objects and of holes, each counted and measured by its outline with all that lies inside.
+    ``pixels`` has the whole mask in ``value``, and rows/cols.
+    """
     keys = keys or ["image_id"]
-    comps = cut_lineage(label_components(mask, keys, 8, block))
-    areas = object_area(comps, keys)
-    keep = areas.where(F.col(measure) >= F.lit(float(thres))).select(*keys, "component")
-    kept = comps.join(keep, [*keys, "component"], "left_semi")
-    counts = areas.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_before"),
-        F.sum((F.col(measure) >= F.lit(float(thres))).cast("int")).cast("long").alias("n_after"))
+    inside = cut_lineage(contours(pixels, value, keys, block))
+    areas = cut_lineage(object_area(inside, keys, "contour"))
+    large = F.col(measure) >= F.lit(float(thres))
+    erased = inside.join(areas.where(~large).select(*keys, "contour"), [*keys, "contour"], "left_semi").select(*keys, "row", "col").distinct()
+    kept = pixels.where(F.col(value) == 1).select(*keys, "row", "col").join(erased, [*keys, "row", "col"], "left_anti")
+    counts = areas.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_before"), F.sum(large.cast("int")).cast("long").alias("n_after"))
     return kept, counts
 
 

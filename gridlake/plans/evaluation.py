@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.bands import clip_negative
 from ..operators.metrics import count_errors, linregress, macro_average, segmentation_metrics
 from ..operators.objects import PIXEL_AREA, count_components, count_holes, label_components, per_hectare, remove_small
-from ..sources.catalog import pair_siblings
 from ..sources.io import read_frames
 
 
@@ -16,11 +15,6 @@ def load_truth(layers: dict[str, DataFrame], keys: list[str] | None = None) -> D
     return read_frames(layers, keys)
 
 
-def truth_paths(catalog: DataFrame, names: list[str]) -> DataFrame:
-    """Paths of the label files of each frame by their name words."""
-    return pair_siblings(catalog, names)
-
-
 def contour_counts(df: DataFrame, value: str, keys: list[str], block: int = 64) -> DataFrame:
     """Objects plus holes per key, as a contour tree counts them; keys without any get 0."""
     objects = count_components(label_components(df.where(F.col(value) == 1), keys, 8, block), keys)
@@ -36,10 +30,10 @@ def report_by_model(
 ) -> DataFrame:
     """Macro-averaged scores per model, on the raw mask and on the mask without small objects.
 
-    ``df`` is one row per (model, image, pixel) with truth, pred and weight.
+    ``df`` is one row per (model, image, pixel) with truth, pred, weight, rows and cols.
     """
     image_keys = keys or [model, "image_id"]
-    kept, _ = remove_small(df.where(F.col("pred") == 1), thres, image_keys, measure, block)
+    kept, _ = remove_small(df, "pred", thres, image_keys, measure, block)
     cleaned = df.drop("pred").join(
         kept.select(*image_keys, "row", "col", F.lit(1).alias("pred")), [*image_keys, "row", "col"], "left"
     ).withColumn("pred", F.coalesce("pred", F.lit(0)))
@@ -48,6 +42,37 @@ def report_by_model(
     return before.unionByName(after)
 
 
+def counts_by_image(
+    df: DataFrame, thres: float = 2.0, keys: list[str] | None = None, model: str = "model_id", block: int = 64, measure: str = "contour_area"
+) -> DataFrame:
+    """(keys, n_truth, n_before, n_after, pred_px, truth_px, n_px): contours of truth and prediction, and canopy after cleaning.
+
+    ``df`` is as for ``report_by_model``. Images without any contour have counts of 0.
+    """
+    image_keys = keys or [model, "image_id"]
+    kept, counts = remove_small(df, "pred", thres, image_keys, measure, block)
+    sums = df.groupBy(*image_keys).agg(F.sum("truth").cast("long").alias("truth_px"), F.count(F.lit(1)).alias("n_px"))
+    left = kept.groupBy(*image_keys).agg(F.count(F.lit(1)).alias("pred_px"))
+    truth = contour_counts(df, "truth", image_keys, block).withColumnRenamed("n_contours", "n_truth")
+    joined = sums.join(counts, image_keys, "left").join(left, image_keys, "left").join(truth, image_keys)
+    return joined.na.fill(0, ["n_before", "n_after", "pred_px"]).select(
+        *image_keys, "n_truth", "n_before", "n_after", "pred_px", "truth_px", "n_px")
+
+
+def count_report_by_model(counts: DataFrame, model: str = "model_id", px_area: float = PIXEL_AREA) -> DataFrame:
+    """Totals of ``counts_by_image`` per model: counts, their decrease by cleaning, canopy against truth, objects per hectare."""
+    names = ["n_truth", "n_before", "n_after", "pred_px", "truth_px", "n_px"]
+    total = counts.groupBy(model).agg(*[F.sum(c).cast("long").alias(c) for c in names])
+    return total.withColumns({
+        "decrease": F.try_divide(F.col("n_before") - F.col("n_after"), F.col("n_before")),
+        "area_ratio": F.try_divide("pred_px", "truth_px"), "per_ha": per_hectare("n_after", "n_px", px_area)})
+
+
+def count_regression_by_model(counts: DataFrame, model: str = "model_id", stage: str = "n_after") -> DataFrame:
+    """Regression of the counted on the true contours of each image, per model."""
+    return linregress(counts, "n_truth", stage, [model])
+
+
 def report_count(pred: DataFrame, truth: DataFrame, keys: list[str] | None = None, model: str | None = None) -> DataFrame:
     """Predicted and reference totals and their density per hectare, per image (and model)."""
     keys = keys or ["image_id"]

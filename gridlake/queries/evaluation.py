@@ -94,24 +94,59 @@ def object_area(spark: SparkSession, sf: str) -> DataFrame:
                     "px_area", "contour_area")
 
 
+#: Contours of objects (kind 0) and holes (kind 1) with all that lies inside: the one that encloses a component lies above its first pixel.
+_CONTOURS = [
+    ("part", "SELECT image_id, row, col, 0 AS kind, root FROM comp UNION ALL SELECT image_id, row, col, 1, root FROM hroot"),
+    ("link", """
+      SELECT i.image_id, i.kind, i.root, o.kind AS pkind, o.root AS proot FROM part i JOIN part o ON o.image_id = i.image_id AND o.kind <> i.kind
+        AND o.row = i.row - 1 AND o.col = i.col WHERE i.row = i.root.r AND i.col = i.root.c"""),
+    ("enclosing", """
+      SELECT DISTINCT image_id, kind, root, kind AS akind, root AS aroot FROM part
+      UNION
+      SELECT e.image_id, e.kind, e.root, l.pkind, l.proot FROM enclosing e JOIN link l ON l.image_id = e.image_id AND l.kind = e.akind AND l.root = e.aroot"""),
+    ("inside", """
+      SELECT p.image_id, e.akind AS kind, e.aroot AS root, p.row, p.col FROM part p JOIN enclosing e USING (image_id, kind, root)
+      UNION
+      SELECT image_id, 1, root, row + d.r, col + d.c FROM hroot, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(r, c)"""),
+    ("csquare", """
+      SELECT image_id, kind, root, row - a.range AS r, col - b.range AS c, count(*) AS n FROM inside, range(2) a, range(2) b GROUP BY ALL"""),
+    ("carea", """
+      SELECT image_id, kind, root, CAST(sum(n) // 4 AS BIGINT) AS px_area,
+        sum(CASE n WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS contour_area FROM csquare GROUP BY image_id, kind, root"""),
+]
+_ALL_CONTOURS = _COMPONENTS + _HOLES + _CONTOURS
+
+
 @query(with_ctes(["obj"], """
-    SELECT c.image_id, c.row, c.col FROM comp c JOIN area a ON a.image_id = c.image_id AND a.root = c.root WHERE contour_area >= 2""",
-                 True, _COMPONENTS))
+    SELECT image_id, root.r AS root_row, root.c AS root_col, kind, px_area, contour_area FROM carea""", True, _ALL_CONTOURS))
+def contour_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlines of objects and holes with what they enclose, holes in objects and objects in holes included."""
+    a = ob.object_area(ob.contours(fx.object_mask(spark, sf), "mask", block=BLOCK), component="contour")
+    low = F.col("contour").bitwiseAND(F.lit((1 << 32) - 1))
+    return a.select(
+        "image_id", F.shiftright("contour", 32).cast("int").alias("root_row"), F.shiftright(low, 1).cast("int").alias("root_col"),
+        low.bitwiseAND(F.lit(1)).cast("int").alias("kind"), "px_area", "contour_area")
+
+
+@query(with_ctes(["obj"], """
+    SELECT image_id, row, col FROM comp ANTI JOIN (
+      SELECT i.image_id, i.row, i.col FROM inside i JOIN carea a USING (image_id, kind, root) WHERE contour_area < 2) USING (image_id, row, col)""",
+                 True, _ALL_CONTOURS))
 def remove_small(spark: SparkSession, sf: str) -> DataFrame:
-    return ob.remove_small(_on(spark, sf), 2, block=BLOCK)[0].select("image_id", "row", "col")
+    return ob.remove_small(fx.object_mask(spark, sf), "mask", 2, block=BLOCK)[0].select("image_id", "row", "col")
 
 
 @query(with_ctes(["obj"], """
-    SELECT image_id, count(*) AS n_before, count(*) FILTER (px_area >= 3) AS n_after FROM area GROUP BY image_id""", True, _COMPONENTS))
+    SELECT image_id, count(*) AS n_before, count(*) FILTER (px_area >= 3) AS n_after FROM carea GROUP BY image_id""", True, _ALL_CONTOURS))
 def remove_small_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return ob.remove_small(_on(spark, sf), 3, measure="px_area", block=BLOCK)[1]
+    return ob.remove_small(fx.object_mask(spark, sf), "mask", 3, measure="px_area", block=BLOCK)[1]
 
 
 @query(with_ctes(["obj"], f"""
     SELECT count(*) AS n_before, count(*) FILTER (contour_area >= 2) AS n_after,
-      {r6('(count(*) - count(*) FILTER (contour_area >= 2)) / count(*)')} AS decrease FROM area""", True, _COMPONENTS))
+      {r6('(count(*) - count(*) FILTER (contour_area >= 2)) / count(*)')} AS decrease FROM carea""", True, _ALL_CONTOURS))
 def count_drop(spark: SparkSession, sf: str) -> DataFrame:
-    return ob.count_drop(ob.remove_small(_on(spark, sf), 2, block=BLOCK)[1]).withColumn("decrease", R("decrease"))
+    return ob.count_drop(ob.remove_small(fx.object_mask(spark, sf), "mask", 2, block=BLOCK)[1]).withColumn("decrease", R("decrease"))
 
 
 @query(with_ctes(["tp"], f"SELECT image_id, {r6('sum(greatest(dens, 0))')} AS n_objects FROM tp GROUP BY image_id"))
@@ -316,23 +351,18 @@ _MODEL_MASKS = """
     UNION ALL SELECT 'green', image_id, row, col, CASE WHEN red >= 128 THEN 1 ELSE 0 END,
       CASE WHEN green >= 146 THEN 1 ELSE 0 END, CASE WHEN blue >= 140 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END FROM px"""
 
+#: Masks of both models under one key, so that the object queries' steps apply: twice the image, plus one for the second model.
 _CLEAN = [
     ("mm", _MODEL_MASKS),
-    ("obs", "SELECT model_id, image_id, row, col FROM mm WHERE pred = 1"),
-    ("reach", """
-      SELECT model_id, image_id, row, col, row AS r0, col AS c0 FROM obs
-      UNION
-      SELECT o.model_id, o.image_id, o.row, o.col, s.r0, s.c0 FROM reach s JOIN obs o ON o.image_id = s.image_id AND o.model_id = s.model_id
-        AND abs(o.row - s.row) <= 1 AND abs(o.col - s.col) <= 1"""),
-    ("comp", "SELECT model_id, image_id, row, col, min(struct_pack(r := r0, c := c0)) AS root FROM reach GROUP BY ALL"),
-    ("area", """SELECT model_id, image_id, root, sum(CASE n WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS contour_area FROM (
-      SELECT model_id, image_id, root, row - a.range AS r, col - b.range AS c, count(*) AS n FROM comp, range(2) a, range(2) b GROUP BY ALL)
-      GROUP BY ALL"""),
-    ("keep", "SELECT c.model_id, c.image_id, c.row, c.col FROM comp c JOIN area a USING (model_id, image_id, root) WHERE contour_area >= 2"),
+    ("obj", "SELECT image_id * 2 + CASE WHEN model_id = 'green' THEN 1 ELSE 0 END AS image_id, row, col, pred AS mask FROM mm"),
+    *_ALL_CONTOURS,
+    ("gone", """
+      SELECT DISTINCT i.image_id // 2 AS image_id, CASE WHEN i.image_id % 2 = 1 THEN 'green' ELSE 'bright' END AS model_id, i.row, i.col
+      FROM inside i JOIN carea a USING (image_id, kind, root) WHERE contour_area < 2"""),
     ("staged", """
       SELECT 'raw' AS stage, * FROM mm
-      UNION ALL SELECT 'cleaned', m.model_id, m.image_id, m.row, m.col, truth, CASE WHEN k.row IS NULL THEN 0 ELSE 1 END, weight
-      FROM mm m LEFT JOIN keep k ON k.model_id = m.model_id AND k.image_id = m.image_id AND k.row = m.row AND k.col = m.col"""),
+      UNION ALL SELECT 'cleaned', m.model_id, m.image_id, m.row, m.col, truth, CASE WHEN k.row IS NULL THEN pred ELSE 0 END, weight
+      FROM mm m LEFT JOIN gone k ON k.model_id = m.model_id AND k.image_id = m.image_id AND k.row = m.row AND k.col = m.col"""),
     ("met", _METRICS[1].replace("SELECT image_id,", "SELECT stage, model_id, image_id,").replace(
         "FROM tp GROUP BY image_id", "FROM staged GROUP BY stage, model_id, image_id")),
 ]
@@ -342,10 +372,29 @@ _CLEAN = [
     f"{r10(f'avg({c})')} AS {c}" for c in _NAMES) + " FROM met GROUP BY stage, model_id", True, _CLEAN))
 def report_by_model(spark: SparkSession, sf: str) -> DataFrame:
     """Macro scores per model before and after removing small objects."""
-    px = fx.pixels(spark, sf)
-    common = ["image_id", "row", "col", (F.col("red") >= 128).cast("int").alias("truth"),
+    out = ev.report_by_model(_two_models(spark, sf), 2.0, block=BLOCK)
+    return out.select("stage", "model_id", *[R10(c).alias(c) for c in _NAMES])
+
+
+def _two_models(spark: SparkSession, sf: str) -> DataFrame:
+    px = fx.sized_pixels(spark, sf)
+    common = ["image_id", "row", "col", "rows", "cols", (F.col("red") >= 128).cast("int").alias("truth"),
               F.when(F.col("blue") >= 140, F.lit(5.0)).otherwise(F.lit(1.0)).alias("weight")]
-    both = px.select(F.lit("bright").alias("model_id"), *common, (F.col("red") >= 144).cast("int").alias("pred")).unionByName(
+    return px.select(F.lit("bright").alias("model_id"), *common, (F.col("red") >= 144).cast("int").alias("pred")).unionByName(
         px.select(F.lit("green").alias("model_id"), *common, (F.col("green") >= 146).cast("int").alias("pred")))
-    out = ev.report_by_model(both, 2.0, block=BLOCK)
-    return out.select("stage", "model_id", *[R10(c).alias(c) for c in _NAMES])
+
+
+@query(with_ctes(["px"], f"""
+    SELECT model_id, CAST(sum(n_before) AS BIGINT) AS n_before, CAST(sum(n_after) AS BIGINT) AS n_after, CAST(sum(pred_px) AS BIGINT) AS pred_px,
+      CAST(sum(truth_px) AS BIGINT) AS truth_px, {r6('sum(pred_px) / sum(truth_px)')} AS area_ratio,
+      {r6('(sum(n_before) - sum(n_after)) / sum(n_before)')} AS decrease, {r6('sum(n_after) / (sum(n_px) * 0.04::DOUBLE) * 10000')} AS per_ha
+    FROM (SELECT model_id, image_id, count(*) AS n_px, sum(truth) AS truth_px, sum(pred) AS pred_px FROM staged WHERE stage = 'cleaned' GROUP BY ALL)
+    JOIN (SELECT image_id // 2 AS image_id, CASE WHEN image_id % 2 = 1 THEN 'green' ELSE 'bright' END AS model_id, count(*) AS n_before,
+        count(*) FILTER (contour_area >= 2) AS n_after FROM carea GROUP BY ALL) USING (model_id, image_id)
+    GROUP BY model_id""", True, _CLEAN))
+def count_report_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts per model before and after removing small contours, canopy against truth, trees per hectare."""
+    per_image = ev.counts_by_image(_two_models(spark, sf), 2.0, block=BLOCK)
+    out = ev.count_report_by_model(per_image)
+    names = ["area_ratio", "decrease", "per_ha"]
+    return out.select("model_id", "n_before", "n_after", "pred_px", "truth_px", *[R(c).alias(c) for c in names])

@@ -89,12 +89,30 @@ def test_areas_through_pixel_centres(spark, raster):
     out = ob.object_area(ob.label_components(mask_df(raster, mask.tolist()).where("mask = 1"), block=4))
     got = {tuple(r["component"]): (r["px_area"], r["contour_area"]) for r in out.collect()}
     assert got == {(0, 0): (1, 0), (2, 0): (12, 6), (7, 0): (5, 0)}
-    kept, counts = ob.remove_small(mask_df(raster, mask.tolist()).where("mask = 1"), 2, block=4)
+    kept, counts = ob.remove_small(mask_df(raster, mask.tolist()), "mask", 2, block=4)
     assert kept.count() == 12 and tuple(counts.first())[1:] == (3, 1)
     drop = ob.count_drop(counts).first()
     assert drop["decrease"] == pytest.approx(2 / 3)
 
 
+def test_areas_with_holes(spark, raster):
+    ring = np.zeros((12, 12), int)
+    ring[1:11, 1:11] = 1
+    ring[2:10, 2:10] = 0      # the rim of a 10×10 square: 9·9, its hole as drawn through the rim
+    ring[4:7, 4:7] = 1        # an object in the hole, with a hole of one pixel
+    ring[5, 5] = 0
+    df = mask_df(raster, ring.tolist())
+    areas = ob.object_area(ob.contours(df, "mask", block=4), component="contour").collect()
+    assert sorted((r["px_area"], r["contour_area"]) for r in areas) == [(5, 2.0), (9, 4.0), (96, 79.0), (100, 81.0)]
+    kept, counts = ob.remove_small(df, "mask", 3, block=4)
+    assert tuple(counts.first())[1:] == (4, 3) and kept.count() == 36 + 8 - 4
+    kept, counts = ob.remove_small(df, "mask", 10, block=4)
+    assert tuple(counts.first())[1:] == (4, 2) and kept.count() == 36
+    kept, counts = ob.remove_small(df, "mask", 80, block=4)
+    assert tuple(counts.first())[1:] == (4, 1) and kept.count() == 4
+    assert ob.remove_small(df, "mask", 100, block=4)[0].count() == 0
+
+
 def pairs(spark, rows):
     return spark.createDataFrame([(0, float(t), float(p), float(w)) for t, p, w in rows], "image_id int, truth double, pred double, weight double")
 
@@ -162,3 +180,8 @@ def test_report_by_model_cleans(spark, raster):
     df = df.withColumns({"model_id": F.lit("m"), "weight": F.lit(1.0), "truth": F.col("truth").cast("int"), "pred": F.col("pred").cast("int")})
     out = {r["stage"]: r for r in ev.report_by_model(df, 2.0, block=4).collect()}
     assert out["raw"]["dice"] == pytest.approx(32 / 33) and out["cleaned"]["dice"] == 1
+    counts = ev.counts_by_image(df, 2.0, block=4)
+    assert tuple(counts.first())[2:] == (1, 2, 1, 16, 16, 64)
+    total = ev.count_report_by_model(counts).first()
+    assert (total["decrease"], total["area_ratio"]) == (0.5, 1.0) and total["per_ha"] == pytest.approx(10000 / (64 * 0.04))
+    assert ev.count_regression_by_model(counts).count() == 1
