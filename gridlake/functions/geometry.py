@@ -151,10 +151,6 @@ def _inside(sides: Column, p: Column) -> Column:
     return F.size(F.filter(sides, crossing)) % 2 == 1
 
 
-def contains_point(ring: Column | str, p: Column) -> Column:
-    return _inside(edges(ring), p)
-
-
 def sides_intersect(sides_a: Column | str, sides_b: Column | str) -> Column:
     """Exact polygon–polygon test on ``edges``: one holds a vertex of the other, or two edges meet."""
     sides_a, sides_b = _c(sides_a), _c(sides_b)

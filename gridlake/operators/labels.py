@@ -112,34 +112,36 @@ def rasterize(
     if shape:
         painted = painted.where(
             F.col("row").between(0, F.col("rows") - 1) & F.col("col").between(0, F.col("cols") - 1))
-    return painted.groupBy(*keys, "row", "col").agg(F.max_by("value", F.struct(seq, "_edge")).alias("value"))
+    # the outline wins within a polygon, the last polygon over all; one BIGINT to order by, so that the aggregate is hashed
+    order = F.col(seq).cast("long") * 2 + F.col("_edge")
+    return painted.groupBy(*keys, "row", "col").agg(F.max_by("value", order).alias("value"))
 
 
-def cover_rectangles(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels of integer boxes row0 ≤ row < row1, col0 ≤ col < col1."""
-    return boxes.where((F.col("row0") < F.col("row1")) & (F.col("col0") < F.col("col1"))).select(
-        *keys, F.explode(F.sequence(F.col("row0"), F.col("row1") - 1)).alias("row"), "col0", "col1",
-    ).select(*keys, "row", F.explode(F.sequence(F.col("col0"), F.col("col1") - 1)).alias("col"))
+GAP_GRID = 3  # sample points along a pixel's side that say whether a gap touches it
 
 
-def boundary_gaps(polygons: DataFrame, keys: list[str], k: float = 1.5, shape: bool = True) -> DataFrame:
-    """Pixels covered by at least two scaled polygons and by no original one, per frame.
+def boundary_gaps(polygons: DataFrame, keys: list[str], k: float = 1.5, shape: bool = True, grid: int = GAP_GRID) -> DataFrame:
+    """Pixels touched by a spot that lies in at least two scaled polygons and in no original one, per frame.
 
-    This is the union of the pairwise intersections of scaled polygons minus all originals,
-    on the pixel grid and without forming pairs: one scatter and one count.
+    This is the union of the pairwise intersections of scaled polygons minus all originals, without forming pairs: one scatter
+    and one count. Spots are the ``grid`` × ``grid`` sample points of a pixel, so strips between close crowns that are thinner than a
+    pixel, down to 1/``grid`` of it, are found.
     """
-    scaled = polygons.withColumn("ring", scale_ring("ring", k))
-    many = _covered(scaled, keys, shape).groupBy(*keys, "row", "col").agg(F.sum("n").alias("scaled"))
-    own = _covered(polygons, keys, shape).groupBy(*keys, "row", "col").agg(F.sum("n").alias("own"))
-    both = many.select("*", F.lit(0).cast("long").alias("own")).unionByName(
-        own.select("*", F.lit(0).cast("long").alias("scaled")))
-    totals = both.groupBy(*keys, "row", "col").agg(F.sum("scaled").alias("scaled"), F.sum("own").alias("own"))
-    return totals.where((F.col("scaled") >= 2) & (F.col("own") == 0)).select(*keys, "row", "col")
+    def fine(ring: Column, own: int) -> DataFrame:
+        larger = F.transform(ring, lambda p: F.struct((p["x"] * grid).alias("x"), (p["y"] * grid).alias("y")))
+        sized = {c: F.col(c) * grid for c in ("rows", "cols")} if shape else {}
+        return polygons.withColumns({"ring": larger, "own": F.lit(own), **sized})
+
+    both = fine(scale_ring("ring", k), 0).unionByName(fine(F.col("ring"), 1))
+    spots = _covered(both, keys, shape).groupBy(*keys, "row", "col").agg(
+        F.sum(1 - F.col("own")).alias("scaled"), F.sum("own").alias("own"))
+    gaps = spots.where((F.col("scaled") >= 2) & (F.col("own") == 0))
+    return gaps.select(*keys, floor_div(F.col("row"), grid).alias("row"), floor_div(F.col("col"), grid).alias("col")).distinct()
 
 
 def _covered(polygons: DataFrame, keys: list[str], shape: bool) -> DataFrame:
-    """One row per (polygon, pixel) with the pixel's centre inside the ring."""
-    carry = list(keys) + (["rows", "cols"] if shape else [])
+    """One row per (polygon, pixel) with the pixel's centre inside the ring: keys, own, row, col."""
+    carry = [*keys, "own"] + (["rows", "cols"] if shape else [])
     polygons = spread(polygons.select(*carry, "ring"), *keys, "ring")
     box = bbox("ring")
     lines = polygons.select(*carry, "ring", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
@@ -151,8 +153,7 @@ def _covered(polygons: DataFrame, keys: list[str], shape: bool) -> DataFrame:
         *carry, "row", F.ceil(F.get("xs", F.col("i") * 2) - 0.5).cast("int").alias("c0"),
         (F.ceil(F.get("xs", F.col("i") * 2 + 1) - 0.5) - 1).cast("int").alias("c1"),
     )
-    return _cut_columns(runs, shape).select(
-        *keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.lit(1).cast("long").alias("n"))
+    return _cut_columns(runs, shape).select(*keys, "own", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
 # --- points to pixels --------------------------------------------------------------------------------

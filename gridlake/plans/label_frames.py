@@ -27,12 +27,14 @@ def build_label_frames(
     pixels: DataFrame, images: DataFrame, areas: DataFrame, crowns: DataFrame, bands: list[str], res: float,
     cell: float, size: int = 15, sigma: float = 4.0, scale: float = 1.5, block: int = 64,
 ) -> LabelFrames:
-    """Every (image, area) overlap as a frame with bands, annotation, boundary and density.
+    """Every (image, area) overlap as a frame with bands, annotation, boundary and density; images without pixels are left out.
 
     ``images`` is (image_id, xmin, ymin, xmax, ymax), ``areas`` (id, ring), ``crowns`` (id, ring).
     """
     boxed = areas.select("id", *[e.alias(n) for n, e in bbox("ring").items()])
-    hits = area_image_hits(boxed, images, cell)
+    # frames without pixels are not worth numbering and labelling
+    present = images.join(pixels.select("image_id").distinct(), "image_id", "left_semi")
+    hits = area_image_hits(boxed, present, cell)
     frames = number_frames(clip_extent(hits, res))
     assigned = assign_first_area(crowns, areas, cell)
     owned = crowns.select(F.col("id").alias("polygon_id"), "ring").join(assigned, "polygon_id")

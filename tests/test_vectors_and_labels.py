@@ -123,8 +123,11 @@ def test_slanted_and_notched_polygons(spark, dense):
 def test_gaps_lie_between_close_crowns(spark):
     polys = grid(spark, [(1, box(1, 1, 3, 5)), (2, box(4, 1, 6, 5)), (3, box(1, 6.9, 2, 7.9))])
     got = {(r["row"], r["col"]) for r in lb.boundary_gaps(polys, ["frame_id"]).collect()}
-    # scaled: x 0.5–3.5 and 3.5–6.5 only touch, so no pixel centre is in both
+    # scaled: x 0.5–3.5 and 3.5–6.5 only touch, so no spot is in both
     assert got == set()
+    close = grid(spark, [(1, box(1, 1, 3.8, 5)), (2, box(4.2, 1, 7, 5))])
+    got = {(r["row"], r["col"]) for r in lb.boundary_gaps(close, ["frame_id"]).collect()}
+    assert {(r, 3) for r in range(1, 5)} | {(r, 4) for r in range(1, 5)} >= {x for x in got if 1 <= x[0] < 5} and {r for r, _ in got} >= {1, 2, 3, 4}, "a strip of 0.4 pixels"
     wide = {(r["row"], r["col"]) for r in lb.boundary_gaps(polys, ["frame_id"], k=2.0).collect()}
     assert wide and all(c in (3, 0, 1, 2, 4, 5) for _, c in wide) and not any(1 <= r < 5 and 1 <= c < 3 for r, c in wide)
 
