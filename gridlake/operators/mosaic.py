@@ -17,7 +17,8 @@ OPERATORS = ("MAX", "MIN", "REPLACE", "MIX")
 
 
 def window_order() -> Column:
-    return F.struct("win_col", "win_row")
+    """(win_col, win_row) in one BIGINT, so that the aggregates that order by it can be hashed."""
+    return F.shiftleft(F.col("win_col").cast("long"), 32).bitwiseOR(F.col("win_row").cast("long"))
 
 
 def mix_fold(values: Column, start: float = 0.0) -> Column:
@@ -171,12 +172,16 @@ def windows_per_cell(windows: DataFrame, width: int, height: int, stride: int) -
         F.array_sort(F.collect_list(F.struct("win_col", "win_row", *stats))).alias("windows"))
 
 
-def pixels_in_windows(pixels: DataFrame, bands: list[str], width: int, height: int, stride: int) -> DataFrame:
-    """Pixels with ``windows``: for each covering window, in order, its offset and band statistics.
+def pixels_in_windows(
+    pixels: DataFrame, bands: list[str], width: int, height: int, stride: int, images: DataFrame | None = None
+) -> DataFrame:
+    """Pixels with ``windows``: for each covering window, in order, its offset and band statistics, and with ``images`` the image's size.
 
     Two small aggregations and one shuffle of the pixels on (image, cell); none is copied.
     """
     cells = cell_moments(pixels, bands, width, height, stride)
     wins = window_moments(cells, bands, width, height, stride)
+    if images is not None:
+        wins = wins.join(images.select("image_id", "rows", "cols"), "image_id")
     per_cell = windows_per_cell(wins, width, height, stride)
     return with_cells(pixels, width, height, stride).join(per_cell, CELL)

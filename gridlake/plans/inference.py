@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.bands import clip_negative, ndvi, normalize_patch, threshold, zscore
-from ..operators.mosaic import CELL, apply_mosaic, mosaic, pixels_in_windows, suppress_border
+from ..operators.mosaic import CELL, apply_mosaic, mosaic, pixels_in_windows, start_value, suppress_border
 from ..operators.objects import per_hectare
 from ..operators.scoring import LinearModel, Scorer, ensemble_linear, score, unpatch
-from ..operators.tiling import pad_patch, tile_pixels
+from ..operators.tiling import offsets_covering, pad_patch, tile_pixels
 from ..schemas import PIXEL, WINDOW
 
 
@@ -18,6 +18,15 @@ def add_ndvi(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("ndvi", ndvi("infrared", "red"))
 
 
+def with_gaps(merged: DataFrame, pixels: DataFrame, op: str, values: list[str], width: int, height: int, stride: int, init: float) -> DataFrame:
+    """Adds the pixels that lie between windows, at the canvas's first value; there are some only if the stride is larger than a window."""
+    if stride <= min(width, height):
+        return merged
+    gap = (F.size(offsets_covering(F.col("col"), width, stride)) == 0) | (F.size(offsets_covering(F.col("row"), height, stride)) == 0)
+    empty = [F.lit(start_value(op, init)).alias(v) for v in values]
+    return merged.unionByName(pixels.where(gap).select(*PIXEL, *empty))
+
+
 def _bands_of(models: list[LinearModel]) -> list[str]:
     return sorted({b for m in models for b in m.bands})
 
@@ -30,22 +39,22 @@ def score_mosaic(
 
     Window statistics arrive as a short list on each pixel. Scores are taken per list item in
     generated code and merged by an aggregation on (cell, pixel), whose partitioning the join
-    on the cell already has. ``border`` needs the image table for the clipped window sizes.
+    on the cell already has. ``border`` needs the image table; the image's size travels with its windows, so
+    no pixel is joined by its image. A pixel between windows keeps the canvas's first value.
     """
     bands = _bands_of(models)
     source = pixels.select(*PIXEL, *bands)
-    if border:
-        source = source.join(images.select("image_id", "rows", "cols"), "image_id")
-    placed = pixels_in_windows(source, bands, width, height, stride)
+    placed = pixels_in_windows(source, bands, width, height, stride, images if border else None)
     spread = placed.withColumn("_w", F.explode("windows")).drop("windows")
     seg, dens = ensemble_linear(models, lambda b: zscore(F.col(b), F.col(f"_w.mean_{b}"), F.col(f"_w.std_{b}")))
     scored = spread.withColumns({
         "seg": seg, "dens": dens, "win_col": F.col("_w.win_col"), "win_row": F.col("_w.win_row"),
+        **({"rows": F.col("_w.rows"), "cols": F.col("_w.cols")} if border else {}),
     })
     if border:
         scored = suppress_border(scored, ["seg", "dens"], border, width, height)
     merged = mosaic(scored, op, ["seg", "dens"], [*CELL, "row", "col"], init)
-    return merged.select(*PIXEL, "seg", "dens")
+    return with_gaps(merged.select(*PIXEL, "seg", "dens"), pixels, op, ["seg", "dens"], width, height, stride, init)
 
 
 def score_mosaic_tiled(
@@ -57,7 +66,8 @@ def score_mosaic_tiled(
     tiles = normalize_patch(tile_pixels(pixels.select(*PIXEL, *bands), width, height, stride), WINDOW, bands)
     seg, dens = ensemble_linear(models)
     scored = tiles.select(*WINDOW, "row", "col", seg.alias("seg"), dens.alias("dens"))
-    return apply_mosaic(scored, op, ["seg", "dens"], width, height, border, images, init=init)
+    merged = apply_mosaic(scored, op, ["seg", "dens"], width, height, border, images, init=init)
+    return with_gaps(merged, pixels, op, ["seg", "dens"], width, height, stride, init)
 
 
 def score_mosaic_model(
@@ -78,7 +88,8 @@ def score_mosaic_model(
     else:
         tiles = tile_pixels(pixels.select(*PIXEL, *bands), width, height, stride)
     scored = score(pad_patch(tiles, bands, width, height), load_scorer, bands, width, height, batch_rows=batch_rows)
-    return apply_mosaic(unpatch(scored, width, images=images), op, ["seg", "dens"], width, height, border, images, init=init)
+    merged = apply_mosaic(unpatch(scored, width, images=images), op, ["seg", "dens"], width, height, border, images, init=init)
+    return with_gaps(merged, pixels, op, ["seg", "dens"], width, height, stride, init)
 
 
 def detect(mosaicked: DataFrame, th: float = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.bands import normalize_patch
 from ..operators import mosaic as mo, scoring as sc, tiling as tl
 from ..operators.objects import PIXEL_AREA
-from ..plans import inference as inf
+from ..plans import block_inference as bi, inference as inf
 from ..schemas import WINDOW
 from . import fixtures as fx
 from .fixtures import S, SIDE, W, r6 as R, with_ctes
@@ -113,6 +113,18 @@ def ensemble_mosaic(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("image_id", "row", "col", R("seg").alias("seg"), R("dens").alias("dens"))
 
 
+@query(with_ctes(["ztiles", "tiles"], f"""
+    SELECT image_id, row, col, {r6('greatest(0, max(seg))')} AS seg, {r6('greatest(0, max(dens))')} AS dens
+    FROM ens GROUP BY image_id, row, col""", extra=[_NDVI_TILES, _MODELS, _ENSEMBLE]))
+def ensemble_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same three models as Python callables on block arrays, each with its own bands."""
+    models = [bi.BandModel(m.name, m.bands, m.scorer) for m in fx.ENSEMBLE]
+    bands = sorted({b for m in models for b in m.bands})
+    blocks = tl.to_blocks(inf.add_ndvi(fx.pixels(spark, sf)), bands, 32)
+    out = tl.from_blocks(bi.score_blocks(blocks, fx.images(spark, sf), models, 32, W, W, S), ["seg", "dens"])
+    return out.select("image_id", "row", "col", R("seg").alias("seg"), R("dens").alias("dens"))
+
+
 @query(with_ctes(["px"], """
     SELECT 'a' AS model_id, image_id, row, col, 3 AS n, red + 2 * green + 3 * blue AS x FROM px
     UNION ALL SELECT 'b', image_id, row, col, 2, infrared + 2 * red FROM px"""))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlake.functions import bands as fb
 from gridlake.operators import mosaic as mo, tiling as tl
 from gridlake.operators.scoring import LinearModel, ensemble_nanmean, score
-from gridlake.plans import inference as inf
+from gridlake.plans import block_inference as bi, inference as inf
 
 
 def one(spark, expr):
@@ -72,7 +72,7 @@ def test_every_pixel_is_in_the_windows_that_cover_it(spark, raster, width, strid
     assert got == want
 
 
-@pytest.mark.parametrize("width,stride", [(4, 4), (5, 3), (6, 2), (4, 3)])
+@pytest.mark.parametrize("width,stride", [(4, 4), (5, 3), (6, 2), (4, 3), (3, 5)])
 @pytest.mark.parametrize("op", mo.OPERATORS)
 def test_merge_by_cells_equals_merge_by_window_rows(spark, raster, width, stride, op):
     rnd = random.Random(3)
@@ -80,8 +80,38 @@ def test_merge_by_cells_equals_merge_by_window_rows(spark, raster, width, stride
     m = [LinearModel("m", ("red",), (1.5,), -0.2)]
     a = {(r["row"], r["col"]): (r["seg"], r["dens"]) for r in inf.score_mosaic(px, m, width, width, stride, op).collect()}
     b = {(r["row"], r["col"]): (r["seg"], r["dens"]) for r in inf.score_mosaic_tiled(px, m, width, width, stride, op).collect()}
-    assert a.keys() == b.keys()
+    assert a.keys() == b.keys() and len(a) == 77, "pixels between windows stay, at the canvas's first value"
     assert all(np.allclose(a[k], b[k]) for k in a)
+    images = px.select("image_id", "rows", "cols").distinct()
+    for border in (0, 1):
+        whole = inf.score_mosaic(px, m, width, width, stride, op, border, images=images)
+        want = {(r["row"], r["col"]): (r["seg"], r["dens"]) for r in whole.collect()}
+        model = inf.score_mosaic_model(px, images, m[0].scorer, ["red"], width, width, stride, op, border)
+        got = {(r["row"], r["col"]): (r["seg"], r["dens"]) for r in model.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+        if op in bi.OPERATORS:
+            for size in (4, 16):
+                blocks = bi.score_blocks(tl.to_blocks(px, ["red"], size), images, [bi.BandModel("m", ("red",), m[0].scorer)], size, width, width, stride, op, border, batch=3)
+                got = {(r["row"], r["col"]): (r["seg"], r["dens"]) for r in tl.from_blocks(blocks, ["seg", "dens"]).collect()}
+                assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_blocks_are_scored_without_pixel_rows(spark, raster):
+    """Several networks, each with its own bands; one of them useless where its band has no number."""
+    rnd = np.random.default_rng(2)
+    px = raster(rnd.integers(0, 99, (12, 12)).tolist(), "red").withColumn("nir", F.when(F.col("col") < 6, F.lit(float("nan"))).otherwise(F.col("red") * 2.0))
+    models = [LinearModel("a", ("red",), (1.0,)), LinearModel("b", ("nir", "red"), (0.5, -0.2))]
+    images = px.select("image_id", "rows", "cols").distinct()
+    blocks = tl.to_blocks(px, ["nir", "red"], 4)
+    out = bi.score_blocks(blocks, images, [bi.BandModel(m.name, m.bands, m.scorer) for m in models], 4, 6, 6, 3)
+    want = {(r["row"], r["col"]): (r["seg"], r["dens"]) for r in inf.score_mosaic(px, models, 6, 6, 3).collect()}
+    got = {(r["row"], r["col"]): (r["seg"], r["dens"]) for r in tl.from_blocks(out, ["seg", "dens"]).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    stored = spark.createDataFrame(blocks.collect(), blocks.schema)
+    plan = bi.score_blocks(stored, images, [bi.BandModel("a", ("red",), models[0].scorer)], 4, 6, 6, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("FlatMapGroupsInArrow") == 2
+    with pytest.raises(ValueError):
+        bi.score_blocks(stored, images, [], 4, 6, 6, 3, "MIX")
 
 
 def test_whole_inference_against_arrays(spark, raster):
