@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..schemas import floor_div
 from .draws import hash01
 
 NAN = float("nan")
@@ -67,6 +68,18 @@ def _join_stats(df: DataFrame, keys: list[str], aggregates: list[Column]) -> Dat
     return df.join(df.groupBy(*keys).agg(*aggregates), keys)
 
 
+STATS_BLOCK = 512  # pixels; side of the blocks to which the statistics of an image are handed out
+
+
+def _join_image_stats(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
+    """Statistics of whole images, handed to the image's blocks and joined there: no shuffle gathers the pixels of an image."""
+    block = {"_sr": floor_div(F.col("row"), STATS_BLOCK), "_sc": floor_div(F.col("col"), STATS_BLOCK)}
+    placed = df.withColumns(block)
+    stats = df.groupBy(*keys).agg(*aggregates)
+    handed = placed.select(*keys, "_sr", "_sc").distinct().join(stats, keys)
+    return placed.join(handed, [*keys, "_sr", "_sc"]).drop("_sr", "_sc")
+
+
 def normalize_patch(df: DataFrame, keys: list[str], bands: list[str], eps: float = EPSILON) -> DataFrame:
     """z-score of each band over the rows of a window; rows are valid pixels only, before padding."""
     aggs = [F.avg(b).alias(f"_m_{b}") for b in bands] + [F.stddev_pop(b).alias(f"_s_{b}") for b in bands]
@@ -78,7 +91,10 @@ def normalize_patch(df: DataFrame, keys: list[str], bands: list[str], eps: float
 
 def normalize_tile(df: DataFrame, bands: list[str], keys: list[str] | None = None) -> DataFrame:
     """z-score with the statistics of the whole image and no epsilon."""
-    return normalize_patch(df, keys or ["image_id"], bands, eps=0.0)
+    aggs = [F.avg(b).alias(f"_m_{b}") for b in bands] + [F.stddev_pop(b).alias(f"_s_{b}") for b in bands]
+    out = _join_image_stats(df, keys or ["image_id"], aggs)
+    out = out.withColumns({b: zscore(b, f"_m_{b}", f"_s_{b}", 0.0) for b in bands})
+    return out.drop(*[f"_m_{b}" for b in bands], *[f"_s_{b}" for b in bands])
 
 
 @dataclass(frozen=True)
@@ -154,7 +170,7 @@ def minmax_rescale(
     """Maps [min, max] of each band and key to low + [0, width]."""
     target = target or MINMAX_TARGET
     aggs = [F.min(b).alias(f"_lo_{b}") for b in target] + [F.max(b).alias(f"_hi_{b}") for b in target]
-    out = _join_stats(df, keys, aggs)
+    out = _join_image_stats(df, keys, aggs)
     for b, (low, width) in target.items():
         unit = ieee_divide(_c(b) - _c(f"_lo_{b}"), _c(f"_hi_{b}") - _c(f"_lo_{b}"))
         out = out.withColumn(b, F.lit(low) + unit * F.lit(width))

@@ -7,7 +7,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .draws import hash_hex
 
-_BUCKET_DIGITS = 3  # 16**3 = 4096 buckets, so every per-bucket table has at most 4096 rows
+_LEAST_DIGITS = 3  # of the hash; 16**3 = 4096 buckets at least
+
+
+def bucket_digits(df: DataFrame) -> int:
+    """Hash digits that give sixteen buckets or more for each shuffle partition."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(_LEAST_DIGITS, len(f"{partitions * 16 - 1:x}"))
 
 
 def _bucket_offsets(df: DataFrame, bucket: str) -> DataFrame:
@@ -21,19 +27,22 @@ def _bucket_offsets(df: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def hashed_rank(df: DataFrame, seed: int | str, ids: list[str], rank: str = "rank", total: str = "total") -> DataFrame:
+def hashed_rank(
+    df: DataFrame, seed: int | str, ids: list[str], rank: str = "rank", total: str = "total", digits: int | None = None
+) -> DataFrame:
     """1-based rank of each row in the order of a seeded hash of ``ids``, and the row count.
 
     Rows are bucketed on the leading hash digits (uniform whatever the data), ranked inside
-    the bucket, and shifted by the rows of the buckets before it.
+    the bucket, and shifted by the rows of the buckets before it. Buckets grow in number with the
+    cluster (``digits``), not with the rows, so their offsets stay small.
     """
     hashed = df.withColumn("_h", hash_hex(seed, *[F.col(i) for i in ids]))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, _BUCKET_DIGITS))
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, digits or bucket_digits(df)))
     inside = Window.partitionBy("_b").orderBy("_h", *ids)
     offsets = _bucket_offsets(hashed, "_b")
     return (
         hashed.withColumn("_r", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_b")  # at most 4096 rows
+        .join(F.broadcast(offsets), "_b")  # a row for each bucket
         .withColumn(rank, (F.col("_before") + F.col("_r")).cast("long"))
         .withColumn(total, F.col("_total").cast("long"))
         .drop("_h", "_b", "_r", "_before", "_total")

@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import floor_div
-from ..session import spread
 
 BLOCK = 64  # pixels; side of the blocks in which neighbourhoods are summed
 
@@ -43,7 +42,7 @@ def with_halo(df: DataFrame, radius: int, keys: list[str], block: int = BLOCK) -
         return F.explode(F.sequence(first, last))
 
     haloed = df.withColumn("_br", blocks("row", "rows")).withColumn("_bc", blocks("col", "cols"))
-    return spread(haloed, *keys, "_br", "_bc")
+    return haloed.repartition(*keys, "_br", "_bc")  # a whole raster: its bytes say how many partitions there are
 
 
 def _in_block(axis: str, factor: int = 1, block: int = BLOCK) -> Column:

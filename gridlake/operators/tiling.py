@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import hash_index
+from ..functions.numbering import ordered_number
 from ..schemas import WINDOW, field, floor_div
 
 
@@ -142,16 +143,21 @@ def random_patches(frames: DataFrame, n: int, size: int, seed: int, epoch: int =
     })
 
 
-def sample_frames(frames: DataFrame, n_frames: int, steps: int, batch: int, seed: int, epoch: int = 0) -> DataFrame:
-    """One row per batch slot with a frame drawn with replacement; ``frames`` carries ``frame_idx`` 0..n-1."""
+def sample_frames(frames: DataFrame, steps: int, batch: int, seed: int, epoch: int = 0) -> DataFrame:
+    """One row per batch slot with a frame drawn with replacement.
+
+    Frames are numbered in the order of their id, whatever the ids are, so no slot stays empty while there is a frame.
+    """
     spark = frames.sparkSession
+    numbered = ordered_number(frames, ["frame_id"], "frame_idx")
+    n_frames = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
     slots = spark.range(steps * batch).select(
         F.floor(F.col("id") / F.lit(batch)).cast("int").alias("step"), F.pmod("id", F.lit(batch)).cast("int").alias("slot")
     )
     drawn = slots.withColumn(
-        "frame_idx", hash_index(F.lit(n_frames), f"{seed}f", F.lit(epoch), F.col("step"), F.col("slot")).cast("long")
+        "frame_idx", hash_index(n_frames, f"{seed}f", F.lit(epoch), F.col("step"), F.col("slot")).cast("long")
     )
-    return drawn.join(frames, "frame_idx")
+    return drawn.join(numbered, "frame_idx")
 
 
 def cut_patches(pixels: DataFrame, patches: DataFrame, size: int, frame: str = "frame_id") -> DataFrame:
@@ -168,6 +174,17 @@ def cut_patches(pixels: DataFrame, patches: DataFrame, size: int, frame: str = "
     return joined.where(r.between(0, size - 1) & c.between(0, size - 1)).withColumns({"row": r, "col": c})
 
 
+def zero_pad(cut: DataFrame, patches: DataFrame, size: int, keys: list[str], values: list[str]) -> DataFrame:
+    """Adds zero rows where a patch reaches beyond its frame: ``patches`` has keys, patch_row, patch_col, rows, cols.
+
+    Only patches of frames smaller than the patch do; the rows come from arithmetic, not from a join with the pixels.
+    """
+    high, wide = F.col("rows") - F.col("patch_row"), F.col("cols") - F.col("patch_col")
+    beyond = patches.where((high < size) | (wide < size)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    beyond = beyond.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).where((F.col("row") >= high) | (F.col("col") >= wide))
+    return cut.unionByName(beyond.select(*keys, "row", "col", *[F.lit(0.0).alias(v) for v in values]))
+
+
 def half_res_pair(pixels: DataFrame, half: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Adds the columns of a half-resolution table: same key, row and column halved."""
     keys = keys or ["image_id"]
@@ -199,7 +216,3 @@ def patch_stats(df: DataFrame, keys: list[str], bands: list[str], density: str |
     if density:
         aggs.append(F.sum(density).alias("object_count"))
     return df.groupBy(*keys).agg(*aggs)
-
-
-def distinct_weights(df: DataFrame, weight: str = "weight") -> DataFrame:
-    return df.select(weight).distinct()

@@ -8,38 +8,38 @@ from ..functions.bands import maybe_normalize
 from ..functions.draws import hash_index
 from ..operators.labels import binarize, boundary_weight
 from ..operators.sampling import flip_lr, flip_ud, random_crop_resize
-from ..operators.tiling import cut_patches, sample_frames
+from ..operators.tiling import cut_patches, sample_frames, zero_pad
 
 PATCH = ["step", "slot"]
 
 
-def draw_patches(
-    frames: DataFrame, n_frames: int, epoch: int, steps: int, batch: int, size: int, seed: int
-) -> DataFrame:
-    """(step, slot, frame_id, patch_row, patch_col) of one epoch; frames is (frame_id, frame_idx, rows, cols)."""
-    drawn = sample_frames(frames, n_frames, steps, batch, seed, epoch)
+def draw_patches(frames: DataFrame, epoch: int, steps: int, batch: int, size: int, seed: int) -> DataFrame:
+    """(step, slot, frame_id, rows, cols, patch_row, patch_col) of one epoch; frames is (frame_id, rows, cols)."""
+    drawn = sample_frames(frames, steps, batch, seed, epoch)
     ids = [F.lit(epoch), F.col("step"), F.col("slot")]
     return drawn.select(
-        "step", "slot", "frame_id",
+        "step", "slot", "frame_id", "rows", "cols",
         hash_index(F.col("rows") - F.lit(size), f"{seed}r", *ids).alias("patch_row"),
         hash_index(F.col("cols") - F.lit(size), f"{seed}c", *ids).alias("patch_col"))
 
 
 def training_batches(
-    frames: DataFrame, pixels: DataFrame, n_frames: int, epoch: int, steps: int, batch: int, size: int, bands: list[str],
+    frames: DataFrame, pixels: DataFrame, epoch: int, steps: int, batch: int, size: int, bands: list[str],
     seed: int = 1117, normalize: float = 0.4, weight: float = 5.0, augment: bool = True,
 ) -> DataFrame:
     """Rows (step, slot, row, col, bands…, ann, weight, density) of one epoch.
 
     ``pixels`` is (frame_id, row, col, bands…, annotation, boundary, density). The same seed,
-    epoch and step always give the same rows, whatever the partitioning.
+    epoch and step always give the same rows, whatever the partitioning. Frames smaller than the patch are
+    normalised by their own pixels, then padded with zeros (weight 1).
     """
-    patches = draw_patches(frames, n_frames, epoch, steps, batch, size, seed)
+    patches = draw_patches(frames, epoch, steps, batch, size, seed)
     labels = ["annotation", "boundary", "density"]
-    cut = cut_patches(pixels.select("frame_id", "row", "col", *bands, *labels), patches, size)
+    cut = cut_patches(pixels.select("frame_id", "row", "col", *bands, *labels), patches.drop("rows", "cols"), size)
     px = cut.select(*PATCH, "row", "col", *[F.col(c).cast("double").alias(c) for c in [*bands, *labels]])
     tag = f"{seed}-{epoch}-"
-    px = maybe_normalize(px, normalize, f"{tag}n", PATCH, bands)
+    px = maybe_normalize(px, normalize, f"{tag}n", PATCH, bands).select(*PATCH, "row", "col", *bands, *labels)
+    px = zero_pad(px, patches, size, PATCH, [*bands, *labels])
     if augment:
         px = flip_ud(flip_lr(px, size, f"{tag}a", PATCH), size, f"{tag}a", PATCH)
         px = random_crop_resize(px, size, f"{tag}a", PATCH, [*bands, *labels])

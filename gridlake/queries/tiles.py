@@ -101,13 +101,14 @@ def cut_random_patches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_ctes(["images"], f"""
-    SELECT step, slot, frame_idx AS frame_id, rows, cols
+    SELECT step, slot, frame_id, rows, cols
     FROM (SELECT CAST(i.range // 8 AS INTEGER) AS step, CAST(i.range % 8 AS INTEGER) AS slot,
             {_hash_sql('11f', '2', 'i.range // 8', 'i.range % 8')} % (SELECT count(*) FROM images) AS frame_idx FROM range(160) i) d
-    JOIN images ON images.image_id = d.frame_idx"""))
+    JOIN (SELECT image_id * 7 + 3 AS frame_id, row_number() OVER (ORDER BY image_id) - 1 AS frame_idx, rows, cols FROM images) USING (frame_idx)"""))
 def sample_frames(spark: SparkSession, sf: str) -> DataFrame:
-    frames = _frames(spark, sf).withColumn("frame_idx", F.col("frame_id"))
-    return tl.sample_frames(frames, frames.count(), 20, 8, 11, 2).select("step", "slot", "frame_id", "rows", "cols")
+    """Frames whose ids have gaps."""
+    frames = _frames(spark, sf).withColumn("frame_id", F.col("frame_id") * 7 + 3)
+    return tl.sample_frames(frames, 20, 8, 11, 2).select("step", "slot", "frame_id", "rows", "cols")
 
 
 @query(with_ctes(["px"], f"""
@@ -283,10 +284,11 @@ def height_scale(spark: SparkSession, sf: str) -> DataFrame:
     return fx.pixels(spark, sf).select("image_id", "row", "col", *[R(fb.height_scale("infrared", m)).alias(m) for m in modes])
 
 
-@query(with_ctes(["ztiles", "tiles"], f"""
+@query(with_ctes(["tiles"], f"""
     SELECT image_id, win_col, win_row, row, col,
-      CASE WHEN {_hash_sql('5', 'image_id', 'win_col', 'win_row')} / 4294967296.0::DOUBLE <= 0.4::DOUBLE THEN {r6('z.red')} ELSE t.red END AS red
-    FROM tiles t JOIN ztiles z USING (image_id, win_col, win_row, row, col)"""))
+      CASE WHEN {_hash_sql('5', 'image_id', 'win_col', 'win_row')} / 4294967296.0::DOUBLE <= 0.4::DOUBLE
+        THEN {r6('(red - avg(red) OVER w) / (stddev_pop(red) OVER w + 1e-8)')} ELSE red END AS red
+    FROM tiles WINDOW w AS (PARTITION BY image_id, win_col, win_row)"""))
 def maybe_normalize(spark: SparkSession, sf: str) -> DataFrame:
     t = tl.tile_pixels(fx.pixels(spark, sf).select("image_id", "row", "col", "red"), W, W, S)
     return fb.maybe_normalize(t, 0.4, 5, WINDOW, ["red"]).select(*WINDOW, "row", "col", R("red").alias("red"))

@@ -151,17 +151,13 @@ _DRAWN = ("dr", f"""
     SELECT step, slot, frame_id, {_hash_sql('21r', '4', 'step', 'slot')} % {SIDE - P} AS patch_row,
       {_hash_sql('21c', '4', 'step', 'slot')} % {SIDE - P} AS patch_col
     FROM (SELECT CAST(i.range // 4 AS INTEGER) AS step, CAST(i.range % 4 AS INTEGER) AS slot,
-            {_hash_sql('21f', '4', 'i.range // 4', 'i.range % 4')} % (SELECT count(*) FROM images) AS frame_id FROM range(48) i)""")
-
-
-def _framed(spark: SparkSession, sf: str) -> DataFrame:
-    return _frames(spark, sf).withColumn("frame_idx", F.col("frame_id"))
+            {_hash_sql('21f', '4', 'i.range // 4', 'i.range % 4')} % (SELECT count(*) FROM images) AS frame_idx FROM range(48) i)
+    JOIN (SELECT image_id AS frame_id, row_number() OVER (ORDER BY image_id) - 1 AS frame_idx FROM images) USING (frame_idx)""")
 
 
 @query(with_ctes(["images"], "SELECT step, slot, frame_id, patch_row, patch_col FROM dr", extra=[_DRAWN]))
 def draw_training_patches(spark: SparkSession, sf: str) -> DataFrame:
-    frames = _framed(spark, sf)
-    return draw_patches(frames, frames.count(), 4, 12, 4, P, 21)
+    return draw_patches(_frames(spark, sf), 4, 12, 4, P, 21).drop("rows", "cols")
 
 
 @query(with_ctes(["images", "px"], f"""
@@ -174,8 +170,7 @@ def draw_training_patches(spark: SparkSession, sf: str) -> DataFrame:
     WINDOW w AS (PARTITION BY step, slot)""", extra=[_DRAWN]))
 def training_batches_plain(spark: SparkSession, sf: str) -> DataFrame:
     """An epoch without augmentation: draws, cuts, normalisation by chance, label targets."""
-    frames = _framed(spark, sf)
-    out = training_batches(frames, _labelled(spark, sf), frames.count(), 4, 12, 4, P, ["red"], 21, augment=False)
+    out = training_batches(_frames(spark, sf), _labelled(spark, sf), 4, 12, 4, P, ["red"], 21, augment=False)
     return out.withColumn("red", R("red"))
 
 
@@ -188,8 +183,7 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_ctes(["images"], f"SELECT step, slot, CAST({P * P} AS BIGINT) AS n_px, CAST(1 AS BOOLEAN) AS targets_ok FROM dr", extra=[_DRAWN]))
 def training_batches_augmented(spark: SparkSession, sf: str) -> DataFrame:
     """A whole epoch with flips and crops: every patch stays full and its targets stay binary."""
-    frames = _framed(spark, sf)
-    out = training_batches(frames, _labelled(spark, sf), frames.count(), 4, 12, 4, P, ["red"], 21)
+    out = training_batches(_frames(spark, sf), _labelled(spark, sf), 4, 12, 4, P, ["red"], 21)
     return out.groupBy("step", "slot").agg(
         F.count(F.lit(1)).alias("n_px"), F.min(F.col("ann").isin(0, 1) & F.col("weight").isin(1.0, 5.0)).alias("targets_ok"))
 

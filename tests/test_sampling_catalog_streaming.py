@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlake.functions.draws import hash01, hash_index
-from gridlake.operators import sampling as sp
+from gridlake.operators import sampling as sp, tiling as tl
 from gridlake.plans.training import training_batches, write_epoch
 from gridlake.sources import catalog as ct, io
 from gridlake.streaming import incremental as inc
@@ -68,13 +68,13 @@ def test_identity_affine(spark):
 def test_epoch_repeats_whatever_the_partitioning(spark, tmp_path):
     px = patch(spark, 12).select("frame_id", "row", "col", F.col("v").alias("red"), (F.col("v") % 2).cast("int").alias("annotation"),
                                  (F.col("v") % 3 == 0).cast("int").alias("boundary"), (F.col("v") / 100).alias("density"))
-    frames = spark.range(6).select(F.col("id").cast("int").alias("frame_id"), F.col("id").alias("frame_idx"), F.lit(12).alias("rows"), F.lit(12).alias("cols"))
-    args = (6, 1, 3, 4, 5, ["red"])
+    frames = spark.range(6).select(F.col("id").cast("int").alias("frame_id"), F.lit(12).alias("rows"), F.lit(12).alias("cols"))
+    args = (1, 3, 4, 5, ["red"])
     a = training_batches(frames, px, *args)
     b = training_batches(frames.repartition(3), px.repartition(4), *args)
     rounded = lambda df: sorted(tuple(round(float(x), 9) for x in r) for r in df.collect())
     assert rounded(a) == rounded(b) and a.count() == 3 * 4 * 25
-    other = training_batches(frames, px, 6, 2, 3, 4, 5, ["red"])
+    other = training_batches(frames, px, 2, 3, 4, 5, ["red"])
     assert rounded(other) != rounded(a)
     write_epoch(a, str(tmp_path / "t"), 1)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 300
@@ -139,7 +139,28 @@ def test_sinks(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "c")).collect()} == {(7, 1), (8, 0)}
 
 
-def test_new_images_are_processed_once(spark, tmp_path):
+def test_sampled_frames_fill_every_slot_whatever_their_ids(spark):
+    frames = spark.createDataFrame([(0, 9, 9), (5, 9, 9), (70, 9, 9)], "frame_id int, rows int, cols int")
+    got = tl.sample_frames(frames, 5, 4, 3).collect()
+    assert len(got) == 20 and {r["frame_id"] for r in got} == {0, 5, 70}
+    assert tl.sample_frames(frames.limit(0), 5, 4, 3).count() == 0
+
+
+def test_small_frames_are_padded(spark):
+    px = spark.range(100).select(
+        F.lit(4).alias("frame_id"), (F.col("id") / 10).cast("int").alias("row"), (F.col("id") % 10).cast("int").alias("col"), F.col("id").cast("double").alias("red"),
+        F.lit(1).alias("annotation"), F.lit(1).alias("boundary"), F.lit(0.5).alias("density"))
+    frames = spark.createDataFrame([(4, 10, 10)], "frame_id int, rows int, cols int")
+    for augment in (False, True):
+        got = training_batches(frames, px, 0, 2, 3, 16, ["red"], augment=augment)
+        assert got.groupBy("step", "slot").count().where("count != 256").isEmpty() and got.count() == 6 * 256
+    plain = training_batches(frames, px, 0, 2, 3, 16, ["red"], augment=False)
+    outside = plain.where("row > 9 or col > 9")
+    assert outside.count() == 6 * 156 and outside.where("red != 0 or ann != 0 or weight != 1 or density != 0").isEmpty()
+    assert plain.where("row < 10 and col < 10 and ann = 1 and weight = 5").count() == 600
+
+
+def test_new_files_are_processed_once(spark, tmp_path):
     source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     schema = spark.createDataFrame([], "image_id long, v double").schema
 
@@ -147,22 +168,24 @@ def test_new_images_are_processed_once(spark, tmp_path):
         spark.createDataFrame([(i, float(i)) for i in ids], schema).coalesce(1).write.mode("append").parquet(source)
 
     def run(where=state):
-        inc.process_new_images(inc.stream_pixels(spark, source, schema), lambda b: b, out, where).awaitTermination()
+        inc.process_new_images(inc.stream_pixels(spark, source, schema, 1), lambda b: b, out, where).awaitTermination()
         return sorted(r["image_id"] for r in spark.read.parquet(out).collect())
 
     arrive(1, 2)
     assert run() == [1, 2]
     assert run() == [1, 2]
     arrive(2, 3)
-    assert run() == [1, 2, 3], "image 2 came again in a new file and is skipped"
+    arrive(2)
+    assert run() == [1, 2, 2, 2, 3], "image 2 has parts in three files, each in a micro-batch of its own"
+    assert run(str(tmp_path / "other")) == [1, 2, 2, 2, 3], "the ledger outlives the checkpoint"
 
 
 def test_running_totals(spark, tmp_path):
     source = str(tmp_path / "s")
     spark.createDataFrame([("ok",), ("ok",), ("failed",)], "status string").write.parquet(source)
     stream = inc.stream_pixels(spark, source, spark.read.parquet(source).schema)
-    inc.start_running_counts(stream, "totals", str(tmp_path / "c")).awaitTermination()
-    assert {tuple(r) for r in spark.table("totals").collect()} == {("ok", 2), ("failed", 1)}
+    inc.start_running_counts(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    assert {tuple(r) for r in inc.latest_counts(spark, str(tmp_path / "t")).collect()} == {("ok", 2), ("failed", 1)}
 
 
 class FakeSession:
