@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one vectorised step looks at, so that its work arrays stay in the hundreds of MB.
-STEP_BYTES = 4 << 20
+#: Bytes of text that one vectorised step looks at, so that its work arrays stay in the tens of MB.
+STEP_BYTES = 1 << 20
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,6 +43,46 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         start = end
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sorted; how often each occurs). Sorting is far faster here than hashing."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sorted; the place of each key among them)."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], out
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range: its bytes as a polynomial, from sums over the whole buffer, then mixed with its length."""
+    with np.errstate(over="ignore"):
+        n = len(data)
+        power = np.full(n + 1, _PRIME, dtype=np.uint64)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        back = np.full(n + 1, np.uint64(pow(int(_PRIME), -1, 1 << 64)), dtype=np.uint64)
+        back[0] = 1
+        np.cumprod(back, out=back)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+        return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def string_hashes(strings: pa.StringArray) -> np.ndarray:
+    """``range_hashes`` of an array of strings without nulls."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return range_hashes(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+
+
 class Words:
     """The words of a column of texts: byte ranges, the row of each, and 64-bit hashes.
 
@@ -67,18 +107,8 @@ class Words:
         self.first = np.cumsum(self.count) - self.count
 
     def hashes(self) -> np.ndarray:
-        """One 64-bit hash a word: its bytes as a polynomial, from sums over the whole buffer, then mixed with its length."""
-        with np.errstate(over="ignore"):
-            n = len(self.low)
-            power = np.full(n + 1, _PRIME, dtype=np.uint64)
-            power[0] = 1
-            np.cumprod(power, out=power)
-            back = np.full(n + 1, np.uint64(pow(int(_PRIME), -1, 1 << 64)), dtype=np.uint64)
-            back[0] = 1
-            np.cumprod(back, out=back)
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-            return mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+        """One 64-bit hash a word."""
+        return range_hashes(self.low, self.start, self.end)
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:

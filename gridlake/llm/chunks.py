@@ -7,6 +7,7 @@ shuffled is distinct hashes of a chunk, not tokens, and no table of the corpus i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,11 +16,11 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import ensure_checkpoint_dir
 from .arrays import steps
 
 #: Bytes of text in a chunk, before compression; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -34,6 +35,23 @@ def unsqueeze(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, -1).T).reshape(-1).view(dtype)
 
 
+def written(df: DataFrame, key: str, deal: bool = True) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, bucketed by ``key``: what is later joined or grouped by it need not be shuffled.
+
+    Rows are dealt to their buckets first, so that a bucket is one file; with few large rows (``deal`` False) each task writes its own.
+    The table's name is dropped again, its files stay as checkpoints do.
+    """
+    spark = df.sparkSession
+    name = f"gridlake_{uuid.uuid4().hex}"
+    place = f"{ensure_checkpoint_dir(spark)}/{name}"
+    dealt = df.repartition(buckets_for(df), key) if deal else df
+    dealt.write.format("parquet").option("path", place).bucketBy(buckets_for(df), key).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # settles the plan
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def freeze(df: DataFrame, text: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, payload): all rows of ``df``, written to the checkpoint folder, so that a chunk is the same wherever it is read."""
 
@@ -42,7 +60,7 @@ def freeze(df: DataFrame, text: str, limit: int = CHUNK_BYTES) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
                 for b in held:
                     out.write_batch(b)
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "payload"])
@@ -57,7 +75,7 @@ def freeze(df: DataFrame, text: str, limit: int = CHUNK_BYTES) -> DataFrame:
         if held:
             yield packed()
 
-    return cut_lineage(df.mapInArrow(pack, "chunk long, payload binary"))
+    return written(df.mapInArrow(pack, "chunk long, payload binary"), "chunk", deal=False)
 
 
 def batches_of(payload: bytes) -> list[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
-from .arrays import ALNUM, Words, grams, steps, windows
+from .arrays import ALNUM, Words, distinct, grams, steps, windows
 
 #: Words of a window, and of a shingle within it.
 WINDOW, SHINGLE = 10, 3
@@ -95,7 +95,7 @@ def document_frequency(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
                         k, row = _shingles(hashes, w.first, w.count, n)
                         hit = _found(k, held.value)
                         pairs = np.unique(np.stack([k[hit], row[hit].astype(np.uint64)]), axis=1)
-                        shingle, df_ = np.unique(pairs[0], return_counts=True)
+                        shingle, df_ = distinct(pairs[0])
                         yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(df_.astype(np.int64))], ["shingle", "df"])
 
         part = df.select(F.col(text)).mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))

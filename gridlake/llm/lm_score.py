@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import SPACED, Words, mix, steps
+from .arrays import SPACED, Words, distinct, mix, places, steps
 from .chunks import CHUNK_BYTES, answered, batches_of, bucket_edges, buckets_for, freeze, requests, squeeze, unsqueeze
 
 #: Documents whose CRC-32 of the id, as text, leaves HELD_OUT modulo FOLDS are not learned from.
@@ -49,8 +49,8 @@ class Tokens:
 
     def asked(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys, sorted; how often the learned texts have each)."""
-        every = np.unique(keys)
-        known, n = np.unique(keys[np.repeat(self.learn, self.size)], return_counts=True)
+        every, _ = distinct(keys)
+        known, n = distinct(keys[np.repeat(self.learn, self.size)])
         counts = np.zeros(len(every), dtype=np.uint32)
         counts[np.searchsorted(every, known)] = n
         return every, counts
@@ -74,7 +74,7 @@ def _ask(buckets: int):
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
     """(each asker's keys' totals over all, sum of totals, keys with any)."""
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every, at = places(np.concatenate(keys))
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
     return np.split(total[at], np.cumsum([len(k) for k in keys])[:-1]), int(total.sum()), int((total > 0).sum())
 
@@ -108,7 +108,7 @@ def _score(payload: bytes, answers: pa.Table) -> pa.Table:
     counts = {}
     for kind, keys in (("token", t.token), ("pair", t.pair)):
         told = np.concatenate([unsqueeze(r[f"{kind}_n"], np.int64) for r in rows])
-        counts[kind] = told[np.searchsorted(np.unique(keys), keys)]
+        counts[kind] = told[places(keys)[1]]
     ends = counts["token"][t.first[0] + t.size[0] - 1]  # as many texts begin as end
     state_n = np.concatenate([[ends], counts["token"][:-1]])
     low, arcs = walk(counts["token"], state_n, counts["pair"], total, kinds)
