@@ -6,19 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.objects import connect
 from ..session import cut_lineage
-from .arrays import SPACED, Words, grams, mix, steps, windows
-from .chunks import CHUNK_BYTES, answered, batches_of, bucket_edges, buckets_for, freeze, requests, squeeze, unsqueeze
+from .arrays import SPACED, Words, distinct, grams, mix, places, steps, windows
+from .chunks import CHUNK_BYTES, answered, batches_of, bucket_edges, buckets_for, freeze, requests, squeeze, unsqueeze, written
 
 #: Words of a shingle; two texts link from so many hundredths of their union on.
 SHINGLE, PERCENT = 5, 75
 #: Pivots that a region is joined with before the pairs left in it are compared outright.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
+#: Sets in the strips of a cell that are compared at once, and distinct shingles of them that one step looks at.
+NARROW, WIDE, TILE_TOKENS = 64, 256, 1 << 13
 
-_RADIUS = 1 - PERCENT / 100
+_SLACK = 1 - PERCENT / 100 + 1e-9  # the radius, and room for rounding
 _OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
@@ -39,7 +41,8 @@ def shingles(part: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.n
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     key, row = np.concatenate(keys), np.concatenate(rows)
-    order = np.lexsort((key, row))
+    order = np.argsort(key)
+    order = order[np.argsort(row[order].astype(np.uint16 if part.num_rows < 1 << 16 else np.int64), kind="stable")]  # 16 bits: a radix sort
     key, row = key[order], row[order]
     fresh = np.ones(len(key), dtype=bool)
     fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
@@ -49,7 +52,7 @@ def shingles(part: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.n
 def _ask(buckets: int):
     def ask(payload: bytes) -> Iterator[dict]:
         every = [shingles(part)[0] >> np.uint64(32) for batch in batches_of(payload) for part in steps(batch)]
-        keys, n = np.unique(np.concatenate(every).astype(np.uint32), return_counts=True)
+        keys, n = distinct(np.concatenate(every).astype(np.uint32))
         edge = bucket_edges(keys, buckets, 32)
         for b in range(buckets):
             mine = keys[edge[b] : edge[b + 1]]
@@ -62,7 +65,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     """For each shingle class of each chunk how many documents have it, in steps: 1, 2, 3 ... 15, then sixteen to the doubling."""
     rows = asked.to_pylist()
     keys = [np.cumsum(unsqueeze(r["gaps"], np.uint32), dtype=np.uint32) for r in rows]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every, at = places(np.concatenate(keys))
     total = np.bincount(at, weights=np.concatenate([unsqueeze(r["n"], np.uint32) for r in rows]), minlength=len(every))
     step = np.where(total < 16, total, np.minimum(255, 16 * np.log2(np.maximum(total, 1)) - 48)).astype(np.uint8)
     told = np.split(step[at], np.cumsum([len(k) for k in keys])[:-1])
@@ -71,24 +74,28 @@ def _answer(asked: pa.Table) -> pa.Table:
         "step": pa.array([squeeze(x) for x in told], pa.binary())})
 
 
-_SETS = "set_a long, set_b long, n int, prefix array<long>, places array<int>, shared array<long>"
+#: ``shared`` are the shingles that other documents have too, rarest first; its first ``n_prefix`` are those of the prefix.
+_SETS = "set_a long, set_b long, n int, n_prefix int, shared array<long>"
 
 
-def _lists(values: np.ndarray, row: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
+def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
 
 
 def _prefixes(payload: bytes, answers: pa.Table) -> pa.Table:
     parts = [(part, *shingles(part)) for batch in batches_of(payload) for part in steps(batch)]
-    known = np.unique(np.concatenate([key >> np.uint64(32) for _, key, _ in parts]).astype(np.uint32))
-    told = np.concatenate([unsqueeze(s.as_py(), np.uint8) for s in answers.column("step").combine_chunks()])
-    out = []
+    _, at = places(np.concatenate([key >> np.uint64(32) for _, key, _ in parts]).astype(np.uint32))
+    told = np.concatenate([unsqueeze(s.as_py(), np.uint8) for s in answers.column("step").combine_chunks()])[at]
+    out, done = [], 0
     for part, key, row in parts:
         rows = part.num_rows
-        often = told[np.searchsorted(known, (key >> np.uint64(32)).astype(np.uint32))]
+        often = told[done : done + len(key)]
+        done += len(key)
         n = np.bincount(row, minlength=rows)
-        order = np.lexsort((key, often, row))
+        # by row, then rarity, then key: rows hold their keys in order already, and stable sorts keep it
+        order = np.argsort(often, kind="stable")
+        order = order[np.argsort(row[order].astype(np.uint16 if rows < 1 << 16 else np.int64), kind="stable")]
         key, often, row = key[order], often[order], row[order]
         place = np.arange(len(key)) - (np.cumsum(n) - n)[row]
         twice = often > 1  # else no other document has it
@@ -103,18 +110,12 @@ def _prefixes(payload: bytes, answers: pa.Table) -> pa.Table:
                 sums.append(mix(total[ends] - total[ends - n]).view(np.int64))
         out.append(pa.table({
             "id": part.column("id"), "set_a": pa.array(sums[0]), "set_b": pa.array(sums[1]), "n": pa.array(n, pa.int32()),
-            "prefix": _lists(key[inside].view(np.int64), row[inside], rows, pa.int64()), "places": _lists(place[inside], row[inside], rows, pa.int32()),
-            "shared": _lists(key[shared].view(np.int64), row[shared], rows, pa.int64())}))
+            "n_prefix": pa.array(np.bincount(row[inside], minlength=rows), pa.int32()), "shared": _lists(key[shared].view(np.int64), row[shared], rows)}))
     return pa.concat_tables(out)
 
 
-def _may_link(n: str, m: str) -> Column:
-    """Sets whose sizes alone allow a link."""
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
-
-
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, distance, linked) of pairs of sets (x, y): the exact Jaccard distance."""
+    """(x, y, distance, linked) of pairs of sets (x, y): the exact Jaccard distance. ``sets`` is bucketed, so only the pairs move."""
     one = sets.select(F.col("uid").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xs"))
     two = sets.select(F.col("uid").alias("y"), F.col("n").alias("yn"), F.col("shared").alias("ys"))
     both = F.size(F.array_intersect("xs", "ys"))
@@ -122,28 +123,83 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("x", "y", (1 - F.col("both") / F.col("all")).alias("distance"), (100 * F.col("both") >= PERCENT * F.col("all")).alias("linked"))
 
 
+def _cells(regions: DataFrame) -> DataFrame:
+    """(cell, uid, root, open): what is compared with each other, and which sets are not in its main component.
+
+    Regions with the same main component make one cell, so that a pair is compared once however many tokens it shares. Where that joins
+    so much that its regions one by one are fewer pairs, they stay cells of their own.
+    """
+    apart = regions.groupBy("main", "token").agg(F.sum(F.col("open").cast("long")).alias("o"), F.count(F.lit(1)).alias("c"))
+    apart = apart.groupBy("main").agg(F.sum(F.col("o").cast("double") * F.col("c")).alias("apart"))
+    sets = regions.select("main", "uid", "root", "open").distinct()
+    cost = sets.groupBy("main").agg(F.sum(F.col("open").cast("long")).alias("o"), F.count(F.lit(1)).alias("c")).join(apart, "main")
+    cost = cost.select("main", (F.col("o").cast("double") * F.col("c") > F.col("apart")).alias("split"))
+    # a token may equal the id of a component: both are then one cell, which compares more and loses nothing
+    cell = F.when(F.col("split"), F.col("token")).otherwise(F.col("main"))
+    return regions.join(cost, "main").select(cell.alias("cell"), "uid", "root", "open").distinct()
+
+
+def _compared(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): links between the open sets of a cell and any other of its sets, of another component.
+
+    Sets are dealt into strips of the cell, open ones narrow, all of them wide, and each pair of strips is a tile that one task compares at
+    once. A set is sent once for each strip of the other side, so what moves grows with the sets and strips, not with the pairs.
+    """
+    sizes = cells.groupBy("cell").agg(
+        F.ceil(F.sum(F.col("open").cast("int")) / NARROW).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("across"))
+    held = cells.join(sizes, "cell").join(sets.select("uid", "n", "shared"), "uid")
+    strip = lambda many: F.pmod(F.xxhash64("uid"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    rows = ["cell", "uid", "root", "open", "n", "shared"]
+    left = held.filter("open").select(*rows, strip("down").alias("i"), every("across").alias("j"), F.lit(True).alias("row"))
+    right = held.select(*rows, every("down").alias("i"), strip("across").alias("j"), F.lit(False).alias("row"))
+    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(_tile, "u long, v long")
+
+
+def _tile(group: pa.Table) -> pa.Table:
+    """Links within a tile, by the intersections of all its sets at once as a product of two incidence matrices."""
+    is_row = group.column("row").to_numpy()
+    down, across = np.flatnonzero(is_row), np.flatnonzero(~is_row)
+    shared = group.column("shared").combine_chunks()
+    size = np.diff(shared.offsets.to_numpy())
+    kinds, at = places(shared.flatten().to_numpy())
+    owner = np.repeat(np.arange(len(size)), size)
+    both = np.zeros((len(down), len(across)), dtype=np.float32)
+    for start in range(0, len(kinds), TILE_TOKENS):
+        here = (at >= start) & (at < start + TILE_TOKENS)
+        part = np.zeros((len(size), TILE_TOKENS), dtype=np.float32)
+        part[owner[here], at[here] - start] = 1.0
+        both += part[down] @ part[across].T
+    both = both.astype(np.int64)
+    uid, root, n, is_open = (group.column(c).to_numpy() for c in ("uid", "root", "n", "open"))
+    total = n[down][:, None].astype(np.int64) + n[across][None, :] - both
+    linked = (100 * both >= PERCENT * total) & (root[down][:, None] != root[across][None, :])
+    linked &= ~is_open[across][None, :] | (uid[down][:, None] < uid[across][None, :])
+    r, c = np.nonzero(linked)
+    return pa.table({"u": pa.array(uid[down][r], pa.int64()), "v": pa.array(uid[across][c], pa.int64())})
+
+
 def _regions(postings: DataFrame) -> DataFrame:
     """Postings with the pivot of their region: its smallest set. A region of one set is joined with nothing and goes."""
     found = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("pivot")).filter("many > 1")
     return postings.join(found.select("token", "pivot"), "token")
 
 
-def links(sets: DataFrame) -> DataFrame:
+def links(sets: DataFrame, postings: DataFrame) -> DataFrame:
     """(u, v): links between sets, enough of them to connect whatever links connect.
 
     Sets that link share a token of both prefixes (the quarter of their shingles that fewest documents have), so each prefix token is a
     region. The region's pivot is its smallest id, which is the same in most regions of a group of copies. All distances to
     pivots are measured. Sets within the radius of the pivot are connected by it. Two sets can link only if their distances to the
-    pivot differ by the radius or less (triangle inequality), their sizes allow it, and the token stands early enough in both.
-    What is left of a region, sets that are not connected to its pivot, is joined in the same way with its next pivot; after
-    PIVOT_ROUNDS the pairs left, of a set not yet connected and any other within the windows, are compared outright.
+    pivot differ by the radius or less (triangle inequality) and their sizes allow it: the window of a region's open sets
+    says which others stay in it. What is left of a region, sets that are not connected to its pivot, is joined in the same way with its next
+    pivot; after PIVOT_ROUNDS the regions with the same main component are cells, and their open sets are compared outright with all sets of
+    the cell, in tiles of bounded size.
     """
-    postings = cut_lineage(sets.select("uid", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select(
-        "uid", "n", F.col("p.prefix").alias("token"), F.col("p.places").alias("place")))
     regions = cut_lineage(_regions(postings))
     edges = None
     for _ in range(PIVOT_ROUNDS):
-        regions = regions.select("token", "uid", "n", "place", "pivot")
+        regions = regions.select("token", "uid", "n", "pivot")
         asked = regions.filter("uid != pivot").select(F.col("uid").alias("x"), F.col("pivot").alias("y")).distinct()
         measured = cut_lineage(_measured(asked, sets))
         new = measured.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -152,21 +208,18 @@ def links(sets: DataFrame) -> DataFrame:
         # the pivot has met all of its region and leaves it
         met = regions.join(measured.select(F.col("x").alias("uid"), F.col("y").alias("pivot"), "distance"), ["uid", "pivot"]).drop("pivot")
         met = cut_lineage(met.join(group, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
-        parts = met.groupBy("token", "root").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("first"))
+        parts = met.groupBy("token", "root").agg(F.count(F.lit(1)).alias("many"))
         main = parts.groupBy("token").agg(F.max_by("root", "many").alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        pivots = parts.join(main, "token").filter("root != main").groupBy("token", "main").agg(F.min("first").alias("pivot"))
-        regions = cut_lineage(met.join(pivots, "token").withColumn("open", F.col("root") != F.col("main")))
+        marked = met.join(main.drop("roots"), "token").withColumn("open", F.col("root") != F.col("main"))
+        # a set out of reach of all open sets of its region, by its distance to the pivot or its size, has no link left there
+        reach = marked.filter("open").groupBy("token").agg(
+            F.min("uid").alias("pivot"), F.min("distance").alias("near"), F.max("distance").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"))
+        window = (F.col("distance") >= F.col("near") - _SLACK) & (F.col("distance") <= F.col("far") + _SLACK)
+        sizes = (100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most"))
+        regions = cut_lineage(marked.join(reach, "token").filter(F.col("open") | (window & sizes)).drop("near", "far", "least", "most"))
         if regions.isEmpty():
             return edges
-    one = regions.filter("open").select("token", *[F.col(c).alias(f"x_{c}") for c in ("uid", "n", "place", "root", "distance")])
-    two = regions.select("token", *[F.col(c).alias(f"y_{c}") for c in ("uid", "n", "place", "root", "distance", "open")])
-    least = F.ceil(PERCENT * (F.col("x_n") + F.col("y_n")) / (100 + PERCENT))
-    early = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) - 1 + F.least("x_place", "y_place") >= least
-    pairs = one.join(two, "token").filter(
-        (F.col("x_root") != F.col("y_root")) & _may_link("x_n", "y_n") & early
-        & (F.abs(F.col("x_distance") - F.col("y_distance")) <= _RADIUS + 1e-9) & (~F.col("y_open") | (F.col("x_uid") < F.col("y_uid"))))
-    pairs = cut_lineage(pairs.select(F.col("x_uid").alias("x"), F.col("y_uid").alias("y")).distinct())
-    return edges.unionByName(_measured(pairs, sets).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    return edges.unionByName(_compared(cut_lineage(_cells(regions)), sets))
 
 
 def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -184,14 +237,15 @@ def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_byt
     asked = requests(frozen, _ask(buckets_for(df)), "chunk long, bucket int, gaps binary, n binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, step binary")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, {_SETS}"
-    found = cut_lineage(answered(frozen, answers, _prefixes, schema).withColumn("uid", F.monotonically_increasing_id()))
+    found = written(answered(frozen, answers, _prefixes, schema).withColumn("uid", F.monotonically_increasing_id()), "uid")
 
     classes = found.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("class"))
     rows = found.select("id", "uid", "n", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     rows = cut_lineage(rows.select("id", "n", F.coalesce("class", "uid").alias("class")))  # the empty set is nobody's class
     used = rows.select(F.col("class").alias("uid")).distinct()
-    sets = found.filter(F.size("prefix") > 0).select("uid", "n", "prefix", "places", "shared").join(used, "uid", "left_semi")
-    linked = links(sets)
+    sets = found.filter("n_prefix > 0").select("uid", "n", "n_prefix", "shared")
+    postings = sets.join(used, "uid", "left_semi").select("uid", "n", F.explode(F.slice("shared", F.lit(1), F.col("n_prefix"))).alias("token"))
+    linked = links(sets, cut_lineage(postings))
     group = connect(linked, []).select(F.col("node").alias("class"), "root")
     placed = rows.join(group, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
