@@ -51,10 +51,11 @@ LABELLED = (
     # pages without marks: long blocks, and short ones between long ones, are text
     (0, 0, 60, 0.00, 40, 0.0, 55, 0.0, 1), (0, 0, 35, 0.05, 9, 0.0, 70, 0.0, 1), (0, 0, 120, 0.10, 3, 1.0, 20, 0.0, 1), (0, 0, 28, 0.00, 45, 0.0, 3, 1.0, 1),
     (0, 0, 18, 0.00, 50, 0.0, 48, 0.0, 1), (0, 0, 8, 0.00, 55, 0.0, 60, 0.0, 1), (0, 0, 7, 0.00, 2, 1.0, 65, 0.0, 1), (0, 0, 22, 0.15, 30, 0.0, 33, 0.1, 1),
-    (0, 0, 45, 0.20, 60, 0.0, 2, 1.0, 1), (0, 0, 16, 0.00, 0, 0.0, 44, 0.0, 1),
+    (0, 0, 2, 0.00, 60, 0.0, 60, 0.0, 1), (0, 0, 3, 0.00, 40, 0.1, 80, 0.0, 1), (0, 0, 45, 0.20, 60, 0.0, 2, 1.0, 1), (0, 0, 16, 0.00, 0, 0.0, 44, 0.0, 1),
     # link lists and lone short lines are not
     (0, 0, 2, 1.00, 2, 1.0, 2, 1.0, 0), (0, 0, 1, 1.00, 0, 0.0, 1, 1.0, 0), (0, 0, 6, 0.90, 3, 1.0, 5, 0.8, 0), (0, 0, 3, 0.00, 2, 1.0, 1, 1.0, 0),
     (0, 0, 25, 0.85, 10, 0.9, 12, 1.0, 0), (0, 0, 5, 0.00, 4, 0.6, 3, 0.0, 0), (0, 0, 9, 0.00, 6, 0.0, 0, 0.0, 0), (0, 0, 12, 0.50, 3, 0.0, 5, 0.7, 0),
+    (0, 0, 1, 1.00, 1, 1.0, 60, 0.0, 0), (0, 0, 2, 1.00, 0, 0.0, 75, 0.0, 0), (0, 0, 3, 1.00, 60, 0.0, 50, 0.0, 0), (0, 0, 4, 0.90, 70, 0.0, 1, 1.0, 0),
     (0, 0, 40, 0.70, 5, 1.0, 30, 0.8, 0), (0, 0, 4, 0.00, 1, 1.0, 6, 0.0, 0), (0, 0, 10, 0.60, 50, 0.0, 3, 1.0, 0), (0, 0, 2, 0.00, 3, 0.0, 2, 0.0, 0),
 )
 

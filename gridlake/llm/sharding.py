@@ -17,7 +17,7 @@ def shard_rows(
     A source that holds most rows is ranked in ``buckets`` hash ranges (default: four for each shuffle partition), and so is
     the order over all, as fractions are spread evenly. Only bucket counts are summed up in order.
 
-    A null source is a source of its own; null ids hash like any value; repeated rows get a place each; an empty table
+    ``df`` is read twice and must give the same rows. A null source is a source of its own; null ids hash like any value; repeated rows get a place each; an empty table
     gives none. Columns named ``shard`` or ``slot`` in ``df`` are replaced.
     """
     many = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
