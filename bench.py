@@ -8,7 +8,7 @@ import sys
 import time
 
 HEADLINE = [
-    "tile_score_count", "big_tile_score", "ensemble_mosaic", "mosaic_mix", "border_suppressed_mosaic", "normalize_patch",
+    "tile_score_count", "big_tile_score", "ensemble_mosaic", "ensemble_blocks", "mosaic_mix", "border_suppressed_mosaic", "normalize_patch",
     "robust_scale", "score_python_model", "assign_first_area", "boundary_gaps", "rasterize_crowns", "density_fixed",
     "density_knn", "label_frames", "segmentation_metrics", "components", "remove_small", "report_by_model", "count_regression",
     "smooth_labels_2d", "resample_bilinear", "training_batches_augmented", "kfold", "pair_siblings", "skip_done",
