@@ -20,12 +20,12 @@ LINE_BITS = 24
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(key, line, digest, need): each line, and how many lines from it on hold ``least`` words (0: the rest of the text does not)."""
+    """(key, line, digest, need, back): each line, and how many lines from it on, or up to it, hold ``least`` words (0: all of them do not)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
-                keys, line, digest, need = [], [], [], []
+                keys, line, digest, need, back = [], [], [], [], []
                 for key, text in zip(part.column("key").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     rows = [] if text is None else text.split(b"\n")
                     words = np.cumsum([0, *(len(r.split()) for r in rows)])
@@ -34,11 +34,13 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
                     line += range(len(rows))
                     digest += [xxhash.xxh3_128_digest(r) for r in rows]
                     need += np.where(reach <= len(rows), reach - np.arange(len(rows)), 0).tolist()
+                    since = np.searchsorted(words, words[1:] - least, "right") - 1
+                    back += np.where(words[1:] >= least, np.arange(len(rows)) - since + 1, 0).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.string()), pa.array(line, pa.int64()), pa.array(digest, pa.binary()), pa.array(need, pa.int32())],
-                    ["key", "line", "digest", "need"])
+                    [pa.array(keys, pa.string()), pa.array(line, pa.int64()), pa.array(digest, pa.binary()), pa.array(need, pa.int32()), pa.array(back, pa.int32())],
+                    ["key", "line", "digest", "need", "back"])
 
-    return docs.mapInArrow(cut, "key string, line long, digest binary, need int")
+    return docs.mapInArrow(cut, "key string, line long, digest binary, need int, back int")
 
 
 def _doubled(ranks: DataFrame, step: int) -> DataFrame:
@@ -54,46 +56,34 @@ def _doubled(ranks: DataFrame, step: int) -> DataFrame:
     return cut_lineage(pairs.join(named, ["rank", "after"]).select("pos", F.col("name").alias("rank")))
 
 
-def _agrees(rows: DataFrame, ranks: DataFrame, step: int) -> DataFrame:
-    """``rows`` (pos, source, length) with the length grown by ``step`` where the next ``step`` lines agree."""
-    there = ranks.select(F.col("pos").alias("at"), F.col("rank").alias("here"))
-    also = ranks.select(F.col("pos").alias("at2"), F.col("rank").alias("there"))
-    met = rows.join(there, F.col("pos") + F.col("length") == F.col("at"), "left").join(also, F.col("source") + F.col("length") == F.col("at2"), "left")
-    return met.select("pos", "source", (F.col("length") + F.when(F.col("here") == F.col("there"), step).otherwise(0)).alias("length"))
-
-
 def later_copies(lines: DataFrame) -> DataFrame:
-    """(pos, length) of the runs to delete, for lines (pos, digest, need); runs of one text may overlap.
+    """(pos, length) of windows of lines that an earlier window equals, for lines (pos, digest, need, back).
+
+    A window is as many lines as hold enough words, counted from its first line on or from its last line back; windows of both
+    kinds that are later copies cover exactly the lines of all runs with enough words that have an earlier copy.
 
     Suffixes of the line sequences are ranked by their first 1, 2, 4, ... lines (prefix doubling); only suffixes whose first lines occur
-    twice go on. The suffixes that share their first ``need`` lines are an interval of the suffix array, that is those with equal ranks at
-    its two halves of a power of two; its first member stays, the others are later copies. At the end of a chain of copies the
-    common prefix with the first member is measured by descending powers of two, so that whole maximal runs go.
+    twice go on. The suffixes that share their first ``length`` lines are an interval of the suffix array, that is those with equal ranks at
+    its two halves of a power of two. The first member of the interval stays, the others are later copies.
     """
     twice = lines.groupBy("digest").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("digest")
-    ranks = cut_lineage(lines.join(ordered_number(twice, ["digest"], "rank"), "digest").select("pos", "need", "rank"))
-    needs = ranks.filter("need > 0").select("pos", "need")
-    levels, copies, step = [ranks.select("pos", "rank")], None, 1
-    most = needs.agg(F.max("need")).first()[0] or 0
+    ranks = cut_lineage(lines.join(ordered_number(twice, ["digest"], "rank"), "digest").select("pos", "need", "back", "rank"))
+    forward = ranks.filter("need > 0").select("pos", F.col("need").alias("length"))
+    backward = ranks.filter("back > 0").select((F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("length"))
+    windows = cut_lineage(forward.unionByName(backward).distinct())
+    level, copies, step = ranks.select("pos", "rank"), None, 1
+    most = windows.agg(F.max("length")).first()[0] or 0
     while True:
-        level = levels[-1]
-        here = needs.filter((F.col("need") >= step) & (F.col("need") < 2 * step)).join(level, "pos")
+        here = windows.filter((F.col("length") >= step) & (F.col("length") < 2 * step)).join(level, "pos")
         end = level.select(F.col("pos").alias("pos2"), F.col("rank").alias("rank2"))
-        whole = here.join(end, F.col("pos") + F.col("need") - step == F.col("pos2")).select("pos", "need", "rank", "rank2")
-        first = whole.groupBy("need", "rank", "rank2").agg(F.min("pos").alias("source"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-        later = whole.join(first, ["need", "rank", "rank2"]).filter("pos != source").select("pos", "source", F.col("need").cast("long").alias("length"))
+        whole = here.join(end, F.col("pos") + F.col("length") - step == F.col("pos2")).select("pos", "length", "rank", "rank2")
+        first = whole.groupBy("length", "rank", "rank2").agg(F.min("pos").alias("source"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        later = whole.join(first, ["length", "rank", "rank2"]).filter("pos != source").select("pos", F.col("length").cast("long").alias("length"))
         copies = later if copies is None else copies.unionByName(later)
         if 2 * step > most or level.isEmpty():
-            break
-        levels.append(_doubled(level, step))
+            return copies
+        level = _doubled(level, step)
         step *= 2
-    copies = cut_lineage(copies)
-    goes_on = copies.select((F.col("pos") - 1).alias("pos"), (F.col("source") - 1).alias("source"))
-    ends = copies.join(goes_on, ["pos", "source"], "left_anti")
-    for level in reversed(levels):
-        step = 1 << levels.index(level)
-        ends = cut_lineage(_agrees(ends, level, step))
-    return copies.select("pos", F.lit(1).cast("long").alias("length")).unionByName(ends.select("pos", "length"))
 
 
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -107,12 +97,13 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: in
     ``_removed`` is replaced.
     """
     columns = [c for c in df.columns if c != "_removed"]
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    keyed = keyed.withColumn("key", F.concat(F.hex(F.xxhash64("row")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "text", f"row.`{id}`"))))
+    others = [F.col(f"`{c}`") for c in columns if c != text]
+    keyed = df.select(F.struct(*others).alias("row"), F.col(f"`{text}`").alias("text"))  # the text is shuffled once
+    keyed = keyed.withColumn("key", F.concat(F.hex(F.xxhash64("row", "text")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "text", "row"))))
     lines = _lines(keyed.select("key", "text"), least).distinct()
     order = keyed.select(F.col(f"row.`{id}`").alias("id"), "key").distinct()
     numbered = cut_lineage(ordered_number(order, ["id", "key"], "doc"))
-    placed = lines.join(numbered, "key").select((F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("pos"), "digest", "need")
+    placed = lines.join(numbered, "key").select((F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("pos"), "digest", "need", "back")
     runs = later_copies(cut_lineage(placed))
     gone = runs.select(F.explode(F.sequence("pos", F.col("pos") + F.col("length") - 1)).alias("pos")).distinct()
     mask = (1 << LINE_BITS) - 1
