@@ -21,7 +21,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.apply_rules(docs, table(spark, sf_dir, "labels")).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = quality_rules.apply_rules(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.only_kept(judged).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
