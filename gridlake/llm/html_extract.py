@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -13,54 +14,89 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import steps
 
-#: Elements whose content is no text, elements that start a block, elements that mark page furniture, words in
-#: class, id and role that do, and elements that hold the article.
+#: Elements whose content is no text, elements that start a block, elements that mark page furniture, elements and words in
+#: class, id and role that hint at it, and elements and words that mark or hint at the article.
 SILENT = "script style noscript template svg math textarea select option iframe object canvas audio video head title"
 BLOCK = """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"""
-FURNITURE = "nav header footer aside form menu button dialog fieldset legend"
+FURNITURE = "nav header footer aside menu button dialog legend"
+WRAPPERS = "form fieldset"
 HINTS = """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo
 complementary cookie cookies copyright dialog disqus discussion footer form gdpr header login masthead menu menubar modal nav navbar navigation
 newsletter notice notices notification pager pagination popup privacy promo promotion related replies reply respond search share sharing
 sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar warning widget widgets alert"""
 ARTICLE = "article main"
 ARTICLE_HINTS = "article articlebody content entry main post story"
+#: Words that, right before or after a hint, say that the page has or lacks such a part, not that the element is one.
+BEFORE = "with without no non not has have show hide"
+AFTER = "free less off"
+#: Silent elements that reach to the end of the page if they have no end tag; the tags of the others are then passed over alone.
+ENDLESS = "script style textarea"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 
 _SETS = {k: frozenset(v.split()) for k, v in (
-    ("silent", SILENT), ("block", BLOCK), ("furniture", FURNITURE), ("hints", HINTS), ("article", ARTICLE), ("near", ARTICLE_HINTS), ("void", VOID))}
+    ("silent", SILENT), ("block", BLOCK), ("furniture", FURNITURE), ("hints", HINTS), ("article", ARTICLE), ("near", ARTICLE_HINTS), ("void", VOID),
+    ("wrappers", WRAPPERS), ("before", BEFORE), ("after", AFTER), ("endless", ENDLESS))}
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([^<]++|<)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-#: What the tree looks at, in this order.
-FEATURES = ("furniture", "article", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
-
-#: The labelled table: blocks of hand-made pages, by FEATURES, then 1 if the block is main text.
-LABELLED = (
-    # menus, headers, footers, adverts, notices, forms, comments, marked as such
-    (1, 0, 1, 1.00, 0, 0.0, 1, 1.0, 0), (1, 0, 2, 1.00, 1, 1.0, 2, 1.0, 0), (1, 0, 9, 0.00, 1, 1.0, 12, 0.0, 0), (1, 0, 40, 0.05, 60, 0.0, 30, 0.0, 0),
-    (1, 0, 14, 0.00, 80, 0.0, 0, 0.0, 0), (1, 1, 22, 0.10, 70, 0.0, 55, 0.0, 0), (1, 1, 1, 1.00, 1, 1.0, 35, 0.0, 0), (1, 1, 65, 0.00, 4, 0.0, 50, 0.0, 0),
-    (1, 0, 90, 0.00, 45, 0.0, 60, 0.0, 0), (1, 1, 6, 0.00, 30, 0.0, 28, 0.0, 0), (1, 0, 25, 0.40, 20, 0.5, 0, 0.0, 0), (1, 0, 3, 0.00, 5, 0.0, 8, 0.0, 0),
-    # inside the article: headings, paragraphs, lists, single words, links
-    (0, 1, 8, 0.00, 9, 0.0, 60, 0.0, 1), (0, 1, 1, 0.00, 1, 1.0, 0, 0.0, 1), (0, 1, 75, 0.02, 8, 0.0, 50, 0.0, 1), (0, 1, 4, 1.00, 50, 0.0, 30, 0.0, 1),
-    (0, 1, 2, 0.00, 2, 0.0, 2, 0.0, 1), (0, 1, 30, 0.60, 20, 0.5, 20, 0.5, 1), (0, 1, 150, 0.00, 0, 0.0, 14, 0.0, 1), (0, 1, 12, 0.00, 6, 1.0, 12, 0.0, 1),
-    (0, 1, 3, 0.00, 90, 0.0, 14, 0.0, 1), (0, 1, 20, 0.00, 1, 1.0, 1, 1.0, 1), (0, 1, 1, 1.00, 1, 1.0, 1, 1.0, 1), (0, 1, 5, 0.00, 0, 0.0, 0, 0.0, 1),
-    # pages without marks: long blocks, and short ones between long ones, are text
-    (0, 0, 60, 0.00, 40, 0.0, 55, 0.0, 1), (0, 0, 35, 0.05, 9, 0.0, 70, 0.0, 1), (0, 0, 120, 0.10, 3, 1.0, 20, 0.0, 1), (0, 0, 28, 0.00, 45, 0.0, 3, 1.0, 1),
-    (0, 0, 18, 0.00, 50, 0.0, 48, 0.0, 1), (0, 0, 8, 0.00, 55, 0.0, 60, 0.0, 1), (0, 0, 7, 0.00, 2, 1.0, 65, 0.0, 1), (0, 0, 22, 0.15, 30, 0.0, 33, 0.1, 1),
-    (0, 0, 2, 0.00, 60, 0.0, 60, 0.0, 1), (0, 0, 3, 0.00, 40, 0.1, 80, 0.0, 1), (0, 0, 45, 0.20, 60, 0.0, 2, 1.0, 1), (0, 0, 16, 0.00, 0, 0.0, 44, 0.0, 1),
-    # link lists and lone short lines are not
-    (0, 0, 2, 1.00, 2, 1.0, 2, 1.0, 0), (0, 0, 1, 1.00, 0, 0.0, 1, 1.0, 0), (0, 0, 6, 0.90, 3, 1.0, 5, 0.8, 0), (0, 0, 3, 0.00, 2, 1.0, 1, 1.0, 0),
-    (0, 0, 25, 0.85, 10, 0.9, 12, 1.0, 0), (0, 0, 5, 0.00, 4, 0.6, 3, 0.0, 0), (0, 0, 9, 0.00, 6, 0.0, 0, 0.0, 0), (0, 0, 12, 0.50, 3, 0.0, 5, 0.7, 0),
-    (0, 0, 1, 1.00, 1, 1.0, 60, 0.0, 0), (0, 0, 2, 1.00, 0, 0.0, 75, 0.0, 0), (0, 0, 3, 1.00, 60, 0.0, 50, 0.0, 0), (0, 0, 4, 0.90, 70, 0.0, 1, 1.0, 0),
-    (0, 0, 40, 0.70, 5, 1.0, 30, 0.8, 0), (0, 0, 4, 0.00, 1, 1.0, 6, 0.0, 0), (0, 0, 10, 0.60, 50, 0.0, 3, 1.0, 0), (0, 0, 2, 0.00, 3, 0.0, 2, 0.0, 0),
+#: Plain words in no furniture from which on a page has its text there, and no furniture mark is a wrapper of all of it.
+ELSEWHERE = 40
+
+#: What the tree looks at, in this order. Furniture and article are 2 by an element, 1 by a hint and 0 if nothing says so, both by the
+#: nearest marks; share is that of the page's plain words below the nearest furniture mark, 0 if the page has ELSEWHERE words in no furniture.
+FEATURES = ("furniture", "article", "words", "link_density", "words_before", "links_before", "words_after", "links_after", "share")
+
+#: Blocks of hand-made pages: words, link density, the same of the block before and of the block after, then 1 if the block is main text.
+#: Menus, headers, footers, adverts, notices, forms, comments, marked as such.
+MARKED = (
+    (1, 1.00, 0, 0.0, 1, 1.0, 0), (2, 1.00, 1, 1.0, 2, 1.0, 0), (9, 0.00, 1, 1.0, 12, 0.0, 0), (40, 0.05, 60, 0.0, 30, 0.0, 0), (14, 0.00, 80, 0.0, 0, 0.0, 0),
+    (22, 0.10, 70, 0.0, 55, 0.0, 0), (1, 1.00, 1, 1.0, 35, 0.0, 0), (65, 0.00, 4, 0.0, 50, 0.0, 0), (90, 0.00, 45, 0.0, 60, 0.0, 0), (6, 0.00, 30, 0.0, 28, 0.0, 0),
+    (25, 0.40, 20, 0.5, 0, 0.0, 0), (3, 0.00, 5, 0.0, 8, 0.0, 0), (40, 0.00, 30, 0.0, 0, 0.0, 0), (120, 0.00, 0, 0.0, 3, 1.0, 0), (200, 0.00, 90, 0.0, 90, 0.0, 0),
+)
+#: Inside the article: headings, paragraphs, lists, single words, links.
+INSIDE = (
+    (8, 0.00, 9, 0.0, 60, 0.0, 1), (1, 0.00, 1, 1.0, 0, 0.0, 1), (75, 0.02, 8, 0.0, 50, 0.0, 1), (4, 1.00, 50, 0.0, 30, 0.0, 1), (2, 0.00, 2, 0.0, 2, 0.0, 1),
+    (30, 0.60, 20, 0.5, 20, 0.5, 1), (150, 0.00, 0, 0.0, 14, 0.0, 1), (12, 0.00, 6, 1.0, 12, 0.0, 1), (3, 0.00, 90, 0.0, 14, 0.0, 1), (20, 0.00, 1, 1.0, 1, 1.0, 1),
+    (1, 1.00, 1, 1.0, 1, 1.0, 1), (5, 0.00, 0, 0.0, 0, 0.0, 1),
 )
+#: Pages without marks: long blocks, and short ones between long ones, are text; link lists and lone short lines are not.
+PLAIN = (
+    (60, 0.00, 40, 0.0, 55, 0.0, 1), (35, 0.05, 9, 0.0, 70, 0.0, 1), (120, 0.10, 3, 1.0, 20, 0.0, 1), (28, 0.00, 45, 0.0, 3, 1.0, 1), (18, 0.00, 50, 0.0, 48, 0.0, 1),
+    (8, 0.00, 55, 0.0, 60, 0.0, 1), (7, 0.00, 2, 1.0, 65, 0.0, 1), (22, 0.15, 30, 0.0, 33, 0.1, 1), (2, 0.00, 60, 0.0, 60, 0.0, 1), (3, 0.00, 40, 0.1, 80, 0.0, 1),
+    (45, 0.20, 60, 0.0, 2, 1.0, 1), (16, 0.00, 0, 0.0, 44, 0.0, 1),
+    (2, 1.00, 2, 1.0, 2, 1.0, 0), (1, 1.00, 0, 0.0, 1, 1.0, 0), (6, 0.90, 3, 1.0, 5, 0.8, 0), (3, 0.00, 2, 1.0, 1, 1.0, 0), (25, 0.85, 10, 0.9, 12, 1.0, 0),
+    (5, 0.00, 4, 0.6, 3, 0.0, 0), (9, 0.00, 6, 0.0, 0, 0.0, 0), (12, 0.50, 3, 0.0, 5, 0.7, 0), (1, 1.00, 1, 1.0, 60, 0.0, 0), (2, 1.00, 0, 0.0, 75, 0.0, 0),
+    (3, 1.00, 60, 0.0, 50, 0.0, 0), (4, 0.90, 70, 0.0, 1, 1.0, 0), (40, 0.70, 5, 1.0, 30, 0.8, 0), (4, 0.00, 1, 1.0, 6, 0.0, 0), (10, 0.60, 50, 0.0, 3, 1.0, 0),
+    (2, 0.00, 3, 0.0, 2, 0.0, 0),
+)
+#: Below a hint at the article: short lines are text too, links are not.
+NEAR = (
+    (60, 0.00, 40, 0.0, 55, 0.0, 1), (3, 0.00, 2, 1.0, 1, 1.0, 1), (8, 0.00, 9, 0.0, 60, 0.0, 1), (2, 0.00, 2, 0.0, 2, 0.0, 1), (120, 0.10, 3, 1.0, 20, 0.0, 1),
+    (9, 0.00, 6, 0.0, 0, 0.0, 1), (22, 0.15, 30, 0.0, 33, 0.1, 1), (45, 0.20, 60, 0.0, 2, 1.0, 1), (5, 0.00, 0, 0.0, 0, 0.0, 1), (30, 0.40, 40, 0.0, 20, 0.5, 1),
+    (2, 1.00, 2, 1.0, 2, 1.0, 0), (6, 0.90, 3, 1.0, 5, 0.8, 0), (25, 0.85, 10, 0.9, 12, 1.0, 0), (3, 1.00, 60, 0.0, 50, 0.0, 0), (40, 0.70, 5, 1.0, 30, 0.8, 0),
+    (10, 0.60, 50, 0.0, 3, 1.0, 0), (1, 1.00, 1, 1.0, 60, 0.0, 0), (4, 0.90, 70, 0.0, 1, 1.0, 0),
+)
+
 
+def _labelled() -> Iterator[tuple]:
+    """Rows of FEATURES and the label. Marks and figures disagree where a mark of furniture holds nearly all words of a page: it then is a
+    wrapper, and its blocks are judged like those of a page without marks."""
+    for blocks, furniture, article, shares in (
+            (MARKED, (1, 2), (0, 1, 2), (0.0, 0.1, 0.4, 0.6)), (PLAIN, (1, 2), (0, 1, 2), (0.8, 0.9, 1.0)),
+            (INSIDE, (0,), (2,), (0.0,)), (PLAIN, (0,), (0,), (0.0,)), (NEAR, (0,), (1,), (0.0,))):
+        for f, a, share, (*figures, label) in product(furniture, article, shares, blocks):
+            yield (f, a, *figures, share, label)
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple:
+
+#: The labelled table: blocks by FEATURES, then 1 if the block is main text.
+LABELLED = tuple(_labelled())
+
+
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> tuple:
     """A binary tree by least Gini impurity: (feature, threshold, below, above) or (share of ones,)."""
     share = labels.mean()
     best = None
@@ -92,28 +128,46 @@ def is_text(features: tuple, node: tuple | None = None) -> bool:
     return node[0] >= 0.5
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """(page furniture, article) by the element's name and the words of its class, id and role."""
-    words = {w for a in _ATTRIBUTE.findall(attributes) for w in _WORD.findall(a.lower())} if "=" in attributes else set()
-    furniture = name in _SETS["furniture"] or bool(words & _SETS["hints"]) or bool(attributes and _HIDDEN.search(attributes))
-    return furniture and name not in ("html", "body"), name in _SETS["article"] or bool(words & _SETS["near"])
+def _marks(name: str, attributes: str) -> tuple[int, int, bool]:
+    """(page furniture, article, hidden) by the element's name and the words of its class, id and role: 2 by the name, 1 by a word."""
+    if name in ("html", "body"):
+        return 0, 0, False
+    furniture, article = 2 * (name in _SETS["furniture"]) or int(name in _SETS["wrappers"]), 2 * (name in _SETS["article"])
+    for names in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
+        for token in names.lower().split():
+            words = _WORD.findall(token)
+            article = article or int(not _SETS["near"].isdisjoint(words))
+            if not furniture and not _SETS["hints"].isdisjoint(words):
+                around = zip(["", *words], words, [*words[1:], ""], strict=False)
+                furniture = int(any(w in _SETS["hints"] and x not in _SETS["before"] and y not in _SETS["after"] for x, w, y in around))
+    return furniture, article, bool(attributes and _HIDDEN.search(attributes))
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """(text, words, link density, furniture, article) of each flat block with text, in page order."""
-    out: list[tuple[str, int, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, float, int, int, float]]:
+    """(text, words, link density, furniture, article, share) of each flat block with text, in page order.
+
+    The nearest marks decide: an article below a hint at furniture is no furniture, furniture inside the article is both. What is hidden stays
+    furniture whatever lies inside.
+    """
+    out: list[tuple[str, int, float, int, int]] = []
+    stack: list[tuple[str, tuple]] = []
     parts: list[str] = []
     linked: list[str] = []
-    links = furniture = article = 0
-    silent = ""
+    links = 0
+    silent = set()  # names without a further end tag
+    state = (0, 0, 0, False)  # furniture, article, the element that marks the furniture, hidden
+    outer, under, owners = [0], [0.0], []  # by element that marks furniture: the one around it, plain words below; that of each block
 
     def close_block() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 anchor = " ".join("".join(linked).split())
-                out.append((text, text.count(" ") + 1, len(anchor) / len(text), furniture > 0, article > 0))
+                words, density = text.count(" ") + 1, len(anchor) / len(text)
+                out.append((text, words, density, state[0], state[1]))
+                owners.append(0 if state[3] else state[2])
+                if not state[3]:
+                    under[state[2]] += words * (1 - density)
             parts.clear()
             linked.clear()
 
@@ -133,9 +187,12 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             continue
         name = name.lower()
         if name in _SETS["silent"]:
-            if not closing and not attributes.endswith("/") and name not in ("head", "option"):
+            if not closing and not attributes.endswith("/") and name not in ("head", "option") and name not in silent:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end or name in _SETS["endless"]:
+                    at = end.end() if end else len(page)
+                else:
+                    silent.add(name)
             if name in ("head", "option"):
                 close_block()
             continue
@@ -154,37 +211,48 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if not is_block and any(s[1] or s[2] for s in stack[i:]):
+                    if not is_block and state != stack[i][1]:
                         close_block()
-                    for _, f, a in stack[i:]:
-                        furniture -= f
-                        article -= a
+                    state = stack[i][1]
                     del stack[i:]
                     break
         elif not attributes.endswith("/"):
-            f, a = _marks(name, attributes)
-            if f or a:
+            f, a, h = _marks(name, attributes)
+            marked = bool(f or a or h)
+            if marked:
                 close_block()
-            if is_block or f or a:
+            if is_block or marked:
                 if name in ("p", "li") and any(s[0] == name for s in stack[-1:]):
-                    _, f0, a0 = stack.pop()  # a new paragraph ends the one before
-                    furniture -= f0
-                    article -= a0
-                stack.append((name, f, a))
-                furniture += f
-                article += a
+                    state = stack.pop()[1]  # a new paragraph ends the one before
+                stack.append((name, state))
+                furniture, article, owner, hidden = state
+                if h or hidden:
+                    state = (2, max(a, article), owner, True)
+                elif f:
+                    outer.append(owner)
+                    under.append(0.0)
+                    state = (f, max(a, article), len(outer) - 1, False)
+                elif a == 2 and furniture < 2:
+                    state = (0, 2, 0, False)
+                elif a:
+                    state = (furniture, max(a, article), owner, False)
     close_block()
-    return out
+    total = sum(under)
+    for i in range(len(outer) - 1, 0, -1):  # inner ones come later
+        if outer[i]:
+            under[outer[i]] += under[i]
+    return [(*block, under[o] / total if o and total else 0.0) for block, o in zip(out, owners, strict=True)]
 
 
 def main_text(page: str | None) -> str:
     """The blocks that the tree takes for main text, joined by line ends; empty if there are none."""
     found = blocks(page or "")
+    elsewhere = sum(words * (1 - density) for _, words, density, furniture, *_ in found if not furniture)
     kept = []
-    for i, (text, words, density, furniture, article) in enumerate(found):
+    for i, (text, words, density, furniture, article, share) in enumerate(found):
         _, w0, d0, *_ = found[i - 1] if i else ("", 0, 0.0)
         _, w1, d1, *_ = found[i + 1] if i + 1 < len(found) else ("", 0, 0.0)
-        if is_text((furniture, article, words, density, w0, d0, w1, d1)):
+        if is_text((furniture, article, words, density, w0, d0, w1, d1, share if elsewhere < ELSEWHERE else 0.0)):
             kept.append(text)
     return "\n".join(kept)
 
@@ -193,8 +261,9 @@ def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
     """``df`` with ``out``, the main text of the whole page.
 
     A page is cut into flat blocks at block elements; scripts, styles and the like are passed over. Each block has its word count, its link
-    density, those of its neighbours, and whether it lies in page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-    comments) or in the article. A decision tree grown from the labelled table says which blocks are main text.
+    density, those of its neighbours, how far it is marked as page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
+    comments) or as the article, and how many of the page's words lie below that mark and outside of furniture. A decision tree grown from the
+    labelled table says which blocks are main text.
 
     A null or empty page, and one without main text, gives the empty text. Rows keep their number and order; a column named like ``out`` is
     replaced. Nothing is shuffled.

@@ -294,6 +294,49 @@ def test_article_text():
         assert isinstance(html_extract.main_text(text), str)
 
 
+WORDS = " ".join(f"word{i}" for i in range(60))
+BODY = f"<h1>The title of it</h1><p>{WORDS} a</p><p>{WORDS} b</p>"
+BODY_TEXT = f"The title of it\n{WORDS} a\n{WORDS} b"
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>"
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-comments", "ad-free", "site has-menu", "search-results", "page popup", "content"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_hints_on_a_wrapper_do_not_empty_the_page(name, inner):
+    side = f"<div class=sidebar>{MENU}<p>{' '.join(WORDS.split()[:25])}</p></div>"
+    page = f"<html><body class='single post'>{MENU}<div class='{name}'><{inner}>{BODY}</{inner}>{side}</div><footer>All rights</footer></body></html>"
+    assert html_extract.main_text(page) == BODY_TEXT
+    assert html_extract.main_text(page.replace("<div class='", "<form id='").replace("</div><footer", "</form><footer")) == BODY_TEXT
+
+
+def test_marks_inside_the_article_and_pages_without_marks():
+    other = " ".join(WORDS.split()[:50])
+    for around in ("article", "main", "section"):
+        for inside in (f"<div id=comments><article class='comment-body'><p>{other}</p></article></div>", f"<aside>{other}</aside>", f"<div hidden><article>{other}</article></div>"):
+            assert html_extract.main_text(f"<div class='layout with-sidebar'><{around}>{BODY}{inside}</{around}></div>") == BODY_TEXT
+    assert html_extract.main_text(f"<body>{MENU}{BODY}<div><a href=/x>Next</a></div></body>") == BODY_TEXT
+    assert html_extract.main_text(f"<article class='post sponsored'>{BODY}</article>") == BODY_TEXT
+    assert html_extract.main_text(f"<div class=content>{MENU}{BODY}</div>") == BODY_TEXT  # links below a hint at the article
+    assert html_extract.main_text(f"<nav>{MENU}{BODY}") == BODY_TEXT  # no end tag
+
+
+@pytest.mark.parametrize("name", ["svg", "noscript", "iframe", "video", "select", "template", "script", "style", "textarea"])
+def test_silent_elements_without_an_end(name):
+    ends = name in ("script", "style", "textarea")
+    assert html_extract.main_text(f"<article>{BODY}<{name} x=1><p>{WORDS} c</p></article>") == BODY_TEXT + ("" if ends else f"\n{WORDS} c")
+    assert html_extract.main_text(f"<article>{BODY}<{name}>no text</{name}><p>{WORDS} c</p></article>") == f"{BODY_TEXT}\n{WORDS} c"
+
+
+def test_the_tree_goes_by_marks_unless_they_hold_the_page():
+    rng = random.Random(3)
+    for _ in range(2000):
+        figures = (rng.randint(1, 200), rng.choice([0.0, 0.1, 0.5, 1.0]), rng.randint(0, 90), rng.choice([0.0, 1.0]), rng.randint(0, 90), rng.choice([0.0, 1.0]))
+        mark, article = rng.choice([1, 2]), rng.choice([0, 1, 2])
+        assert not html_extract.is_text((mark, article, *figures, rng.random() * 0.6))
+        assert html_extract.is_text((mark, article, 120, 0.1, 3, 1.0, 20, 0.0, 0.9))
+        assert html_extract.is_text((0, 2, *figures, 0.0))
+
+
 def test_the_tree_tells_its_table_apart():
     assert all(html_extract.is_text(row[:-1]) == bool(row[-1]) for row in html_extract.LABELLED)
 
