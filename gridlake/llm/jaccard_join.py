@@ -192,8 +192,8 @@ def links(sets: DataFrame, postings: DataFrame) -> DataFrame:
     region. The region's pivot is its smallest id, which is the same in most regions of a group of copies. All distances to
     pivots are measured. Sets within the radius of the pivot are connected by it. Two sets can link only if their distances to the
     pivot differ by the radius or less (triangle inequality) and their sizes allow it: the window of a region's open sets
-    says which others stay in it. What is left of a region, sets that are not connected to its pivot, is joined in the same way with its next
-    pivot; after PIVOT_ROUNDS the regions with the same main component are cells, and their open sets are compared outright with all sets of
+    says which others stay in it. After PIVOT_ROUNDS, which is one (with more, what is left of a region would be joined in the same way with its
+    next pivot), the regions with the same main component are cells, and their open sets are compared outright with all sets of
     the cell, in tiles of bounded size.
     """
     regions = cut_lineage(_regions(postings))
