@@ -83,7 +83,7 @@ def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    counted = token_counts.count_tokens(table(spark, sf, "documents"), TOKENIZER)
+    counted = token_counts.count_tokens(table(spark, sf, "documents"), TOKENIZER, token_counts.cache_folder(spark))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .arrays import steps
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -53,6 +54,11 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def cache_folder(spark: SparkSession) -> str:
+    """The cache that ``spark.gridlake.tokenCache`` names, kept from run to run; else a new one below the checkpoint folder, empty at first."""
+    return spark.conf.get("spark.gridlake.tokenCache", None) or f"{ensure_checkpoint_dir(spark)}/token_counts-{uuid.uuid4().hex}"
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The stored counts; an empty table where nothing was stored yet."""
     try:
@@ -84,7 +90,7 @@ def count_tokens(
 
     Contents are looked up by (tokenizer digest, content digest) in the table at ``cache``; each distinct content that misses is encoded
     once and appended, one row however many copies there are. Without ``cache`` nothing is stored and all distinct contents are
-    misses. Texts that miss are shuffled once, by digest; copies of one text meet there as one row for each task. If a task or job is
+    misses. Texts are shuffled once, by digest, and meet the cache there; copies of one text arrive as one row for each task. If a task or job is
     repeated, a count may be stored twice; readers take one.
 
     Null counts as the empty text (0 tokens). Repeated rows get a row each, extra columns are left out unless carried.
@@ -96,12 +102,12 @@ def count_tokens(
     content = df.select(
         *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     content = content.withColumn("digest", content_digest(F.col("_text")))
-    misses = content.select("digest", "_text") if cache is None else content.select("digest", "_text").join(known, "digest", "left_anti")
-    distinct = misses.groupBy("digest").agg(F.any_value("_text").alias("_text"))
-    fresh = cut_lineage(encode_counts(distinct, name, path, "_text"))
+    distinct = content.groupBy("digest").agg(F.any_value("_text").alias("_text"))
+    misses = distinct if cache is None else distinct.join(known, "digest", "left_anti")  # grouped by digest already: no further shuffle
+    fresh = cut_lineage(encode_counts(misses, name, path, "_text"))
     if cache is not None:
         fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = known.unionByName(fresh) if cache is not None else fresh
+    counts = fresh if cache is None else known.unionByName(fresh)
     rows = content.select(*[f"_c{i}" for i in range(len(carry))], "digest", F.octet_length("_text").cast("long").alias("n_bytes"))
     joined = rows.join(counts, "digest", "left")
     return joined.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "n_bytes", "n_tokens")

@@ -76,6 +76,33 @@ def test_lines(result, docs):
     assert [got[i].text for i, _ in docs] == brute.dedup_lines([t for _, t in docs])
 
 
+def test_the_token_query_reads_and_fills_a_cache(spark, docs, tmp_path):
+    """Misses are stored below the checkpoint folder, and what is stored is not counted again."""
+    from pathlib import Path
+
+    from gridlake.llm import token_counts
+    from gridlake.session import ensure_checkpoint_dir
+
+    distinct = len({t or "" for _, t in docs})
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("token_counts-*"))
+    expected = sorted(map(tuple, queries.op9_token_counts(spark, SF).collect()))
+    new, = set(folder.glob("token_counts-*")) - before
+    stored = spark.read.parquet(str(new))
+    assert stored.count() == distinct and {r.tokenizer for r in stored.collect()} == {token_counts.tokenizer_digest(queries.TOKENIZER)}
+    spark.conf.set("spark.gridlake.tokenCache", str(tmp_path / "cache"))
+    try:
+        held = stored.withColumn("n_tokens", F.col("n_tokens") + 1_000_000)
+        held.withColumn("tokenizer", F.lit("another")).union(held.filter("n_tokens % 2 = 0")).write.parquet(str(tmp_path / "cache"))
+        even = stored.filter("n_tokens % 2 = 0").count()
+        for _ in range(2):
+            got = sorted(map(tuple, queries.op9_token_counts(spark, SF).collect()))
+            assert [g[2] for g in got] == [e[2] + 1_000_000 * (e[2] % 2 == 0) for e in expected]  # hits come from the cache, misses are counted
+            assert spark.read.parquet(str(tmp_path / "cache")).count() == distinct + even + (distinct - even)
+    finally:
+        spark.conf.unset("spark.gridlake.tokenCache")
+
+
 def test_pages(result, spark):
     import html
     import re
