@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numbering import ordered_number
 from ..session import cut_lineage
@@ -15,8 +15,18 @@ from .arrays import steps
 
 #: Words that a run has at least for its copies to be deleted.
 LEAST_WORDS = 50
-#: Bits of a position that number the line; the others number the document.
-LINE_BITS = 24
+#: Bits of a position that number the line; the others number the document. A text is an array of less than 2^31 bytes, so no text has more lines.
+LINE_BITS = 31
+
+
+def position(doc: Column, line: Column) -> Column:
+    """One BIGINT for a line of a document: lines of a document are neighbours, those of different documents never."""
+    return F.shiftleft(doc.cast("long"), LINE_BITS) + line
+
+
+def line_at(pos: str) -> tuple[Column, Column]:
+    """(document, line) of a position."""
+    return F.shiftright(pos, LINE_BITS), F.col(pos).bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -103,11 +113,11 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: in
     lines = _lines(keyed.select("key", "text"), least).distinct()
     order = keyed.select(F.col(f"row.`{id}`").alias("id"), "key").distinct()
     numbered = cut_lineage(ordered_number(order, ["id", "key"], "doc"))
-    placed = lines.join(numbered, "key").select((F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("pos"), "digest", "need", "back")
+    placed = lines.join(numbered, "key").select(position(F.col("doc"), F.col("line")).alias("pos"), "digest", "need", "back")
     runs = later_copies(cut_lineage(placed))
     gone = runs.select(F.explode(F.sequence("pos", F.col("pos") + F.col("length") - 1)).alias("pos")).distinct()
-    mask = (1 << LINE_BITS) - 1
-    of_doc = gone.select(F.shiftright("pos", LINE_BITS).alias("doc"), F.col("pos").bitwiseAND(F.lit(mask)).cast("int").alias("line"))
+    doc, line = line_at("pos")
+    of_doc = gone.select(doc.alias("doc"), line.alias("line"))
     of_doc = of_doc.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("lines")).join(numbered, "doc").select("key", "lines")
     again = F.row_number().over(Window.partitionBy("key").orderBy("key")) > 1
     joined = keyed.withColumn("again", again).join(of_doc, "key", "left").select("row", "text", "again", "lines")

@@ -274,6 +274,15 @@ def test_random_line_runs(spark, seed):
     assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == brute.dedup_lines([t for _, t in rows], 12)
 
 
+def test_positions_hold_every_line_of_the_longest_text(spark):
+    places = [(0, 0), (0, 1 << 24), (1, 0), (1, (1 << 24) + 3), (2, 3), (7, (1 << 31) - 1), (8, 0), ((1 << 32) - 1, (1 << 31) - 1)]
+    df = spark.createDataFrame(places, "doc long, line long").withColumn("pos", F.shiftleft("doc", line_dedup.LINE_BITS) + F.col("line"))
+    assert df.select("pos").distinct().count() == len(places)
+    df = df.withColumn("pos", line_dedup.position(F.col("doc"), F.col("line")))
+    doc, line = line_dedup.line_at("pos")
+    assert [tuple(r) for r in df.orderBy("pos").select(doc, line).collect()] == sorted(places)
+
+
 # --- pages ------------------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>";</script></head><body class="site">
