@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, jaccard_join, line_dedup, lm_score, quality_rules, secret_scan, sentencepiece_codec, sharding, token_counts
+from . import (
+    centroids, decontaminate, html_extract, jaccard_join, line_dedup, lm_score, quality_rules, secret_scan, sentencepiece_codec, sharding, token_counts,
+    vector_codes)
+from .oracles import CENTROIDS_SQL, CODES_SQL
 
 PIECE_MODEL = "piece_bpe_32k.model"
 TOKENIZER = "byte_bpe_50k.json"
@@ -91,8 +95,20 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.group_texts(table(spark, sf, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf, "embeddings"))
+    told = ",".join(str(x) for book in books for entry in book for x in entry)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(told.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    placed = centroids.cluster_vectors(table(spark, sf, "embeddings"))
+    told = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(told.cast("binary"), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sentencepiece, op2_quality_rules, op3_sharding, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_html_extraction, op8_lm_score, op9_token_counts,
-    op10_jaccard_join)}
+    op10_jaccard_join, op11_vector_codes, op12_centroids)}
 #: SQL where DuckDB has the functions it takes; the other queries are tested by brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_vector_codes": CODES_SQL, "op12_centroids": CENTROIDS_SQL}
