@@ -8,32 +8,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.objects import connect
 from ..session import cut_lineage
 from .arrays import SPACED, Words, distinct, grams, mix, places, steps, windows
 from .chunks import CHUNK_BYTES, answered, batches_of, bucket_edges, buckets_for, freeze, requests, squeeze, unsqueeze, written
+from .components import connect
+from .shared import look_up
+from .tiles import cells, compare, measured, opened, rooted
 
 #: Words of a shingle; two texts link from so many hundredths of their union on.
 SHINGLE, PERCENT = 5, 75
 #: Pivots that a region is joined with before the pairs left in it are compared outright.
 PIVOT_ROUNDS = 1
-#: Sets in the strips of a cell that are compared at once, and distinct shingles of them that one step looks at.
-NARROW, WIDE, TILE_TOKENS = 64, 256, 1 << 13
 
 _SLACK = 1 - PERCENT / 100 + 1e-9  # the radius, and room for rounding
 _OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
-def shingles(part: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def shingles(part: pa.RecordBatch, text: str = "text", size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit shingle, row) without repetition, sorted by row; a text of fewer words is one shingle, one without words has none."""
     w = Words(part.column(text), SPACED)
     hashes = w.hashes()
     keys, rows = [], []
-    at, row = windows(w.first, w.count, SHINGLE)
+    at, row = windows(w.first, w.count, size)
     if len(at):
-        keys.append(grams(hashes, SHINGLE)[at])
+        keys.append(grams(hashes, size)[at])
         rows.append(row)
-    for n in range(1, SHINGLE):
+    for n in range(1, size):
         short = np.flatnonzero(w.count == n)
         if len(short):
             keys.append(grams(hashes, n)[w.first[short]])
@@ -114,71 +114,6 @@ def _prefixes(payload: bytes, answers: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, distance, linked) of pairs of sets (x, y): the exact Jaccard distance. ``sets`` is bucketed, so only the pairs move."""
-    one = sets.select(F.col("uid").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xs"))
-    two = sets.select(F.col("uid").alias("y"), F.col("n").alias("yn"), F.col("shared").alias("ys"))
-    both = F.size(F.array_intersect("xs", "ys"))
-    met = pairs.join(one, "x").join(two, "y").select("x", "y", both.alias("both"), (F.col("xn") + F.col("yn") - both).alias("all"))
-    return met.select("x", "y", (1 - F.col("both") / F.col("all")).alias("distance"), (100 * F.col("both") >= PERCENT * F.col("all")).alias("linked"))
-
-
-def _cells(regions: DataFrame) -> DataFrame:
-    """(cell, uid, root, open): what is compared with each other, and which sets are not in its main component.
-
-    Regions with the same main component make one cell, so that a pair is compared once however many tokens it shares. Where that joins
-    so much that its regions one by one are fewer pairs, they stay cells of their own.
-    """
-    apart = regions.groupBy("main", "token").agg(F.sum(F.col("open").cast("long")).alias("o"), F.count(F.lit(1)).alias("c"))
-    apart = apart.groupBy("main").agg(F.sum(F.col("o").cast("double") * F.col("c")).alias("apart"))
-    sets = regions.select("main", "uid", "root", "open").distinct()
-    cost = sets.groupBy("main").agg(F.sum(F.col("open").cast("long")).alias("o"), F.count(F.lit(1)).alias("c")).join(apart, "main")
-    cost = cost.select("main", (F.col("o").cast("double") * F.col("c") > F.col("apart")).alias("split"))
-    # a token may equal the id of a component: both are then one cell, which compares more and loses nothing
-    cell = F.when(F.col("split"), F.col("token")).otherwise(F.col("main"))
-    return regions.join(cost, "main").select(cell.alias("cell"), "uid", "root", "open").distinct()
-
-
-def _compared(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): links between the open sets of a cell and any other of its sets, of another component.
-
-    Sets are dealt into strips of the cell, open ones narrow, all of them wide, and each pair of strips is a tile that one task compares at
-    once. A set is sent once for each strip of the other side, so what moves grows with the sets and strips, not with the pairs.
-    """
-    sizes = cells.groupBy("cell").agg(
-        F.ceil(F.sum(F.col("open").cast("int")) / NARROW).cast("int").alias("down"), F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("across"))
-    held = cells.join(sizes, "cell").join(sets.select("uid", "n", "shared"), "uid")
-    strip = lambda many: F.pmod(F.xxhash64("uid"), F.col(many)).cast("int")
-    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    rows = ["cell", "uid", "root", "open", "n", "shared"]
-    left = held.filter("open").select(*rows, strip("down").alias("i"), every("across").alias("j"), F.lit(True).alias("row"))
-    right = held.select(*rows, every("down").alias("i"), strip("across").alias("j"), F.lit(False).alias("row"))
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(_tile, "u long, v long")
-
-
-def _tile(group: pa.Table) -> pa.Table:
-    """Links within a tile, by the intersections of all its sets at once as a product of two incidence matrices."""
-    is_row = group.column("row").to_numpy()
-    down, across = np.flatnonzero(is_row), np.flatnonzero(~is_row)
-    shared = group.column("shared").combine_chunks()
-    size = np.diff(shared.offsets.to_numpy())
-    kinds, at = places(shared.flatten().to_numpy())
-    owner = np.repeat(np.arange(len(size)), size)
-    both = np.zeros((len(down), len(across)), dtype=np.float32)
-    for start in range(0, len(kinds), TILE_TOKENS):
-        here = (at >= start) & (at < start + TILE_TOKENS)
-        part = np.zeros((len(size), TILE_TOKENS), dtype=np.float32)
-        part[owner[here], at[here] - start] = 1.0
-        both += part[down] @ part[across].T
-    both = both.astype(np.int64)
-    uid, root, n, is_open = (group.column(c).to_numpy() for c in ("uid", "root", "n", "open"))
-    total = n[down][:, None].astype(np.int64) + n[across][None, :] - both
-    linked = (100 * both >= PERCENT * total) & (root[down][:, None] != root[across][None, :])
-    linked &= ~is_open[across][None, :] | (uid[down][:, None] < uid[across][None, :])
-    r, c = np.nonzero(linked)
-    return pa.table({"u": pa.array(uid[down][r], pa.int64()), "v": pa.array(uid[across][c], pa.int64())})
-
-
 def _regions(postings: DataFrame) -> DataFrame:
     """Postings with the pivot of their region: its smallest set. A region of one set is joined with nothing and goes."""
     found = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("pivot")).filter("many > 1")
@@ -193,33 +128,29 @@ def links(sets: DataFrame, postings: DataFrame) -> DataFrame:
     pivots are measured. Sets within the radius of the pivot are connected by it. Two sets can link only if their distances to the
     pivot differ by the radius or less (triangle inequality) and their sizes allow it: the window of a region's open sets
     says which others stay in it. After PIVOT_ROUNDS, which is one (with more, what is left of a region would be joined in the same way with its
-    next pivot), the regions with the same main component are cells, and their open sets are compared outright with all sets of
-    the cell, in tiles of bounded size.
+    next pivot), the regions with the same main component are cells, and what is not connected in them is compared outright, in tiles of bounded
+    size (``tiles.compare``).
     """
     regions = cut_lineage(_regions(postings))
     edges = None
     for _ in range(PIVOT_ROUNDS):
         regions = regions.select("token", "uid", "n", "pivot")
         asked = regions.filter("uid != pivot").select(F.col("uid").alias("x"), F.col("pivot").alias("y")).distinct()
-        measured = cut_lineage(_measured(asked, sets))
-        new = measured.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        met = cut_lineage(measured(asked, sets, PERCENT))
+        new = met.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         edges = cut_lineage(new if edges is None else edges.unionByName(new))
-        group = connect(edges, []).select(F.col("node").alias("uid"), "root")
         # the pivot has met all of its region and leaves it
-        met = regions.join(measured.select(F.col("x").alias("uid"), F.col("y").alias("pivot"), "distance"), ["uid", "pivot"]).drop("pivot")
-        met = cut_lineage(met.join(group, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
-        parts = met.groupBy("token", "root").agg(F.count(F.lit(1)).alias("many"))
-        main = parts.groupBy("token").agg(F.max_by("root", "many").alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        marked = met.join(main.drop("roots"), "token").withColumn("open", F.col("root") != F.col("main"))
+        left = regions.join(met.select(F.col("x").alias("uid"), F.col("y").alias("pivot"), "distance"), ["uid", "pivot"]).drop("pivot")
+        marked = cut_lineage(opened(cut_lineage(rooted(left, edges)), "token"))
         # a set out of reach of all open sets of its region, by its distance to the pivot or its size, has no link left there
         reach = marked.filter("open").groupBy("token").agg(
             F.min("uid").alias("pivot"), F.min("distance").alias("near"), F.max("distance").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"))
         window = (F.col("distance") >= F.col("near") - _SLACK) & (F.col("distance") <= F.col("far") + _SLACK)
         sizes = (100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most"))
-        regions = cut_lineage(marked.join(reach, "token").filter(F.col("open") | (window & sizes)).drop("near", "far", "least", "most"))
+        regions = cut_lineage(look_up(marked, reach, "token", "uid").filter(F.col("open") | (window & sizes)).drop("near", "far", "least", "most"))
         if regions.isEmpty():
             return edges
-    return edges.unionByName(_compared(cut_lineage(_cells(regions)), sets))
+    return compare(cells(regions), sets, PERCENT, edges)
 
 
 def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -246,7 +177,7 @@ def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_byt
     sets = found.filter("n_prefix > 0").select("uid", "n", "n_prefix", "shared")
     postings = sets.join(used, "uid", "left_semi").select("uid", "n", F.explode(F.slice("shared", F.lit(1), F.col("n_prefix"))).alias("token"))
     linked = links(sets, cut_lineage(postings))
-    group = connect(linked, []).select(F.col("node").alias("class"), "root")
+    group = connect(linked).select(F.col("node").alias("class"), "root")
     placed = rows.join(group, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     return placed.join(smallest, "root").select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), "component_id")

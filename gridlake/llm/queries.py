@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    centroids, decontaminate, html_extract, jaccard_join, line_dedup, lm_score, quality_rules, secret_scan, sentencepiece_codec, sharding, token_counts,
-    vector_codes)
+    centroids, decontaminate, html_extract, jaccard_join, line_dedup, lm_score, minhash, quality_rules, secret_scan, sentencepiece_codec, sharding,
+    token_counts, vector_codes)
 from .oracles import CENTROIDS_SQL, CODES_SQL
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -107,8 +107,13 @@ def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(told.cast("binary"), 256).alias("centroid_sha256"))
 
 
+def op13_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    grouped = minhash.group_texts(table(spark, sf, "documents"))
+    return grouped.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sentencepiece, op2_quality_rules, op3_sharding, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_html_extraction, op8_lm_score, op9_token_counts,
-    op10_jaccard_join, op11_vector_codes, op12_centroids)}
+    op10_jaccard_join, op11_vector_codes, op12_centroids, op13_minhash)}
 #: SQL where DuckDB has the functions it takes; the other queries are tested by brute force in tests/llm.
 ORACLE: dict[str, str] = {"op11_vector_codes": CODES_SQL, "op12_centroids": CENTROIDS_SQL}
