@@ -20,7 +20,6 @@ SHINGLE, PERCENT = 5, 75
 #: Pivots that a region is joined with before the pairs left in it are compared outright.
 PIVOT_ROUNDS = 1
 
-_SLACK = 1 - PERCENT / 100 + 1e-9  # the radius, and room for rounding
 _OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
@@ -120,10 +119,10 @@ def _regions(postings: DataFrame) -> DataFrame:
     return postings.join(found.select("token", "pivot"), "token")
 
 
-def links(sets: DataFrame, postings: DataFrame) -> DataFrame:
+def links(sets: DataFrame, postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v): links between sets, enough of them to connect whatever links connect.
 
-    Sets that link share a token of both prefixes (the quarter of their shingles that fewest documents have), so each prefix token is a
+    Sets that link share a token of both prefixes (that part of their shingles, the rarest, which they may lack: a quarter at 75 percent), so each prefix token is a
     region. The region's pivot is its smallest id, which is the same in most regions of a group of copies. All distances to
     pivots are measured. Sets within the radius of the pivot are connected by it. Two sets can link only if their distances to the
     pivot differ by the radius or less (triangle inequality) and their sizes allow it: the window of a region's open sets
@@ -132,11 +131,11 @@ def links(sets: DataFrame, postings: DataFrame) -> DataFrame:
     size (``tiles.compare``).
     """
     regions = cut_lineage(_regions(postings))
-    edges = None
+    edges, slack = None, 1 - percent / 100 + 1e-9  # the radius, and room for rounding
     for _ in range(PIVOT_ROUNDS):
         regions = regions.select("token", "uid", "n", "pivot")
         asked = regions.filter("uid != pivot").select(F.col("uid").alias("x"), F.col("pivot").alias("y")).distinct()
-        met = cut_lineage(measured(asked, sets, PERCENT))
+        met = cut_lineage(measured(asked, sets, percent))
         new = met.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         edges = cut_lineage(new if edges is None else edges.unionByName(new))
         # the pivot has met all of its region and leaves it
@@ -145,12 +144,12 @@ def links(sets: DataFrame, postings: DataFrame) -> DataFrame:
         # a set out of reach of all open sets of its region, by its distance to the pivot or its size, has no link left there
         reach = marked.filter("open").groupBy("token").agg(
             F.min("uid").alias("pivot"), F.min("distance").alias("near"), F.max("distance").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"))
-        window = (F.col("distance") >= F.col("near") - _SLACK) & (F.col("distance") <= F.col("far") + _SLACK)
-        sizes = (100 * F.col("n") >= PERCENT * F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most"))
+        window = (F.col("distance") >= F.col("near") - slack) & (F.col("distance") <= F.col("far") + slack)
+        sizes = (100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most"))
         regions = cut_lineage(look_up(marked, reach, "token", "uid").filter(F.col("open") | (window & sizes)).drop("near", "far", "least", "most"))
         if regions.isEmpty():
             return edges
-    return compare(cells(regions), sets, PERCENT, edges)
+    return compare(cells(regions), sets, percent, edges)
 
 
 def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -179,5 +178,5 @@ def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_byt
     linked = links(sets, cut_lineage(postings))
     group = connect(linked).select(F.col("node").alias("class"), "root")
     placed = rows.join(group, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    smallest = cut_lineage(placed.groupBy("root").agg(F.min("id").alias("component_id")))  # so that the rows of a large group can be split
     return placed.join(smallest, "root").select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), "component_id")

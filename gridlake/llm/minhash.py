@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from .arrays import mix, steps
 from .chunks import CHUNK_BYTES, batches_of, freeze, written
 from .components import connect
-from .jaccard_join import _lists, shingles
+from .jaccard_join import _lists, links, shingles
 from .shared import stored
 from .tiles import cells, compare, measured, opened, rooted
 
@@ -20,6 +20,8 @@ from .tiles import cells, compare, measured, opened, rooted
 SHINGLE, PERCENT = 2, 80
 #: Coordinates of a sketch (a power of two, 256 at most), and those of a band: sets at the threshold meet in a band with 1 - (1 - 0.8**4)**32, all but 5 in 10**8.
 COORDINATES, BAND = 128, 4
+#: Sets of a bucket from which on it is crowded, and bits of the classes of hashes in which the tokens of crowded buckets are counted.
+CROWDED, FREQUENCY_BITS = 256, 16
 #: Rows whose sketches are filled at once.
 SKETCH_ROWS = 4096
 
@@ -108,15 +110,62 @@ def _sets(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(found)
 
 
+def _classes(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many tokens of ``sets`` fall into each class of hashes: 2**FREQUENCY_BITS numbers, whatever the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(_classes(batch.column("shared").flatten().to_numpy()), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["class", "n"])
+
+    found = sets.select("shared").mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+    out[found.column("class").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _rarest(sets: DataFrame, often: np.ndarray) -> DataFrame:
+    """(uid, n, token): of each set the tokens of the rarest classes, so many that two sets that link share one. Any order will do for that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, n = batch.column("shared").flatten().to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((tokens, often[_classes(tokens)], row))
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            chosen = place <= (n - -(-PERCENT * n // 100))[row]
+            at = row[chosen]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid").take(pa.array(at)), pa.array(n[at], pa.int32()), pa.array(tokens[order][chosen])], ["uid", "n", "token"])
+
+    return sets.select("uid", "n", "shared").mapInArrow(run, "uid long, n int, token long")
+
+
 def confirmed(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): confirmed links, enough to connect all sets that share a bucket and link. ``buckets`` has (token, uid, pivot).
+    """(u, v): confirmed links, enough to connect all sets that share a bucket and link. ``buckets`` has (token, uid, pivot, many).
 
-    Each set is first measured against the smallest set that it shares a bucket with, which connects most copies by one link each. In the buckets that
+    Sets of crowded buckets, in which a passage that many texts share has brought together what does not link, are told apart by their rarest tokens:
+    two that link share one of them, so that these are joined as regions (``jaccard_join.links``), exactly. In the other buckets each set is measured against
+    the smallest set that it shares a bucket with, which connects most copies by one link each; in the buckets that then
     still hold more than one component, what is outside of the main one is compared outright (``tiles.compare``).
     """
-    asked = buckets.filter("uid != pivot").groupBy(F.col("uid").alias("x")).agg(F.min("pivot").alias("y"))
-    edges = cut_lineage(measured(asked, sets, PERCENT).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-    left = cut_lineage(opened(cut_lineage(rooted(buckets.select("token", "uid"), edges)), "token"))
+    crowd = buckets.filter(F.col("many") > CROWDED).select("uid").distinct()
+    crowded = cut_lineage(crowd)
+    edges = None
+    if not crowded.isEmpty():
+        pool = sets.join(crowded, "uid", "left_semi")
+        edges = cut_lineage(links(sets, cut_lineage(_rarest(pool, _frequencies(pool))), PERCENT))
+    small = cut_lineage(buckets.filter(F.col("many") <= CROWDED).select("token", "uid", "pivot"))
+    asked = small.filter("uid != pivot").groupBy(F.col("uid").alias("x")).agg(F.min("pivot").alias("y"))
+    new = measured(asked, sets, PERCENT).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    edges = cut_lineage(new if edges is None else edges.unionByName(new))
+    left = cut_lineage(opened(cut_lineage(rooted(small.select("token", "uid"), edges)), "token"))
     return edges if left.isEmpty() else compare(cells(left), sets, PERCENT, edges)
 
 
@@ -125,7 +174,7 @@ def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_byt
 
     Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text's set are its distinct shingles of two words, or its one word. Texts link if
     100 * intersection >= 80 * union, confirmed on the full sets. Equal sets are one class, sketched and compared once. A pair at the threshold is found with all but
-    5 chances in 10**8, nearer ones more surely; no bucket is cut.
+    5 chances in 10**8, nearer ones more surely; no bucket is cut, crowded ones are split exactly.
 
     Null texts and texts without words have the empty set, are linked with nothing and kept. Ids are numbers or strings; repeated ids get a row
     each; null ids get a null component, and are not kept, unless a link leads to an id. Extra columns are left out. Shingles are told apart by 64-bit hashes.
@@ -147,13 +196,13 @@ def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_byt
 
     one = classes.select(F.col("class").alias("uid"))
     tokens = cut_lineage(found.join(one, "uid", "left_semi").select("uid", F.explode("bands").alias("token")))
-    crowded = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("pivot")).filter("many > 1").select("token", "pivot")
-    buckets = cut_lineage(tokens.join(crowded, "token"))
+    shared = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("pivot")).filter("many > 1"))
+    buckets = cut_lineage(tokens.join(shared, "token"))  # two plain shuffles, of which a skewed one can be split
     wanted = found.select("uid", "chunk", "place").join(buckets.select("uid").distinct(), "uid", "left_semi")
     sets = frozen.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_sets, "uid long, n int, shared array<long>")
     linked = confirmed(buckets, written(sets, "uid"))
     group = connect(linked).select(F.col("node").alias("class"), "root")
     placed = placed.join(group, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    smallest = cut_lineage(placed.groupBy("root").agg(F.min("id").alias("component_id")))  # so that the rows of a large group can be split
     out = placed.join(smallest, "root").select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(f"`{id}`") == F.col("component_id"), F.lit(False)) | (F.col("n_shingles") == 0))

@@ -127,7 +127,7 @@ def compare(held: DataFrame, sets: DataFrame, percent: int, edges: DataFrame) ->
     for shift in (0, 1):
         edges = cut_lineage(edges.unionByName(_beside(held, sets, percent, shift)))
         many = held.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > WIDE).select("cell")
-        held = held.join(many, "cell", "left_semi")
+        held = look_up(held, many, "cell", "uid")
         held = cut_lineage(opened(rooted(held.select("cell", "uid", "root"), edges), "cell").drop("main"))
         if held.isEmpty():
             return edges

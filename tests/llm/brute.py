@@ -151,9 +151,9 @@ def shingle_set(text, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def components(docs):
+def components(docs, size=5, percent=75):
     """(id, size of the set, smallest id of its component) by comparing all pairs that share a shingle."""
-    sets = [shingle_set(t) for _, t in docs]
+    sets = [shingle_set(t, size) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(i):
@@ -169,7 +169,7 @@ def components(docs):
     met = {(a, b) for rows in where.values() for a in rows for b in rows if a < b}
     for a, b in met:
         both = len(sets[a] & sets[b])
-        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             root[find(a)] = find(b)
     low = {}
     for i, (id, _) in enumerate(docs):
