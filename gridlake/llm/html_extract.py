@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import steps
+from .labelled_pages import MAIN, PAGES
 
 #: Elements whose content is no text, elements that start a block, elements that mark page furniture, elements and words in
 #: class, id and role that hint at it, and elements and words that mark or hint at the article.
@@ -27,28 +28,33 @@ newsletter notice notices notification pager pagination popup privacy promo prom
 sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar warning widget widgets alert"""
 ARTICLE = "article main"
 ARTICLE_HINTS = "article articlebody content entry main post story"
+#: Hints at what readers wrote and at other articles: an article below them is one of theirs.
+OTHERS = "comment comments commentlist disqus discussion related replies reply respond teaser"
 #: Words that, right before or after a hint, say that the page has or lacks such a part, not that the element is one.
 BEFORE = "with without no non not has have show hide"
-AFTER = "free less off"
+AFTER = "free less off open closed enabled disabled"
 #: Silent elements that reach to the end of the page if they have no end tag; the tags of the others are then passed over alone.
 ENDLESS = "script style textarea"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 
 _SETS = {k: frozenset(v.split()) for k, v in (
     ("silent", SILENT), ("block", BLOCK), ("furniture", FURNITURE), ("hints", HINTS), ("article", ARTICLE), ("near", ARTICLE_HINTS), ("void", VOID),
-    ("wrappers", WRAPPERS), ("before", BEFORE), ("after", AFTER), ("endless", ENDLESS))}
+    ("wrappers", WRAPPERS), ("others", OTHERS), ("before", BEFORE), ("after", AFTER), ("endless", ENDLESS))}
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([^<]++|<)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: Plain words in no furniture from which on a page has its text there, and no furniture mark is a wrapper of all of it.
 ELSEWHERE = 40
+#: What the tree sees of that number is at most this.
+MOST_ELSEWHERE = 999
 
 #: What the tree looks at, in this order. Furniture and article are 2 by an element, 1 by a hint and 0 if nothing says so, both by the
-#: nearest marks; share is that of the page's plain words below the nearest furniture mark, 0 if the page has ELSEWHERE words in no furniture.
-FEATURES = ("furniture", "article", "words", "link_density", "words_before", "links_before", "words_after", "links_after", "share")
+#: nearest marks; share is that of the page's plain words below the nearest furniture mark, 0 if the page has ELSEWHERE words in no furniture;
+#: elsewhere is the number of plain words in no furniture.
+FEATURES = ("furniture", "article", "words", "link_density", "words_before", "links_before", "words_after", "links_after", "share", "elsewhere")
 
 #: Blocks of hand-made pages: words, link density, the same of the block before and of the block after, then 1 if the block is main text.
 #: Menus, headers, footers, adverts, notices, forms, comments, marked as such.
@@ -82,18 +88,43 @@ NEAR = (
 )
 
 
+#: Pages of a few plain words in all: what is not a link is text.
+SHORT = (
+    (1, 0.00, 0, 0.0, 0, 0.0, 1), (5, 0.00, 0, 0.0, 0, 0.0, 1), (9, 0.00, 6, 0.0, 0, 0.0, 1), (2, 0.00, 0, 0.0, 8, 0.0, 1), (8, 0.00, 2, 0.0, 3, 0.0, 1),
+    (25, 0.10, 3, 0.0, 0, 0.0, 1), (12, 0.00, 2, 1.0, 0, 0.0, 1), (6, 0.30, 0, 0.0, 7, 0.0, 1), (4, 0.00, 4, 0.0, 4, 0.0, 1), (18, 0.20, 2, 1.0, 3, 1.0, 1),
+    (1, 1.00, 0, 0.0, 5, 0.0, 0), (2, 1.00, 2, 1.0, 2, 1.0, 0), (3, 0.90, 9, 0.0, 0, 0.0, 0), (12, 0.80, 1, 1.0, 1, 1.0, 0), (2, 1.00, 0, 0.0, 0, 0.0, 0),
+    (7, 0.70, 3, 1.0, 12, 0.0, 0),
+)
+
+
 def _labelled() -> Iterator[tuple]:
     """Rows of FEATURES and the label. Marks and figures disagree where a mark of furniture holds nearly all words of a page: it then is a
-    wrapper, and its blocks are judged like those of a page without marks."""
-    for blocks, furniture, article, shares in (
-            (MARKED, (1, 2), (0, 1, 2), (0.0, 0.1, 0.4, 0.6)), (PLAIN, (1, 2), (0, 1, 2), (0.8, 0.9, 1.0)),
-            (INSIDE, (0,), (2,), (0.0,)), (PLAIN, (0,), (0,), (0.0,)), (NEAR, (0,), (1,), (0.0,))):
-        for f, a, share, (*figures, label) in product(furniture, article, shares, blocks):
-            yield (f, a, *figures, share, label)
+    wrapper, and its blocks are judged like those of a page without marks. The blocks of hand-labelled whole pages come last."""
+    for blocks, furniture, article, shares, elsewhere in (
+            (MARKED, (1, 2), (0, 1, 2), (0.0, 0.1, 0.4, 0.6), (0, 25, 300)), (PLAIN, (1, 2), (0, 1, 2), (0.8, 0.9, 1.0), (0, 25)),
+            (INSIDE, (0,), (2,), (0.0,), (5, 60, 300)), (PLAIN, (0,), (0,), (0.0,), (60, 300)), (NEAR, (0,), (1,), (0.0,), (60, 300)),
+            (SHORT, (0,), (0, 1), (0.0,), (0, 10, 25, 35))):
+        for f, a, share, e, (*figures, label) in product(furniture, article, shares, elsewhere, blocks):
+            yield (f, a, *figures, share, e, label)
+    for page in PAGES:
+        for row, text in figures_of(page):
+            yield (*row, int(text.startswith(MAIN)))
+
+
+def figures_of(page: str) -> Iterator[tuple[tuple, str]]:
+    """(FEATURES, text) of each block of a page."""
+    found = blocks(page)
+    elsewhere = sum(words * (1 - density) for _, words, density, furniture, *_ in found if not furniture)
+    for i, (text, words, density, furniture, article, share) in enumerate(found):
+        _, w0, d0, *_ = found[i - 1] if i else ("", 0, 0.0)
+        _, w1, d1, *_ = found[i + 1] if i + 1 < len(found) else ("", 0, 0.0)
+        yield (furniture, article, words, density, w0, d0, w1, d1, share if elsewhere < ELSEWHERE else 0.0, min(elsewhere, MOST_ELSEWHERE)), text
 
 
-#: The labelled table: blocks by FEATURES, then 1 if the block is main text.
-LABELLED = tuple(_labelled())
+@lru_cache(maxsize=1)
+def labelled() -> tuple:
+    """The labelled table: blocks by FEATURES, then 1 if the block is main text."""
+    return tuple(_labelled())
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> tuple:
@@ -117,7 +148,7 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> tuple:
 
 @lru_cache(maxsize=1)
 def tree() -> tuple:
-    table = np.array(LABELLED, dtype=float)
+    table = np.array(labelled(), dtype=float)
     return grow(table[:, :-1], table[:, -1])
 
 
@@ -129,18 +160,28 @@ def is_text(features: tuple, node: tuple | None = None) -> bool:
 
 
 def _marks(name: str, attributes: str) -> tuple[int, int, bool]:
-    """(page furniture, article, hidden) by the element's name and the words of its class, id and role: 2 by the name, 1 by a word."""
+    """(page furniture, article, hidden) by the element's name and the words of its class, id and role.
+
+    2 by the name, 1 by a word; a word that names readers' comments or other articles counts as much as a name, so that an
+    ``article`` inside is one of them. Hidden is what has that attribute, is hidden by ``aria-hidden`` or by its style.
+    """
     if name in ("html", "body"):
         return 0, 0, False
     furniture, article = 2 * (name in _SETS["furniture"]) or int(name in _SETS["wrappers"]), 2 * (name in _SETS["article"])
-    for names in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-        for token in names.lower().split():
-            words = _WORD.findall(token)
-            article = article or int(not _SETS["near"].isdisjoint(words))
-            if not furniture and not _SETS["hints"].isdisjoint(words):
-                around = zip(["", *words], words, [*words[1:], ""], strict=False)
-                furniture = int(any(w in _SETS["hints"] and x not in _SETS["before"] and y not in _SETS["after"] for x, w, y in around))
-    return furniture, article, bool(attributes and _HIDDEN.search(attributes))
+    if not attributes.strip(" \t\n\r\f/"):
+        return furniture, article, False
+    given: dict[str, str] = {}
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        given.setdefault(key.lower(), "".join(values).lower())
+    for token in f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".split():
+        words = _WORD.findall(token)
+        article = article or int(not _SETS["near"].isdisjoint(words))
+        if furniture < 2 and not _SETS["hints"].isdisjoint(words):
+            for x, w, y in zip(["", *words], words, [*words[1:], ""], strict=False):
+                if w in _SETS["hints"] and x not in _SETS["before"] and y not in _SETS["after"]:
+                    furniture = max(furniture, 1 + (w in _SETS["others"]))
+    hidden = "hidden" in given or given.get("aria-hidden") == "true" or bool(_NO_DISPLAY.search(given.get("style", "")))
+    return furniture, article, hidden
 
 
 def blocks(page: str) -> list[tuple[str, int, float, int, int, float]]:
@@ -246,15 +287,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, float]]:
 
 def main_text(page: str | None) -> str:
     """The blocks that the tree takes for main text, joined by line ends; empty if there are none."""
-    found = blocks(page or "")
-    elsewhere = sum(words * (1 - density) for _, words, density, furniture, *_ in found if not furniture)
-    kept = []
-    for i, (text, words, density, furniture, article, share) in enumerate(found):
-        _, w0, d0, *_ = found[i - 1] if i else ("", 0, 0.0)
-        _, w1, d1, *_ = found[i + 1] if i + 1 < len(found) else ("", 0, 0.0)
-        if is_text((furniture, article, words, density, w0, d0, w1, d1, share if elsewhere < ELSEWHERE else 0.0)):
-            kept.append(text)
-    return "\n".join(kept)
+    return "\n".join(text for row, text in figures_of(page or "") if is_text(row))
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
