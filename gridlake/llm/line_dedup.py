@@ -88,6 +88,7 @@ def later_copies(lines: DataFrame) -> DataFrame:
         end = level.select(F.col("pos").alias("pos2"), F.col("rank").alias("rank2"))
         whole = here.join(end, F.col("pos") + F.col("length") - step == F.col("pos2")).select("pos", "length", "rank", "rank2")
         first = whole.groupBy("length", "rank", "rank2").agg(F.min("pos").alias("source"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        first = cut_lineage(first)  # a join of two plain shuffles: the rows of a very common run can be split
         later = whole.join(first, ["length", "rank", "rank2"]).filter("pos != source").select("pos", F.col("length").cast("long").alias("length"))
         copies = later if copies is None else copies.unionByName(later)
         if 2 * step > most or level.isEmpty():
@@ -96,6 +97,20 @@ def later_copies(lines: DataFrame) -> DataFrame:
         step *= 2
 
 
+def _covered(runs: DataFrame) -> DataFrame:
+    """(doc, spans): the stretches of lines, from and to, that the windows (pos, length) of a document cover, as few as can be.
+
+    Windows are joined where they overlap or touch, not taken apart into lines: texts with few words a line have long windows.
+    """
+    doc, line = line_at("pos")
+    spans = runs.groupBy("pos").agg(F.max("length").alias("length")).select(doc.alias("doc"), line.alias("first"), (line + F.col("length").cast("int")).alias("stop"))
+    before = Window.partitionBy("doc").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("fresh", (F.coalesce(F.max("stop").over(before), F.lit(-1)) < F.col("first")).cast("int"))
+    parts = fresh.withColumn("part", F.sum("fresh").over(Window.partitionBy("doc").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)))
+    joined = parts.groupBy("doc", "part").agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
+    return joined.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("spans"))
+
+
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``df`` with the later copies of repeated line runs deleted from ``text``, and ``_removed``, the numbers of the lines deleted (from 0).
 
@@ -115,22 +130,19 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", least: in
     numbered = cut_lineage(ordered_number(order, ["id", "key"], "doc"))
     placed = lines.join(numbered, "key").select(position(F.col("doc"), F.col("line")).alias("pos"), "digest", "need", "back")
     runs = later_copies(cut_lineage(placed))
-    gone = runs.select(F.explode(F.sequence("pos", F.col("pos") + F.col("length") - 1)).alias("pos")).distinct()
-    doc, line = line_at("pos")
-    of_doc = gone.select(doc.alias("doc"), line.alias("line"))
-    of_doc = of_doc.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("lines")).join(numbered, "doc").select("key", "lines")
+    of_doc = _covered(runs).join(numbered, "doc").select("key", "spans")
     again = F.row_number().over(Window.partitionBy("key").orderBy("key")) > 1
-    joined = keyed.withColumn("again", again).join(of_doc, "key", "left").select("row", "text", "again", "lines")
+    joined = keyed.withColumn("again", again).join(of_doc, "key", "left").select("row", "text", "again", "spans")
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
                 texts, removed = [], []
-                for t, again, gone in zip(*(part.column(c).to_pylist() for c in ("text", "again", "lines")), strict=True):
+                for t, again, spans in zip(*(part.column(c).to_pylist() for c in ("text", "again", "spans")), strict=True):
                     rows = [] if t is None else t.split("\n")
                     if again and len((t or "").encode().split()) >= least:
-                        gone = range(len(rows))  # an earlier row has all of it
-                    drop = set(gone or ())
+                        spans = [{"first": 0, "stop": len(rows)}]  # an earlier row has all of it
+                    drop = {i for x in spans or () for i in range(x["first"], x["stop"])}
                     texts.append("\n".join(r for i, r in enumerate(rows) if i not in drop) if drop else t)
                     removed.append(sorted(drop))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.int32()))], ["row", "text", "lines"])
