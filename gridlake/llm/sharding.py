@@ -11,8 +11,9 @@ def shard_rows(
     """``df`` with ``shard`` (0 to n_shards-1) and ``slot`` (gapless from 0 in each shard).
 
     Rows are ranked within their source in the order of a seeded hash of ``ids``; row r of n gets the fraction
-    (2r-1)/2n; all rows in the order of that fraction are cut into shards whose counts are at most one apart, so a
-    shard holds of every source its share, to within a row or two.
+    (r-u)/n, u being a hash of the source between 0 and 1; all rows in the order of that fraction are cut into shards whose counts are at most
+    one apart, so a shard holds of every source its share, to within a row or two. By u the sources of a row each are spread over all shards
+    and buckets, too. Equal fractions are ordered by source, hash and ``ids``; rows equal in all of these take their places in any order.
 
     A source that holds most rows is ranked in ``buckets`` hash ranges (default: four for each shuffle partition), and so is
     the order over all, as fractions are spread evenly. Only bucket counts are summed up in order.
@@ -29,10 +30,11 @@ def shard_rows(
         F.col("s").alias("s2"), F.col("b").alias("b2"),
         (F.sum("n").over(of_source.orderBy("b")) - F.col("n")).alias("before"), F.sum("n").over(of_source).alias("total"),
     )
+    shift = (F.pmod(F.xxhash64(F.lit(seed + 1), "s"), F.lit(1 << 20)) + 0.5) / (1 << 20)
     tie = ["h", *[F.col(f"row.`{i}`") for i in ids]]
     ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy(*tie)))
     ranked = ranked.join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).withColumn(
-        "f", (2 * (F.col("before") + F.col("r")) - 1) / (2 * F.col("total")))
+        "f", (F.col("before") + F.col("r") - shift) / F.col("total"))
     ranked = ranked.withColumn("g", F.floor(F.col("f") * many)).select("row", "s", "h", "f", "g")
 
     counts = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
