@@ -63,16 +63,17 @@ def window_shingles(found: DataFrame) -> DataFrame:
     return distinct.mapInArrow(cut, "window string, words array<string>, n int, shingle long, at int, size int")
 
 
-def _passes(keys: DataFrame) -> list[tuple[np.ndarray, list[int]]]:
-    """The shingles to look for, sorted, in parts of bounded size, and the shingle sizes that occur."""
+def _passes(keys: DataFrame) -> Iterator[tuple[np.ndarray, list[int], bool]]:
+    """The shingles to look for, sorted, in parts of bounded size, the shingle sizes that occur, and whether it is the only part.
+
+    One part at a time is on the driver; who takes more than one writes what it finds before it takes the next.
+    """
     keys = keys.distinct()
     parts = -(-keys.count() // KEYS_A_PASS)
-    out = []
     for p in range(parts):
         mine = keys if parts == 1 else keys.filter(F.pmod(F.xxhash64("shingle"), F.lit(parts)) == p)
         rows = mine.toPandas()
-        out.append((np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64)), sorted(set(rows["size"].tolist()))))
-    return out
+        yield np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64)), sorted(set(rows["size"].tolist())), parts == 1
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -83,7 +84,7 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def document_frequency(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     """(shingle, df): in how many documents each of the shingles ``keys`` occurs; those in none are left out."""
     total = None
-    for wanted, sizes in _passes(keys):
+    for wanted, sizes, alone in _passes(keys):
         held = df.sparkSession.sparkContext.broadcast(wanted)
 
         def count(batches: Iterator[pa.RecordBatch], held=held, sizes=sizes) -> Iterator[pa.RecordBatch]:
@@ -99,6 +100,9 @@ def document_frequency(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(df_.astype(np.int64))], ["shingle", "df"])
 
         part = df.select(F.col(text)).mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
+        if not alone:
+            part = cut_lineage(part)
+            held.destroy()
         total = part if total is None else total.unionByName(part)
     return total
 
@@ -117,7 +121,8 @@ def candidates(df: DataFrame, text: str, carry: list[str], prefixes: DataFrame,
     chosen = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("_text"))
     schema = chosen.drop("_text").schema.add("n_words", "long").add("found", CANDIDATE)
     total = None
-    for k, (wanted, sizes) in enumerate(_passes(prefixes) or [(np.zeros(1, np.uint64), [])]):
+    none = (np.zeros(1, np.uint64), [], True)
+    for k, (wanted, sizes, alone) in enumerate(_passes(prefixes) if not prefixes.isEmpty() else [none]):
         held = df.sparkSession.sparkContext.broadcast(wanted)
 
         def search(batches: Iterator[pa.RecordBatch], held=held, sizes=sizes, k=k) -> Iterator[pa.RecordBatch]:
@@ -140,6 +145,9 @@ def candidates(df: DataFrame, text: str, carry: list[str], prefixes: DataFrame,
         part = chosen.mapInArrow(search, schema)
         if k:
             part = part.filter(F.size("found") > 0)
+        if not alone:
+            part = cut_lineage(part)
+            held.destroy()
         total = part if total is None else total.unionByName(part)
     return total
 
