@@ -15,7 +15,7 @@ from .vectors import kept
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Vectors of a block; components that the curve runs through, and bits of each.
-BLOCK_ROWS, CURVE_DIMENSIONS, CURVE_BITS = 256, 8, 7
+BLOCK_ROWS, CURVE_DIMENSIONS, CURVE_BITS = 64, 8, 7
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -72,15 +72,14 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, length)
 
 
-def _placed(rows: DataFrame, length: int) -> DataFrame:
+def _placed(rows: DataFrame, length: int, parts: int) -> DataFrame:
     """``rows`` with ``h``, their place on the curve through the components that vary most in each part."""
     v = F.col("v")
     figures = [f(v[i]).alias(f"{name}{i}") for i in range(length) for name, f in (
         ("lo", F.min), ("hi", F.max), ("spread", lambda c: F.var_pop(c.cast("double"))))]
     told = rows.agg(*figures).first()
-    width = length // PARTS if length >= PARTS else length
-    each = max(1, CURVE_DIMENSIONS // PARTS)
-    axes = [i for start in range(0, length, width) for i in sorted(range(start, min(length, start + width)), key=lambda i: -told[f"spread{i}"])[:each]]
+    width, each = length // parts, max(1, CURVE_DIMENSIONS // parts)
+    axes = [i for start in range(0, length, width) for i in sorted(range(start, start + width), key=lambda i: -told[f"spread{i}"])[:each]]
     axes = axes[: 63 // CURVE_BITS]
     lo = np.array([told[f"lo{i}"] for i in axes], dtype=np.int64)
     span = np.maximum(np.array([told[f"hi{i}"] for i in axes], dtype=np.int64) - lo, 1)
@@ -93,13 +92,13 @@ def _placed(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("h", LongType())]))
 
 
-def _blocks(rows: DataFrame, length: int) -> DataFrame:
+def _blocks(rows: DataFrame, length: int, parts: int = PARTS) -> DataFrame:
     """Blocks of neighbours on the curve: the vectors, their ids and carried columns, and the box and sum of all components.
 
     Equal vectors are one place on the curve, so they are dealt by a hash of the id as well.
     """
     carried = [c for c in rows.columns if c != "v"]
-    placed = _placed(rows, length).withColumn("salt", F.xxhash64("id", "v"))
+    placed = _placed(rows, length, parts).withColumn("salt", F.xxhash64("id", "v"))
     sorted_rows = placed.repartitionByRange("h", "salt").sortWithinPartitions("h", "salt").select(F.struct(*carried).alias("row"), "v")
     schema = f"held array<{sorted_rows.schema['row'].dataType.simpleString()}>, {_BLOCK}"
 
@@ -221,7 +220,7 @@ def compress(
     start = [r["v"] for r in rows.select("id", "v").orderBy(*order).limit(entries).collect()] or [[0] * length]
     books = np.array(start, dtype=np.int64).reshape(len(start), parts, length // parts).transpose(1, 0, 2)
     if first:
-        blocks = _blocks(rows, length)
+        blocks = _blocks(rows, length, parts)
         books = _trained(blocks, books, rounds)
         coded = stored(_coded(blocks, books).select("row.id", F.struct(F.col("row.c0").alias("label")).alias("key"), "code", "error"))
     else:

@@ -185,6 +185,14 @@ def test_shards_of_few_and_of_no_rows(docs, none):
     assert len({r.shard for r in got}) == 5 and {r.slot for r in got} == {0}
 
 
+def test_sources_of_a_row_each_are_spread(spark):
+    """No bucket of the order over all holds more than its part, and each shard gets some of either kind."""
+    rows = [(i, f"host{i}" if i % 2 else "big") for i in range(4000)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, source string"), 8, buckets=64).collect()
+    small = Counter(r.shard for r in got if r.source != "big")
+    assert set(Counter(r.shard for r in got).values()) == {500} and all(150 < small[s] < 350 for s in range(8))
+
+
 def test_written_shards(docs, spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), n_shards=4)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
@@ -274,6 +282,15 @@ def test_random_line_runs(spark, seed):
     assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == brute.dedup_lines([t for _, t in rows], 12)
 
 
+def test_long_stretches_of_lines_with_few_words(spark):
+    """Copies of a text of blank lines with a word now and then: windows of thousands of lines, begun at each line."""
+    text = "\n".join(f"word{i}" if i % 20 == 0 else "" for i in range(2000))
+    rows = [(0, text), (1, "own line\n" + text + "\nlast line"), (2, text)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].text for i in range(3)] == brute.dedup_lines([t for _, t in rows])
+    assert got[1].text == "own line\nlast line" and len(got[2]._removed) == 2000
+
+
 def test_positions_hold_every_line_of_the_longest_text(spark):
     places = [(0, 0), (0, 1 << 24), (1, 0), (1, (1 << 24) + 3), (2, 3), (7, (1 << 31) - 1), (8, 0), ((1 << 32) - 1, (1 << 31) - 1)]
     df = spark.createDataFrame(places, "doc long, line long").withColumn("pos", F.shiftleft("doc", line_dedup.LINE_BITS) + F.col("line"))
@@ -340,14 +357,42 @@ def test_the_tree_goes_by_marks_unless_they_hold_the_page():
     rng = random.Random(3)
     for _ in range(2000):
         figures = (rng.randint(1, 200), rng.choice([0.0, 0.1, 0.5, 1.0]), rng.randint(0, 90), rng.choice([0.0, 1.0]), rng.randint(0, 90), rng.choice([0.0, 1.0]))
-        mark, article = rng.choice([1, 2]), rng.choice([0, 1, 2])
-        assert not html_extract.is_text((mark, article, *figures, rng.random() * 0.6))
-        assert html_extract.is_text((mark, article, 120, 0.1, 3, 1.0, 20, 0.0, 0.9))
-        assert html_extract.is_text((0, 2, *figures, 0.0))
+        mark, article, elsewhere = rng.choice([1, 2]), rng.choice([0, 1, 2]), rng.randint(0, 400)
+        assert not html_extract.is_text((mark, article, *figures, rng.random() * 0.6, elsewhere))
+        assert html_extract.is_text((mark, article, 120, 0.1, 3, 1.0, 20, 0.0, 0.9, min(elsewhere, 39)))
+        assert html_extract.is_text((0, 2, *figures, 0.0, elsewhere))
 
 
 def test_the_tree_tells_its_table_apart():
-    assert all(html_extract.is_text(row[:-1]) == bool(row[-1]) for row in html_extract.LABELLED)
+    assert all(html_extract.is_text(row[:-1]) == bool(row[-1]) for row in html_extract.labelled())
+
+
+@pytest.mark.parametrize("page", [f"<article title='a hidden gem'>{BODY}</article>", BODY.replace("<p>", "<p data-x='not hidden '>"), f"<div data-id=menu>{BODY}</div>",
+                                  f"<article data-role='comments' title='display:none'>{BODY}</article>", f"<article STYLE='color:red'>{BODY}<p Hidden>x</p><p style='a:b; display : none'>y</p></article>"])
+def test_values_of_other_attributes_hide_nothing(page):
+    assert html_extract.main_text(f"<nav>{MENU}</nav>{page}") == BODY_TEXT
+
+
+@pytest.mark.parametrize("mark", ["section class=comments", "div class=related", "div id=respond", "ol class='comment-list commentlist'", "div class='teaser'", "aside", "footer"])
+@pytest.mark.parametrize("place", ["inside", "after"])
+def test_articles_of_readers_and_teasers_are_left_out(mark, place):
+    other = f"<{mark}><article><h3>Someone wrote</h3><p>{WORDS} c</p><article><p>{WORDS} d</p></article></article></{mark.split()[0]}>"
+    page = f"<article>{BODY}{other}</article>" if place == "inside" else f"<article>{BODY}</article>{other}"
+    assert html_extract.main_text(f"<body class=comments-open>{MENU}{page}</body>") == BODY_TEXT
+    assert html_extract.main_text(f"<{mark}><article>{BODY}</article></{mark.split()[0]}>") == BODY_TEXT  # it holds the page
+
+
+@pytest.mark.parametrize("text", ["Short.", "A short paragraph of a few words", "Closed until further notice"])
+def test_short_pages_without_marks_keep_their_text(text):
+    assert html_extract.main_text(f"<p>{text}</p>") == text
+    assert html_extract.main_text(f"<html><body><h1>Hello</h1><div>{text}</div></body></html>") == f"Hello\n{text}"
+    assert html_extract.main_text(f"<body><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul><p>{text}</p><a href=/b>Next</a></body>") == text
+    assert html_extract.main_text(text) == text
+
+
+def test_tables_definitions_and_quotes_of_an_article_stay():
+    page = f"<main><h2>Sizes</h2><table><tr><th>Name<td>Size</tr><tr><th>a<td>1</tr></table><dl><dt>Term<dd>Meaning</dl><blockquote>{WORDS}</blockquote><pre>x = 1</pre></main>"
+    assert html_extract.main_text(f"<header>Site</header>{page}<footer>c</footer>") == f"Sizes\nName\nSize\na\n1\nTerm\nMeaning\n{WORDS}\nx = 1"
 
 
 def test_extract_keeps_rows(spark):
