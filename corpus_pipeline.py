@@ -20,13 +20,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts have no words and go; null ids and repeated rows are judged by their text; no documents, none back."""
     judged = quality_rules.apply_rules(docs, table(spark, sf_dir, "labels"))
     return quality_rules.only_kept(judged).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of repeated line runs; n_chars follows the text."""
+    """All documents, without later copies of repeated line runs; n_chars follows the text.
+
+    A null text stays null; of repeated rows the first keeps its lines; a text of which nothing is left stays as the empty one.
+    """
     done = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
@@ -34,7 +37,10 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts, the one with the smallest id. Texts without words are linked with nothing and stay."""
+    """One document of each group of linked texts, the one with the smallest id. Texts without words are linked with nothing and stay.
+
+    A null id is the smallest; of rows equal in all columns one stays, unless they have no words.
+    """
     keyed = _keyed(docs)
     groups = jaccard_join.group_texts(keyed.select("key", "text"), id="key").distinct()
     turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
@@ -44,14 +50,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs. Null and empty texts hold none and stay, as do repeated rows."""
     keyed = _keyed(docs)
     found = decontaminate.find_items(keyed.select("key", "text"), table(spark, sf_dir, "benchmark"), carry=("key",))
     return keyed.join(found.filter("n_hit > 0").select("row.key").distinct(), "key", "left_anti").select("row.*")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the round trip of each document."""
+    """doc_id, n_tokens, ids and the round trip of each document, one row each; a null text is the empty one and has no ids."""
     return encoded(docs)
 
 
