@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import names as nm
+from ..operators.objects import label_components
+from ..plans.inference import score_mosaic
 from ..session import ensure_checkpoint_dir
 from ..sources import catalog as ct, io
 from ..streaming import incremental as inc
@@ -14,6 +16,7 @@ from . import fixtures as fx
 from .fixtures import S, W, r6 as R, with_ctes
 from .registry import query, r6
 
+BRIGHT = 0.85  # score from which on a pixel belongs to an object of the image stream
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -148,5 +151,40 @@ def process_new_images(spark: SparkSession, sf: str) -> DataFrame:
         stream = inc.stream_pixels(spark, f"{base}/in", schema, files_per_batch=1)
         stream = stream.withColumn("image_id", F.floor(F.col("vec_id") / 100).cast("long"))
         inc.process_new_images(stream, plan, f"{base}/out", f"{base}/{state}").awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("image_id").agg(
+    return inc.read_committed(spark, f"{base}/out").groupBy("image_id").agg(
         F.sum("n_vectors").alias("n_vectors"), R(F.sum("total")).alias("total"))
+
+
+@query(with_ctes(["mosaic"], """
+    SELECT image_id, count(*) AS n_objects, CAST(sum(n) AS BIGINT) AS mask_px, CAST(max(n) AS BIGINT) AS largest FROM (
+      SELECT image_id, root, count(*) AS n FROM (
+        SELECT image_id, row, col, min(struct_pack(r := r0, c := c0)) AS root FROM reach GROUP BY image_id, row, col) GROUP BY image_id, root)
+    GROUP BY image_id""", True, [
+        ("obs", f"SELECT image_id, row, col FROM mosaic WHERE round(seg, 9) >= {BRIGHT}::DOUBLE"),
+        ("reach", """
+          SELECT image_id, row, col, row AS r0, col AS c0 FROM obs
+          UNION
+          SELECT o.image_id, o.row, o.col, s.r0, s.c0 FROM reach s JOIN obs o ON o.image_id = s.image_id
+            AND abs(o.row - s.row) <= 1 AND abs(o.col - s.col) <= 1""")]))
+def process_whole_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Images cut into stripes that lie in several files, two files a micro-batch: windows, mosaic and objects of each image as a whole.
+
+    Run again, with its checkpoint and without: nothing is new.
+    """
+    base = f"{ensure_checkpoint_dir(spark)}/whole-{uuid.uuid4().hex}"
+    px = fx.pixels(spark, sf).select("image_id", "row", "col", "red")
+    stripe = F.floor(F.col("row") / 27).cast("int")
+    px.repartition(6, "image_id", stripe).write.parquet(f"{base}/in")
+    found = spark.read.parquet(f"{base}/in")
+    manifest = found.groupBy("image_id").agg(F.countDistinct(F.col("_metadata.file_path")).alias("n_files"))
+
+    def plan(new: DataFrame) -> DataFrame:
+        merged = score_mosaic(new, [fx.RED], W, W, S).filter(F.round("seg", 9) >= BRIGHT)
+        sizes = label_components(merged.select("image_id", "row", "col"), block=32).groupBy("image_id", "component").agg(F.count(F.lit(1)).alias("n"))
+        return sizes.groupBy("image_id").agg(
+            F.count(F.lit(1)).alias("n_objects"), F.sum("n").alias("mask_px"), F.max("n").alias("largest"))
+
+    for state in ("state", "state", "lost"):
+        stream = inc.stream_pixels(spark, f"{base}/in", found.schema, files_per_batch=2)
+        inc.process_whole_images(stream, manifest, plan, f"{base}/out", f"{base}/{state}").awaitTermination()
+    return inc.read_committed(spark, f"{base}/out")

@@ -169,7 +169,7 @@ def test_new_files_are_processed_once(spark, tmp_path):
 
     def run(where=state):
         inc.process_new_images(inc.stream_pixels(spark, source, schema, 1), lambda b: b, out, where).awaitTermination()
-        return sorted(r["image_id"] for r in spark.read.parquet(out).collect())
+        return sorted(r["image_id"] for r in inc.read_committed(spark, out).collect())
 
     arrive(1, 2)
     assert run() == [1, 2]
@@ -177,7 +177,116 @@ def test_new_files_are_processed_once(spark, tmp_path):
     arrive(2, 3)
     arrive(2)
     assert run() == [1, 2, 2, 2, 3], "image 2 has parts in three files, each in a micro-batch of its own"
-    assert run(str(tmp_path / "other")) == [1, 2, 2, 2, 3], "the ledger outlives the checkpoint"
+    assert run(str(tmp_path / "other")) == [1, 2, 2, 2, 3], "the commits outlive the checkpoint"
+
+
+class Crash(RuntimeError):
+    pass
+
+
+def crash_before(monkeypatch, name, times):
+    """The first so many calls of ``name`` fail, as when the driver dies there."""
+    real, left = getattr(inc, name), [times]
+
+    def run(*a):
+        if left[0]:
+            left[0] -= 1
+            raise Crash(name)
+        return real(*a)
+
+    monkeypatch.setattr(inc, name, run)
+
+
+@pytest.mark.parametrize("checkpoint", ["kept", "lost"])
+def test_results_without_a_commit_are_not_read_and_come_again(spark, tmp_path, monkeypatch, checkpoint):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = spark.createDataFrame([], "image_id long, v double").schema
+    for i in range(4):
+        spark.createDataFrame([(i, 1.0), (9, 1.0)], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run(files, state):
+        inc.process_new_images(inc.stream_pixels(spark, source, schema, files), lambda b: b, out, str(tmp_path / state)).awaitTermination()
+
+    with pytest.raises(FileNotFoundError):
+        inc.read_committed(spark, out)
+    crash_before(monkeypatch, "commit", 1)
+    with pytest.raises(Exception, match="commit"):
+        run(3, "state")
+    assert len(os.listdir(f"{out}/data")) == 1 and inc.committed(spark, out).count() == 0
+    run(2, "state" if checkpoint == "kept" else "other")
+    got = sorted(r["image_id"] for r in inc.read_committed(spark, out).collect())
+    assert got == [0, 1, 2, 3, 9, 9, 9, 9], "files in batches of another size, the folder of the failed run left out"
+    assert inc.committed(spark, out).count() == 4
+
+
+def images_in_files(spark, path, parts):
+    """parts: for each file its (image, value) rows."""
+    schema = spark.createDataFrame([], "image_id long, v double").schema
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return schema
+
+
+def whole(batch):
+    """One row an image: how often it was processed and what of it was there."""
+    return batch.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+
+
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_images_are_processed_whole_and_once(spark, tmp_path, files):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [[(1, 1.0), (2, 10.0)], [(2, 20.0)], [(1, 2.0), (3, 100.0)], [(2, 40.0), (4, 7.0)], [(1, 4.0)], [(9, 1.0)]]
+    schema = images_in_files(spark, source, parts)
+    manifest = spark.createDataFrame([(1, 3), (2, 3), (3, 1), (4, 2)], "image_id long, n_files int")  # a file of 4 is yet to come; 9 is not named
+
+    def run(state):
+        inc.process_whole_images(inc.stream_pixels(spark, source, schema, files), manifest, whole, out, str(tmp_path / state)).awaitTermination()
+        return sorted(tuple(r) for r in inc.read_committed(spark, out).collect())
+
+    three = [(1, 3, 7.0), (2, 3, 70.0), (3, 1, 100.0)]
+    assert run("state") == three and run("state") == three
+    images_in_files(spark, source, [[(4, 8.0)]])
+    four = [*three, (4, 2, 15.0)]
+    assert run("state") == four and run("lost") == four
+
+
+@pytest.mark.parametrize("step", ["commit", "publish"])
+@pytest.mark.parametrize("checkpoint", ["kept", "lost"])
+def test_whole_images_survive_a_crash(spark, tmp_path, monkeypatch, step, checkpoint):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = images_in_files(spark, source, [[(1, 1.0), (2, 1.0)], [(1, 2.0)], [(2, 2.0)]])
+    manifest = spark.createDataFrame([(1, 2), (2, 2)], "image_id long, n_files int")
+
+    def run(files, state):
+        inc.process_whole_images(inc.stream_pixels(spark, source, schema, files), manifest, whole, out, str(tmp_path / state)).awaitTermination()
+
+    crash_before(monkeypatch, step, 1)
+    with pytest.raises(Exception, match=step):
+        run(3, "state")
+    run(1, "state" if checkpoint == "kept" else "other")
+    assert sorted(tuple(r) for r in inc.read_committed(spark, out).collect()) == [(1, 2, 3.0), (2, 2, 3.0)]
+    assert sorted(r["unit"] for r in inc.committed(spark, out).collect()) == ["1", "2"]
+
+
+def test_images_that_wait_too_long_are_reported(spark, tmp_path):
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    schema = images_in_files(spark, source, [[(1, 1.0)], [(2, 1.0)]])
+    manifest = spark.createDataFrame([(1, 2), (2, 1)], "image_id long, n_files int")
+    for f in os.listdir(source):
+        if f.endswith(".parquet"):
+            os.utime(f"{source}/{f}", (1_700_000_000, 1_700_000_000))
+
+    def run():
+        inc.process_whole_images(inc.stream_pixels(spark, source, schema, 1), manifest, whole, out, state, timeout=60_000).awaitTermination()
+
+    run()
+    assert not os.path.exists(f"{out}/late"), "nothing is newer than the image's own file"
+    images_in_files(spark, source, [[(2, 1.0)], [(2, 1.0)]])  # files of a later time
+    run()
+    assert {(r["image_id"], r["n_files"]) for r in spark.read.parquet(f"{out}/late").collect()} == {(1, 1)}
+    images_in_files(spark, source, [[(1, 5.0)]])
+    run()
+    assert sorted(tuple(r) for r in inc.read_committed(spark, out).collect()) == [(1, 2, 6.0), (2, 1, 1.0)]
 
 
 def test_running_totals(spark, tmp_path):
