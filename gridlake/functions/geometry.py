@@ -164,6 +164,57 @@ def intersects(ring_a: Column | str, ring_b: Column | str) -> Column:
     return let(sides, lambda s: sides_intersect(s["a"], s["b"]))
 
 
+# --- many rings: parts and holes ------------------------------------------------------------------------------
+
+
+def rings_bbox(rings: Column | str) -> dict[str, Column]:
+    """xmin, ymin, xmax, ymax over all rings."""
+    return bbox(F.flatten(_c(rings)))
+
+
+def slab_index(rings: Column | str, height: float) -> Column:
+    """Edges of all rings by the slabs of ``height`` that they touch: MAP<BIGINT, ARRAY<STRUCT<a, b>>>. Built once per geometry."""
+    at = lambda y: F.floor(y / F.lit(float(height)))
+
+    def of(sides: Column) -> Column:
+        ys = F.transform(sides, lambda e: F.least(e["a"]["y"], e["b"]["y"]))
+        tops = F.transform(sides, lambda e: F.greatest(e["a"]["y"], e["b"]["y"]))
+        slabs = F.sequence(at(F.array_min(ys)), at(F.array_max(tops)))
+        held = F.transform(slabs, lambda k: F.filter(sides, lambda e: (
+            (at(F.least(e["a"]["y"], e["b"]["y"])) <= k) & (at(F.greatest(e["a"]["y"], e["b"]["y"])) >= k))))
+        return F.map_from_arrays(slabs, held)
+
+    every = F.flatten(F.transform(_c(rings), edges))
+    return let(every, lambda sides: F.when(F.size(sides) > 0, of(sides)))
+
+
+def first_points(rings: Column | str) -> Column:
+    """A vertex of each ring."""
+    return F.transform(F.filter(_c(rings), lambda r: F.size(r) > 0), lambda r: r[0])
+
+
+def _slab(index: Column, k: Column) -> Column:
+    return F.coalesce(F.try_element_at(index, k), F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>"))
+
+
+def covers(index: Column, p: Column, height: float) -> Column:
+    """Even-odd test of a point over all rings of a slab index: a hole takes out, a part adds. Points on an edge may go either way."""
+    return _inside(_slab(index, F.floor(p["y"] / F.lit(float(height)))), p)
+
+
+def indexed_intersect(index_a: Column, points_a: Column, index_b: Column, points_b: Column, height: float) -> Column:
+    """Exact test on geometries with parts and holes: edges that meet, or a ring of one that begins inside the other.
+
+    Only edges of the same slab are looked at, and for a point only those of its own.
+    """
+    low = F.greatest(F.array_min(F.map_keys(index_a)), F.array_min(F.map_keys(index_b)))
+    high = F.least(F.array_max(F.map_keys(index_a)), F.array_max(F.map_keys(index_b)))
+    common = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    crossing = F.exists(common, lambda k: F.exists(_slab(index_a, k), lambda e: F.exists(_slab(index_b, k), lambda f: _segments_meet(e, f))))
+    held = F.exists(points_a, lambda p: covers(index_b, p, height)) | F.exists(points_b, lambda p: covers(index_a, p, height))
+    return crossing | held
+
+
 def filter_geom_type(df: DataFrame, types: tuple[str, ...] = ("Polygon", "MultiPolygon")) -> DataFrame:
     return df.where(F.col("geom_type").isin(*types))
 

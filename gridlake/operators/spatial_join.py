@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geometry import bbox, boxes_meet, edges, scale_ring, sides_intersect
+from ..functions.geometry import bbox, boxes_meet, edges, first_points, indexed_intersect, rings_bbox, scale_ring, sides_intersect, slab_index
 from ..functions.numbering import ordered_number
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -91,6 +91,31 @@ def assign_first_area(polygons: DataFrame, areas: DataFrame, cell: float, salt:
     )
 
 
+SLABS = 8  # of a cell's height: edges of two geometries are compared within one of them
+
+
+def intersecting_pairs(left: DataFrame, right: DataFrame, cell: float, on: list[str] | None = None, salt: int = 1) -> DataFrame:
+    """(l_id, r_id, l_<on>...) of the geometries that intersect; both sides are (id, rings, on...), ``rings`` all rings of all parts, holes included.
+
+    A point is inside where an odd number of rings goes round it. Geometries without rings or with an empty list take no part.
+    """
+    on, height = on or [], cell / SLABS
+
+    def prepared(df: DataFrame) -> DataFrame:
+        boxed = df.where(F.size("rings") > 0).select("id", "rings", *on).withColumns(rings_bbox("rings")).where(F.col("xmin").isNotNull())
+        return boxed.withColumns({"edges": slab_index("rings", height), "points": first_points("rings")}).drop("rings")
+
+    pairs = join_boxes(prepared(left), prepared(right), cell, on=on, salt=salt)
+    hits = pairs.where(indexed_intersect(F.col("l_edges"), F.col("l_points"), F.col("r_edges"), F.col("r_points"), height))
+    return hits.select("l_id", "r_id", *["l_" + k for k in on])
+
+
+def assign_first_area_of_parts(polygons: DataFrame, areas: DataFrame, cell: float, salt: int = 1) -> DataFrame:
+    """``assign_first_area`` for geometries of several parts, with holes: (id, rings) on both sides."""
+    hits = intersecting_pairs(polygons, areas, cell, salt=salt)
+    return hits.groupBy(F.col("l_id").alias("polygon_id")).agg(F.min("r_id").alias("area_id"))
+
+
 def null_geometries(polygons: DataFrame) -> DataFrame:
     return polygons.where(F.col("ring").isNull()).select("id")
 

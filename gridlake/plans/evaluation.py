@@ -7,12 +7,24 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.bands import clip_negative
 from ..operators.metrics import count_errors, linregress, macro_average, segmentation_metrics
 from ..operators.objects import PIXEL_AREA, count_components, count_holes, label_components, per_hectare, remove_small
-from ..sources.io import read_frames
+from ..sources.catalog import pair_siblings
 
 
-def load_truth(layers: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
-    """Annotation, boundary and density of each frame side by side, from their sibling layers."""
-    return read_frames(layers, keys)
+TRUTH = ("annotation", "boundary", "density")
+
+
+def load_truth(catalog: DataFrame, pixels: DataFrame, layers: tuple[str, ...] = TRUTH) -> DataFrame:
+    """(frame_key, row, col, layers…): the label layers of each frame, found by the names of their files.
+
+    ``catalog`` has the paths of all files, ``pixels`` (path, row, col, value) what is in them. Files whose names differ in the layer alone are siblings;
+    a frame is one whose first layer is there, and a pixel that another layer lacks, or all of a missing one, is 0.
+    """
+    named = pair_siblings(catalog, list(layers)).where(F.col(layers[0]).isNotNull())
+    listed = F.explode(F.array(*[F.struct(F.lit(name).alias("layer"), F.col(name).alias("path")) for name in layers])).alias("f")
+    files = named.select("frame_key", listed).select("frame_key", "f.*").where(F.col("path").isNotNull())
+    rows = pixels.select("path", "row", "col", "value").join(files, "path")
+    return rows.groupBy("frame_key", "row", "col").agg(
+        *[F.coalesce(F.max(F.when(F.col("layer") == name, F.col("value"))), F.lit(0)).alias(name) for name in layers])
 
 
 def contour_counts(df: DataFrame, value: str, keys: list[str], block: int = 64) -> DataFrame:

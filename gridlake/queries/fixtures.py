@@ -124,6 +124,7 @@ def object_mask(spark: SparkSession, sf: str) -> DataFrame:
 # --- polygons ----------------------------------------------------------------------------------------------------
 
 AREA_CELL = 64.0
+EXTENT = 60         # side of an image extent
 
 
 def crowns(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +164,16 @@ def extents(spark: SparkSession, sf: str) -> DataFrame:
     y0 = F.pmod(F.col("s_suppkey") * 29, F.lit(200))
     return s.select(
         F.col("s_suppkey").alias("image_id"), x0.cast("double").alias("xmin"), y0.cast("double").alias("ymin"),
-        (x0 + 60).cast("double").alias("xmax"), (y0 + 60).cast("double").alias("ymax"))
+        (x0 + EXTENT).cast("double").alias("xmax"), (y0 + EXTENT).cast("double").alias("ymax"))
+
+
+def extent_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """A red band for every extent, one pixel a unit."""
+    grid = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("image_id"), "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(EXTENT - 1))).alias("row"),
+    ).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(EXTENT - 1))))
+    level = F.pmod(F.col("image_id") * 31 + F.col("s_nationkey") * 5 + F.col("row") * 7 + F.col("col") * 13, F.lit(256))
+    return grid.select("image_id", "row", "col", level.cast("double").alias("red"))
 
 
 def area_frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,6 +282,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ext": ((), """
         SELECT s_suppkey AS image_id, x0::DOUBLE AS xmin, y0::DOUBLE AS ymin, (x0 + 60)::DOUBLE AS xmax, (y0 + 60)::DOUBLE AS ymax
         FROM (SELECT s_suppkey, (s_suppkey // 100) * 250 + s_suppkey * 53 % 200 AS x0, s_suppkey * 29 % 200 AS y0 FROM supplier)"""),
+    "epx": ((), f"""
+        SELECT s_suppkey AS image_id, CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col,
+          ((s_suppkey * 31 + s_nationkey * 5 + r.range * 7 + c.range * 13) % 256)::DOUBLE AS red FROM supplier, range({EXTENT}) r, range({EXTENT}) c"""),
     "assigned": (("crown", "area"), """
         SELECT c.id AS polygon_id, min(a.id) AS area_id FROM crown c JOIN area a
           ON c.xmin <= a.xmax AND a.xmin <= c.xmax AND c.ymin <= a.ymax AND a.ymin <= c.ymax GROUP BY c.id"""),

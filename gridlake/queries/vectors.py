@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as g
-from ..operators import labels as lb, spatial_join as sj
+from ..operators import gaps as gp, labels as lb, spatial_join as sj
 from ..operators.resample import gaussian_weights
 from ..plans.evaluation import load_truth as load_truth_layers
 from ..plans.label_frames import build_label_frames
@@ -34,6 +34,25 @@ def assign_first_area_salted(spark: SparkSession, sf: str) -> DataFrame:
     return sj.assign_first_area(fx.crowns(spark, sf), fx.areas(spark, sf), AREA_CELL, salt=4)
 
 
+#: Crowns of two parts, 10 units apart, against areas of two parts, a frame around a hole and what lies in the middle of the hole.
+_PARTS = """
+    SELECT polygon_id, min(area_id) AS area_id FROM (
+      SELECT c.id AS polygon_id, a.id AS area_id FROM (SELECT id, unnest([0, 10]) + xmin AS x0, unnest([0, 10]) + xmax AS x1, ymin AS y0, ymax AS y1 FROM crown) c
+      JOIN area a ON (x0 <= a.xmax AND a.xmin <= x1 AND y0 <= a.ymax AND a.ymin <= y1
+          AND NOT (x0 > a.xmin + 6 AND x1 < a.xmax - 6 AND y0 > a.ymin + 6 AND y1 < a.ymax - 6))
+        OR (x0 <= a.xmax - 18 AND a.xmin + 18 <= x1 AND y0 <= a.ymax - 18 AND a.ymin + 18 <= y1)) GROUP BY polygon_id"""
+
+
+@query(with_ctes(["crown", "area"], _PARTS))
+def assign_first_area_of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.transform("ring", lambda p: g.point(p["x"] + 10, p["y"]))
+    crowns = fx.crowns(spark, sf).select("id", F.array("ring", moved).alias("rings"))
+    boxes = fx.area_boxes(spark, sf)
+    inner = lambda by: g.rectangle_ring(F.col("xmin") + by, F.col("ymin") + by, F.col("xmax") - by, F.col("ymax") - by)
+    areas = boxes.select("id", F.array(inner(0), inner(6), inner(18)).alias("rings"))
+    return sj.assign_first_area_of_parts(crowns, areas, AREA_CELL)
+
+
 @query(with_ctes(["crown"], f"""
     SELECT id, xmin, ymin, xmax, ymax, {r6('(xmin + xmax) / 2 - 0.75::DOUBLE * (xmax - xmin)')} AS sx0,
       {r6('(ymin + ymax) / 2 - 0.75::DOUBLE * (ymax - ymin)')} AS sy0, {r6('(xmax - xmin) * (ymax - ymin)')} AS area FROM crown"""))
@@ -215,6 +234,27 @@ def boundary_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return lb.boundary_gaps(own.select("frame_id", "rows", "cols", ring.alias("ring")), ["frame_id"])
 
 
+@query(with_ctes(["own"], f"""
+    SELECT frame_id, {r6('sum(w * h)')} AS area FROM (
+      SELECT f.frame_id, x.w, y.h, count(*) FILTER (x.x > sx0 AND x.x < sx1 AND y.y > sy0 AND y.y < sy1) AS scaled,
+        count(*) FILTER (x.x > px0 AND x.x < px1 AND y.y > py0 AND y.y < py1) AS own
+      FROM bo f JOIN (SELECT frame_id, (v + lead(v) OVER q) / 2 AS x, lead(v) OVER q - v AS w FROM (
+          SELECT DISTINCT frame_id, unnest([sx0, sx1, px0, px1]) AS v FROM bo) WINDOW q AS (PARTITION BY frame_id ORDER BY v)) x USING (frame_id)
+        JOIN (SELECT frame_id, (v + lead(v) OVER q) / 2 AS y, lead(v) OVER q - v AS h FROM (
+          SELECT DISTINCT frame_id, unnest([sy0, sy1, py0, py1]) AS v FROM bo) WINDOW q AS (PARTITION BY frame_id ORDER BY v)) y
+          ON y.frame_id = f.frame_id AND y.y > sy0 AND y.y < sy1 AND x.x > sx0 AND x.x < sx1
+      GROUP BY f.frame_id, x.x, x.w, y.y, y.h) WHERE scaled >= 2 AND own = 0 GROUP BY frame_id""", extra=[("bo", """
+    SELECT frame_id, px0, px1, py0, py1, (px0 + px1) / 2 - 0.75::DOUBLE * (px1 - px0) AS sx0, (px0 + px1) / 2 + 0.75::DOUBLE * (px1 - px0) AS sx1,
+      (py0 + py1) / 2 - 0.75::DOUBLE * (py1 - py0) AS sy0, (py0 + py1) / 2 + 0.75::DOUBLE * (py1 - py0) AS sy1
+    FROM (SELECT frame_id, xmin - x0 AS px0, xmax - x0 AS px1, y0 - ymax AS py0, y0 - ymin AS py1 FROM own)""")]))
+def gap_polygon_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Area between close crowns by the exact overlay."""
+    own = fx.assigned_crowns(spark, sf)
+    ring = F.transform("ring", lambda p: g.point(p["x"] - F.col("x0"), F.col("y0") - p["y"]))
+    parts = gp.gap_parts(gp.gap_polygons(own.select("frame_id", ring.alias("ring")), ["frame_id"]), ["frame_id"])
+    return parts.groupBy("frame_id").agg(R(F.sum("area")).alias("area"))
+
+
 @query(with_ctes(["pts"], """
     SELECT DISTINCT frame_id, row, col, 1 AS value FROM pts WHERE row BETWEEN 0 AND rows - 1 AND col BETWEEN 0 AND cols - 1"""))
 def point_mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,13 +399,18 @@ def read_frames(spark: SparkSession, sf: str) -> DataFrame:
     SELECT image_id, row, col, CASE WHEN red >= 144 THEN 1 ELSE 0 END AS annotation, CASE WHEN blue >= 150 THEN 1 ELSE 0 END AS boundary,
       CASE WHEN green >= 100 THEN green / 4096 ELSE 0 END AS density FROM px"""))
 def load_truth(spark: SparkSession, sf: str) -> DataFrame:
-    """The label layers of each frame side by side; boundary and density are sparse."""
-    px, keys = fx.pixels(spark, sf), ["image_id", "row", "col"]
-    return load_truth_layers({
-        "annotation": px.select(*keys, (F.col("red") >= 144).cast("int").alias("annotation")),
-        "boundary": px.where(F.col("blue") >= 150).select(*keys, F.lit(1).alias("boundary")),
-        "density": px.where(F.col("green") >= 100).select(*keys, (F.col("green") / 4096).alias("density")),
-    }, keys)
+    """The label layers of each frame, from files that only their names put together; boundary and density are sparse."""
+    px = fx.pixels(spark, sf)
+
+    def layer(name: str, value, there=F.lit(True)) -> DataFrame:
+        path = F.concat(F.lit("/labels/d"), F.pmod("image_id", F.lit(3)).cast("string"), F.lit(f"/{name}_"), F.col("image_id").cast("string"), F.lit(".tif"))
+        return px.where(there).select(path.alias("path"), "row", "col", value.cast("double").alias("value"))
+
+    files = layer("annotation", F.col("red") >= 144).unionByName(
+        layer("boundary", F.lit(1), F.col("blue") >= 150)).unionByName(layer("density", F.col("green") / 4096, F.col("green") >= 100))
+    truth = load_truth_layers(files.select("path").distinct(), files)
+    key = F.regexp_extract("frame_key", "_([0-9]+)[.]", 1).cast("long")
+    return truth.select(key.alias("image_id"), "row", "col", F.col("annotation").cast("int").alias("annotation"), F.col("boundary").cast("int").alias("boundary"), "density")
 
 
 @query(with_ctes(["px"], "SELECT image_id, row, col, red, green, infrared FROM px"))
@@ -374,16 +419,16 @@ def stack_bands(spark: SparkSession, sf: str) -> DataFrame:
     return io.stack_bands([px.select("image_id", "row", "col", b) for b in ("red", "green", "infrared")])
 
 
-@query(with_ctes(["hits", "assigned", "crown", "px"], f"""
+@query(with_ctes(["hits", "assigned", "crown", "epx"], f"""
     SELECT f.frame_id, count(*) AS n_px, sum(p.red) AS red, CAST(sum(coalesce(a.value, 0)) AS BIGINT) AS annotation, count(b.row) AS boundary,
       {r6('sum(coalesce(d.density, 0))')} AS density
-    FROM fr f JOIN px p ON p.image_id = f.image_id AND p.row >= row0 AND p.row < row0 + rows AND p.col >= col0 AND p.col < col0 + cols
+    FROM fr f JOIN epx p ON p.image_id = f.image_id AND p.row >= row0 AND p.row < row0 + rows AND p.col >= col0 AND p.col < col0 + cols
     LEFT JOIN ann a ON a.frame_id = f.frame_id AND a.row = p.row - row0 AND a.col = p.col - col0
     LEFT JOIN dens d ON d.frame_id = f.frame_id AND d.row = p.row - row0 AND d.col = p.col - col0
     LEFT JOIN gap b ON b.frame_id = f.frame_id AND b.row = p.row - row0 AND b.col = p.col - col0
     GROUP BY f.frame_id""", extra=[_EXTENT, ("fr", """
     SELECT row_number() OVER (ORDER BY c.image_id, c.area_id) - 1 AS frame_id, c.*, h.image_xmin + col0 AS x0, h.image_ymax - row0 AS y0
-    FROM ce c JOIN hits h USING (area_id, image_id) WHERE c.image_id IN (SELECT image_id FROM px)"""), ("gap", """
+    FROM ce c JOIN hits h USING (area_id, image_id)"""), ("gap", """
     SELECT DISTINCT frame_id, row // 3 AS row, col // 3 AS col FROM (
       SELECT frame_id, r.range AS row, c.range AS col,
         count(*) FILTER (r.range + 0.5 >= 3 * sr0 AND r.range + 0.5 < 3 * sr1 AND c.range + 0.5 >= 3 * sc0 AND c.range + 0.5 < 3 * sc1) AS scaled,
@@ -406,9 +451,9 @@ def stack_bands(spark: SparkSession, sf: str) -> DataFrame:
     SELECT frame_id, row + dr AS row, col + dc AS col, sum(w) AS density FROM bx, kern
     WHERE row < rows AND col < cols AND row + dr BETWEEN 0 AND rows - 1 AND col + dc BETWEEN 0 AND cols - 1 GROUP BY 1, 2, 3""")]))
 def label_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole label run: overlaps, crops, annotation, gaps, density; summed per frame."""
+    """The whole label run over every overlap of an area and an image: crops, annotation, gaps, density; summed per frame."""
     built = build_label_frames(
-        fx.pixels(spark, sf), fx.extents(spark, sf), fx.areas(spark, sf), fx.crowns(spark, sf), ["red"], 1.0, AREA_CELL, block=16)
+        fx.extent_pixels(spark, sf), fx.extents(spark, sf), fx.areas(spark, sf), fx.crowns(spark, sf), ["red"], 1.0, AREA_CELL, block=16)
     return built.pixels.groupBy("frame_id").agg(
         F.count(F.lit(1)).alias("n_px"), F.sum("red").alias("red"), F.sum("annotation").alias("annotation"),
         F.sum("boundary").alias("boundary"), R(F.sum("density")).alias("density"))
