@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import floor_div
 from .draws import hash01
@@ -147,16 +147,65 @@ def robust_scale_local(df: DataFrame, keys: list[str], bands: list[str]) -> Data
     return out.drop(*[f"_q_{b}" for b in bands])
 
 
-def global_quartiles(df: DataFrame, bands: list[str]) -> DataFrame:
-    """Exact quartiles of whole bands: (band, q1, q3).
+#: Distinct values of one band that one task may order, and ranks that the sketch tells apart.
+MOST_VALUES, RANKS = 1 << 16, 10_000
 
-    Counts per (band, value) first, so the final step sees one row per distinct value
-    (at most 65,536 for 16-bit imagery) and not one per pixel.
+
+def _ranked(df: DataFrame, wanted: dict[int, tuple[str, int]], most: int, ranks: int) -> dict[int, float]:
+    """The value at a 0-based rank among the numbers of a band, for each of ``wanted``.
+
+    A sketch gives two values that the rank surely lies between, one pass counts what lies below and between; that is repeated inside until few
+    distinct values are left, and these are counted and ordered. Each round leaves a few thousandths, so three are enough for any raster.
+    """
+    number = lambda b: F.when(~F.isnan(_c(b).cast("double")), _c(b).cast("double"))
+    between = {k: (float("-inf"), float("inf")) for k in wanted}
+    inside = lambda k: F.when(number(wanted[k][0]).between(F.lit(between[k][0]), F.lit(between[k][1])), number(wanted[k][0]))
+    last = None
+    while True:
+        counts = df.agg(*[f.alias(f"{name}{k}") for k, (b, _) in wanted.items() for name, f in (
+            ("below", F.count(F.when(number(b) < F.lit(between[k][0]), 1))), ("n", F.count(inside(k))))]).first()
+        pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), inside(k).alias("v")) for k in wanted])).alias("p")
+        values = df.select(pairs).where(F.col("p.v").isNotNull()).groupBy("p.k", "p.v").agg(F.count(F.lit(1)).alias("n"))
+        crowded = {r["k"] for r in values.groupBy("k").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > most).collect()}
+        if not crowded or last == between:
+            break
+        last = dict(between)
+        shares = {}
+        for k in crowded:
+            at = (wanted[k][1] - counts[f"below{k}"]) / max(counts[f"n{k}"] - 1, 1)
+            shares[k] = [min(1.0, max(0.0, at + d)) for d in (-3 / ranks, 3 / ranks)]
+        found = df.agg(*[F.percentile_approx(inside(k), s, ranks).alias(f"q{k}") for k, s in shares.items()]).first()
+        for k in crowded:
+            between[k] = (found[f"q{k}"][0] if shares[k][0] > 0 else between[k][0], found[f"q{k}"][1] if shares[k][1] < 1 else between[k][1])
+    order = Window.partitionBy("k").orderBy("v")
+    seen = values.withColumn("upto", F.sum("n").over(order))
+    rank = F.element_at(F.create_map(*[F.lit(x) for k, (_, r) in wanted.items() for x in (k, r - counts[f"below{k}"])]), F.col("k"))
+    hit = seen.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
+    return {r["k"]: r["v"] for r in hit.collect()}  # one row for each rank
+
+
+def global_quartiles(df: DataFrame, bands: list[str], most: int = MOST_VALUES, ranks: int = RANKS) -> DataFrame:
+    """Exact quartiles of whole bands with linear interpolation: (band, q1, q3); a band without values gives no row.
+
+    Nulls are left out, NaN ranks above every number. No task orders more than ``most`` distinct values of a band, whatever the band's type.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), _c(b).alias("v")) for b in bands])).alias("p")
-    histogram = df.select(pairs).groupBy("p.band", "p.v").agg(F.count(F.lit(1)).alias("n"))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)), F.col("n"))
-    return histogram.groupBy("band").agg(q.alias("q")).select("band", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    n = df.agg(*[f.alias(f"{name}{i}") for i, b in enumerate(bands) for name, f in (
+        ("n", F.count(b)), ("nan", F.count(F.when(F.isnan(_c(b).cast("double")), 1))))]).first()
+    places, wanted = {}, {}
+    for i, b in enumerate(bands):
+        for share in (0.25, 0.75):
+            at = (n[f"n{i}"] - 1) * share
+            places[b, share] = [(int(at) + d, 1 - (at - int(at)) if d == 0 else at - int(at)) for d in (0, 1)]
+            for rank, weight in places[b, share]:
+                if weight > 0 and rank < n[f"n{i}"] - n[f"nan{i}"]:
+                    wanted[len(wanted)] = (b, rank)
+    value = {wanted[k]: v for k, v in _ranked(df, wanted, most, ranks).items()} if wanted else {}
+    rows = []
+    for i, b in enumerate(bands):
+        if n[f"n{i}"]:
+            q = [sum(w * value.get((b, r), float("nan")) for r, w in places[b, s] if w > 0) for s in (0.25, 0.75)]
+            rows.append((b, float(q[0]), float(q[1])))
+    return df.sparkSession.createDataFrame(rows, "band string, q1 double, q3 double")
 
 
 def robust_scale_global(df: DataFrame, quartiles: dict[str, tuple[float, float]]) -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bands import ieee_divide
+from ..functions.geometry import let
 from .resample import convolve_separable, gaussian_weights
 
 
@@ -164,40 +163,55 @@ def mse_ssim(df: DataFrame, truth: str, pred: str, delta: float = 0.01, keys: li
 # --- counts --------------------------------------------------------------------------------------------------
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
+# fixed values: coefficients of the Lanczos approximation of the gamma function for g = 7, nine terms
+_LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+BETA_STEPS = 500  # pairs of terms of the continued fraction; it settles after about the square root of the larger parameter
+
+
+def _log_gamma(x: Column) -> Column:
+    z = x - 1
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        series = series + F.lit(c) / (z + i)
+    t = z + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(series)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function, folded from the front."""
+    safe = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(F.lit(1e-300))
+
+    def term(acc: Column, by: Column) -> Column:
+        d = 1 / safe(1 + by * acc["d"])
+        c = 1 + by / safe(acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    def pair(acc: Column, step: Column) -> Column:
+        m = step.cast("double")
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for step in (even, odd):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / (c if abs(c) > tiny else tiny)
-            h *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return h
-
-
-def student_two_sided(t: float, df: float) -> float:
-    """P(|T| ≥ |t|) for Student's t."""
-    if math.isinf(t):
-        return 0.0
-    if math.isnan(t):
-        return math.nan
-    a, b, x = df / 2.0, 0.5, df / (df + t * t)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + (b * math.log(1 - x) if x < 1 else 0.0)
-    ) if x > 0 else 0.0
-    if x >= 1:
-        return 1.0
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
+        return let(term(acc, even), lambda half: term(half, odd))
+
+    first = 1 / safe(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(BETA_STEPS)), start, pair)["h"]
+
+
+def student_two_sided(t: Column, free: Column) -> Column:
+    """P(|T| ≥ |t|) for Student's t with ``free`` degrees of freedom; NULL where there are none."""
+    def of(v: Column) -> Column:
+        a, b, x = v["a"], F.lit(0.5), v["x"]
+        front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+        near = front * _beta_fraction(a, b, x) / a
+        far = 1 - front * _beta_fraction(b, a, 1 - x) / b
+        return F.when(F.isnan(x), F.lit(float("nan"))).when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(
+            x < (a + 1) / (a + b + 2), near).otherwise(far)
+
+    n = free.cast("double")
+    share = F.when(F.abs(t) == F.lit(float("inf")), F.lit(0.0)).otherwise(n / (n + t * t))
+    return F.when((n > 0) & t.isNotNull(), let(F.struct((n / 2).alias("a"), share.alias("x")), of))
 
 
 def linregress(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
@@ -214,16 +228,8 @@ def linregress(df: DataFrame, x: str, y: str, keys: list[str] | None = None) ->
     fit = fit.withColumn("r", r).withColumn(
         "stderr", F.sqrt(F.try_divide(rest * F.try_divide(F.col("_syy"), F.col("_sxx")), free)))
     fit = fit.withColumn("t", ieee_divide(F.col("slope"), F.col("stderr"))).drop("_sxx", "_syy", "_sxy")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fit.schema.fields) + ", p double"
-
-    def with_p(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            part["p"] = [
-                student_two_sided(t, n - 2) if n > 2 and t == t else None for t, n in zip(part["t"], part["n"])
-            ]
-            yield part
-
-    return fit.mapInPandas(with_p, schema).drop("t")
+    p = F.when(~F.isnan("t"), student_two_sided(F.col("t"), F.col("n") - 2))
+    return fit.withColumn("p", p).drop("t")
 
 
 def count_errors(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None) -> DataFrame:

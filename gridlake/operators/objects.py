@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -157,8 +159,8 @@ def object_area(components: DataFrame, keys: list[str] | None = None, component:
 
     That polygon covers a unit square of four neighbouring centres wholly where all four pixels
     are set, half where three are, and not at all otherwise: single pixels and lines give 0.
-    It is one count per square, without a self join. The pixels are taken as they are; ``contours`` gives
-    those inside a contour, holes included.
+    It is one count per square, without a self join. The pixels are taken as they are; ``contour_measures`` counts
+    what lies inside an outline, holes included.
     """
     keys = keys or ["image_id"]
     corners = F.explode(F.array(*[
@@ -173,41 +175,110 @@ def object_area(components: DataFrame, keys: list[str] | None = None, component:
         F.floor(F.sum("n") / 4).cast("long").alias("px_area"), F.sum(inside).alias("contour_area"))
 
 
-def contours(pixels: DataFrame, value: str, keys: list[str] | None = None, block: int = 64) -> DataFrame:
-    """(keys, contour, row, col): the pixels inside each contour of a mask; ``pixels`` has rows/cols.
+@dataclass
+class ContourTree:
+    """Components of a mask and of its background as a tree: holes in objects, objects in holes.
+
+    ``objects`` and ``holes`` are pixels (keys, row, col, node), ``rims`` the object pixels beside a hole (keys, row, col, node of the hole), ``up`` (keys, node,
+    parent), ``within`` (keys, node, contour) every component with all that enclose it, itself first. A node packs the first pixel and the kind (1: hole).
+    """
+
+    objects: DataFrame
+    holes: DataFrame
+    rims: DataFrame
+    up: DataFrame
+    within: DataFrame
+
+
+def contour_tree(pixels: DataFrame, value: str, keys: list[str] | None = None, block: int = 64) -> ContourTree:
+    """The tree of a mask; ``pixels`` has rows/cols. Background that reaches the image's edge is no part of it.
 
-    Contours are the outlines of objects, and those of holes as they run through the object's pixels around the hole. Inside lies what the
-    outline encloses: a hole in an object, an object in a hole, and so on. ``contour`` packs the first pixel and the kind (1: hole).
-    What encloses a component is what its first pixel in row-major order has above it, so nesting is one look-up
-    for each component and as many rounds as outlines lie in one another.
+    What encloses a component is what its first pixel in row-major order has above it, so nesting is one look-up for each component
+    and as many rounds as outlines lie in one another, of a row a component.
     """
     keys = keys or ["image_id"]
 
     def of(df: DataFrame, kind: int) -> DataFrame:
-        return df.withColumn("node", (_packed(F.col("component.row"), F.col("component.col") * 2)).bitwiseOR(F.lit(kind).cast("long")))
+        node = _packed(F.col("component.row"), F.col("component.col") * 2).bitwiseOR(F.lit(kind).cast("long"))
+        first = (F.col("row") == F.col("component.row")) & (F.col("col") == F.col("component.col"))
+        return df.select(*keys, "row", "col", node.alias("node"), first.alias("first"))
 
     objects = cut_lineage(of(label_components(pixels.where(F.col(value) == 1), keys, 8, block), 0))
     holes = cut_lineage(of(label_holes(pixels, value, keys, block), 1))
 
     def parents(inner: DataFrame, outer: DataFrame) -> DataFrame:
-        first = inner.where((F.col("row") == F.col("component.row")) & (F.col("col") == F.col("component.col")))
-        above = first.select(*keys, "node", (F.col("row") - 1).alias("row"), "col")
+        above = inner.where("first").select(*keys, "node", (F.col("row") - 1).alias("row"), "col")
         return above.join(outer.select(*keys, "row", "col", F.col("node").alias("parent")), [*keys, "row", "col"]).select(*keys, "node", "parent")
 
     up = cut_lineage(parents(holes, objects).unionByName(parents(objects, holes)))
     level = up.select(*keys, "node", F.col("parent").alias("contour"))
-    enclosed = level
+    nodes = objects.unionByName(holes).where("first").select(*keys, "node")
+    within = nodes.withColumn("contour", F.col("node"))
+    step = up.select(*keys, F.col("node").alias("contour"), F.col("parent").alias("_next"))
     while not level.isEmpty():
-        step = up.select(*keys, F.col("node").alias("contour"), F.col("parent").alias("_next"))
+        within = within.unionByName(level)
         level = cut_lineage(level.join(step, [*keys, "contour"]).select(*keys, "node", F.col("_next").alias("contour")))
-        enclosed = enclosed.unionByName(level)
-    own = objects.unionByName(holes).select(*keys, "row", "col", "node")
-    inside = own.select(*keys, F.col("node").alias("contour"), "row", "col").unionByName(
-        own.join(enclosed, [*keys, "node"]).select(*keys, "contour", "row", "col"))
     sides = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
-    rim = holes.select(*keys, F.col("node").alias("contour"), "row", "col", sides.alias("_s")).select(
-        *keys, "contour", (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"))
-    return inside.unionByName(rim).distinct()
+    beside = holes.select(*keys, "row", "col", "node", sides.alias("_s")).select(
+        *keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), "node").distinct()
+    # what lies beside a hole is the hole itself or its object
+    rims = cut_lineage(beside.join(holes.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti"))
+    return ContourTree(objects.drop("first"), holes.drop("first"), rims, up, within)
+
+
+def _square_area(n: Column) -> Column:
+    """Part of a unit square between four pixel centres that a polygon through so many of them covers."""
+    return F.when(n == 4, F.lit(1.0)).when(n == 3, F.lit(0.5)).otherwise(F.lit(0.0))
+
+
+def _votes(df: DataFrame, keys: list[str], *carry: Column | str) -> DataFrame:
+    """Each pixel in its four squares."""
+    corners = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 0), (0, -1), (-1, 0), (-1, -1))]))
+    return df.select(*keys, "row", "col", *carry, corners.alias("_s")).select(
+        *keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), *carry)
+
+
+def contour_measures(tree: ContourTree, keys: list[str] | None = None) -> DataFrame:
+    """(keys, contour, px_area, contour_area): of the outline of each object and hole with all that lies inside.
+
+    The outline of a hole runs through the object's pixels around it. Each pixel is counted once, in its own component: squares of four pixels
+    hold one object and two holes at most, and what such a square adds to a component beyond those in it is a number a component. The
+    numbers are summed up the tree, a row a component; what the rim adds to a hole is its own alone.
+    """
+    keys = keys or ["image_id"]
+    every = tree.objects.withColumn("hole", F.lit(False)).unionByName(tree.holes.withColumn("hole", F.lit(True)))
+    node, hole = F.col("node"), F.col("hole")
+    squares = _votes(every, keys, "node", "hole").groupBy(*keys, "row", "col").agg(
+        F.max(F.when(~hole, node)).alias("o"), F.min(F.when(hole, node)).alias("h1"), F.max(F.when(hole, node)).alias("h2"),
+        F.sum((~hole).cast("int")).alias("n_o"), F.sum(hole.cast("int")).alias("n_h"))
+    kinds = squares.groupBy(*keys, "o", "h1", "h2", "n_o", "n_h").agg(F.count(F.lit(1)).alias("times"))
+    kinds = kinds.join(tree.up.select(*keys, F.col("node").alias("o"), F.col("parent").alias("above")), [*keys, "o"], "left")
+    two = F.col("h1") != F.col("h2")
+    n1, n2 = F.when(two, F.lit(1)).otherwise(F.col("n_h")), F.when(two, F.lit(1)).otherwise(F.lit(0))
+    outer1, outer2 = F.coalesce(F.col("above") == F.col("h1"), F.lit(False)), F.coalesce(two & (F.col("above") == F.col("h2")), F.lit(False))
+    below = F.when(outer1, F.lit(0)).otherwise(n1) + F.when(outer2, F.lit(0)).otherwise(n2)
+    own = _square_area(F.col("n_o") + below)  # of the object with its holes
+    whole = F.when(F.col("o").isNull(), F.lit(0.0)).otherwise(own)
+    top = _square_area(F.col("n_o") + F.col("n_h")) - own  # of the hole around the object
+    single1, single2 = _square_area(n1), _square_area(n2)
+    inner = F.when(outer1, F.lit(0.0)).otherwise(single1) + F.when(outer2 | ~F.coalesce(two, F.lit(False)), F.lit(0.0)).otherwise(single2)
+    part = lambda at, v: F.struct(at.alias("node"), (v * F.col("times")).alias("area"))
+    added = F.array(
+        part(F.col("o"), whole - F.when(F.col("n_h") > 0, inner).otherwise(F.lit(0.0))),
+        part(F.col("h1"), F.when(outer1, top).otherwise(single1)),
+        part(F.when(two, F.col("h2")), F.when(outer2, top).otherwise(single2)))
+    parts = kinds.select(*keys, F.explode(added).alias("p")).where(F.col("p.node").isNotNull()).select(*keys, "p.*")
+    counted = every.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("px"))
+    sums = cut_lineage(parts.groupBy(*keys, "node").agg(F.sum("area").alias("area")).join(counted, [*keys, "node"]))
+    summed = tree.within.join(sums, [*keys, "node"]).groupBy(*keys, "contour").agg(F.sum("px").alias("px"), F.sum("area").alias("area"))
+
+    rim_votes = _votes(tree.rims, keys, "node").withColumn("rim", F.lit(1)).unionByName(_votes(tree.holes, keys, "node").withColumn("rim", F.lit(0)))
+    near = rim_votes.groupBy(*keys, "node", "row", "col").agg(F.sum("rim").alias("n_r"), F.count(F.lit(1)).alias("n")).where("n_r > 0")
+    more = near.groupBy(*keys, F.col("node").alias("contour")).agg(F.sum(_square_area(F.col("n")) - _square_area(F.col("n") - F.col("n_r"))).alias("more"))
+    rim_px = tree.rims.groupBy(*keys, F.col("node").alias("contour")).agg(F.count(F.lit(1)).alias("rim_px"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return summed.join(more.join(rim_px, [*keys, "contour"]), [*keys, "contour"], "left").select(
+        *keys, "contour", (F.col("px") + zero("rim_px")).cast("long").alias("px_area"), (F.col("area") + zero("more")).alias("contour_area"))
 
 
 def remove_small(
@@ -219,11 +290,13 @@ def remove_small(
     ``pixels`` has the whole mask in ``value``, and rows/cols.
     """
     keys = keys or ["image_id"]
-    inside = cut_lineage(contours(pixels, value, keys, block))
-    areas = cut_lineage(object_area(inside, keys, "contour"))
+    tree = contour_tree(pixels, value, keys, block)
+    areas = cut_lineage(contour_measures(tree, keys))
     large = F.col(measure) >= F.lit(float(thres))
-    erased = inside.join(areas.where(~large).select(*keys, "contour"), [*keys, "contour"], "left_semi").select(*keys, "row", "col").distinct()
-    kept = pixels.where(F.col(value) == 1).select(*keys, "row", "col").join(erased, [*keys, "row", "col"], "left_anti")
+    small = areas.where(~large).select(*keys, "contour")
+    gone = tree.within.join(small, [*keys, "contour"], "left_semi").select(*keys, "node").distinct()
+    rims = tree.rims.join(small.withColumnRenamed("contour", "node"), [*keys, "node"], "left_semi").select(*keys, "row", "col").distinct()
+    kept = tree.objects.join(gone, [*keys, "node"], "left_anti").select(*keys, "row", "col").join(rims, [*keys, "row", "col"], "left_anti")
     counts = areas.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_before"), F.sum(large.cast("int")).cast("long").alias("n_after"))
     return kept, counts
 

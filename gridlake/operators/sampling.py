@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import hash01, hash_range
 from ..functions.numbering import hashed_rank
-from .resample import bilinear_gather, convolve_separable, gaussian_weights
+from .patches import Positions, affine_positions, crop_positions, resampled
+from .resample import convolve_separable, gaussian_weights
 
 
 def kfold(frames: DataFrame, n: int = 10, seed: int = 1117, key: str = "frame_id") -> DataFrame:
@@ -58,6 +59,11 @@ def _chance(p: float, seed: str, keys: list[str]) -> Column:
     return hash01(seed, *_ids(keys)) < F.lit(float(p))
 
 
+def chances(seed: int | str, keys: list[str], **shares: float) -> dict[str, Column]:
+    """One yes or no a patch for each name."""
+    return {name: _chance(p, f"{seed}{name}", keys) for name, p in shares.items()}
+
+
 def flip_lr(df: DataFrame, size: int, seed: int, keys: list[str], p: float = 0.5) -> DataFrame:
     turned = F.when(_chance(p, f"{seed}lr", keys), F.lit(size - 1) - F.col("col")).otherwise(F.col("col"))
     return df.withColumn("col", turned)
@@ -68,31 +74,22 @@ def flip_ud(df: DataFrame, size: int, seed: int, keys: list[str], p: float = 0.5
     return df.withColumn("row", turned)
 
 
-def _resampled(df: DataFrame, size: int, keys: list[str], values: list[str], src_row: Column, src_col: Column, chosen: Column) -> DataFrame:
+def _resampled(df: DataFrame, size: int, keys: list[str], values: list[str], draws: dict[str, Column], positions: Positions, chosen: Column) -> DataFrame:
     """Bilinear read of the chosen patches at mapped positions; the others pass through."""
-    moved = df.where(chosen).withColumns({"rows": F.lit(size), "cols": F.lit(size)})
-    # a full patch has one row per position, so its own rows are the targets
-    targets = moved.select(*keys, "row", "col", "rows", "cols", src_row.alias("src_row"), src_col.alias("src_col"))
-    read = bilinear_gather(targets, moved, keys, values)
-    return df.where(~chosen).select(*keys, "row", "col", *values).unionByName(read)
+    moved = resampled(df.where(chosen), size, keys, values, draws, positions)
+    return df.where(~chosen).select(*keys, "row", "col", *values).unionByName(moved)
+
+
+def crop_margins(size: int, seed: int | str, keys: list[str], share: float = 0.1) -> dict[str, Column]:
+    """Pixels to cut off each side, 0 to ``share`` of the patch."""
+    return {side: F.floor(hash_range(0.0, share * size, f"{seed}{side}", *_ids(keys))) for side in ("top", "bottom", "left", "right")}
 
 
 def random_crop_resize(
     df: DataFrame, size: int, seed: int, keys: list[str], values: list[str], share: float = 0.1, p: float = 0.5
 ) -> DataFrame:
     """Cuts 0–10 % off each side and stretches the rest back to the patch size. Patches are full and square."""
-    def margin(side: str) -> Column:
-        return F.floor(hash_range(0.0, share * size, f"{seed}{side}", *_ids(keys)))
-
-    top, bottom, left, right = (margin(s) for s in ("top", "bottom", "left", "right"))
-    high, wide = F.lit(size) - top - bottom, F.lit(size) - left - right
-
-    def source(at: str, start: Column, extent: Column) -> Column:
-        inner = (F.col(at) + 0.5) * extent / F.lit(float(size)) - 0.5
-        return start + F.greatest(F.lit(0.0), F.least(inner, (extent - 1).cast("double")))
-
-    return _resampled(df, size, keys, values, source("row", top, high), source("col", left, wide),
-                      _chance(p, f"{seed}crop", keys))
+    return _resampled(df, size, keys, values, crop_margins(size, seed, keys, share), crop_positions, _chance(p, f"{seed}crop", keys))
 
 
 def affine(
@@ -100,23 +97,19 @@ def affine(
     scale: tuple[float, float] = (0.8, 1.2), shift: tuple[float, float] = (-0.2, 0.2),
     rotate: tuple[float, float] = (-45.0, 45.0), shear: tuple[float, float] = (-16.0, 16.0),
 ) -> DataFrame:
-    """Scale, shift, rotate and shear about the patch centre, read back bilinearly; outside is 0."""
+    """Scale, shift, rotate and shear about the patch centre, read back bilinearly; outside is 0. Patches are full and square."""
     ids = _ids(keys)
 
     def draw(bounds: tuple[float, float], name: str) -> Column:
         return hash_range(*bounds, f"{seed}{name}", *ids)
 
     sx, sy = draw(scale, "sx"), draw(scale, "sy")
-    tx, ty = draw(shift, "tx") * size, draw(shift, "ty") * size
     angle, slant = F.radians(draw(rotate, "rot")), F.radians(draw(shear, "shear"))
-    mid = (size - 1) / 2
-    x, y = F.col("col") - F.lit(mid) - tx, F.col("row") - F.lit(mid) - ty
-    # inverse of the linear part [[sx·cos a, -sy·sin(a + s)], [sx·sin a, sy·cos(a + s)]]
-    a, b = sx * F.cos(angle), -sy * F.sin(angle + slant)
-    c, d = sx * F.sin(angle), sy * F.cos(angle + slant)
-    det = a * d - b * c
-    return _resampled(df, size, keys, values, (a * y - c * x) / det + F.lit(mid), (d * x - b * y) / det + F.lit(mid),
-                      _chance(p, f"{seed}affine", keys))
+    # the linear part [[sx·cos a, -sy·sin(a + s)], [sx·sin a, sy·cos(a + s)]], to be inverted
+    draws = {
+        "a": sx * F.cos(angle), "b": -sy * F.sin(angle + slant), "c": sx * F.sin(angle), "d": sy * F.cos(angle + slant),
+        "tx": draw(shift, "tx") * size, "ty": draw(shift, "ty") * size}
+    return _resampled(df, size, keys, values, draws, affine_positions, _chance(p, f"{seed}affine", keys))
 
 
 def channel_multiply(

@@ -216,3 +216,8 @@ def patch_stats(df: DataFrame, keys: list[str], bands: list[str], density: str |
     if density:
         aggs.append(F.sum(density).alias("object_count"))
     return df.groupBy(*keys).agg(*aggs)
+
+
+def distinct_weights(df: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
+    """The weights of each batch and on how many pixels each stands: one row a weight, so that a long tail of weights is no long row."""
+    return df.groupBy(*keys, weight).agg(F.count(F.lit(1)).alias("n_px"))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.bands import maybe_normalize
 from ..functions.draws import hash_index
 from ..operators.labels import binarize, boundary_weight
-from ..operators.sampling import flip_lr, flip_ud, random_crop_resize
-from ..operators.tiling import cut_patches, sample_frames, zero_pad
+from ..operators.patches import bilinear, crop_positions, to_patches, transformed
+from ..operators.sampling import chances, crop_margins, flip_lr, flip_ud, random_crop_resize
+from ..operators.tiling import cut_patches, distinct_weights, patch_stats, sample_frames, zero_pad
 
 PATCH = ["step", "slot"]
 
 
+def epoch_steps(n_frames: int, batch: int, per_frame: int) -> int:
+    """Steps of an epoch that draws so many patches a frame on average; one at least."""
+    return max(1, -(-n_frames * per_frame // batch))
+
+
 def draw_patches(frames: DataFrame, epoch: int, steps: int, batch: int, size: int, seed: int) -> DataFrame:
     """(step, slot, frame_id, rows, cols, patch_row, patch_col) of one epoch; frames is (frame_id, rows, cols)."""
     drawn = sample_frames(frames, steps, batch, seed, epoch)
@@ -48,6 +55,54 @@ def training_batches(
         boundary_weight("boundary", weight).alias("weight"), "density")
 
 
+def two_resolution_batches(
+    frames: DataFrame, pixels: DataFrame, half: DataFrame, epoch: int, steps: int, batch: int, size: int, bands: list[str], half_bands: list[str],
+    seed: int = 1117, normalize: float = 0.4, weight: float = 5.0, augment: bool = True,
+) -> DataFrame:
+    """(step, slot, bands…, half_bands…, ann, weight, density): row-major arrays, size² values, those of ``half_bands`` (size / 2)².
+
+    ``pixels`` is as for ``training_batches``, ``half`` (frame_id, row, col, half_bands…) the same frames at half the resolution, cut at half the
+    patch's origin. What is drawn for a patch, its normalisation, flips and margins, holds for all its arrays, each in its own pixels. Patches stay arrays
+    from the cut on: a shuffle for each resolution, one join of a row a patch, one Arrow pass.
+    """
+    if size % 2:
+        raise ValueError("patches of two resolutions need an even size")
+    patches = draw_patches(frames, epoch, steps, batch, size, seed)
+    tag, labels, small = f"{seed}-{epoch}-", ["annotation", "boundary", "density"], size // 2
+    halved = patches.withColumns({c: F.floor(F.col(c) / 2).cast("int") for c in ("rows", "cols", "patch_row", "patch_col")})
+
+    def gathered(table: DataFrame, origin: DataFrame, side: int, inputs: list[str], others: list[str]) -> DataFrame:
+        names = [*inputs, *others]
+        cut = cut_patches(table.select("frame_id", "row", "col", *names), origin.drop("rows", "cols"), side)
+        px = cut.select(*PATCH, "row", "col", *[F.col(c).cast("double").alias(c) for c in names])
+        px = maybe_normalize(px, normalize, f"{tag}n", PATCH, inputs).select(*PATCH, "row", "col", *names)
+        return to_patches(zero_pad(px, origin, side, PATCH, names), side, PATCH, names)
+
+    both = gathered(pixels, patches, size, bands, labels).join(gathered(half, halved, small, half_bands, []), PATCH)
+    sizes = dict.fromkeys([*bands, *labels], size) | dict.fromkeys(half_bands, small)
+    if augment:
+        draws = chances(f"{tag}a", PATCH, lr=0.5, ud=0.5, crop=0.5) | crop_margins(size, f"{tag}a", PATCH)
+
+        def work(arrays: dict[str, np.ndarray], drawn: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            lr, ud, crop = (drawn[n].astype(bool)[:, None, None] for n in ("lr", "ud", "crop"))
+            out = {}
+            for n, x in arrays.items():
+                x = np.where(lr, x[:, :, ::-1], x)
+                x = np.where(ud, x[:, ::-1, :], x)
+                out[n] = np.where(crop, bilinear(x, *crop_positions(sizes[n], drawn, size / sizes[n])), x)
+            return out
+
+        both = transformed(both, PATCH, draws, work, sizes)
+    return both.select(
+        *PATCH, *bands, *half_bands, F.transform("annotation", binarize).alias("ann"),
+        F.transform("boundary", lambda v: boundary_weight(v, weight)).alias("weight"), "density")
+
+
+def batch_report(batches: DataFrame, bands: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What one looks at before a training run: (statistics of each patch with its object count, the loss weights of each step)."""
+    return patch_stats(batches, PATCH, bands, "density"), distinct_weights(batches, ["step"])
+
+
 def write_epoch(batches: DataFrame, path: str, epoch: int) -> None:
     """One folder per epoch and step."""
     batches.repartition("step").write.mode("errorifexists").partitionBy("step").parquet(f"{path}/epoch={epoch}")

@@ -121,7 +121,7 @@ _ALL_CONTOURS = _COMPONENTS + _HOLES + _CONTOURS
     SELECT image_id, root.r AS root_row, root.c AS root_col, kind, px_area, contour_area FROM carea""", True, _ALL_CONTOURS))
 def contour_areas(spark: SparkSession, sf: str) -> DataFrame:
     """Outlines of objects and holes with what they enclose, holes in objects and objects in holes included."""
-    a = ob.object_area(ob.contours(fx.object_mask(spark, sf), "mask", block=BLOCK), component="contour")
+    a = ob.contour_measures(ob.contour_tree(fx.object_mask(spark, sf), "mask", block=BLOCK))
     low = F.col("contour").bitwiseAND(F.lit((1 << 32) - 1))
     return a.select(
         "image_id", F.shiftright("contour", 32).cast("int").alias("root_row"), F.shiftright(low, 1).cast("int").alias("root_col"),

@@ -26,6 +26,11 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return sc.score_linear(_ztiles(spark, sf, ["red"]), fx.RED).select(*WINDOW, "row", "col", "seg", "dens")
 
 
+_FOLD = """list_reduce(list_prepend(0.0::DOUBLE, list(seg ORDER BY win_col, win_row)),
+  lambda a, v: CASE WHEN (CASE WHEN a <> 0 THEN a * 0.5 + v * 0.5 ELSE a END) = 0 THEN v
+    ELSE a * 0.5 + v * 0.5 END)"""
+
+
 # --- flagship -------------------------------------------------------------------------------------------------
 
 _REPORT = f"""
@@ -125,6 +130,116 @@ def ensemble_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("image_id", "row", "col", R("seg").alias("seg"), R("dens").alias("dens"))
 
 
+@query(with_ctes(["ztiles", "tiles"], """
+    SELECT model_id, image_id, row, col, CASE WHEN isnan(seg) THEN -1 ELSE (round(seg, 6) + 0.0::DOUBLE) END AS seg
+    FROM (SELECT model_id, image_id, row, col, greatest(0, max(seg)) AS seg FROM ms GROUP BY model_id, image_id, row, col)""", extra=[_NDVI_TILES, _MODELS]))
+def each_model_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same on block arrays with one result a model; -1 where a model has no number."""
+    models = [bi.BandModel(m.name, m.bands, m.scorer) for m in fx.ENSEMBLE]
+    bands = sorted({b for m in models for b in m.bands})
+    blocks = tl.to_blocks(inf.add_ndvi(fx.pixels(spark, sf)), bands, 32)
+    scored = bi.score_blocks(blocks, fx.images(spark, sf), models, 32, W, W, S, each_model=True)
+    px = scored.select("model_id", F.explode(F.arrays_zip("rows", "cols", "seg")).alias("p"), "image_id")
+    seg = F.col("p.seg")
+    return px.select("model_id", "image_id", F.col("p.rows").alias("row"), F.col("p.cols").alias("col"),
+                     F.when(F.isnan(seg), F.lit(-1.0)).otherwise(R(seg)).alias("seg"))
+
+
+def _red_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return tl.to_blocks(fx.pixels(spark, sf).select("image_id", "row", "col", "red"), ["red"], 32)
+
+
+@query(with_ctes(["scored"], f"""
+    SELECT image_id, row, col, {r6(_FOLD)} AS seg
+    FROM scored GROUP BY image_id, row, col"""))
+def mix_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The ordered merge on block arrays."""
+    model = bi.BandModel("red", ("red",), fx.RED.scorer)
+    out = tl.from_blocks(bi.score_blocks(_red_blocks(spark, sf), fx.images(spark, sf), [model], 32, W, W, S, "MIX"), ["seg"])
+    return out.select("image_id", "row", "col", R("seg").alias("seg"))
+
+
+# --- two resolutions -----------------------------------------------------------------------------------------------------
+
+_HALF = ("half", "SELECT image_id, row // 2 AS hr, col // 2 AS hc, avg(infrared) AS height FROM px GROUP BY 1, 2, 3")
+
+
+def _half_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.resample import downsample
+
+    half = downsample(fx.pixels(spark, sf), 2, ["infrared"]).withColumnRenamed("infrared", "height")
+    return tl.to_blocks(half, ["height"], 16)
+
+
+def _both_scorer():
+    def run(x: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seg = 1 / (1 + np.exp(-(x[..., 0] + (np.repeat(np.repeat(half[..., 0], 2, axis=1), 2, axis=2) - 128) / 100)))
+        return seg, seg / 16 - 0.02
+
+    return run
+
+
+@query(with_ctes(["ztiles", "px"], f"""
+    SELECT image_id, row, col, {r6('greatest(0, max(seg))')} AS seg, {r6('greatest(0, max(seg / 16 - 0.02::DOUBLE))')} AS dens FROM (
+      SELECT z.image_id, z.row, z.col, 1 / (1 + exp(-(z.red + (h.height - 128) / 100))) AS seg FROM ztiles z
+      JOIN half h ON h.image_id = z.image_id AND h.hr = z.row // 2 AND h.hc = z.col // 2) GROUP BY image_id, row, col""", extra=[_HALF]))
+def two_resolution_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """A network with a full- and a half-resolution input over whole rasters, merged."""
+    model = bi.BandModel("both", ("red",), _both_scorer, ("height",))
+    scored = bi.score_blocks(_red_blocks(spark, sf), fx.images(spark, sf), [model], 32, W, W, S, half_blocks=_half_blocks(spark, sf))
+    out = tl.from_blocks(scored, ["seg", "dens"])
+    return out.select("image_id", "row", "col", R("seg").alias("seg"), R("dens").alias("dens"))
+
+
+def _height_scorer():
+    def run(x: np.ndarray, half: np.ndarray) -> tuple[np.ndarray]:
+        n, h, w, _ = x.shape
+        return (x[..., 0].reshape(n, h // 2, 2, w // 2, 2).mean(axis=(2, 4)) + half[..., 0] / 100,)
+
+    return run
+
+
+_HEIGHTS = ("hs", """
+    SELECT z.image_id, win_col, win_row, z.row // 2 AS row, z.col // 2 AS col, avg(z.red) + max(h.height) / 100 AS seg FROM ztiles z
+    JOIN half h ON h.image_id = z.image_id AND h.hr = z.row // 2 AND h.hc = z.col // 2 GROUP BY 1, 2, 3, 4, 5""")
+
+
+@query(with_ctes(["ztiles", "px"], f"""
+    SELECT image_id, row, col, {r6(_FOLD)} AS height
+    FROM hs GROUP BY image_id, row, col""", extra=[_HALF, _HEIGHTS]))
+def height_blocks_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """A height head at half the resolution, blended window by window on a canvas of half the size."""
+    model = bi.BandModel("height", ("red",), _height_scorer, ("height",))
+    out = bi.score_height_blocks(_red_blocks(spark, sf), _half_blocks(spark, sf), fx.images(spark, sf), [model], 32, W, W, S)
+    return tl.from_blocks(out, ["height"]).select("image_id", "row", "col", R("height").alias("height"))
+
+
+_FINE = [("ax", f"""
+    SELECT p, CAST(i AS INTEGER) AS i, sum(w) AS w FROM (
+      SELECT p, greatest(0, least({SIDE - 1}, floor(s) + k)) AS i, CASE WHEN k = 1 THEN s - floor(s) ELSE 1 - (s - floor(s)) END AS w
+      FROM (SELECT CAST(range AS INTEGER) AS p, (range + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS s FROM range({2 * SIDE})), (SELECT range AS k FROM range(2))) GROUP BY ALL"""),
+    ("fine", "SELECT image_id, r.p AS row, c.p AS col, sum(red * r.w * c.w) AS red FROM px JOIN ax r ON px.row = r.i JOIN ax c ON px.col = c.i GROUP BY 1, 2, 3"),
+    ("fo", f"SELECT CAST(range AS INTEGER) AS o FROM range(0, {SIDE}, {S})"),
+    ("fz", f"""
+    SELECT f.image_id, wc.o AS win_col, wr.o AS win_row, f.row, f.col, (red - avg(red) OVER w) / (stddev_pop(red) OVER w + 1e-8) AS red FROM fine f
+    JOIN fo wc ON f.col >= 2 * wc.o AND f.col < 2 * (wc.o + {W}) JOIN fo wr ON f.row >= 2 * wr.o AND f.row < 2 * (wr.o + {W})
+    WINDOW w AS (PARTITION BY f.image_id, wc.o, wr.o)"""),
+    ("fs", """
+    SELECT image_id, win_col, win_row, row // 2 AS row, col // 2 AS col, avg(1 / (1 + exp(-red))) AS seg, 4 * avg(1 / (1 + exp(-red)) / 16 - 0.02::DOUBLE) AS dens
+    FROM fz GROUP BY 1, 2, 3, 4, 5""")]
+
+
+@query(with_ctes(["px"], f"""
+    SELECT image_id, count(*) AS n_px, {r6('sum(seg)')} AS seg, {r6('sum(dens)')} AS n_objects
+    FROM (SELECT image_id, row, col, greatest(0, max(seg)) AS seg, greatest(0, max(dens)) AS dens FROM fs GROUP BY 1, 2, 3) GROUP BY image_id""", extra=_FINE))
+def upscaled_score_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects per image with a network that wants pixels half as wide."""
+    model = bi.BandModel("red", ("red",), fx.RED.scorer)
+    scored = bi.score_blocks(_red_blocks(spark, sf), fx.images(spark, sf), [model], 32, W, W, S, upscale=2)
+    return tl.from_blocks(scored, ["seg", "dens"]).groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n_px"), R(F.sum("seg")).alias("seg"), R(F.sum("dens")).alias("n_objects"))
+
+
 @query(with_ctes(["px"], """
     SELECT 'a' AS model_id, image_id, row, col, 3 AS n, red + 2 * green + 3 * blue AS x FROM px
     UNION ALL SELECT 'b', image_id, row, col, 2, infrared + 2 * red FROM px"""))
@@ -185,9 +300,6 @@ def _merge_sql(seg: str) -> str:
     FROM scored GROUP BY image_id, row, col"""
 
 
-_FOLD = """list_reduce(list_prepend(0.0::DOUBLE, list(seg ORDER BY win_col, win_row)),
-  lambda a, v: CASE WHEN (CASE WHEN a <> 0 THEN a * 0.5 + v * 0.5 ELSE a END) = 0 THEN v
-    ELSE a * 0.5 + v * 0.5 END)"""
 
 query(with_ctes(["scored"], _merge_sql("greatest(0, max(seg))")), "mosaic_max")(partial(_merge, "MAX", 0.0))
 query(with_ctes(["scored"], _merge_sql("least(1, min(seg))")), "mosaic_min")(partial(_merge, "MIN", -1.0))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import bands as fb
 from ..operators import resample as rs, tiling as tl
 from ..plans.inference import add_ndvi
+from ..plans.training import epoch_steps
 from ..schemas import WINDOW
 from . import fixtures as fx
 from .fixtures import S, SIDE, W, r6 as R, with_ctes
@@ -102,13 +103,13 @@ def cut_random_patches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_ctes(["images"], f"""
     SELECT step, slot, frame_id, rows, cols
-    FROM (SELECT CAST(i.range // 8 AS INTEGER) AS step, CAST(i.range % 8 AS INTEGER) AS slot,
-            {_hash_sql('11f', '2', 'i.range // 8', 'i.range % 8')} % (SELECT count(*) FROM images) AS frame_idx FROM range(160) i) d
+    FROM (SELECT CAST(i // 8 AS INTEGER) AS step, CAST(i % 8 AS INTEGER) AS slot, {_hash_sql('11f', '2', 'i // 8', 'i % 8')} % n AS frame_idx
+          FROM (SELECT n, unnest(range(greatest(1, (n * 32 + 7) // 8) * 8)) AS i FROM (SELECT count(*) AS n FROM images))) d
     JOIN (SELECT image_id * 7 + 3 AS frame_id, row_number() OVER (ORDER BY image_id) - 1 AS frame_idx, rows, cols FROM images) USING (frame_idx)"""))
 def sample_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames whose ids have gaps."""
+    """Frames whose ids have gaps, 32 draws a frame."""
     frames = _frames(spark, sf).withColumn("frame_id", F.col("frame_id") * 7 + 3)
-    return tl.sample_frames(frames, 20, 8, 11, 2).select("step", "slot", "frame_id", "rows", "cols")
+    return tl.sample_frames(frames, epoch_steps(frames.count(), 8, 32), 8, 11, 2).select("step", "slot", "frame_id", "rows", "cols")
 
 
 @query(with_ctes(["px"], f"""

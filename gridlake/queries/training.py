@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import sampling as sp
-from ..plans.training import draw_patches, training_batches
+from ..operators.resample import downsample
+from ..plans.training import batch_report, draw_patches, epoch_steps, training_batches, two_resolution_batches as two_resolutions
 from . import fixtures as fx
 from .fixtures import SIDE, r6 as R, with_ctes
 from .registry import query, r6
@@ -147,30 +148,41 @@ def blur(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- batches ---------------------------------------------------------------------------------------------------------
 
+_BATCH, _PER_FRAME = 4, 8  # slots of a step; patches that an epoch draws for each frame
+
 _DRAWN = ("dr", f"""
     SELECT step, slot, frame_id, {_hash_sql('21r', '4', 'step', 'slot')} % {SIDE - P} AS patch_row,
       {_hash_sql('21c', '4', 'step', 'slot')} % {SIDE - P} AS patch_col
-    FROM (SELECT CAST(i.range // 4 AS INTEGER) AS step, CAST(i.range % 4 AS INTEGER) AS slot,
-            {_hash_sql('21f', '4', 'i.range // 4', 'i.range % 4')} % (SELECT count(*) FROM images) AS frame_idx FROM range(48) i)
+    FROM (SELECT CAST(i // {_BATCH} AS INTEGER) AS step, CAST(i % {_BATCH} AS INTEGER) AS slot, {_hash_sql('21f', '4', f'i // {_BATCH}', f'i % {_BATCH}')} % n AS frame_idx
+          FROM (SELECT n, unnest(range(greatest(1, (n * {_PER_FRAME} + {_BATCH - 1}) // {_BATCH}) * {_BATCH})) AS i FROM (SELECT count(*) AS n FROM images)))
     JOIN (SELECT image_id AS frame_id, row_number() OVER (ORDER BY image_id) - 1 AS frame_idx FROM images) USING (frame_idx)""")
 
+_CUT = ("cut", f"""
+    SELECT step, slot, row, col, CASE WHEN {_hash_sql('21-4-n', 'step', 'slot')} / 4294967296.0::DOUBLE <= 0.4::DOUBLE
+        THEN (red - avg(red) OVER w) / (stddev_pop(red) OVER w + 1e-8) ELSE red END AS red, ann, bnd, density
+    FROM (SELECT step, slot, px.row - patch_row AS row, px.col - patch_col AS col, red, CASE WHEN red >= 144 THEN 1 ELSE 0 END AS ann,
+            CASE WHEN blue >= 150 THEN 1 ELSE 0 END AS bnd, green / 4096 AS density
+          FROM dr JOIN px ON px.image_id = frame_id AND px.row >= patch_row AND px.row < patch_row + {P}
+            AND px.col >= patch_col AND px.col < patch_col + {P})
+    WINDOW w AS (PARTITION BY step, slot)""")
+
+
+def _steps(spark: SparkSession, sf: str) -> int:
+    return epoch_steps(_frames(spark, sf).count(), _BATCH, _PER_FRAME)
+
 
 @query(with_ctes(["images"], "SELECT step, slot, frame_id, patch_row, patch_col FROM dr", extra=[_DRAWN]))
 def draw_training_patches(spark: SparkSession, sf: str) -> DataFrame:
-    return draw_patches(_frames(spark, sf), 4, 12, 4, P, 21).drop("rows", "cols")
+    """An epoch with as many steps as the frames ask for."""
+    return draw_patches(_frames(spark, sf), 4, _steps(spark, sf), _BATCH, P, 21).drop("rows", "cols")
 
 
 @query(with_ctes(["images", "px"], f"""
-    SELECT step, slot, row, col, CASE WHEN {_hash_sql('21-4-n', 'step', 'slot')} / 4294967296.0::DOUBLE <= 0.4::DOUBLE
-        THEN {r6('(red - avg(red) OVER w) / (stddev_pop(red) OVER w + 1e-8)')} ELSE red END AS red, ann, weight, density
-    FROM (SELECT step, slot, px.row - patch_row AS row, px.col - patch_col AS col, red, CASE WHEN red >= 144 THEN 1 ELSE 0 END AS ann,
-            CASE WHEN blue >= 150 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, green / 4096 AS density
-          FROM dr JOIN px ON px.image_id = frame_id AND px.row >= patch_row AND px.row < patch_row + {P}
-            AND px.col >= patch_col AND px.col < patch_col + {P})
-    WINDOW w AS (PARTITION BY step, slot)""", extra=[_DRAWN]))
+    SELECT step, slot, row, col, {r6('red')} AS red, ann, CASE WHEN bnd = 1 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, density FROM cut""",
+                 extra=[_DRAWN, _CUT]))
 def training_batches_plain(spark: SparkSession, sf: str) -> DataFrame:
     """An epoch without augmentation: draws, cuts, normalisation by chance, label targets."""
-    out = training_batches(_frames(spark, sf), _labelled(spark, sf), 4, 12, 4, P, ["red"], 21, augment=False)
+    out = training_batches(_frames(spark, sf), _labelled(spark, sf), 4, _steps(spark, sf), _BATCH, P, ["red"], 21, augment=False)
     return out.withColumn("red", R("red"))
 
 
@@ -180,11 +192,88 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("blue") >= 150).cast("int").alias("boundary"), (F.col("green") / 4096).alias("density"))
 
 
-@query(with_ctes(["images"], f"SELECT step, slot, CAST({P * P} AS BIGINT) AS n_px, CAST(1 AS BOOLEAN) AS targets_ok FROM dr", extra=[_DRAWN]))
+def _of_patch(name: str) -> str:
+    return f"({_hash_sql(f'21-4-a{name}', 'step', 'slot')} / 4294967296.0::DOUBLE)"
+
+
+#: The patches flipped, and where a cropped and stretched one reads.
+_FLIPPED = ("fl", f"""
+    SELECT step, slot, CASE WHEN {_of_patch('ud')} < 0.5 THEN {P - 1} - row ELSE row END AS row,
+      CASE WHEN {_of_patch('lr')} < 0.5 THEN {P - 1} - col ELSE col END AS col, red, ann::DOUBLE AS ann, bnd::DOUBLE AS bnd, density FROM cut""")
+
+
+def _cropped(name: str, flipped: str, side: int, values: list[str]) -> list[tuple[str, str]]:
+    """The flipped patches of ``side``, those chosen cropped by margins in full pixels and stretched back."""
+    part = P // side
+    read = f"""
+    SELECT step, slot, row, col, t0 + greatest(0, least((row + 0.5::DOUBLE) * ({side} - t0 - b0) / {side} - 0.5::DOUBLE, {side} - t0 - b0 - 1)) AS sr,
+      l0 + greatest(0, least((col + 0.5::DOUBLE) * ({side} - l0 - r0) / {side} - 0.5::DOUBLE, {side} - l0 - r0 - 1)) AS sc
+    FROM (SELECT step, slot, floor({_of_patch('top')} * 1.6::DOUBLE) / {part} AS t0, floor({_of_patch('bottom')} * 1.6::DOUBLE) / {part} AS b0,
+            floor({_of_patch('left')} * 1.6::DOUBLE) / {part} AS l0, floor({_of_patch('right')} * 1.6::DOUBLE) / {part} AS r0 FROM dr WHERE {_of_patch('crop')} < 0.5),
+      (SELECT range AS row FROM range({side})), (SELECT range AS col FROM range({side}))"""
+    out = f"""
+    SELECT step, slot, row, col, {', '.join(values)} FROM {flipped} WHERE NOT ({_of_patch('crop')} < 0.5)
+    UNION ALL
+    SELECT t.step, t.slot, t.row, t.col, {', '.join(f'sum(p.{v} * w)' for v in values)} FROM (
+      SELECT s.*, greatest(0, least({side - 1}, floor(sr) + a.range)) AS qr, greatest(0, least({side - 1}, floor(sc) + b.range)) AS qc,
+        (CASE WHEN a.range = 1 THEN sr - floor(sr) ELSE 1 - (sr - floor(sr)) END) * (CASE WHEN b.range = 1 THEN sc - floor(sc) ELSE 1 - (sc - floor(sc)) END) AS w
+      FROM {name}_read s, range(2) a, range(2) b) t
+    JOIN {flipped} p ON p.step = t.step AND p.slot = t.slot AND p.row = t.qr AND p.col = t.qc GROUP BY 1, 2, 3, 4"""
+    return [(f"{name}_read", read), (name, out)]
+
+
+_AUGMENTED = [_DRAWN, _CUT, _FLIPPED, *_cropped("au", "fl", P, ["red", "ann", "bnd", "density"])]
+_SUMS = f"""
+    SELECT step, slot, count(*) AS n_px, {r6('sum(red)')} AS red, {r6(f'sum(red * (row * {P} + col)) / {P * P}')} AS red_at, {r6('sum(density)')} AS density,
+      CAST(sum(CASE WHEN ann >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS ann, CAST(sum(CASE WHEN ann >= 0.5 THEN row * {P} + col ELSE 0 END) AS BIGINT) AS ann_at,
+      sum(CASE WHEN bnd >= 0.5 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END) AS weight FROM au GROUP BY step, slot"""
+
+
+@query(with_ctes(["images", "px"], _SUMS, extra=_AUGMENTED))
 def training_batches_augmented(spark: SparkSession, sf: str) -> DataFrame:
-    """A whole epoch with flips and crops: every patch stays full and its targets stay binary."""
-    out = training_batches(_frames(spark, sf), _labelled(spark, sf), 4, 12, 4, P, ["red"], 21)
+    """A whole epoch with flips and crops: sums of inputs and targets of each patch, and the same weighed by position."""
+    out = training_batches(_frames(spark, sf), _labelled(spark, sf), 4, _steps(spark, sf), _BATCH, P, ["red"], 21)
+    at = (F.col("row") * P + F.col("col")).cast("long")
     return out.groupBy("step", "slot").agg(
-        F.count(F.lit(1)).alias("n_px"), F.min(F.col("ann").isin(0, 1) & F.col("weight").isin(1.0, 5.0)).alias("targets_ok"))
+        F.count(F.lit(1)).alias("n_px"), R(F.sum("red")).alias("red"), R(F.sum(F.col("red") * at) / (P * P)).alias("red_at"),
+        R(F.sum("density")).alias("density"), F.sum("ann").cast("long").alias("ann"), F.sum(F.col("ann") * at).cast("long").alias("ann_at"),
+        F.sum("weight").alias("weight"))
+
 
+@query(with_ctes(["images", "px"], """
+    SELECT step, CASE WHEN bnd = 1 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, count(*) AS n_px FROM cut GROUP BY ALL""", extra=[_DRAWN, _CUT]))
+def distinct_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The loss weights of each step."""
+    out = training_batches(_frames(spark, sf), _labelled(spark, sf), 4, _steps(spark, sf), _BATCH, P, ["red"], 21, augment=False)
+    return batch_report(out, ["red"])[1]
 
+
+_H = P // 2
+_HALF = [
+    ("hpx", "SELECT image_id, row // 2 AS row, col // 2 AS col, avg(infrared) / 10 AS height FROM px GROUP BY 1, 2, 3"),
+    ("hcut", f"""
+    SELECT step, slot, row, col, CASE WHEN {_hash_sql('21-4-n', 'step', 'slot')} / 4294967296.0::DOUBLE <= 0.4::DOUBLE
+        THEN (height - avg(height) OVER w) / (stddev_pop(height) OVER w + 1e-8) ELSE height END AS height
+    FROM (SELECT step, slot, h.row - patch_row // 2 AS row, h.col - patch_col // 2 AS col, height FROM dr JOIN hpx h ON h.image_id = frame_id
+            AND h.row >= patch_row // 2 AND h.row < patch_row // 2 + {_H} AND h.col >= patch_col // 2 AND h.col < patch_col // 2 + {_H})
+    WINDOW w AS (PARTITION BY step, slot)"""),
+    ("hfl", f"""
+    SELECT step, slot, CASE WHEN {_of_patch('ud')} < 0.5 THEN {_H - 1} - row ELSE row END AS row,
+      CASE WHEN {_of_patch('lr')} < 0.5 THEN {_H - 1} - col ELSE col END AS col, height FROM hcut"""),
+    *_cropped("hau", "hfl", _H, ["height"])]
+
+
+@query(with_ctes(["images", "px"], f"""
+    SELECT * FROM ({_SUMS}) JOIN (SELECT step, slot, {r6('sum(height)')} AS height, {r6(f'sum(height * (row * {_H} + col)) / {_H * _H}')} AS height_at
+    FROM hau GROUP BY step, slot) USING (step, slot)""", extra=[*_AUGMENTED, *_HALF]))
+def two_resolution_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """An epoch of patches with a second input at half the resolution, the same flips and crops in both: sums of inputs and targets."""
+    half = downsample(fx.pixels(spark, sf), 2, ["infrared"]).select(F.col("image_id").alias("frame_id"), "row", "col", (F.col("infrared") / 10).alias("height"))
+    out = two_resolutions(
+        _frames(spark, sf), _labelled(spark, sf), half, 4, _steps(spark, sf), _BATCH, P, ["red"], ["height"], 21)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    placed = lambda v: total(F.transform(v, lambda x, i: x * i))
+    return out.select(
+        "step", "slot", F.size("red").cast("long").alias("n_px"), R(total("red")).alias("red"), R(placed("red") / (P * P)).alias("red_at"),
+        R(total("density")).alias("density"), total("ann").cast("long").alias("ann"), placed("ann").cast("long").alias("ann_at"),
+        total("weight").alias("weight"), R(total("height")).alias("height"), R(placed("height") / (_H * _H)).alias("height_at"))

@@ -46,6 +46,19 @@ def test_casts_clamp(spark):
     assert (c(40000.0, "int16"), c(-40000.0, "int16")) == (32767, -32768)
 
 
+@pytest.mark.parametrize("most", [3, 1 << 16])
+def test_global_quartiles_of_float_bands(spark, most):
+    """Few values may be ordered at once, so the sketch has to narrow them down; ties, nulls, no numbers, one value."""
+    rnd = np.random.default_rng(8)
+    a, b = rnd.normal(0, 5, 4001), rnd.integers(0, 4, 4001).astype(float)
+    rows = [(float(x), float(y), None, 7.5 if i == 9 else None, float("nan") if i % 2 else float(x)) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, none double, one double, half double").repartition(5)
+    got = {r["band"]: (r["q1"], r["q3"]) for r in fb.global_quartiles(df, ["a", "b", "none", "one", "half"], most, 50).collect()}
+    assert got.keys() == {"a", "b", "one", "half"} and got["one"] == (7.5, 7.5)
+    assert got["a"] == pytest.approx(tuple(np.percentile(a, [25, 75]))) and got["b"] == tuple(np.percentile(b, [25, 75]))
+    assert got["half"][0] == pytest.approx(np.sort(a[::2])[1000]) and math.isnan(got["half"][1])
+
+
 def test_global_quartiles_of_a_skewed_band(spark):
     df = spark.createDataFrame([(float(v),) for v in [7] * 300 + list(range(100))], "v double")
     row = fb.global_quartiles(df, ["v"]).first()
@@ -111,7 +124,138 @@ def test_blocks_are_scored_without_pixel_rows(spark, raster):
     plan = bi.score_blocks(stored, images, [bi.BandModel("a", ("red",), models[0].scorer)], 4, 6, 6, 3)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and plan.count("FlatMapGroupsInArrow") == 2
     with pytest.raises(ValueError):
-        bi.score_blocks(stored, images, [], 4, 6, 6, 3, "MIX")
+        bi.score_blocks(stored, images, [], 4, 6, 6, 3, "MEAN")
+
+
+def merged_by_windows(shape, width, height, stride, op, heads_of, scale=1, start=0.0):
+    """One raster a head, window by window in their order: ``heads_of(r, c, h, w)`` gives the heads of a window."""
+    rows, cols = shape
+    out = None
+    for c in range(0, cols, stride):
+        for r in range(0, rows, stride):
+            h, w = min(height, rows - r), min(width, cols - c)
+            heads = heads_of(r, c, h, w)
+            if out is None:
+                out = np.full((len(heads), rows // scale, cols // scale), start)
+            at = (slice(None), slice(r // scale, (r + h) // scale), slice(c // scale, (c + w) // scale))
+            old, new = out[at], np.stack(heads)
+            if op == "MAX":
+                out[at] = np.maximum(old, new)
+            elif op == "MIN":
+                out[at] = np.minimum(old, new)
+            elif op == "REPLACE":
+                out[at] = new
+            else:
+                mixed = np.where(old != 0, old / 2 + new / 2, old)
+                out[at] = np.where(mixed == 0, new, mixed)
+    return out
+
+
+def raster_of(blocks, head, shape, **where):
+    out = np.full(shape, np.nan)
+    for b in blocks.collect():
+        if all(b[k] == v for k, v in where.items()):
+            out[b["rows"], b["cols"]] = b[head]
+    return out
+
+
+def zscored(x):
+    return (x - x.mean()) / (x.std() + 1e-8)
+
+
+def two_resolutions(raster, rows=20, cols=28):
+    rnd = np.random.default_rng(7)
+    full, half = rnd.integers(0, 99, (rows, cols)).astype(float), rnd.integers(0, 30, (rows // 2, cols // 2)).astype(float)
+    px, low = raster(full.tolist(), "red"), raster(half.tolist(), "height")
+    return full, half, px, low, px.select("image_id", "rows", "cols").distinct()
+
+
+def both_inputs():
+    def run(x, low):
+        wide = np.repeat(np.repeat(low[..., 0], 2, axis=1), 2, axis=2)
+        return x[..., 0] + wide, x[..., 0] * 2 - wide
+
+    return run
+
+
+def coarse_head():
+    def run(x, low):
+        n, h, w, _ = x.shape
+        return (x[..., 0].reshape(n, h // 2, 2, w // 2, 2).mean(axis=(2, 4)) * 0.5 + low[..., 0],)
+
+    return run
+
+
+@pytest.mark.parametrize("op", mo.OPERATORS)
+@pytest.mark.parametrize(("size", "width", "stride"), [(8, 8, 6), (4, 12, 4), (32, 10, 10)])
+def test_blocks_of_two_resolutions(raster, op, size, width, stride):
+    full, half, px, low, images = two_resolutions(raster)
+    blocks, half_blocks = tl.to_blocks(px, ["red"], size), tl.to_blocks(low, ["height"], size // 2)
+    model = bi.BandModel("two", ("red",), both_inputs, ("height",))
+    got = bi.score_blocks(blocks, images, [model], size, width, width, stride, op, half_blocks=half_blocks, batch=3)
+
+    def heads(r, c, h, w):
+        x, wide = zscored(full[r:r + h, c:c + w]), half[r // 2:(r + h) // 2, c // 2:(c + w) // 2].repeat(2, 0).repeat(2, 1)
+        return x + wide, x * 2 - wide
+
+    want = merged_by_windows(full.shape, width, width, stride, op, heads)
+    for k, head in enumerate(("seg", "dens")):
+        assert np.allclose(raster_of(got, head, full.shape), want[k])
+
+    got = bi.score_height_blocks(blocks, half_blocks, images, [bi.BandModel("h", ("red",), coarse_head, ("height",))], size, width, width, stride, op, batch=2)
+
+    def coarse(r, c, h, w):
+        x = zscored(full[r:r + h, c:c + w]).reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
+        return (x * 0.5 + half[r // 2:(r + h) // 2, c // 2:(c + w) // 2],)
+
+    want = merged_by_windows(full.shape, width, width, stride, op, coarse, 2)
+    assert np.allclose(raster_of(got, "height", half.shape), want[0])
+
+
+def test_two_resolutions_ask_for_even_windows_and_both_inputs(raster):
+    _, _, px, low, images = two_resolutions(raster)
+    blocks, half_blocks = tl.to_blocks(px, ["red"], 8), tl.to_blocks(low, ["height"], 4)
+    model = bi.BandModel("two", ("red",), both_inputs, ("height",))
+    for how in ({}, {"half_blocks": half_blocks, "stride": 3}, {"half_blocks": half_blocks, "upscale": 2}):
+        with pytest.raises(ValueError):
+            bi.score_blocks(blocks, images, [model], **({"size": 8, "width": 8, "height": 8, "stride": 8} | how))
+
+
+@pytest.mark.parametrize("op", mo.OPERATORS)
+def test_blocks_keep_one_result_a_model(raster, op):
+    full, _, px, _, images = two_resolutions(raster)
+    models = [LinearModel("a", ("red",), (1.0,)), LinearModel("b", ("red",), (-0.3,), 0.2)]
+    got = bi.score_blocks(tl.to_blocks(px, ["red"], 8), images, [bi.BandModel(m.name, m.bands, m.scorer) for m in models], 8, 10, 10, 6, op, each_model=True)
+    for m in models:
+        one = inf.score_mosaic(px, [m], 10, 10, 6, op).collect()
+        want = np.full(full.shape, np.nan)
+        for r in one:
+            want[r["row"], r["col"]] = r["seg"]
+        assert np.allclose(raster_of(got, "seg", full.shape, model_id=m.name), want)
+
+
+@pytest.mark.parametrize("factor", [2, 3])
+@pytest.mark.parametrize(("size", "width", "stride", "op"), [(8, 10, 6, "MAX"), (4, 6, 6, "MIX"), (64, 8, 4, "MIN")])
+def test_finer_scoring_goes_beyond_the_windows_border(raster, factor, size, width, stride, op):
+    full, _, px, _, images = two_resolutions(raster, 18, 23)
+    got = bi.score_blocks(tl.to_blocks(px, ["red"], size), images, [bi.BandModel("m", ("red",), lambda: lambda x: (x[..., 0], 0.1 * x[..., 0] ** 2))],
+                          size, width, width, stride, op, upscale=factor, batch=3)
+    fine = full
+    for axis in (0, 1):
+        n = full.shape[axis]
+        at = np.clip((np.arange(n * factor) + 0.5) / factor - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        high, share = np.minimum(low + 1, n - 1), (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        fine = np.take(fine, low, axis) * (1 - share) + np.take(fine, high, axis) * share
+
+    def heads(r, c, h, w):
+        x = zscored(fine[r * factor:(r + h) * factor, c * factor:(c + w) * factor])
+        mean = lambda v: v.reshape(h, factor, w, factor).mean(axis=(1, 3))
+        return mean(x), mean(0.1 * x ** 2) * factor ** 2
+
+    want = merged_by_windows(full.shape, width, width, stride, op, heads)
+    for k, head in enumerate(("seg", "dens")):
+        assert np.allclose(raster_of(got, head, full.shape), want[k])
 
 
 def test_whole_inference_against_arrays(spark, raster):

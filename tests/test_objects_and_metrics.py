@@ -102,7 +102,7 @@ def test_areas_with_holes(spark, raster):
     ring[4:7, 4:7] = 1        # an object in the hole, with a hole of one pixel
     ring[5, 5] = 0
     df = mask_df(raster, ring.tolist())
-    areas = ob.object_area(ob.contours(df, "mask", block=4), component="contour").collect()
+    areas = ob.contour_measures(ob.contour_tree(df, "mask", block=4)).collect()
     assert sorted((r["px_area"], r["contour_area"]) for r in areas) == [(5, 2.0), (9, 4.0), (96, 79.0), (100, 81.0)]
     kept, counts = ob.remove_small(df, "mask", 3, block=4)
     assert tuple(counts.first())[1:] == (4, 3) and kept.count() == 36 + 8 - 4
@@ -145,8 +145,18 @@ def test_regression(spark):
 
 
 @pytest.mark.parametrize("t,df,p", [(0.0, 5, 1.0), (2.0, 10, 0.07338803477074037), (12.706204736432095, 1, 0.05), (1.959963984540054, 1e7, 0.05)])
-def test_student_tail(t, df, p):
-    assert m.student_two_sided(t, df) == pytest.approx(p, rel=1e-6)
+def test_student_tail(spark, t, df, p):
+    got = spark.range(1).select(m.student_two_sided(F.lit(t), F.lit(df)).alias("p"), m.student_two_sided(F.lit(-t), F.lit(df)).alias("q")).first()
+    assert got["p"] == got["q"] == pytest.approx(p, rel=1e-6)
+
+
+def test_student_tail_at_its_ends(spark):
+    of = lambda t, n: spark.range(1).select(m.student_two_sided(F.lit(t), F.lit(n)).alias("p")).first()["p"]
+    assert of(math.inf, 5) == 0 and of(1.0, 0) is None and math.isnan(of(math.nan, 5)) and of(1e-200, 3) == 1
+    # closed forms: one degree of freedom is the Cauchy distribution, two have p = 1 - t / sqrt(2 + t²)
+    for t in (0.01, 0.5, 3.0, 50.0):
+        assert of(t, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi, rel=1e-12)
+        assert of(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-10)
 
 
 def test_count_errors(spark):
