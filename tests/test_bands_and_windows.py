@@ -170,25 +170,28 @@ def two_resolutions(raster, rows=20, cols=28):
     return full, half, px, low, px.select("image_id", "rows", "cols").distinct()
 
 
-def both_inputs():
-    def run(x, low):
-        wide = np.repeat(np.repeat(low[..., 0], 2, axis=1), 2, axis=2)
-        return x[..., 0] + wide, x[..., 0] * 2 - wide
+def scorers():
+    """(network of two inputs, network with one coarse head), nested so that they travel to the workers by value."""
+    def both_inputs():
+        def run(x, low):
+            wide = np.repeat(np.repeat(low[..., 0], 2, axis=1), 2, axis=2)
+            return x[..., 0] + wide, x[..., 0] * 2 - wide
 
-    return run
+        return run
 
+    def coarse_head():
+        def run(x, low):
+            n, h, w, _ = x.shape
+            return (x[..., 0].reshape(n, h // 2, 2, w // 2, 2).mean(axis=(2, 4)) * 0.5 + low[..., 0],)
 
-def coarse_head():
-    def run(x, low):
-        n, h, w, _ = x.shape
-        return (x[..., 0].reshape(n, h // 2, 2, w // 2, 2).mean(axis=(2, 4)) * 0.5 + low[..., 0],)
+        return run
 
-    return run
+    return both_inputs, coarse_head
 
 
-@pytest.mark.parametrize("op", mo.OPERATORS)
-@pytest.mark.parametrize(("size", "width", "stride"), [(8, 8, 6), (4, 12, 4), (32, 10, 10)])
+@pytest.mark.parametrize(("op", "size", "width", "stride"), [("MAX", 8, 8, 6), ("MIX", 4, 12, 4), ("MIX", 32, 10, 10), ("MIN", 8, 10, 4), ("REPLACE", 4, 6, 4)])
 def test_blocks_of_two_resolutions(raster, op, size, width, stride):
+    both_inputs, coarse_head = scorers()
     full, half, px, low, images = two_resolutions(raster)
     blocks, half_blocks = tl.to_blocks(px, ["red"], size), tl.to_blocks(low, ["height"], size // 2)
     model = bi.BandModel("two", ("red",), both_inputs, ("height",))
@@ -215,13 +218,13 @@ def test_blocks_of_two_resolutions(raster, op, size, width, stride):
 def test_two_resolutions_ask_for_even_windows_and_both_inputs(raster):
     _, _, px, low, images = two_resolutions(raster)
     blocks, half_blocks = tl.to_blocks(px, ["red"], 8), tl.to_blocks(low, ["height"], 4)
-    model = bi.BandModel("two", ("red",), both_inputs, ("height",))
+    model = bi.BandModel("two", ("red",), scorers()[0], ("height",))
     for how in ({}, {"half_blocks": half_blocks, "stride": 3}, {"half_blocks": half_blocks, "upscale": 2}):
         with pytest.raises(ValueError):
             bi.score_blocks(blocks, images, [model], **({"size": 8, "width": 8, "height": 8, "stride": 8} | how))
 
 
-@pytest.mark.parametrize("op", mo.OPERATORS)
+@pytest.mark.parametrize("op", ["MAX", "MIX"])
 def test_blocks_keep_one_result_a_model(raster, op):
     full, _, px, _, images = two_resolutions(raster)
     models = [LinearModel("a", ("red",), (1.0,)), LinearModel("b", ("red",), (-0.3,), 0.2)]
@@ -234,8 +237,7 @@ def test_blocks_keep_one_result_a_model(raster, op):
         assert np.allclose(raster_of(got, "seg", full.shape, model_id=m.name), want)
 
 
-@pytest.mark.parametrize("factor", [2, 3])
-@pytest.mark.parametrize(("size", "width", "stride", "op"), [(8, 10, 6, "MAX"), (4, 6, 6, "MIX"), (64, 8, 4, "MIN")])
+@pytest.mark.parametrize(("factor", "size", "width", "stride", "op"), [(2, 8, 10, 6, "MAX"), (3, 4, 6, 6, "MIX"), (2, 64, 8, 4, "MIN")])
 def test_finer_scoring_goes_beyond_the_windows_border(raster, factor, size, width, stride, op):
     full, _, px, _, images = two_resolutions(raster, 18, 23)
     got = bi.score_blocks(tl.to_blocks(px, ["red"], size), images, [bi.BandModel("m", ("red",), lambda: lambda x: (x[..., 0], 0.1 * x[..., 0] ** 2))],
