@@ -31,6 +31,10 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[root[moved]]
 
 
+#: Links (16 bytes each) that one task connects by itself; more take the rounds.
+LOCAL_LINKS = 1 << 17
+
+
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -38,10 +42,18 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
 
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        node, root = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+
+
 def connect(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes but the roots: ``root`` is the smallest node that links (u, v) lead to. Nodes are BIGINTs without nulls.
 
-    Each batch of links is first cut down to a spanning forest. Then a node's neighbours are hung on the smallest of them, those above the
+    Each batch of links is first cut down to a spanning forest. What is left is counted: LOCAL_LINKS or fewer are connected in one task, a few MB
+    whatever the corpus. Of more, a node's neighbours are hung on the smallest of them, those above the
     node first, then those below it, until nothing changes: few rounds whatever the diameter. A hub is one skewed side of a join with one row a
     node, and the minimum for it is taken before the shuffle. No links: no rows.
     """
@@ -49,7 +61,9 @@ def connect(edges: DataFrame) -> DataFrame:
     current = cut_lineage(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).mapInArrow(_shortened, "a long, b long").distinct())
     mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
     before = current.agg(*mark).first()
-    while before["n"]:
+    if before["n"] <= LOCAL_LINKS:
+        return current.coalesce(1).mapInArrow(_connected, "node long, root long")
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = low(both).select("a", F.least("m", "a").alias("m"))
         above = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -108,14 +108,17 @@ def brute_roots(edges):
     return {(x, top(x)) for x in up if top(x) != x}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_of_chains_stars_and_random_links(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(0, 0), (1, 0), (2, 1 << 17)])
+def test_components_of_chains_stars_and_random_links(spark, monkeypatch, seed, local):
+    """In rounds, and in one task."""
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     rng = random.Random(seed)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(200)] + [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(150)]
     edges += [(7, 7), (2000, -5), (-5, 2000)]
     rng.shuffle(edges)
     got = components.connect(spark.createDataFrame(edges, "u long, v long").repartition(5))
     assert {tuple(r) for r in got.collect()} == brute_roots(edges)
+    monkeypatch.setattr(components, "LOCAL_LINKS", 1 << 17)
     assert components.connect(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
