@@ -179,7 +179,7 @@ def object_area(components: DataFrame, keys: list[str] | None = None, component:
 class ContourTree:
     """Components of a mask and of its background as a tree: holes in objects, objects in holes.
 
-    ``objects`` and ``holes`` are pixels (keys, row, col, node), ``rims`` the object pixels beside a hole (keys, row, col, node of the hole), ``up`` (keys, node,
+    ``objects`` and ``holes`` are pixels (keys, row, col, node), ``rims`` the pixels of a hole's object beside it (keys, row, col, node of the hole), ``up`` (keys, node,
     parent), ``within`` (keys, node, contour) every component with all that enclose it, itself first. A node packs the first pixel and the kind (1: hole).
     """
 
@@ -221,8 +221,9 @@ def contour_tree(pixels: DataFrame, value: str, keys: list[str] | None = None, b
     sides = F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
     beside = holes.select(*keys, "row", "col", "node", sides.alias("_s")).select(
         *keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), "node").distinct()
-    # what lies beside a hole is the hole itself or its object
-    rims = cut_lineage(beside.join(holes.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti"))
+    # what lies beside a hole is the hole itself, an object in it, or the object it is in: that is the rim
+    owners = objects.select(*keys, "row", "col", F.col("node").alias("parent"))
+    rims = cut_lineage(beside.join(owners, [*keys, "row", "col"]).join(up, [*keys, "node", "parent"], "left_semi").select(*keys, "row", "col", "node"))
     return ContourTree(objects.drop("first"), holes.drop("first"), rims, up, within)
 
 

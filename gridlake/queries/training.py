@@ -250,7 +250,7 @@ def distinct_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 _H = P // 2
 _HALF = [
-    ("hpx", "SELECT image_id, row // 2 AS row, col // 2 AS col, avg(infrared) / 10 AS height FROM px GROUP BY 1, 2, 3"),
+    ("hpx", "SELECT image_id, row // 2 AS row, col // 2 AS col, avg(infrared) / 8 AS height FROM px GROUP BY 1, 2, 3"),
     ("hcut", f"""
     SELECT step, slot, row, col, CASE WHEN {_hash_sql('21-4-n', 'step', 'slot')} / 4294967296.0::DOUBLE <= 0.4::DOUBLE
         THEN (height - avg(height) OVER w) / (stddev_pop(height) OVER w + 1e-8) ELSE height END AS height
@@ -268,7 +268,7 @@ _HALF = [
     FROM hau GROUP BY step, slot) USING (step, slot)""", extra=[*_AUGMENTED, *_HALF]))
 def two_resolution_batches(spark: SparkSession, sf: str) -> DataFrame:
     """An epoch of patches with a second input at half the resolution, the same flips and crops in both: sums of inputs and targets."""
-    half = downsample(fx.pixels(spark, sf), 2, ["infrared"]).select(F.col("image_id").alias("frame_id"), "row", "col", (F.col("infrared") / 10).alias("height"))
+    half = downsample(fx.pixels(spark, sf), 2, ["infrared"]).select(F.col("image_id").alias("frame_id"), "row", "col", (F.col("infrared") / 8).alias("height"))
     out = two_resolutions(
         _frames(spark, sf), _labelled(spark, sf), half, 4, _steps(spark, sf), _BATCH, P, ["red"], ["height"], 21)
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
