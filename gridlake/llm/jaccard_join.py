@@ -113,7 +113,7 @@ def _prefixes(payload: bytes, answers: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _regions(postings: DataFrame) -> DataFrame:
+def regions_of(postings: DataFrame) -> DataFrame:
     """Postings with the pivot of their region: its smallest set. A region of one set is joined with nothing and goes."""
     found = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("pivot")).filter("many > 1")
     return postings.join(found.select("token", "pivot"), "token")
@@ -130,7 +130,7 @@ def links(sets: DataFrame, postings: DataFrame, percent: int = PERCENT) -> DataF
     next pivot), the regions with the same main component are cells, and what is not connected in them is compared outright, in tiles of bounded
     size (``tiles.compare``).
     """
-    regions = cut_lineage(_regions(postings))
+    regions = cut_lineage(regions_of(postings))
     edges, slack = None, 1 - percent / 100 + 1e-9  # the radius, and room for rounding
     for _ in range(PIVOT_ROUNDS):
         regions = regions.select("token", "uid", "n", "pivot")

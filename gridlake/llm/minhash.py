@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from .arrays import mix, steps
 from .chunks import CHUNK_BYTES, batches_of, freeze, written
 from .components import connect
-from .jaccard_join import _lists, links, shingles
+from .jaccard_join import _lists, regions_of, shingles
 from .shared import stored
 from .tiles import cells, compare, measured, opened, rooted
 
@@ -151,21 +151,21 @@ def confirmed(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): confirmed links, enough to connect all sets that share a bucket and link. ``buckets`` has (token, uid, pivot, many).
 
     Sets of crowded buckets, in which a passage that many texts share has brought together what does not link, are told apart by their rarest tokens:
-    two that link share one of them, so that these are joined as regions (``jaccard_join.links``), exactly. In the other buckets each set is measured against
-    the smallest set that it shares a bucket with, which connects most copies by one link each; in the buckets that then
-    still hold more than one component, what is outside of the main one is compared outright (``tiles.compare``).
+    two that link share one of them, so the sets with a rare token in common stand for the bucket. Each set is measured against the smallest set of
+    such a group, and against the smallest one that it shares any other bucket with, which connects most copies by a link or two each. Where a group then
+    still holds more than one component, what is outside of the main one is compared outright (``tiles.compare``).
     """
-    crowd = buckets.filter(F.col("many") > CROWDED).select("uid").distinct()
-    crowded = cut_lineage(crowd)
-    edges = None
+    crowded = cut_lineage(buckets.filter(F.col("many") > CROWDED).select("uid").distinct())
+    small = buckets.filter(F.col("many") <= CROWDED).select("token", "uid", "pivot")
+    asked = small.filter("uid != pivot").groupBy(F.col("uid").alias("x")).agg(F.min("pivot").alias("y"))
+    regions = small
     if not crowded.isEmpty():
         pool = sets.join(crowded, "uid", "left_semi")
-        edges = cut_lineage(links(sets, cut_lineage(_rarest(pool, _frequencies(pool))), PERCENT))
-    small = cut_lineage(buckets.filter(F.col("many") <= CROWDED).select("token", "uid", "pivot"))
-    asked = small.filter("uid != pivot").groupBy(F.col("uid").alias("x")).agg(F.min("pivot").alias("y"))
-    new = measured(asked, sets, PERCENT).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    edges = cut_lineage(new if edges is None else edges.unionByName(new))
-    left = cut_lineage(opened(cut_lineage(rooted(small.select("token", "uid"), edges)), "token"))
+        rare = cut_lineage(regions_of(cut_lineage(_rarest(pool, _frequencies(pool)))).select("token", "uid", "pivot"))
+        asked = asked.unionByName(rare.filter("uid != pivot").select(F.col("uid").alias("x"), F.col("pivot").alias("y"))).distinct()
+        regions = small.unionByName(rare)
+    edges = cut_lineage(measured(asked, sets, PERCENT).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    left = cut_lineage(opened(rooted(regions.select("token", "uid"), edges), "token"))
     return edges if left.isEmpty() else compare(cells(left), sets, PERCENT, edges)
 
 
