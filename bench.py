@@ -9,9 +9,9 @@ import time
 
 HEADLINE = [
     "tile_score_count", "big_tile_score", "ensemble_mosaic", "ensemble_blocks", "mosaic_mix", "border_suppressed_mosaic", "normalize_patch",
-    "robust_scale", "score_python_model", "assign_first_area", "boundary_gaps", "rasterize_crowns", "density_fixed",
+    "robust_scale", "score_python_model", "assign_first_area", "boundary_gaps", "gap_polygon_areas", "rasterize_crowns", "density_fixed",
     "density_knn", "label_frames", "segmentation_metrics", "components", "remove_small", "report_by_model", "count_regression",
-    "smooth_labels_2d", "resample_bilinear", "training_batches_augmented", "kfold", "pair_siblings", "skip_done",
+    "smooth_labels_2d", "resample_bilinear", "training_batches_augmented", "two_resolution_batches", "upscaled_score_count", "kfold", "pair_siblings", "skip_done",
 ]
 
 
