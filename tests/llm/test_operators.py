@@ -283,12 +283,12 @@ def test_random_line_runs(spark, seed):
 
 
 def test_long_stretches_of_lines_with_few_words(spark):
-    """Copies of a text of blank lines with a word now and then: windows of thousands of lines, begun at each line."""
-    text = "\n".join(f"word{i}" if i % 20 == 0 else "" for i in range(2000))
+    """Copies of a text of blank lines with a word now and then: windows of hundreds of lines, begun at each line."""
+    text = "\n".join(f"word{i}" if i % 4 == 0 else "" for i in range(300))
     rows = [(0, text), (1, "own line\n" + text + "\nlast line"), (2, text)]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].text for i in range(3)] == brute.dedup_lines([t for _, t in rows])
-    assert got[1].text == "own line\nlast line" and len(got[2]._removed) == 2000
+    assert got[1].text == "own line\nlast line" and len(got[2]._removed) == 300
 
 
 def test_positions_hold_every_line_of_the_longest_text(spark):
