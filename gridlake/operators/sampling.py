@@ -74,9 +74,11 @@ def flip_ud(df: DataFrame, size: int, seed: int, keys: list[str], p: float = 0.5
     return df.withColumn("row", turned)
 
 
-def _resampled(df: DataFrame, size: int, keys: list[str], values: list[str], draws: dict[str, Column], positions: Positions, chosen: Column) -> DataFrame:
+def _resampled(
+    df: DataFrame, size: int, keys: list[str], values: list[str], draws: dict[str, Column], positions: Positions, chosen: Column, grow: bool = False
+) -> DataFrame:
     """Bilinear read of the chosen patches at mapped positions; the others pass through."""
-    moved = resampled(df.where(chosen), size, keys, values, draws, positions)
+    moved = resampled(df.where(chosen), size, keys, values, draws, positions, grow)
     return df.where(~chosen).select(*keys, "row", "col", *values).unionByName(moved)
 
 
@@ -86,10 +88,13 @@ def crop_margins(size: int, seed: int | str, keys: list[str], share: float = 0.1
 
 
 def random_crop_resize(
-    df: DataFrame, size: int, seed: int, keys: list[str], values: list[str], share: float = 0.1, p: float = 0.5
+    df: DataFrame, size: int, seed: int, keys: list[str], values: list[str], share: float = 0.1, p: float = 0.5, grow: bool = False
 ) -> DataFrame:
-    """Cuts 0–10 % off each side and stretches the rest back to the patch size. Patches are full and square."""
-    return _resampled(df, size, keys, values, crop_margins(size, seed, keys, share), crop_positions, _chance(p, f"{seed}crop", keys))
+    """Cuts 0–10 % off each side and stretches the rest back to the patch size. Patches are square.
+
+    Pixels that a patch lacks add nothing. It keeps the places of its pixels; with ``grow`` it gets all places at which one of them is read.
+    """
+    return _resampled(df, size, keys, values, crop_margins(size, seed, keys, share), crop_positions, _chance(p, f"{seed}crop", keys), grow)
 
 
 def affine(
@@ -97,7 +102,7 @@ def affine(
     scale: tuple[float, float] = (0.8, 1.2), shift: tuple[float, float] = (-0.2, 0.2),
     rotate: tuple[float, float] = (-45.0, 45.0), shear: tuple[float, float] = (-16.0, 16.0),
 ) -> DataFrame:
-    """Scale, shift, rotate and shear about the patch centre, read back bilinearly; outside is 0. Patches are full and square."""
+    """Scale, shift, rotate and shear about the patch centre, read back bilinearly; outside is 0. Patches are square; pixels they lack add nothing."""
     ids = _ids(keys)
 
     def draw(bounds: tuple[float, float], name: str) -> Column:

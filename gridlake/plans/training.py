@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.bands import maybe_normalize
 from ..functions.draws import hash_index
 from ..operators.labels import binarize, boundary_weight
-from ..operators.patches import bilinear, crop_positions, to_patches, transformed
+from ..operators.patches import THERE, Known, bilinear, crop_positions, to_patches, transformed
 from ..operators.sampling import chances, crop_margins, flip_lr, flip_ud, random_crop_resize
 from ..operators.tiling import cut_patches, distinct_weights, patch_stats, sample_frames, zero_pad
 
@@ -49,7 +49,7 @@ def training_batches(
     px = zero_pad(px, patches, size, PATCH, [*bands, *labels])
     if augment:
         px = flip_ud(flip_lr(px, size, f"{tag}a", PATCH), size, f"{tag}a", PATCH)
-        px = random_crop_resize(px, size, f"{tag}a", PATCH, [*bands, *labels])
+        px = random_crop_resize(px, size, f"{tag}a", PATCH, [*bands, *labels], grow=True)
     return px.select(
         *PATCH, "row", "col", *bands, binarize("annotation").alias("ann"),
         boundary_weight("boundary", weight).alias("weight"), "density")
@@ -59,8 +59,9 @@ def two_resolution_batches(
     frames: DataFrame, pixels: DataFrame, half: DataFrame, epoch: int, steps: int, batch: int, size: int, bands: list[str], half_bands: list[str],
     seed: int = 1117, normalize: float = 0.4, weight: float = 5.0, augment: bool = True,
 ) -> DataFrame:
-    """(step, slot, bands…, half_bands…, ann, weight, density): row-major arrays, size² values, those of ``half_bands`` (size / 2)².
+    """(step, slot, there, bands…, half_bands…, ann, weight, density): row-major arrays, size² values, those of ``half_bands`` (size / 2)².
 
+    ``there`` says at which places of the patch its frame has a pixel, or one was read; values are null elsewhere.
     ``pixels`` is as for ``training_batches``, ``half`` (frame_id, row, col, half_bands…) the same frames at half the resolution, cut at half the
     patch's origin. What is drawn for a patch, its normalisation, flips and margins, holds for all its arrays, each in its own pixels. Patches stay arrays
     from the cut on: a shuffle for each resolution, one join of a row a patch, one Arrow pass.
@@ -71,31 +72,32 @@ def two_resolution_batches(
     tag, labels, small = f"{seed}-{epoch}-", ["annotation", "boundary", "density"], size // 2
     halved = patches.withColumns({c: F.floor(F.col(c) / 2).cast("int") for c in ("rows", "cols", "patch_row", "patch_col")})
 
-    def gathered(table: DataFrame, origin: DataFrame, side: int, inputs: list[str], others: list[str]) -> DataFrame:
+    def gathered(table: DataFrame, origin: DataFrame, side: int, inputs: list[str], others: list[str], there: str) -> DataFrame:
         names = [*inputs, *others]
         cut = cut_patches(table.select("frame_id", "row", "col", *names), origin.drop("rows", "cols"), side)
         px = cut.select(*PATCH, "row", "col", *[F.col(c).cast("double").alias(c) for c in names])
         px = maybe_normalize(px, normalize, f"{tag}n", PATCH, inputs).select(*PATCH, "row", "col", *names)
-        return to_patches(zero_pad(px, origin, side, PATCH, names), side, PATCH, names)
+        return to_patches(zero_pad(px, origin, side, PATCH, names), side, PATCH, names, there)
 
-    both = gathered(pixels, patches, size, bands, labels).join(gathered(half, halved, small, half_bands, []), PATCH)
+    both = gathered(pixels, patches, size, bands, labels, THERE).join(gathered(half, halved, small, half_bands, [], "_half"), PATCH)
     sizes = dict.fromkeys([*bands, *labels], size) | dict.fromkeys(half_bands, small)
-    if augment:
-        draws = chances(f"{tag}a", PATCH, lr=0.5, ud=0.5, crop=0.5) | crop_margins(size, f"{tag}a", PATCH)
-
-        def work(arrays: dict[str, np.ndarray], drawn: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-            lr, ud, crop = (drawn[n].astype(bool)[:, None, None] for n in ("lr", "ud", "crop"))
-            out = {}
-            for n, x in arrays.items():
-                x = np.where(lr, x[:, :, ::-1], x)
-                x = np.where(ud, x[:, ::-1, :], x)
-                out[n] = np.where(crop, bilinear(x, *crop_positions(sizes[n], drawn, size / sizes[n])), x)
-            return out
-
-        both = transformed(both, PATCH, draws, work, sizes)
-    return both.select(
-        *PATCH, *bands, *half_bands, F.transform("annotation", binarize).alias("ann"),
-        F.transform("boundary", lambda v: boundary_weight(v, weight)).alias("weight"), "density")
+    draws = chances(f"{tag}a", PATCH, lr=0.5, ud=0.5, crop=0.5) | crop_margins(size, f"{tag}a", PATCH) if augment else {}
+
+    def work(arrays: dict[str, Known], drawn: dict[str, np.ndarray]) -> dict[str, Known]:
+        if not augment:
+            return arrays
+        lr, ud, crop = (drawn[n].astype(bool)[:, None, None] for n in ("lr", "ud", "crop"))
+        out = {}
+        for n, known in arrays.items():
+            x = [np.where(lr, v[:, :, ::-1], v) for v in known]
+            x = [np.where(ud, v[:, ::-1, :], v) for v in x]
+            read = bilinear(*x, *crop_positions(x[0].shape[1], drawn, size / x[0].shape[1]))
+            out[n] = tuple(np.where(crop, r, v) for r, v in zip(read, x, strict=True))
+        return out
+
+    both = transformed(both, PATCH, draws, work, sizes, dict.fromkeys(half_bands, "_half"))
+    weights = F.zip_with(THERE, "boundary", lambda there, v: F.when(there, boundary_weight(v, weight)))
+    return both.select(*PATCH, THERE, *bands, *half_bands, F.transform("annotation", binarize).alias("ann"), weights.alias("weight"), "density")
 
 
 def batch_report(batches: DataFrame, bands: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -271,9 +271,9 @@ def two_resolution_batches(spark: SparkSession, sf: str) -> DataFrame:
     half = downsample(fx.pixels(spark, sf), 2, ["infrared"]).select(F.col("image_id").alias("frame_id"), "row", "col", (F.col("infrared") / 8).alias("height"))
     out = two_resolutions(
         _frames(spark, sf), _labelled(spark, sf), half, 4, _steps(spark, sf), _BATCH, P, ["red"], ["height"], 21)
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     placed = lambda v: total(F.transform(v, lambda x, i: x * i))
     return out.select(
-        "step", "slot", F.size("red").cast("long").alias("n_px"), R(total("red")).alias("red"), R(placed("red") / (P * P)).alias("red_at"),
+        "step", "slot", F.size(F.filter("there", lambda t: t)).cast("long").alias("n_px"), R(total("red")).alias("red"), R(placed("red") / (P * P)).alias("red_at"),
         R(total("density")).alias("density"), total("ann").cast("long").alias("ann"), placed("ann").cast("long").alias("ann_at"),
         total("weight").alias("weight"), R(total("height")).alias("height"), R(placed("height") / (_H * _H)).alias("height_at"))

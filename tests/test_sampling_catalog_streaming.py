@@ -318,3 +318,21 @@ def test_checkpoint_folder_comes_from_the_session():
     assert ensure_checkpoint_dir(s) == "/other" and s.calls == []
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(FakeSession(None, None, "yarn"))
+
+
+def test_patches_that_lack_pixels_equal_sql(spark, tmp_path):
+    """Images of which the last vectors are missing, so that patches at their rim are short of pixels or have none."""
+    import oracle
+    from conftest import SF
+
+    for t in oracle.TABLES:
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    os.unlink(tmp_path / "embeddings.parquet")
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    vectors.where("vec_id < 256 and vec_id % 97 <> 5").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = oracle.connect(str(tmp_path))
+    con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    from gridlake.queries import ORACLE, QUERIES
+
+    for name in ("affine", "random_crop_resize", "training_batches_augmented", "two_resolution_batches", "training_batches_plain"):
+        assert oracle.compare(QUERIES[name](spark, str(tmp_path)), con, ORACLE[name]) is None, name
