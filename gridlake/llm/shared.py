@@ -12,10 +12,10 @@ from ..session import ensure_checkpoint_dir
 SALTS = 64
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` as Parquet in the checkpoint folder, read again: it is computed once, and survives lost executors."""
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -163,6 +163,19 @@ def test_quality_verdict(spark, docs, none):
     assert quality_rules.apply_rules(none, labels).count() == 0
 
 
+def test_all_documents_labelled_good_are_trusted(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.pmod("id", F.lit(2)).cast("int").alias("quality"))
+    assert quality_rules.trusted_ids(labels).count() == 30_000
+
+
+def test_percentiles_equal_sorting(spark):
+    values = [random.Random(3).randrange(-30_000, 30_000) for _ in range(500)] + [7, 7, 7]
+    scores = spark.createDataFrame([(v,) for v in [*values, None]], "score long")
+    wanted = scores.agg(F.percentile("score", [0.002, 0.5, 1.0])).first()[0]
+    assert quality_rules.percentiles(scores, (0.002, 0.5, 1.0)) == wanted
+    assert quality_rules.percentiles(scores.filter("score is null"), (0.5,)) == []
+
+
 # --- shards -----------------------------------------------------------------------------------------------------------------------
 
 
