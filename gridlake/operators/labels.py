@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geometry import bbox, edges, scale_ring
+from ..functions.geometry import bbox, edges, let, scale_ring
 from ..schemas import floor_div
 from ..session import cut_lineage, spread
 from .resample import convolve_separable, gaussian_weights
@@ -63,14 +65,23 @@ def _cut_columns(runs: DataFrame, shape: bool) -> DataFrame:
     return runs.where(F.col("c0") <= F.col("c1"))
 
 
-def _scanline_runs(ring: Column, y: Column) -> Column:
-    """Where the ring's edges cross one pixel row, in order; stretches between pairs of them are inside."""
-    crossed = F.filter(edges(ring), lambda e: (
+def _scanline_runs(sides: Column, y: Column, first: Callable[[Column], Column], last: Callable[[Column], Column]) -> Column:
+    """ARRAY<STRUCT<c0, c1>>: the stretches of one pixel row between pairs of crossings with a ring's edges, which are inside.
+
+    To be exploded with ``explode_outer``: for other generators and for filters Spark works the crossings out a second time.
+    """
+    crossed = F.filter(sides, lambda e: (
         (F.least(e["a"]["y"], e["b"]["y"]) <= y) & (y < F.greatest(e["a"]["y"], e["b"]["y"]))
     ))
     xs = F.array_sort(F.transform(crossed, lambda e: e["a"]["x"] + F.try_divide(
         (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]), e["b"]["y"] - e["a"]["y"])))
-    return xs
+
+    def stretches(x: Column) -> Column:
+        pairs = F.when(F.size(x) >= 2, F.sequence(F.lit(0), floor_div(F.size(x), 2) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(pairs, lambda i: F.struct(
+            first(F.get(x, i * 2)).cast("int").alias("c0"), last(F.get(x, i * 2 + 1)).cast("int").alias("c1")))
+
+    return let(xs, stretches)
 
 
 def rasterize(
@@ -85,14 +96,10 @@ def rasterize(
     carry = [*keys, seq] + (["rows", "cols"] if shape else [])
     polygons = spread(polygons.select(*carry, "ring"), *keys, seq)
     box = bbox("ring")
-    lines = polygons.select(*carry, "ring", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
-    crossings = lines.select(*carry, "row", _scanline_runs(F.col("ring"), F.col("row")).alias("xs"))
-    pairs = crossings.where(F.size("xs") >= 2).select(
-        *carry, "row", "xs", F.explode(F.sequence(F.lit(0), floor_div(F.size("xs"), 2) - 1)).alias("i"))
-    runs = pairs.select(
-        *carry, "row", F.ceil(F.get("xs", F.col("i") * 2)).cast("int").alias("c0"),
-        F.floor(F.get("xs", F.col("i") * 2 + 1)).cast("int").alias("c1"),
-    )
+    # edges are taken once per polygon and not once per row
+    lines = polygons.withColumn("sides", edges("ring")).select(*carry, "sides", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
+    runs = lines.select(*carry, "row", F.explode_outer(_scanline_runs(F.col("sides"), F.col("row"), F.ceil, F.floor)).alias("s"))
+    runs = runs.where(F.col("s").isNotNull()).select(*carry, "row", "s.c0", "s.c1")
     inner = _cut_columns(runs, shape).select(
         *carry, "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.lit(0).alias("_edge"), F.lit(fill).alias("value"))
 
@@ -144,15 +151,11 @@ def _covered(polygons: DataFrame, keys: list[str], shape: bool) -> DataFrame:
     carry = [*keys, "own"] + (["rows", "cols"] if shape else [])
     polygons = spread(polygons.select(*carry, "ring"), *keys, "ring")
     box = bbox("ring")
-    lines = polygons.select(*carry, "ring", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
+    lines = polygons.withColumn("sides", edges("ring")).select(*carry, "sides", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
     half = F.col("row") + F.lit(0.5)
-    crossings = lines.select(*carry, "row", _scanline_runs(F.col("ring"), half).alias("xs")).where(F.size("xs") >= 2)
-    pairs = crossings.select(
-        *carry, "row", "xs", F.explode(F.sequence(F.lit(0), floor_div(F.size("xs"), 2) - 1)).alias("i"))
-    runs = pairs.select(
-        *carry, "row", F.ceil(F.get("xs", F.col("i") * 2) - 0.5).cast("int").alias("c0"),
-        (F.ceil(F.get("xs", F.col("i") * 2 + 1) - 0.5) - 1).cast("int").alias("c1"),
-    )
+    runs = lines.select(*carry, "row", F.explode_outer(
+        _scanline_runs(F.col("sides"), half, lambda x: F.ceil(x - 0.5), lambda x: F.ceil(x - 0.5) - 1)).alias("s"))
+    runs = runs.where(F.col("s").isNotNull()).select(*carry, "row", "s.c0", "s.c1")
     return _cut_columns(runs, shape).select(*keys, "own", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 

@@ -259,3 +259,15 @@ def test_upsampling_of_rasters_that_lack_pixels(spark):
     for k, parts in wanted.items():
         known = [p for p in parts if p is not None]
         assert (got[k] is None) == (not known) and (not known or got[k] == pytest.approx(sum(known)))
+
+
+def test_crossings_are_worked_out_once(spark):
+    """A row without crossings paints nothing, and no filter repeats the search for crossings."""
+    ring = [(2.0, 1.0), (6.0, 1.0), (6.0, 3.0), (2.0, 3.0)]
+    df = spark.createDataFrame([(1, 1, ring, 8, 9)], "frame_id long, id long, ring array<struct<x:double,y:double>>, rows int, cols int")
+    out = lb.rasterize(df, ["frame_id"], "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "array_sort" in line and line.strip(" :+-").startswith("Filter")]
+    got = {(r["row"], r["col"]): r["value"] for r in out.collect()}
+    assert got == {(r, c): int(r == 2 and 2 < c < 6) for r in (1, 2, 3) for c in range(2, 7)}
+    assert lb.boundary_gaps(df.drop("id"), ["frame_id"]).count() == 0
