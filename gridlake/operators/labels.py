@@ -41,7 +41,8 @@ def clip_raster(pixels: DataFrame, extents: DataFrame, block: int = 64) -> DataF
             floor_div(F.col("col0"), block), floor_div(F.col("col0") + F.col("cols") - 1, block))))
     )
     px = pixels.withColumns({"_br": floor_div(F.col("row"), block), "_bc": floor_div(F.col("col"), block)})
-    joined = px.join(touched, ["image_id", "_br", "_bc"])
+    # merged and never broadcast: Spark takes pixels that were exploded from few rows for a small table
+    joined = px.hint("merge").join(touched, ["image_id", "_br", "_bc"])
     r, c = F.col("row") - F.col("row0"), F.col("col") - F.col("col0")
     inside = joined.where((r >= 0) & (r < F.col("rows")) & (c >= 0) & (c < F.col("cols")))
     return inside.withColumns({"row": r, "col": c}).drop("_br", "_bc", "row0", "col0", "x0", "y0", "res")

@@ -271,3 +271,14 @@ def test_crossings_are_worked_out_once(spark):
     got = {(r["row"], r["col"]): r["value"] for r in out.collect()}
     assert got == {(r, c): int(r == 2 and 2 < c < 6) for r in (1, 2, 3) for c in range(2, 7)}
     assert lb.boundary_gaps(df.drop("id"), ["frame_id"]).count() == 0
+
+
+def test_clip_raster_does_not_broadcast_pixels_exploded_from_few_rows(spark):
+    grid = spark.range(3).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("row"))
+    pixels = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("col"), F.lit(1.0).alias("red"))
+    extents = spark.createDataFrame(
+        [(7, 1, 2, 3, 5, 4, 0.0, 0.0, 1.0)],
+        "frame_id long, image_id long, row0 int, col0 int, rows int, cols int, x0 double, y0 double, res double")
+    out = lb.clip_raster(pixels, extents, 8)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["row"], r["col"]) for r in out.collect()) == [(r, c) for r in range(5) for c in range(4)]
