@@ -13,24 +13,26 @@ from .objects import connect
 
 #: Side of a cell in units of the rings, and the share of it below which two heights or widths are one.
 CELL, TINY = 16.0, 1e-12
+#: Cells along a side of the block that a task takes at a time, and pairs of an edge and a height that it holds at once.
+BLOCK, _AT_ONCE = 4, 1 << 18
 
 _PIECE = "cx long, cy long, local int, y0 double, y1 double, l0 double, r0 double, l1 double, r1 double"
 
 
 def _sides(rings: list[np.ndarray], low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
     """((xa, ya, xb, yb) of the edges that go up through the stretch of heights, the ring of each)."""
-    parts, owner = [], []
-    for i, ring in enumerate(rings):
-        a, b = ring, np.roll(ring, -1, axis=0)
-        up = a[:, 1] < b[:, 1]
-        side = np.where(up[:, None], np.hstack([a, b]), np.hstack([b, a]))
-        side = side[(side[:, 1] < side[:, 3]) & (side[:, 1] < high) & (side[:, 3] > low)]
-        parts.append(side)
-        owner.append(np.full(len(side), i))
-    return np.concatenate(parts), np.concatenate(owner)
-
-
-def _x_at(sides: np.ndarray, y: float) -> np.ndarray:
+    sizes = np.array([len(ring) for ring in rings])
+    ends = np.cumsum(sizes)
+    a = np.concatenate(rings)
+    after = np.arange(1, len(a) + 1)
+    after[ends[sizes > 0] - 1] = (ends - sizes)[sizes > 0]
+    b = a[after]
+    side = np.where((a[:, 1] < b[:, 1])[:, None], np.hstack([a, b]), np.hstack([b, a]))
+    kept = (side[:, 1] < side[:, 3]) & (side[:, 1] < high) & (side[:, 3] > low)
+    return side[kept], np.repeat(np.arange(len(rings)), sizes)[kept]
+
+
+def _x_at(sides: np.ndarray, y: float | np.ndarray) -> np.ndarray:
     xa, ya, xb, yb = sides.T
     return xa + (xb - xa) * ((y - ya) / (yb - ya))
 
@@ -48,6 +50,40 @@ def _crossings(sides: np.ndarray, low: float, high: float) -> np.ndarray:
     return y[i, j]
 
 
+def _gaps_at(sides: np.ndarray, owner: np.ndarray, scaled: np.ndarray, mids: np.ndarray, tiny: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the height, edge on the left, edge on the right) of the gaps at each of the heights, from left to right; owners -1 and -2 are the sides of the box."""
+    xa, ya, xb, yb = sides.T
+    y = mids[:, None]
+    here = (ya <= y) & (yb >= y)
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = np.where(here, xa + (xb - xa) * ((y - ya) / (yb - ya)), np.inf)
+    order = np.argsort(x, axis=1, kind="stable")[:, :here.sum(axis=1).max()]
+    x, here = np.take_along_axis(x, order, 1), np.take_along_axis(here, order, 1)
+    ring = owner[order]
+    # a ring is entered at its odd edges and left at its even ones
+    by_ring = np.argsort(np.where(here, ring, len(scaled)), axis=1, kind="stable")
+    sorted_ring = np.take_along_axis(ring, by_ring, 1)
+    place = np.arange(order.shape[1])
+    begins = np.ones(ring.shape, dtype=bool)
+    begins[:, 1:] = sorted_ring[:, 1:] != sorted_ring[:, :-1]
+    nth = place - np.maximum.accumulate(np.where(begins, place, 0), axis=1)
+    step = np.empty(ring.shape, dtype=np.int32)
+    np.put_along_axis(step, by_ring, (1 - 2 * (nth & 1)).astype(np.int32), 1)
+    of_scaled = np.append(scaled, [False, False])[ring]  # -1 and -2 take the last two
+    n_scaled = np.cumsum(np.where(of_scaled, step, 0), axis=1)
+    n_own = np.cumsum(np.where(~of_scaled & (ring >= 0), step, 0), axis=1)
+    in_box = np.cumsum((ring == -1).astype(np.int8) - (ring == -2), axis=1) > 0
+    ends = here.copy()  # of the sides that lie on one another, the last
+    with np.errstate(invalid="ignore"):
+        ends[:, :-1] &= np.diff(x, axis=1) > tiny
+    row, col = np.nonzero(ends)
+    gap = (in_box & (n_scaled >= 2) & (n_own == 0))[row, col]
+    before = np.zeros(len(gap), dtype=bool)
+    before[1:] = gap[:-1] & (row[1:] == row[:-1])
+    edge, starts, stops = order[row, col], gap & ~before, before & ~gap
+    return row[starts], edge[starts], edge[stops]
+
+
 def trapezoids(rings: list[np.ndarray], scaled: np.ndarray, box: tuple[float, float, float, float]) -> list[tuple[float, ...]]:
     """(y0, y1, l0, r0, l1, r1) of what in ``box`` lies in two scaled rings or more and in no other ring.
 
@@ -62,48 +98,27 @@ def trapezoids(rings: list[np.ndarray], scaled: np.ndarray, box: tuple[float, fl
     heights = heights[(heights >= ymin) & (heights <= ymax)]
     keep = np.concatenate([[True], np.diff(heights) > TINY * (ymax - ymin)])
     heights = heights[keep]
-    out, running = [], {}
-    for y0, y1 in zip(heights[:-1], heights[1:], strict=True):
-        mid = (y0 + y1) / 2
-        here = np.flatnonzero((sides[:, 1] <= mid) & (sides[:, 3] >= mid))
-        x = _x_at(sides[here], mid)
-        order = np.argsort(x, kind="stable")
-        here, x = here[order], x[order]
-        last = np.append(np.diff(x) > TINY * (xmax - xmin), True)  # of the sides that lie on one another
-        inside, n_scaled, n_own, in_box, start, found = set(), 0, 0, False, None, []
-        for e, ends in zip(here.tolist(), last.tolist(), strict=True):
-            o = int(owner[e])
-            if o == -1:
-                in_box = True
-            elif o == -2:
-                in_box = False
-            else:
-                step = -1 if o in inside else 1
-                inside.symmetric_difference_update((o,))
-                if scaled[o]:
-                    n_scaled += step
-                else:
-                    n_own += step
-            if not ends:
-                continue
-            gap = in_box and n_scaled >= 2 and n_own == 0
-            if gap and start is None:
-                start = e
-            elif not gap and start is not None:
-                found.append((start, e))
-                start = None
-        fresh = {}
-        for pair in found:
-            fresh[pair] = running.pop(pair, y0)
-        out += [(first, y0, *pair) for pair, first in running.items()]
-        running = fresh
-    out += [(first, float(heights[-1]), *pair) for pair, first in running.items()] if len(heights) else []
-    pieces = []
-    for a, b, left, right in out:
-        l0, r0, l1, r1 = (float(_x_at(sides[[e]], y)[0]) for y in (a, b) for e in (left, right))
-        if max(r0 - l0, r1 - l1) > TINY * (xmax - xmin):
-            pieces.append((float(a), float(b), l0, max(l0, r0), l1, max(l1, r1)))
-    return pieces
+    found, step = [], max(1, _AT_ONCE // len(sides))
+    for i in range(0, len(heights) - 1, step):
+        row, start, end = _gaps_at(sides, owner, scaled, (heights[i:i + step + 1][:-1] + heights[i:i + step + 1][1:]) / 2, TINY * (xmax - xmin))
+        found.append((row + i, start, end))
+    if not found:
+        return []
+    row, start, end = (np.concatenate(f) for f in zip(*found, strict=True))
+    # the same pair of edges in neighbouring stretches is one piece; pieces come in the order in which they end
+    order = np.lexsort((row, end, start))
+    r, s, e = row[order], start[order], end[order]
+    new = np.ones(len(r) + 1, dtype=bool)
+    new[1:-1] = (s[1:] != s[:-1]) | (e[1:] != e[:-1]) | (r[1:] != r[:-1] + 1)
+    first, last = order[new[:-1]], order[new[1:]]
+    by_end = np.argsort(last)
+    first, last = first[by_end], last[by_end]
+    a, b = heights[row[first]], heights[row[last] + 1]
+    left, right = sides[start[last]], sides[end[last]]
+    l0, r0, l1, r1 = _x_at(left, a), _x_at(right, a), _x_at(left, b), _x_at(right, b)
+    kept = np.maximum(r0 - l0, r1 - l1) > TINY * (xmax - xmin)
+    pieces = np.stack([a, b, l0, np.maximum(l0, r0), l1, np.maximum(l1, r1)], axis=1)[kept]
+    return [tuple(p) for p in pieces.tolist()]
 
 
 def _touch(a: tuple[float, float], b: tuple[float, float], tiny: float) -> bool:
@@ -130,15 +145,28 @@ def _joined(pieces: list[tuple[float, ...]], tiny: float) -> list[int]:
     return [top(i) for i in range(len(pieces))]
 
 
+def _rings(column: pa.ChunkedArray) -> list[np.ndarray]:
+    held = column.combine_chunks()
+    points = held.flatten()
+    xy = np.stack([points.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
+    return np.split(xy, np.cumsum(held.value_lengths().to_numpy())[:-1])
+
+
 def _swept(cell: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        cx, cy = key[-2].as_py(), key[-1].as_py()
         scaled = group.column("scaled").to_numpy(zero_copy_only=False).astype(bool)
+        low = {c: group.column(c + "0").to_numpy() for c in ("cx", "cy")}
+        high = {c: group.column(c + "1").to_numpy() for c in ("cx", "cy")}
         rows: list[tuple] = []
-        if scaled.sum() >= 2:
-            rings = [np.array([(p["x"], p["y"]) for p in ring], dtype=float) for ring in group.column("ring").to_pylist()]
-            pieces = trapezoids(rings, scaled, (cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell))
-            rows = [(cx, cy, local, *piece) for local, piece in zip(_joined(pieces, TINY * cell * 1e3), pieces, strict=True)]
+        rings = _rings(group.column("ring")) if scaled.sum() >= 2 else []
+        bx, by = (k.as_py() * BLOCK for k in key[-2:])
+        for cx in range(bx, bx + BLOCK) if rings else ():
+            for cy in range(by, by + BLOCK):
+                held = np.flatnonzero((low["cx"] <= cx) & (cx <= high["cx"]) & (low["cy"] <= cy) & (cy <= high["cy"]))
+                if scaled[held].sum() < 2:
+                    continue
+                pieces = trapezoids([rings[i] for i in held], scaled[held], (cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell))
+                rows += [(cx, cy, local, *piece) for local, piece in zip(_joined(pieces, TINY * cell * 1e3), pieces, strict=True)]
         names = [f.split()[0] for f in _PIECE.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 6]
         held = {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))}
@@ -152,15 +180,18 @@ def gap_pieces(polygons: DataFrame, keys: list[str], k: float = 1.5, cell: float
     """(keys, cx, cy, local, y0, y1, l0, r0, l1, r1): gaps between crowns as trapezoids, between the heights y0 and y1 and, at these, from l to r.
 
     A gap is what lies in two rings or more scaled by ``k`` and in no ring as it is: the union of all pairwise intersections minus all crowns, without pairs.
-    Rings are simple; the overlay is exact up to rounding of doubles. A ring goes to the cells that its scaled box touches, a task sweeps one cell at a time.
+    Rings are simple; the overlay is exact up to rounding of doubles. A ring goes to the blocks of cells that its scaled box touches, a task sweeps the cells of a block one by one.
     """
     both = polygons.select(*keys, scale_ring("ring", k).alias("ring"), F.lit(True).alias("scaled")).unionByName(
         polygons.select(*keys, F.col("ring"), F.lit(False).alias("scaled")))
     box = bbox("ring")
     at = lambda side: F.floor(box[side] / F.lit(float(cell)))
-    dealt = both.withColumn("cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
+    placed = both.withColumns({"cx0": at("xmin"), "cx1": at("xmax"), "cy0": at("ymin"), "cy1": at("ymax")})
+    blocks = lambda c: F.explode(F.sequence(*[F.floor(F.col(c + end) / F.lit(BLOCK)) for end in "01"]))
+    dealt = placed.withColumn("bx", blocks("cx")).withColumn("by", blocks("cy"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in polygons.select(*keys).schema.fields)
-    return dealt.select(*keys, "ring", "scaled", "cx", "cy").groupBy(*keys, "cx", "cy").applyInArrow(_swept(cell), f"{fields}, {_PIECE}")
+    named = [*keys, "ring", "scaled", "cx0", "cx1", "cy0", "cy1", "bx", "by"]
+    return dealt.select(*named).groupBy(*keys, "bx", "by").applyInArrow(_swept(cell), f"{fields}, {_PIECE}")
 
 
 def _borders(pieces: DataFrame, keys: list[str], cell: float) -> DataFrame:

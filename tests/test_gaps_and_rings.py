@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,17 @@ def test_slabs_hold_the_edges_they_touch(spark):
                     g.covers(F.col("m"), g.point(F.lit(0.2), F.lit(80.0)), 4.0).alias("far")).first()
     assert sorted(row["m"]) == [0, 1, 2] and len(row["m"][0]) > len(row["m"][1])
     assert (row["hole"], row["body"], row["far"]) == (False, True, False) and len(row["p"]) == 2
+
+
+def test_heights_are_swept_together_in_any_number(monkeypatch):
+    rng = random.Random(3)
+    rings = [np.array(turned(rng.uniform(2, 14), rng.uniform(2, 14), rng.uniform(1, 5), rng.uniform(0, 3), rng.randint(3, 7))) for _ in range(24)]
+    scaled, cell = np.array([i % 3 > 0 for i in range(24)]), (0.0, 0.0, 16.0, 16.0)
+    calls = []
+    at = gp._gaps_at
+    monkeypatch.setattr(gp, "_gaps_at", lambda *a: calls.append(len(a[3])) or at(*a))
+    whole = gp.trapezoids(rings, scaled, cell)
+    assert len(whole) > 10 and len(calls) == 1 and calls[0] > 50
+    monkeypatch.setattr(gp, "_AT_ONCE", 1)
+    assert gp.trapezoids(rings, scaled, cell) == whole
+    assert max(calls[1:]) == 1
