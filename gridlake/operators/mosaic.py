@@ -123,10 +123,14 @@ def cells_to_windows(cells: DataFrame, width: int, height: int, stride: int) ->
 
 def cell_moments(pixels: DataFrame, bands: list[str], width: int, height: int, stride: int) -> DataFrame:
     """Count, mean and population variance of each band per cell."""
-    aggs = [F.count(F.lit(1)).cast("double").alias("n")]
+    return _moments(with_cells(pixels, width, height, stride), bands, F.lit(1))
+
+
+def _moments(placed: DataFrame, bands: list[str], *counted: Column | str) -> DataFrame:
+    aggs = [F.call_function("count", *[F.col(c) if isinstance(c, str) else c for c in counted]).cast("double").alias("n")]
     for b in bands:
         aggs += [F.avg(b).alias(f"m_{b}"), F.var_pop(b).alias(f"v_{b}")]
-    return with_cells(pixels, width, height, stride).groupBy(*CELL).agg(*aggs)
+    return placed.groupBy(*CELL).agg(*aggs)
 
 
 def window_moments(cells: DataFrame, bands: list[str], width: int, height: int, stride: int) -> DataFrame:
@@ -177,11 +181,16 @@ def pixels_in_windows(
 ) -> DataFrame:
     """Pixels with ``windows``: for each covering window, in order, its offset and band statistics, and with ``images`` the image's size.
 
-    Two small aggregations and one shuffle of the pixels on (image, cell); none is copied.
+    Two small aggregations and one shuffle of the pixels on (image, cell); none is copied. The statistics are taken from that shuffle, so the
+    pixels are made once.
     """
-    cells = cell_moments(pixels, bands, width, height, stride)
+    placed = with_cells(pixels.select("image_id", "row", "col", *bands), width, height, stride)
+    placed = placed.where(" AND ".join(f"{c} IS NOT NULL" for c in CELL)).repartition(*CELL)
+    # the same filter, and the same columns by counting rows and columns, which no pixel of a cell lacks: so Spark shuffles once for both branches
+    cells = _moments(placed, bands, "row", "col")
     wins = window_moments(cells, bands, width, height, stride)
     if images is not None:
         wins = wins.join(images.select("image_id", "rows", "cols"), "image_id")
     per_cell = windows_per_cell(wins, width, height, stride)
-    return with_cells(pixels, width, height, stride).join(per_cell, CELL)
+    # one row a cell is hashed and the pixels are not sorted
+    return placed.join(per_cell.hint("shuffle_hash"), CELL)

@@ -84,17 +84,19 @@ def big_images(spark: SparkSession, sf: str) -> DataFrame:
 
 def big_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """Full 256×256 rasters from line items: the highest item of a cell gives its bands, 0 where there is none."""
-    item = table(spark, sf, "lineitem").groupBy(
-        F.floor(F.col("l_suppkey") / 64).cast("long").alias("image_id"),
-        F.pmod("l_partkey", F.lit(BIG)).cast("int").alias("row"), F.pmod("l_orderkey", F.lit(BIG)).cast("int").alias("col"),
-    ).agg(
-        F.max("l_quantity").alias("red"), F.max(F.col("l_discount") * 100).alias("green"),
-        F.max(F.col("l_tax") * 100).alias("blue"), F.max(F.col("l_extendedprice") / 1000).alias("infrared"))
     names = ["red", "green", "blue", "infrared"]
-    grid = big_images(spark, sf).select(
-        "image_id", F.explode(F.sequence(F.lit(0), F.lit(BIG - 1))).alias("row"),
-    ).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(BIG - 1))))
-    full = grid.select("*", *[F.lit(0.0).alias(n) for n in names]).unionByName(item.select("image_id", "row", "col", *names))
+    item = table(spark, sf, "lineitem").select(
+        F.floor(F.col("l_suppkey") / 64).cast("long").alias("image_id"),
+        F.pmod("l_partkey", F.lit(BIG)).cast("int").alias("row"), F.array(F.pmod("l_orderkey", F.lit(BIG)).cast("int")).alias("cols"),
+        F.col("l_quantity").alias("red"), (F.col("l_discount") * 100).alias("green"),
+        (F.col("l_tax") * 100).alias("blue"), (F.col("l_extendedprice") / 1000).alias("infrared"))
+    # an image travels as its rows; their zeros are laid out where the items of the row have come
+    lines = big_images(spark, sf).select(
+        "image_id", F.explode(F.sequence(F.lit(0), F.lit(BIG - 1))).alias("row"), F.lit(None).cast("array<int>").alias("cols"),
+        *[F.lit(0.0).alias(n) for n in names])
+    every = F.sequence(F.lit(0), F.lit(BIG - 1))
+    full = item.unionByName(lines).repartition("image_id", "row").select(
+        "image_id", "row", F.explode(F.coalesce("cols", every)).alias("col"), *names)
     return full.groupBy("image_id", "row", "col").agg(*[F.max(n).alias(n) for n in names])
 
 

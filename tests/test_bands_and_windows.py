@@ -367,3 +367,13 @@ def test_literal_window_is_pushed_to_the_scan(spark, raster, tmp_path):
     assert sorted(r["v"] for r in box.collect()) == [21.0, 22.0, 29.0, 30.0, 37.0, 38.0]
     plan = box._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(block_row,0)" in plan.split("PushedFilters")[1]
+
+
+def test_statistics_and_scores_share_the_shuffle_of_the_pixels(spark, raster):
+    px = raster([[float(r * c % 7) for c in range(16)] for r in range(16)], "red").unionByName(
+        spark.createDataFrame([(None, 1, 1, 5.0, 16, 16), (0, None, 1, 5.0, 16, 16)], "image_id long, row int, col int, red double, rows int, cols int"))
+    out = inf.score_mosaic(px, [LinearModel("m", ("red",), (1.0,))], 8, 8, 4)
+    rows = out.collect()
+    assert len(rows) == 256 and all(r["row"] is not None for r in rows)
+    final = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in final and "SortMergeJoin" not in final
