@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bands import clip_negative
@@ -20,30 +20,37 @@ def count_by_density(dens: DataFrame, keys: list[str] | None = None, density: st
     return dens.groupBy(*(keys or ["image_id"])).agg(F.sum(clip_negative(density)).alias("n_objects"))
 
 
-def _label_block(size: int, diagonal: bool):
-    """In-block labelling by repeated minimum over neighbours; at most size² pixels."""
+SPAN = 8  # blocks along a side of what one task labels at a time
+
+
+def _label_blocks(size: int, diagonal: bool):
+    """In-block labelling of neighbouring blocks at once, by repeated minimum over neighbours; at most size² pixels a block, SPAN² blocks."""
     shifts = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates(["row", "col"])
-        r = block["row"].to_numpy() % size
-        c = block["col"].to_numpy() % size
+    def run(group: pa.Table) -> pa.Table:
+        row, col = group.column("row").to_numpy(), group.column("col").to_numpy()
+        width = size * SPAN
+        _, first = np.unique(row % width * width + col % width, return_index=True)  # a pixel may come twice
+        group, row, col = group.take(pa.array(first)), row[first], col[first]
+        _, block = np.unique(row // size % SPAN * SPAN + col // size % SPAN, return_inverse=True)
+        r, c = row % size, col % size
         far = size * size
-        padded = np.full((size + 2, size + 2), far, dtype=np.int64)
-        padded[r + 1, c + 1] = r * size + c
-        on = padded[1:-1, 1:-1] < far
+        padded = np.full((block.max() + 1, size + 2, size + 2), far, dtype=np.int32)
+        padded[block, r + 1, c + 1] = r * size + c
+        inner = padded[:, 1:-1, 1:-1]
+        off = inner == far
         while True:
-            before = padded[1:-1, 1:-1].copy()
+            before = inner.copy()
             best = before.copy()
             for dr, dc in shifts:
-                np.minimum(best, padded[1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc], out=best)
-            best[~on] = far
+                np.minimum(best, padded[:, 1 + dr:size + 1 + dr, 1 + dc:size + 1 + dc], out=best)
+            best[off] = far
             # jump: a pixel takes the label its label pixel has by now
-            flat = np.append(best.ravel(), far)
-            padded[1:-1, 1:-1] = flat[best]
-            if np.array_equal(padded[1:-1, 1:-1], before):
+            flat = np.concatenate([best.reshape(len(best), -1), np.full((len(best), 1), far, dtype=np.int32)], axis=1)
+            inner[:] = np.take_along_axis(flat, best.reshape(len(best), -1), 1).reshape(best.shape)
+            if np.array_equal(inner, before):
                 break
-        return block.assign(local=padded[r + 1, c + 1])
+        return group.append_column("local", pa.array(padded[block, r + 1, c + 1], pa.int64()))
 
     return run
 
@@ -58,14 +65,15 @@ def _unpacked(position: Column) -> Column:
         F.shiftright(position, 32).cast("int").alias("row"), position.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("col"))
 
 
-def _local_labels(mask: DataFrame, keys: list[str], size: int, diagonal: bool) -> DataFrame:
+def _local_labels(mask: DataFrame, keys: list[str], size: int, diagonal: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pixels with ``node``: the position of the first pixel of their in-block component, row and column in one BIGINT."""
-    on = mask.select(*keys, "row", "col")
-    blocked = on.withColumns({"_br": floor_div(F.col("row"), size), "_bc": floor_div(F.col("col"), size)})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocked.schema.fields)
-    local = blocked.groupBy(*keys, "_br", "_bc").applyInPandas(_label_block(size, diagonal), f"{fields}, local bigint")
-    node = _packed(F.col("_br") * size + floor_div(F.col("local"), size), F.col("_bc") * size + F.pmod("local", F.lit(size)))
-    return local.select(*keys, "row", "col", node.alias("node"))
+    on = mask.select(*keys, "row", "col", *carry)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in on.schema.fields)
+    spans = [floor_div(F.col(c), size * SPAN).alias(f"_{c}s") for c in ("row", "col")]
+    local = on.groupBy(*keys, *spans).applyInArrow(_label_blocks(size, diagonal), f"{fields}, local bigint")
+    top, left = floor_div(F.col("row"), size) * size, floor_div(F.col("col"), size) * size
+    node = _packed(top + floor_div(F.col("local"), size), left + F.pmod("local", F.lit(size)))
+    return local.select(*keys, "row", "col", *carry, node.alias("node"))
 
 
 def _border_edges(labelled: DataFrame, keys: list[str], size: int, diagonal: bool) -> DataFrame:
@@ -111,20 +119,20 @@ def connect(edges: DataFrame, keys: list[str], u: str = "u", v: str = "v") -> Da
 
 
 def label_components(
-    mask: DataFrame, keys: list[str] | None = None, connectivity: int = 8, block: int = 64
+    mask: DataFrame, keys: list[str] | None = None, connectivity: int = 8, block: int = 64, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Every mask pixel with ``component``, the position (row, col) of its component's first pixel in row-major order.
 
     Blocks are labelled on their own; only components that touch a block border enter the
-    iterative part. ``mask`` holds the object pixels.
+    iterative part. ``mask`` holds the object pixels; ``carry`` names columns of it that stay.
     """
     keys = keys or ["image_id"]
     diagonal = connectivity == 8
-    labelled = cut_lineage(_local_labels(mask, keys, block, diagonal))
+    labelled = cut_lineage(_local_labels(mask, keys, block, diagonal, carry))
     edges = _border_edges(labelled, keys, block, diagonal)
     roots = connect(edges, keys)
     return labelled.join(roots, [*keys, "node"], "left").select(
-        *keys, "row", "col", _unpacked(F.coalesce("root", "node")).alias("component"))
+        *keys, "row", "col", *carry, _unpacked(F.coalesce("root", "node")).alias("component"))
 
 
 def count_components(components: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -137,15 +145,13 @@ def label_holes(
 ) -> DataFrame:
     """Background components (4-connected) that do not reach the image edge; ``pixels`` has rows/cols."""
     keys = keys or ["image_id"]
-    back = pixels.where(F.col(value) == 0)
-    comps = label_components(back, keys, connectivity, block)
+    comps = label_components(pixels.where(F.col(value) == 0), keys, connectivity, block, ("rows", "cols"))
     edge = (
         (F.col("row") == 0) | (F.col("col") == 0)
         | (F.col("row") == F.col("rows") - 1) | (F.col("col") == F.col("cols") - 1)
     )
-    at_edge = back.where(edge).select(*keys, "row", "col")
-    open_ones = comps.join(at_edge, [*keys, "row", "col"], "left_semi").select(*keys, "component").distinct()
-    return comps.join(open_ones, [*keys, "component"], "left_anti")
+    open_ones = comps.where(edge).select(*keys, "component").distinct()
+    return comps.drop("rows", "cols").join(open_ones, [*keys, "component"], "left_anti")
 
 
 def count_holes(pixels: DataFrame, value: str, keys: list[str] | None = None, block: int = 64) -> DataFrame:

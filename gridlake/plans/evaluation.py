@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.bands import clip_negative
 from ..operators.metrics import count_errors, linregress, macro_average, segmentation_metrics
 from ..operators.objects import PIXEL_AREA, count_components, count_holes, label_components, per_hectare, remove_small
+from ..session import cut_lineage
 from ..sources.catalog import pair_siblings
 
 
@@ -45,6 +46,7 @@ def report_by_model(
     ``df`` is one row per (model, image, pixel) with truth, pred, weight, rows and cols.
     """
     image_keys = keys or [model, "image_id"]
+    df = cut_lineage(df)  # read by many steps, made once
     kept, _ = remove_small(df, "pred", thres, image_keys, measure, block)
     cleaned = df.drop("pred").join(
         kept.select(*image_keys, "row", "col", F.lit(1).alias("pred")), [*image_keys, "row", "col"], "left"
@@ -62,6 +64,7 @@ def counts_by_image(
     ``df`` is as for ``report_by_model``. Images without any contour have counts of 0.
     """
     image_keys = keys or [model, "image_id"]
+    df = cut_lineage(df)  # read by many steps, made once
     kept, counts = remove_small(df, "pred", thres, image_keys, measure, block)
     sums = df.groupBy(*image_keys).agg(F.sum("truth").cast("long").alias("truth_px"), F.count(F.lit(1)).alias("n_px"))
     left = kept.groupBy(*image_keys).agg(F.count(F.lit(1)).alias("pred_px"))

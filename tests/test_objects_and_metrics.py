@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,36 @@ def test_report_by_model_cleans(spark, raster):
     total = ev.count_report_by_model(counts).first()
     assert (total["decrease"], total["area_ratio"]) == (0.5, 1.0) and total["per_ha"] == pytest.approx(10000 / (64 * 0.04))
     assert ev.count_regression_by_model(counts).count() == 1
+
+
+def test_one_task_labels_neighbouring_blocks_and_copies_once():
+    rng = np.random.default_rng(4)
+    mask = rng.random((24, 40)) < 0.55
+    row, col = (x.astype(np.int32) - 16 for x in np.nonzero(mask))  # also left of and above the origin
+    order = rng.permutation(np.append(np.arange(len(row)), [0, 5, 5]))
+    # one span of 8 x 8 blocks of 4 pixels
+    near = (row[order] >= -16) & (row[order] < 16) & (col[order] >= 0) & (col[order] < 32)
+    table = pa.table({"image_id": pa.array([None] * int(near.sum()), pa.int64()), "row": row[order][near], "col": col[order][near]})
+    out = ob._label_blocks(4, False)(table)
+    got = {(r["row"], r["col"]): r["local"] for r in out.to_pylist()}
+    assert out.num_rows == len(got) == len({(r["row"], r["col"]) for r in table.to_pylist()})
+    for (r, c), local in got.items():
+        seen, todo = {(r, c)}, [(r, c)]
+        while todo:
+            y, x = todo.pop()
+            for p in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if p in got and p not in seen and (p[0] // 4, p[1] // 4) == (r // 4, c // 4):
+                    seen.add(p)
+                    todo.append(p)
+        assert local == min(y % 4 * 4 + x % 4 for y, x in seen)
+
+
+def test_holes_are_found_in_blocks_of_many_spans(spark, raster):
+    img = np.ones((40, 44))
+    img[1:39, 1:43] = 0  # a hole that reaches through all spans of blocks of 2
+    img[20, 0] = 0       # at the edge, and beside the hole
+    img[5:8, 5:8] = 1
+    img[6, 6] = 0
+    holes = ob.label_holes(raster(img.tolist(), "m"), "m", block=2)
+    assert sorted(holes.columns) == ["col", "component", "image_id", "row"]
+    assert [(r["component"]["row"], r["component"]["col"]) for r in holes.collect()] == [(6, 6)]
