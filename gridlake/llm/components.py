@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
 from .arrays import places
+from .shared import stored
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,18 +58,19 @@ def connect(edges: DataFrame) -> DataFrame:
     node, and the minimum for it is taken before the shuffle. No links: no rows.
     """
     low = lambda df: df.groupBy("a").agg(F.min("b").alias("m"))
-    current = cut_lineage(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).mapInArrow(_shortened, "a long, b long").distinct())
+    current = stored(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).mapInArrow(_shortened, "a long, b long"))
+    if current.count() <= LOCAL_LINKS:
+        return stored(current.coalesce(1).mapInArrow(_connected, "node long, root long"))
+    current = stored(current.distinct())
     mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
     before = current.agg(*mark).first()
-    if before["n"] <= LOCAL_LINKS:
-        return current.coalesce(1).mapInArrow(_connected, "node long, root long")
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = low(both).select("a", F.least("m", "a").alias("m"))
         above = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         best = low(above)
         below = above.join(best, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = cut_lineage(below.unionByName(best.select("a", F.col("m").alias("b"))).distinct())
+        current = stored(below.unionByName(best.select("a", F.col("m").alias("b"))).distinct())
         after = current.agg(*mark).first()
         if after == before:
             break

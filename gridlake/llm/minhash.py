@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
 from .arrays import mix, steps
 from .chunks import CHUNK_BYTES, batches_of, freeze, written
 from .components import connect
@@ -155,17 +154,17 @@ def confirmed(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     such a group, and against the smallest one that it shares any other bucket with, which connects most copies by a link or two each. Where a group then
     still holds more than one component, what is outside of the main one is compared outright (``tiles.compare``).
     """
-    crowded = cut_lineage(buckets.filter(F.col("many") > CROWDED).select("uid").distinct())
+    crowded = stored(buckets.filter(F.col("many") > CROWDED).select("uid").distinct())
     small = buckets.filter(F.col("many") <= CROWDED).select("token", "uid", "pivot")
     asked = small.filter("uid != pivot").groupBy(F.col("uid").alias("x")).agg(F.min("pivot").alias("y"))
     regions = small
     if not crowded.isEmpty():
         pool = sets.join(crowded, "uid", "left_semi")
-        rare = cut_lineage(regions_of(cut_lineage(_rarest(pool, _frequencies(pool)))).select("token", "uid", "pivot"))
+        rare = stored(regions_of(stored(_rarest(pool, _frequencies(pool)))).select("token", "uid", "pivot"))
         asked = asked.unionByName(rare.filter("uid != pivot").select(F.col("uid").alias("x"), F.col("pivot").alias("y"))).distinct()
         regions = small.unionByName(rare)
-    edges = cut_lineage(measured(asked, sets, PERCENT).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-    left = cut_lineage(opened(rooted(regions.select("token", "uid"), edges), "token"))
+    edges = stored(measured(asked, sets, PERCENT).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    left = stored(opened(stored(rooted(regions.select("token", "uid"), edges)), "token"))
     return edges if left.isEmpty() else compare(cells(left), sets, PERCENT, edges)
 
 
@@ -192,17 +191,17 @@ def group_texts(df: DataFrame, id: str = "doc_id", text: str = "text", chunk_byt
     found = stored(frozen.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
     classes = found.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("uid").alias("class"))
     placed = found.select("id", "uid", "n", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-    placed = cut_lineage(placed.select("id", "n", F.coalesce("class", "uid").alias("class")))  # the empty set is nobody's class
+    placed = stored(placed.select("id", "n", F.coalesce("class", "uid").alias("class")))  # the empty set is nobody's class
 
     one = classes.select(F.col("class").alias("uid"))
-    tokens = cut_lineage(found.join(one, "uid", "left_semi").select("uid", F.explode("bands").alias("token")))
-    shared = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("pivot")).filter("many > 1"))
-    buckets = cut_lineage(tokens.join(shared, "token"))  # two plain shuffles, of which a skewed one can be split
+    tokens = stored(found.join(one, "uid", "left_semi").select("uid", F.explode("bands").alias("token")))
+    shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("uid").alias("pivot")).filter("many > 1"))
+    buckets = stored(tokens.join(shared, "token"))  # two plain shuffles, of which a skewed one can be split
     wanted = found.select("uid", "chunk", "place").join(buckets.select("uid").distinct(), "uid", "left_semi")
     sets = frozen.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_sets, "uid long, n int, shared array<long>")
     linked = confirmed(buckets, written(sets, "uid"))
     group = connect(linked).select(F.col("node").alias("class"), "root")
     placed = placed.join(group, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = cut_lineage(placed.groupBy("root").agg(F.min("id").alias("component_id")))  # so that the rows of a large group can be split
+    smallest = stored(placed.groupBy("root").agg(F.min("id").alias("component_id")))  # so that the rows of a large group can be split
     out = placed.join(smallest, "root").select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(f"`{id}`") == F.col("component_id"), F.lit(False)) | (F.col("n_shingles") == 0))

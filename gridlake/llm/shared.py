@@ -13,7 +13,10 @@ SALTS = 64
 
 
 def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """``df`` as Parquet in the checkpoint folder, read again: it is computed once, and survives lost executors."""
+    """``df`` as Parquet in the checkpoint folder, read again: it is computed once, and survives lost executors.
+
+    Small files are read many to a task; a checkpoint leaves a task for each of its partitions, even empty ones, to whatever reads it, and unions add them up.
+    """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
 from .arrays import places
 from .components import connect, forest
-from .shared import look_up
+from .shared import look_up, stored
 
 #: Sets in the strips of a cell that are compared at once, and distinct shingles of them that one step looks at.
 NARROW, WIDE, TILE_TOKENS = 64, 256, 1 << 13
@@ -99,9 +98,10 @@ def _strip(many: str):
 def _beside(held: DataFrame, sets: DataFrame, percent: int, shift: int) -> DataFrame:
     """Links (between roots) of the open sets of each strip of a cell with all of the strip ``shift`` places on."""
     rows = _with_sets(held, sets)
-    left = rows.filter("open").select(*_ROWS, _strip("across").alias("i"), F.lit(True).alias("row"))
-    right = rows.select(*_ROWS, F.pmod(_strip("across") - shift, F.col("across")).cast("int").alias("i"), F.lit(False).alias("row"))
-    return left.unionByName(right).groupBy("cell", "i").applyInArrow(_tile(percent), "u long, v long")
+    left = F.struct(_strip("across").alias("i"), F.lit(True).alias("row"))
+    right = F.struct(F.pmod(_strip("across") - shift, F.col("across")).cast("int").alias("i"), F.lit(False).alias("row"))
+    rows = rows.select(*_ROWS, F.explode(F.when(F.col("open"), F.array(left, right)).otherwise(F.array(right))).alias("at"))  # not a union: the joins run once
+    return rows.select(*_ROWS, "at.*").groupBy("cell", "i").applyInArrow(_tile(percent), "u long, v long")
 
 
 def _all_tiles(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -110,10 +110,12 @@ def _all_tiles(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A set is sent once for each strip of the other side, so what moves grows with the sets and strips, not with the pairs.
     """
     rows = _with_sets(held, sets)
-    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    left = rows.filter("open").select(*_ROWS, _strip("down").alias("i"), every("across").alias("j"), F.lit(True).alias("row"))
-    right = rows.select(*_ROWS, every("down").alias("i"), _strip("across").alias("j"), F.lit(False).alias("row"))
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(_tile(percent), "u long, v long")
+    every = lambda many, to: F.transform(F.sequence(F.lit(0), F.col(many) - 1), to)
+    at = lambda i, j, row: F.struct(i.alias("i"), j.alias("j"), F.lit(row).alias("row"))
+    left = every("across", lambda j: at(_strip("down"), j, True))
+    right = every("down", lambda i: at(i, _strip("across"), False))
+    rows = rows.select(*_ROWS, F.explode(F.when(F.col("open"), F.concat(left, right)).otherwise(right)).alias("at"))
+    return rows.select(*_ROWS, "at.*").groupBy("cell", "i", "j").applyInArrow(_tile(percent), "u long, v long")
 
 
 def compare(held: DataFrame, sets: DataFrame, percent: int, edges: DataFrame) -> DataFrame:
@@ -123,12 +125,12 @@ def compare(held: DataFrame, sets: DataFrame, percent: int, edges: DataFrame) ->
     one component, is not measured again and gives no further link. The sets still outside of their cell's main component are at last compared with all
     of it. A tile returns one link for each component that it joins to another.
     """
-    held = cut_lineage(held)
+    held = stored(held)
     for shift in (0, 1):
-        edges = cut_lineage(edges.unionByName(_beside(held, sets, percent, shift)))
+        edges = edges.unionByName(stored(_beside(held, sets, percent, shift)))
         many = held.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > WIDE).select("cell")
         held = look_up(held, many, "cell", "uid")
-        held = cut_lineage(opened(rooted(held.select("cell", "uid", "root"), edges), "cell").drop("main"))
+        held = stored(opened(stored(rooted(held.select("cell", "uid"), edges)), "cell").drop("main"))
         if held.isEmpty():
             return edges
-    return cut_lineage(edges.unionByName(_all_tiles(held, sets, percent)))
+    return edges.unionByName(stored(_all_tiles(held, sets, percent)))

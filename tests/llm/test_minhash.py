@@ -135,3 +135,22 @@ def test_links_that_leave_the_tiles_grow_with_the_sets(spark, monkeypatch, narro
         assert {tuple(r) for r in components.connect(edges).collect()} == {(i, 0) for i in range(1, n)}
         counts.append(edges.count())
     assert counts[1] <= 2.5 * counts[0] and counts[1] <= 4 * 40
+
+
+def test_few_links_are_few_tasks_whatever_the_partitions(spark, monkeypatch):
+    """Three rounds of tiles, each shuffled to 40 partitions that nothing coalesces: whatever reads the links has a few tasks, not those of all rounds."""
+    monkeypatch.setattr(tiles, "WIDE", 8)
+    rng = random.Random(8)
+    sets = [(i, 30, sorted(rng.sample(range(40), 30))) for i in range(30)]
+    held = spark.createDataFrame([(0, i, i, i > 0) for i in range(30)], "cell long, uid long, root long, open boolean")
+    known = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(known, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        edges = tiles.compare(held, spark.createDataFrame(sets, "uid long, n int, shared array<long>"), 80, spark.createDataFrame([(0, 0)], "u long, v long").coalesce(1))
+        assert edges.rdd.getNumPartitions() < 40
+        got = {tuple(r) for r in components.connect(edges).collect()}
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    assert got == brute_roots([(a, b) for a, _, x in sets for b, _, y in sets if a < b and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})])
