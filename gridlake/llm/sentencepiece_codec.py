@@ -298,9 +298,10 @@ def encode(df: DataFrame, model: Model, text: str = "text", chunk_bytes: int = C
     frozen = freeze(packed, "text", chunk_bytes)
     # small buckets, as a word has many edges; their number is kept, so that asking, cutting and answering share one partitioning
     buckets = BUCKETS_A_PARTITION * buckets_for(df)
-    asked = _requests(frozen, buckets).repartition(buckets, "bucket")
+    # a task for each bucket: by a hash of its number a third of the tasks had none, and others several, whose edges they all hold at once
+    asked = _requests(frozen, buckets).repartitionById(buckets, F.col("bucket"))
     words = asked.groupBy("bucket").applyInArrow(_distinct_words, "bucket int, word string")
-    cut = segment(words.filter(F.length("word") <= FOLD_CHARS).repartition(buckets, "bucket"), ["bucket"], model)
+    cut = segment(words.filter(F.length("word") <= FOLD_CHARS).repartitionById(buckets, F.col("bucket")), ["bucket"], model)
     score = {p.replace(_SPACE, " "): s for p, _, s in model.pieces}
     id_of = {p.replace(_SPACE, " "): i for p, i, _ in model.pieces}
     held = df.sparkSession.sparkContext.broadcast((score, id_of))

@@ -137,6 +137,16 @@ def test_no_documents_no_tokens(none):
     assert coded.count() == 0 and sentencepiece_codec.decode(coded, model).count() == 0
 
 
+def test_a_task_for_each_word_bucket(docs, monkeypatch):
+    """The edges of all words of a task are held at once: no task may get the words of several buckets."""
+    dealt, real = [], sentencepiece_codec.segment
+    monkeypatch.setattr(sentencepiece_codec, "segment", lambda words, *rest: real(dealt.append(words) or words, *rest))
+    sentencepiece_codec.encode(docs.select("doc_id", "text"), sentencepiece_codec.read_model(MODEL))
+    tasks = dealt[0].groupBy(F.spark_partition_id().alias("task")).agg(F.collect_set("bucket").alias("buckets")).collect()
+    assert len(tasks) > 1 and all(len(t.buckets) == 1 for t in tasks)
+    assert dealt[0].count() == dealt[0].select("word").distinct().count()
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------------------
 
 
