@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.geometry import bbox, edges, let, scale_ring
+from ..functions.geometry import bbox, scale_ring
 from ..schemas import floor_div
 from ..session import cut_lineage, spread
+from .painting import BOUNDS, PART, cut_to_parts, deal, filled_rings, gap_spots, paint, stamped_points
 from .resample import convolve_separable, gaussian_weights
 
 # --- clipping ----------------------------------------------------------------------------------
@@ -32,57 +36,88 @@ def clip_extent(hits: DataFrame, res: float) -> DataFrame:
     )
 
 
-def clip_raster(pixels: DataFrame, extents: DataFrame, block: int = 64) -> DataFrame:
-    """Pixels of each extent with rows and columns rebased to it; equi join on the blocks an extent touches."""
-    touched = (
-        extents.withColumn("_br", F.explode(F.sequence(
-            floor_div(F.col("row0"), block), floor_div(F.col("row0") + F.col("rows") - 1, block))))
-        .withColumn("_bc", F.explode(F.sequence(
-            floor_div(F.col("col0"), block), floor_div(F.col("col0") + F.col("cols") - 1, block))))
-    )
-    px = pixels.withColumns({"_br": floor_div(F.col("row"), block), "_bc": floor_div(F.col("col"), block)})
-    # merged and never broadcast: Spark takes pixels that were exploded from few rows for a small table
-    joined = px.hint("merge").join(touched, ["image_id", "_br", "_bc"])
-    r, c = F.col("row") - F.col("row0"), F.col("col") - F.col("col0")
-    inside = joined.where((r >= 0) & (r < F.col("rows")) & (c >= 0) & (c < F.col("cols")))
-    return inside.withColumns({"row": r, "col": c}).drop("_br", "_bc", "row0", "col0", "x0", "y0", "res")
-
-
-# --- polygons to pixels ---------------------------------------------------------------------------
+_NARROW = "_short_"  # before the names of columns that hold a column's numbers in 16 bits
 
 
-def _rows_of(low: Column, high: Column, shape: bool) -> Column:
-    """Pixel rows from low to high, cut to the frame before they are exploded."""
-    low, high = F.floor(low).cast("int"), F.ceil(high).cast("int")
-    if shape:
-        low, high = F.greatest(low, F.lit(0)), F.least(high, F.col("rows") - 1)
-    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+def _fits(values: pa.Array) -> bool:
+    """Numbers that 16 bits hold without loss; bits are compared, so that a negative zero stays one."""
+    whole = values.drop_null().to_numpy(zero_copy_only=False)
+    with np.errstate(invalid="ignore"):
+        return whole.astype(np.int16).astype(whole.dtype).tobytes() == whole.tobytes()
 
 
-def _cut_columns(runs: DataFrame, shape: bool) -> DataFrame:
-    if shape:
-        runs = runs.withColumns({
-            "c0": F.greatest(F.col("c0"), F.lit(0)), "c1": F.least(F.col("c1"), F.col("cols") - 1)})
-    return runs.where(F.col("c0") <= F.col("c1"))
+def _pack(names: list[str], numbers: list[str], block: int) -> Callable:
+    """Pixels as they come to one row for each block of an image, each column a list: lists of their own are small once compressed.
 
+    ``numbers`` have a second list, of 16 bits, for what fits there; the other of the two is null.
+    """
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.filter(pc.and_(pc.and_(table["image_id"].is_valid(), table["row"].is_valid()), table["col"].is_valid()))
+            if not len(table):
+                continue
+            image = table["image_id"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+            at = [table[c].to_numpy().astype(np.int64) // block for c in ("row", "col")]
+            low, span = [a.min() for a in at], [int(a.max() - a.min()) + 1 for a in at]
+            key = (image * span[0] + at[0] - low[0]) * span[1] + at[1] - low[1]
+            if key.max() < 1 << 16:
+                key = key.astype(np.uint16)  # sorted in linear time
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order].astype(np.int64), prepend=-1))
+            table = table.take(pa.array(order))
+            ends = pa.array(np.append(first, len(order)), pa.int32())
+            columns = {"image_id": table["image_id"].combine_chunks().take(pa.array(first))} | {
+                b: pa.array(a[order][first], pa.int32()) for b, a in zip(("_br", "_bc"), at)}
+            for n in names:
+                values = table[n].combine_chunks()
+                short = n in numbers and _fits(values)
+                columns[n] = pa.nulls(len(first), pa.list_(values.type)) if short else pa.ListArray.from_arrays(ends, values)
+                if n in numbers:
+                    columns[_NARROW + n] = pa.ListArray.from_arrays(ends, values.cast(pa.int16())) if short else pa.nulls(len(first), pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
+
+
+def clip_raster(pixels: DataFrame, extents: DataFrame, block: int = 64, tile: int | None = None, parts: int | None = None) -> DataFrame:
+    """Pixels of each extent with rows and columns rebased to it; equi join on the tiles an extent touches.
+
+    Pixels are packed by block where they are, and unpacked for each extent after the join. Rows are dealt by tiles of
+    ``tile`` pixels a side, whole blocks, to ``parts`` tasks; with ``tile`` the tile's columns ``_tr`` and ``_tc`` are kept.
+    """
+    kept, tile = tile is not None, tile or block
+    names = [c for c in pixels.columns if c != "image_id"]
+    types = {n: T.ArrayType(pixels.schema[n].dataType) for n in names}
+    numbers = [n for n in names if isinstance(types[n].elementType, (T.IntegerType, T.LongType, T.FloatType, T.DoubleType))]
+    lists = [T.StructField(m, t) for n in names for m, t in ((n, types[n]), (_NARROW + n, T.ArrayType(T.ShortType()))) if m in names or n in numbers]
+    schema = T.StructType([pixels.schema["image_id"], T.StructField("_br", T.IntegerType()), T.StructField("_bc", T.IntegerType()), *lists])
+    packed = pixels.mapInArrow(_pack(names, numbers, block), schema).withColumns({
+        t: floor_div(F.col(b) * block, tile) for t, b in zip(PART, ("_br", "_bc"))})
+    touched = extents
+    for c, t in zip(("row", "col"), PART):
+        touched = touched.withColumn(t, F.explode(F.sequence(
+            floor_div(F.col(c + "0"), tile), floor_div(F.col(c + "0") + F.col(c + "s") - 1, tile))))
+    # merged and never broadcast: Spark takes pixels that were exploded from few rows for a small table
+    keys = ["image_id", *PART]
+    joined = deal(packed, keys, parts).hint("merge").join(deal(touched, keys, parts), keys)
+    for c, b in (("row", "_br"), ("col", "_bc")):
+        joined = joined.where((F.col(b) * block < F.col(c + "0") + F.col(c + "s")) & (F.col(c + "0") < (F.col(b) + 1) * block))
+    rest = [c for c in extents.columns if c not in ("image_id", "row0", "col0", "x0", "y0", "res")]
+    unpacked = joined.withColumns({n: F.coalesce(n, F.col(_NARROW + n).cast(types[n])) for n in numbers})
+    single = unpacked.select("image_id", *PART, "row0", "col0", *rest, F.inline(F.arrays_zip(*names)))
+    r, c = F.col("row") - F.col("row0"), F.col("col") - F.col("col0")
+    inside = single.where((r >= 0) & (r < F.col("rows")) & (c >= 0) & (c < F.col("cols"))).withColumns({"row": r, "col": c})
+    return inside.select("image_id", *(PART if kept else []), *names, *rest)
 
-def _scanline_runs(sides: Column, y: Column, first: Callable[[Column], Column], last: Callable[[Column], Column]) -> Column:
-    """ARRAY<STRUCT<c0, c1>>: the stretches of one pixel row between pairs of crossings with a ring's edges, which are inside.
 
-    To be exploded with ``explode_outer``: for other generators and for filters Spark works the crossings out a second time.
-    """
-    crossed = F.filter(sides, lambda e: (
-        (F.least(e["a"]["y"], e["b"]["y"]) <= y) & (y < F.greatest(e["a"]["y"], e["b"]["y"]))
-    ))
-    xs = F.array_sort(F.transform(crossed, lambda e: e["a"]["x"] + F.try_divide(
-        (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]), e["b"]["y"] - e["a"]["y"])))
+# --- polygons to pixels ---------------------------------------------------------------------------
 
-    def stretches(x: Column) -> Column:
-        pairs = F.when(F.size(x) >= 2, F.sequence(F.lit(0), floor_div(F.size(x), 2) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(pairs, lambda i: F.struct(
-            first(F.get(x, i * 2)).cast("int").alias("c0"), last(F.get(x, i * 2 + 1)).cast("int").alias("c1")))
 
-    return let(xs, stretches)
+def _pixel_box(box: dict[str, Column], grid: int = 1) -> dict[str, Column]:
+    """First and last row and column of pixels that a box in pixel coordinates (x = column, y = row) touches."""
+    of = {"row_low": ("ymin", F.floor), "row_high": ("ymax", F.ceil), "col_low": ("xmin", F.floor), "col_high": ("xmax", F.ceil)}
+    return {k: way(box[c] / F.lit(grid)).cast("int") for k, (c, way) in of.items()}
 
 
 def rasterize(
@@ -93,36 +128,12 @@ def rasterize(
     The outline gets its own value, and the last polygon in ``seq`` order wins. Filled row by
     row from edge crossings, so a pixel never looks at the whole ring. With ``shape`` the
     table carries ``rows``/``cols`` and pixels outside are dropped. Columns: keys, row, col, value.
+    Polygons that carry the bounds of a part (see ``painting``) are cut to it and not shuffled; ``keys`` then name the part.
     """
-    carry = [*keys, seq] + (["rows", "cols"] if shape else [])
-    polygons = spread(polygons.select(*carry, "ring"), *keys, seq)
-    box = bbox("ring")
-    # edges are taken once per polygon and not once per row
-    lines = polygons.withColumn("sides", edges("ring")).select(*carry, "sides", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
-    runs = lines.select(*carry, "row", F.explode_outer(_scanline_runs(F.col("sides"), F.col("row"), F.ceil, F.floor)).alias("s"))
-    runs = runs.where(F.col("s").isNotNull()).select(*carry, "row", "s.c0", "s.c1")
-    inner = _cut_columns(runs, shape).select(
-        *carry, "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.lit(0).alias("_edge"), F.lit(fill).alias("value"))
-
-    sides = polygons.select(*carry, F.explode(edges("ring")).alias("e"))
-    dr, dc = F.col("e.b.y") - F.col("e.a.y"), F.col("e.b.x") - F.col("e.a.x")
-    n = F.greatest(F.abs(dr), F.abs(dc), F.lit(1.0))
-    steps = sides.withColumns({"dr": dr, "dc": dc, "n": n}).withColumn(
-        "t", F.explode(F.sequence(F.lit(0), F.ceil("n").cast("int"))))
-    at = F.least(F.col("t") / F.col("n"), F.lit(1.0))
-    rim = steps.select(
-        *carry,
-        F.floor(F.col("e.a.y") + F.col("dr") * at + 0.5).cast("int").alias("row"),
-        F.floor(F.col("e.a.x") + F.col("dc") * at + 0.5).cast("int").alias("col"),
-        F.lit(1).alias("_edge"), F.lit(outline).alias("value"),
-    )
-    painted = inner.unionByName(rim)
-    if shape:
-        painted = painted.where(
-            F.col("row").between(0, F.col("rows") - 1) & F.col("col").between(0, F.col("cols") - 1))
-    # the outline wins within a polygon, the last polygon over all; one BIGINT to order by, so that the aggregate is hashed
-    order = F.col(seq).cast("long") * 2 + F.col("_edge")
-    return painted.groupBy(*keys, "row", "col").agg(F.max_by("value", order).alias("value"))
+    box = _pixel_box(bbox("ring"))
+    shapes, of = cut_to_parts(polygons, keys, box, shape)
+    painted = paint(shapes, of, {"seq": F.col(seq).cast("long"), "ring": F.col("ring")}, filled_rings(fill, outline), "int")
+    return painted.select(*keys, "row", "col", "value")
 
 
 GAP_GRID = 3  # sample points along a pixel's side that say whether a gap touches it
@@ -131,33 +142,18 @@ GAP_GRID = 3  # sample points along a pixel's side that say whether a gap touche
 def boundary_gaps(polygons: DataFrame, keys: list[str], k: float = 1.5, shape: bool = True, grid: int = GAP_GRID) -> DataFrame:
     """Pixels touched by a spot that lies in at least two scaled polygons and in no original one, per frame.
 
-    This is the union of the pairwise intersections of scaled polygons minus all originals, without forming pairs: one scatter
-    and one count. Spots are the ``grid`` × ``grid`` sample points of a pixel, so strips between close crowns that are thinner than a
-    pixel, down to 1/``grid`` of it, are found.
+    This is the union of the pairwise intersections of scaled polygons minus all originals, without forming pairs: the polygons that
+    cover a spot are counted along its row. Spots are the ``grid`` × ``grid`` sample points of a pixel, so strips between close crowns
+    that are thinner than a pixel, down to 1/``grid`` of it, are found. Polygons with the bounds of a part: as in ``rasterize``.
     """
-    def fine(ring: Column, own: int) -> DataFrame:
-        larger = F.transform(ring, lambda p: F.struct((p["x"] * grid).alias("x"), (p["y"] * grid).alias("y")))
-        sized = {c: F.col(c) * grid for c in ("rows", "cols")} if shape else {}
-        return polygons.withColumns({"ring": larger, "own": F.lit(own), **sized})
-
-    both = fine(scale_ring("ring", k), 0).unionByName(fine(F.col("ring"), 1))
-    spots = _covered(both, keys, shape).groupBy(*keys, "row", "col").agg(
-        F.sum(1 - F.col("own")).alias("scaled"), F.sum("own").alias("own"))
-    gaps = spots.where((F.col("scaled") >= 2) & (F.col("own") == 0))
-    return gaps.select(*keys, floor_div(F.col("row"), grid).alias("row"), floor_div(F.col("col"), grid).alias("col")).distinct()
-
-
-def _covered(polygons: DataFrame, keys: list[str], shape: bool) -> DataFrame:
-    """One row per (polygon, pixel) with the pixel's centre inside the ring: keys, own, row, col."""
-    carry = [*keys, "own"] + (["rows", "cols"] if shape else [])
-    polygons = spread(polygons.select(*carry, "ring"), *keys, "ring")
-    box = bbox("ring")
-    lines = polygons.withColumn("sides", edges("ring")).select(*carry, "sides", F.explode(_rows_of(box["ymin"], box["ymax"], shape)).alias("row"))
-    half = F.col("row") + F.lit(0.5)
-    runs = lines.select(*carry, "row", F.explode_outer(
-        _scanline_runs(F.col("sides"), half, lambda x: F.ceil(x - 0.5), lambda x: F.ceil(x - 0.5) - 1)).alias("s"))
-    runs = runs.where(F.col("s").isNotNull()).select(*carry, "row", "s.c0", "s.c1")
-    return _cut_columns(runs, shape).select(*keys, "own", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    def fine(ring: Column) -> Column:
+        return F.transform(ring, lambda p: F.struct((p["x"] * grid).alias("x"), (p["y"] * grid).alias("y")))
+
+    own, scaled = bbox("ring"), bbox(scale_ring("ring", k))
+    box = {c: (F.least if c.endswith("min") else F.greatest)(own[c], scaled[c]) for c in own}
+    shapes, of = cut_to_parts(polygons, keys, _pixel_box(box), shape)
+    gaps = paint(shapes, of, {"scaled": fine(scale_ring("ring", k)), "own": fine(F.col("ring"))}, gap_spots(grid), "int", grid, 1)
+    return gaps.select(*keys, "row", "col")
 
 
 # --- points to pixels --------------------------------------------------------------------------------
@@ -181,27 +177,20 @@ def density_fixed(points: DataFrame, keys: list[str], size: int = 15, sigma: flo
     """Adds one unit-mass Gaussian per point; mass beyond the edge is lost.
 
     The kernel sits one pixel below and right of the point. Points at or beyond the far edge
-    are skipped. Points of one pixel are counted first, so a crowded pixel is spread once.
+    are skipped. Points of one pixel are counted first, so a crowded pixel is spread once, and along
+    rows and columns in turn. Points with the bounds of a part: as in ``rasterize``.
     """
     half = (size - 1) // 2
     reach = size - half  # farthest a point above or left of the frame still reaches into it
     kept = points.where(
         (F.col("row") < F.col("rows")) & (F.col("col") < F.col("cols"))
         & (F.col("row") + reach >= 0) & (F.col("col") + reach >= 0))
-    counted = kept.groupBy(*keys, "row", "col", "rows", "cols").agg(F.count(F.lit(1)).alias("n"))
-    # neighbours together: their kernels overlap, and the sums combine before the next shuffle;
-    # a block holds at most one row per pixel, however many points it has
-    block = {"_br": floor_div(F.col("row"), DENSITY_BLOCK), "_bc": floor_div(F.col("col"), DENSITY_BLOCK)}
-    counted = spread(counted.withColumns(block), *keys, "_br", "_bc").drop("_br", "_bc")
-    cells = F.array(*[
-        F.struct(F.lit(i + 1 - half).alias("dr"), F.lit(j + 1 - half).alias("dc"), F.lit(w).alias("w"))
-        for i, line in enumerate(kernel_2d(size, sigma)) for j, w in enumerate(line)
-    ])
-    stamped = counted.withColumn("_k", F.explode(cells)).withColumns({
-        "row": F.col("row") + F.col("_k.dr"), "col": F.col("col") + F.col("_k.dc"),
-    })
-    inside = F.col("row").between(0, F.col("rows") - 1) & F.col("col").between(0, F.col("cols") - 1)
-    return stamped.where(inside).groupBy(*keys, "row", "col").agg(F.sum(F.col("n") * F.col("_k.w")).alias("density"))
+    at = [c for c in ("row", "col", "rows", "cols", *BOUNDS) if c in points.columns]
+    counted = kept.groupBy(*keys, *at).agg(F.count(F.lit(1)).alias("n"))
+    box = {c + end: F.col(c) + F.lit(by) for c in ("row", "col") for end, by in (("_low", 1 - half), ("_high", reach))}
+    shapes, of = cut_to_parts(counted, keys, box, True)
+    density = paint(shapes, of, {c: F.col(c) for c in ("row", "col", "n")}, stamped_points(gaussian_weights(size, sigma)), "double", pad=size - 1)
+    return density.select(*keys, "row", "col", F.col("value").alias("density"))
 
 
 def knn_distances(points: DataFrame, keys: list[str], k: int = 3, cell: int = 16) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.bands import threshold
 from ..functions.geometry import rectangle_ring
 from ..operators.scoring import LinearModel
 from ..plans.inference import score_mosaic
+from ..session import spread
 
 SIDE = 80           # rows and columns of a fixture image
 W, S = 32, 28       # default window and stride
@@ -171,7 +172,9 @@ def extents(spark: SparkSession, sf: str) -> DataFrame:
 
 def extent_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """A red band for every extent, one pixel a unit."""
-    grid = table(spark, sf, "supplier").select(
+    # few bytes become many pixels: they are laid out by all tasks
+    few = spread(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+    grid = few.select(
         F.col("s_suppkey").alias("image_id"), "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(EXTENT - 1))).alias("row"),
     ).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(EXTENT - 1))))
     level = F.pmod(F.col("image_id") * 31 + F.col("s_nationkey") * 5 + F.col("row") * 7 + F.col("col") * 13, F.lit(256))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -282,3 +283,74 @@ def test_clip_raster_does_not_broadcast_pixels_exploded_from_few_rows(spark):
     out = lb.clip_raster(pixels, extents, 8)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["row"], r["col"]) for r in out.collect()) == [(r, c) for r in range(5) for c in range(4)]
+
+
+def label_run(spark, bands=("red",)):
+    """A frame of 150 x 130 pixels, so several tiles, and a small one; crowns with slanted edges across the borders of tiles."""
+    from gridlake.plans.label_frames import build_label_frames
+
+    rng = random.Random(3)
+    crowns = []
+    for i in range(300):
+        x, y = rng.uniform(0, 170), rng.uniform(0, 150)
+        corners = [(x + rng.uniform(1, 9) * math.cos(t), y + rng.uniform(1, 9) * math.sin(t)) for t in (0, 1.2, 2.5, 3.9, 5.1)]
+        crowns.append((i, corners))
+    areas = rings(spark, (1, box(10.3, 5.2, 160.1, 134.9)), (2, box(161.0, 0.0, 175.0, 20.0)))
+    images = spark.createDataFrame([(5, 0.0, 0.0, 200.0, 160.0), (6, 500.0, 0.0, 510.0, 10.0)], "image_id long, xmin double, ymin double, xmax double, ymax double")
+    pixels = spark.createDataFrame([(5, r, c, (r * 7 + c) / 2) for r in range(160) for c in range(200)], "image_id long, row int, col int, red double")
+    return crowns, build_label_frames(pixels, images, areas, rings(spark, *crowns), list(bands), 1.0, 64.0, block=16)
+
+
+def test_label_frames_of_several_tiles_equal_the_operators_on_whole_frames(spark):
+    crowns, built = label_run(spark)
+    frames = {f["frame_id"]: f for f in built.frames.collect()}
+    large = next(f for f in frames.values() if f["area_id"] == 1)
+    assert (large["rows"], large["cols"]) == (130, 151) and len(frames) == 2
+    kept = {r["id"] for r in built.polygons.where(F.col("frame_id") == large["frame_id"]).collect()}
+    assert len(kept) == built.counts.where(F.col("frame_id") == large["frame_id"]).first()["n"] > 200
+    shifted = [(i, [(x - large["x0"], large["y0"] - y) for x, y in c]) for i, c in crowns if i in kept]
+    polys = grid(spark, shifted, large["rows"], large["cols"])
+    whole = [(i, [(float(math.floor(x)), float(math.floor(y))) for x, y in c]) for i, c in shifted]
+    want = {(r["row"], r["col"]): r["value"] for r in lb.rasterize(grid(spark, whole, large["rows"], large["cols"]), ["frame_id"], "id").collect()}
+    gaps = {(r["row"], r["col"]) for r in lb.boundary_gaps(polys, ["frame_id"]).collect()}
+    middle = polys.withColumn("c", g.centroid("ring")).select("frame_id", "rows", "cols", F.floor("c.y").cast("int").alias("row"), F.floor("c.x").cast("int").alias("col"))
+    density = {(r["row"], r["col"]): r["density"] for r in lb.density_fixed(middle, ["frame_id"]).collect()}
+    got = built.pixels.where(F.col("frame_id") == large["frame_id"]).collect()
+    assert len(got) == 130 * 151 and len(want) > 1000 and len(gaps) > 100
+    for p in got:
+        at = (p["row"], p["col"])
+        assert p["red"] == ((p["row"] + large["row0"]) * 7 + p["col"] + large["col0"]) / 2
+        assert p["annotation"] == want.get(at, 0) and p["boundary"] == int(at in gaps)
+        assert p["density"] == pytest.approx(density.get(at, 0.0), abs=1e-12)
+
+
+def test_pixels_of_a_label_run_are_not_shuffled(spark):
+    _, built = label_run(spark)
+    plan = built.pixels._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [line for line in plan if "Exchange hashpartitioning" in line]
+    assert dealt and not [line for line in dealt if "row#" in line.split("hashpartitioning(")[1]], "layers meet where their tile was dealt to"
+    assert not [line for line in plan if "Exchange" in line and "Union" in plan[plan.index(line) + 1]]
+
+
+def test_clip_raster_keeps_values_that_16_bits_do_not_hold(spark):
+    values = [0.5, -0.0, None, 70000.0, float("nan"), 3.0, -32768.0]
+    pixels = spark.createDataFrame([(1, 0, c, v, c) for c, v in enumerate(values)], "image_id long, row int, col int, v double, n long")
+    small = pixels.where(F.col("col") > 4).repartition(1)
+    extents = spark.createDataFrame(
+        [(7, 1, 0, 0, 2, 9, 0.0, 0.0, 1.0)], "frame_id long, image_id long, row0 int, col0 int, rows int, cols int, x0 double, y0 double, res double")
+    for df in (pixels.repartition(1), small):
+        got = {r["col"]: (str(r["v"]), r["n"]) for r in lb.clip_raster(df, extents, 4).collect()}
+        assert got == {r["col"]: (str(r["v"]), r["n"]) for r in df.collect()}
+
+
+def test_few_crowns_on_one_pixel_of_density_count_each(spark):
+    """Points of a frame wider than a part reach over the part's border, and copies count."""
+    many = points(spark, [(63, 63)] * 3 + [(64, 70)], 140, 140)
+    got = {(r["row"], r["col"]): r["density"] for r in lb.density_fixed(many, ["frame_id"]).collect()}
+    kernel = lb.kernel_2d(15, 4.0)
+    want = {}
+    for r, c, n in ((63, 63, 3), (64, 70, 1)):
+        for i in range(15):
+            for j in range(15):
+                want[r + i - 6, c + j - 6] = want.get((r + i - 6, c + j - 6), 0) + n * kernel[i][j]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
